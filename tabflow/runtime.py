@@ -49,6 +49,13 @@ def file_order() -> Column:
     )
 
 
-def first_file(spark: SparkSession, path) -> str | None:
-    """The first file of a path by name; contents are not read."""
-    return spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
+def first_and_largest_file(spark: SparkSession, path) -> tuple[str, str]:
+    """The first file of a path by name, and the largest one; contents are not read.
+
+    Empty files do not count: Spark leaves them in its output folders.
+    """
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    first, largest = files.agg(F.min("path"), F.max_by("path", "length")).first()
+    if first is None:
+        raise ValueError(f"nothing to read in {path}")
+    return first, largest

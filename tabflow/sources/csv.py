@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tabflow.functions import cells
 from tabflow.operators.transform import Raw
-from tabflow.runtime import ORD, col, file_order, first_file
+from tabflow.runtime import ORD, col, file_order, first_and_largest_file
 
 # A separator and a quote that no text holds, so that Spark's CSV source hands over whole lines.
 _NO_SEPARATOR = "\u0001\u001f\u0002\u001f\u0001"
@@ -16,7 +16,7 @@ _NO_QUOTE = "\uffff"
 
 
 def _header_line(spark: SparkSession, path) -> str:
-    first = spark.read.text(first_file(spark, path) or path).take(1)
+    first = spark.read.text(first_and_largest_file(spark, path)[0]).take(1)
     line = first[0]["value"].removeprefix("\ufeff") if first else ""
     if not line.strip():
         raise ValueError(f"CSV without a header line: {path}")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.operators.transform import Raw
-from tabflow.runtime import ORD, file_order, first_file
+from tabflow.runtime import ORD, file_order, first_and_largest_file
 from tabflow.sources.rows import ROW, map_of_last, raw_of_maps, with_position
 
 _ROWS = f"array<{ROW}>"
@@ -45,11 +45,12 @@ def _first_object(head: str) -> tuple[dict | None, int, int]:
 
 
 def _gap(head: str) -> str | None:
-    """Text from the brace that ends the first element to the one that opens the second."""
-    _, start, end = _first_object(head)
-    if not end:
-        return None
-    between = re.match(r"\s*,\s*\{", head[end:])
+    """Text from the brace that ends the first element to the first name of the second, its quotes included.
+
+    This text cannot occur inside a string, where a quote is escaped; it may occur in a nested array of like objects.
+    """
+    _, _, end = _first_object(head)
+    between = re.match(r'\s*,\s*\{\s*"(?:[^"\\]|\\.)+"', head[end:]) if end else None
     return "}" + between.group(0) if between else None
 
 
@@ -106,11 +107,11 @@ def _splits_cleanly(pieces: DataFrame) -> bool:
     return not per_file.filter(~whole).take(1)
 
 
-def _split_rows(pieces: DataFrame) -> DataFrame:
-    """Parsed objects of each piece, after giving back the brackets the cuts took."""
+def _split_rows(pieces: DataFrame, gap: str) -> DataFrame:
+    """Parsed objects of each piece, after giving back what the cuts took."""
     _, opens, closes = _piece_ends()
     text = F.concat(
-        F.when(opens, "").otherwise("[{"),
+        F.when(opens, "").otherwise("[" + gap[gap.index("{") :]),
         F.regexp_replace("piece", "^\ufeff", ""),
         F.when(closes, "").otherwise("}]"),
     )
@@ -123,7 +124,7 @@ def _split_rows(pieces: DataFrame) -> DataFrame:
 
 def _document_rows(spark: SparkSession, path) -> DataFrame:
     """Parsed objects of whole documents, one task per file: for layouts that do not split cleanly."""
-    docs = spark.read.option("wholetext", True).text(path).select(
+    docs = spark.read.text(path, wholetext=True).filter("_metadata.file_size > 0").select(
         F.regexp_replace("value", "^\ufeff", "").alias("doc"), file_order().alias(ORD)
     )
     parsed = F.from_json("doc", _ROWS)
@@ -145,12 +146,12 @@ def read_json(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     between the first two objects also separates all others, as any serializer writes it, the scan splits files there;
     otherwise each document is parsed whole.
     """
-    head = first_file(spark, path) or path
-    gap = _gap(_head(spark, head))
+    head, largest = first_and_largest_file(spark, path)
+    gap = _gap(_head(spark, largest))
     split = gap is not None and _splits_cleanly(_pieces(spark, path, gap))
 
     def rows_of(p) -> DataFrame:
-        return _objects(_split_rows(_pieces(spark, p, gap)) if split else _document_rows(spark, p))
+        return _objects(_split_rows(_pieces(spark, p, gap), gap) if split else _document_rows(spark, p))
 
     rows = rows_of(path)
     first = rows_of(head).select(F.map_keys("row")).take(1) or rows.select(F.map_keys("row")).take(1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.workbook import read_workbook
 from tabflow.operators.transform import Raw
-from tabflow.runtime import ORD, first_file
+from tabflow.runtime import ORD, first_and_largest_file
 
 _BATCH = 10_000
 
@@ -41,9 +41,7 @@ def read_xlsx(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     with the same name the last counts, at the place of the first. Every row has every column.
     """
     files = spark.read.format("binaryFile").load(path)
-    first = first_file(spark, path)
-    if first is None:
-        raise FileNotFoundError(f"no workbook in {path}")
+    first, _ = first_and_largest_file(spark, path)
     names = (
         spark.read.format("binaryFile").load(first).select("content").mapInPandas(_headers, "header array<string>")
     ).first()["header"]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.operators.transform import Raw
-from tabflow.runtime import ORD, file_order, first_file
+from tabflow.runtime import ORD, file_order, first_and_largest_file
 from tabflow.sources.rows import ROW, map_of_last, raw_of_maps, with_position
 
 _HEAD_PIECES = 2000
@@ -176,7 +176,7 @@ def _parse_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _document_rows(spark: SparkSession, path) -> DataFrame:
     """Rows of whole documents, one task per file: for layouts that do not split cleanly."""
     parsed = (
-        spark.read.format("binaryFile").load(path).select("path", "content")
+        spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
         .mapInPandas(_parse_documents, "f string, pos bigint, names array<string>, texts array<string>")
     )
     order = F.struct(
@@ -192,8 +192,8 @@ def read_xml(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     Attributes are ignored, blanks kept; a missing element is NULL, an empty one `''`, of repeated ones the last
     counts. Documents whose rows all have one tag are split at its closing tag; others are parsed whole.
     """
-    head = first_file(spark, path) or path
-    tag = _head(spark, head)
+    head, largest = first_and_largest_file(spark, path)
+    tag = _head(spark, largest)
     if tag is not None:
         pieces = _pieces(spark, path, tag)
         if _splits_cleanly(pieces, tag):
