@@ -24,8 +24,11 @@ def _first_of_task() -> Column:
 def write_lines(lines: DataFrame, header: str, path: str) -> None:
     """Write a column of finished lines; the header and the byte order mark precede the first line of each file."""
     text = F.col("value")
+    # The count is not used; observing it keeps Spark from working out the numbers of a local frame on the driver,
+    # where all rows would count as one task's.
+    watched = lines.toDF("value").observe("lines", F.count(F.lit(1)).alias("n"))
     value = F.when(_first_of_task(), F.concat(F.lit("\ufeff" + header + "\n"), text)).otherwise(text)
-    lines.toDF("value").select(value.alias("value")).write.option("maxRecordsPerFile", 0).text(path)
+    watched.select(value.alias("value")).write.option("maxRecordsPerFile", 0).text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

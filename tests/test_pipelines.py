@@ -1,0 +1,183 @@
+"""Add, import and export through files; database statements."""
+
+import json
+
+import duckdb
+import pytest
+
+from tabflow import tables
+from tabflow.plans import pipelines
+from tabflow.sinks.xlsx import write_xlsx
+from tabflow.sources import formats, jdbc
+from tabflow.types import LogicalType as L
+from tabflow.types import Policy
+
+A, B = "0f8fad5b-d9cb-469f-a165-70867728950e", "7c9e6679-7425-40de-944b-e07fc1f90ae7"
+USERS = (
+    "SELECT * FROM VALUES "
+    f"('{A}', 'Иван Иванов', 28L, 150000.5D, true, TIMESTAMP_NTZ'2025-10-15 14:30:00'), "
+    f"('{B}', 'Анна Смирнова, директор', 34L, 999.99D, false, NULL) "
+    "AS t(Id, FullName, Age, AccountBalance, IsActive, RegistrationDate)"
+)
+USER_TYPES = {
+    "Id": L.UUID, "FullName": L.STRING, "Age": L.LONG, "AccountBalance": L.DOUBLE, "IsActive": L.BOOL,
+    "RegistrationDate": L.DATETIME,
+}
+
+
+def content(spark, name):
+    return sorted(map(tuple, tables.scan(spark, name).collect()))
+
+
+@pytest.mark.parametrize("extension", ["csv", "json", "xml", "xlsx"])
+def test_users_in_every_format(spark, database, tmp_path, extension):
+    users = spark.sql(USERS)
+    path = str(tmp_path / f"users.{extension}")
+    formats.write(users, path)
+    name = f"{database}.users"
+    pipelines.add_table(spark, path, name, "update")
+    assert tables.types_of(spark, name) == USER_TYPES
+    assert content(spark, name) == sorted(map(tuple, users.collect()))
+    # Loading the same file again updates every row to itself.
+    pipelines.import_into(spark, path, name, "update")
+    assert content(spark, name) == sorted(map(tuple, users.collect()))
+    with pytest.raises(Exception):
+        pipelines.import_into(spark, path, name)
+    out = str(tmp_path / f"again.{extension}")
+    pipelines.export_table(spark, name, out)
+    assert formats.read(spark, out).df.count() == 2
+
+
+def test_add_table_rejects_an_empty_file(spark, database, file):
+    with pytest.raises(ValueError, match="no rows"):
+        pipelines.add_table(spark, file("a.json", "[]"), f"{database}.e")
+    with pytest.raises(ValueError, match="no rows"):
+        pipelines.add_table(spark, file("a.csv", "Id,a\n"), f"{database}.e")
+    assert tables.list_tables(spark, database).collect() == []
+
+
+def test_rows_without_a_key_column_get_one(spark, database, file):
+    name = f"{database}.k"
+    pipelines.add_table(spark, file("a.csv", "a\n1\n2\n"), name)
+    pipelines.import_into(spark, file("b.csv", "a\n3\n"), name, "ignore")
+    rows = content(spark, name)
+    assert sorted(r[1] for r in rows) == [1, 2, 3]
+    assert len({r[0] for r in rows}) == 3 and all(len(r[0]) == 36 for r in rows)
+    assert content(spark, name) == rows
+
+
+def test_blank_key_is_refused_and_missing_key_needs_a_text_key(spark, database, file):
+    name = f"{database}.k"
+    pipelines.add_table(spark, file("a.csv", "id,a\n1,x\n"), name)
+    with pytest.raises(Exception, match="key column"):
+        pipelines.import_into(spark, file("b.csv", "id,a\n,y\n"), name, "update")
+    with pytest.raises(Exception, match="UUID"):
+        pipelines.import_into(spark, file("c.csv", "a\ny\n"), name, "update")
+    assert content(spark, name) == [(1, "x")]
+
+
+def test_import_casts_to_the_table(spark, database, file):
+    name = f"{database}.c"
+    pipelines.add_table(spark, file("a.csv", "Id,a,d\n1,x,1.5\n"), name)
+    pipelines.import_into(spark, file("b.csv", "ID,A,d\n2,5,7\n"), name)
+    assert content(spark, name) == [(1, "x", 1.5), (2, "5", 7.0)]
+    with pytest.raises(Exception, match="not a valid double"):
+        pipelines.import_into(spark, file("c.csv", "Id,d\n3,seven\n"), name)
+    with pytest.raises(ValueError, match="no columns"):
+        pipelines.import_into(spark, file("d.csv", "Id,zz\n3,1\n"), name)
+    assert content(spark, name) == [(1, "x", 1.5), (2, "5", 7.0)]
+
+
+def test_json_update_tells_absent_from_null(spark, database, file):
+    name = f"{database}.j"
+    pipelines.add_table(spark, file("a.json", json.dumps([{"Id": 1, "a": "x", "b": "y"}, {"Id": 2, "a": "p"}])), name)
+    patch = [{"Id": 1, "a": None}, {"Id": 2}, {"Id": 2, "b": "q"}, {"Id": 3, "b": "n"}]
+    pipelines.import_into(spark, file("b.json", json.dumps(patch)), name, "update")
+    assert content(spark, name) == [(1, None, "y"), (2, "p", "q"), (3, None, "n")]
+    with pytest.raises(Exception, match="late"):
+        pipelines.import_into(spark, file("c.json", '[{"Id":1},{"Id":2,"late":1}]'), name, "update")
+
+
+def test_integral_doubles_come_back_as_longs(spark, tmp_path):
+    """A known loss of text exports."""
+    write_xlsx(spark.sql("SELECT 1L AS Id, 20.0D AS d"), str(tmp_path / "a.xlsx"))
+    formats.write(spark.sql("SELECT 1L AS Id, 20.0D AS d"), str(tmp_path / "a.csv"))
+    from tabflow.operators.infer import infer_types
+
+    for path in ("a.xlsx", "a.csv"):
+        raw = formats.read(spark, str(tmp_path / path))
+        assert infer_types(raw.df, raw.columns)["d"] is L.LONG
+
+
+# --- databases: the statements, run by DuckDB where it shares the syntax
+
+
+def test_connections():
+    assert jdbc.connect_by_key("SQLite", {}).url == "jdbc:sqlite:etl.db"
+    pg = jdbc.connect("Postgres", "Host=h;Port=5433;Database=d;Username=u;Password=p=w")
+    assert pg.url == "jdbc:postgresql://h:5433/d" and pg.options["user"] == "u" and pg.options["password"] == "p=w"
+    ms = jdbc.connect("MsSql", "Server=h,1433;Database=d;Trusted_Connection=True;TrustServerCertificate=True;")
+    assert ms.url == "jdbc:sqlserver://h:1433;databaseName=d;integratedSecurity=true;trustServerCertificate=true"
+    assert jdbc.connect("postgres", "jdbc:postgresql://x/y").url == "jdbc:postgresql://x/y"
+    with pytest.raises(ValueError):
+        jdbc.connect("Postgres", " ")
+    with pytest.raises(ValueError):
+        jdbc.connect_by_key("Postgres", {})
+    with pytest.raises(NotImplementedError):
+        jdbc.connect("Oracle", "x")
+
+
+PG = jdbc.Connection("postgres", "jdbc:postgresql://h/d")
+LITE = jdbc.Connection("sqlite", "jdbc:sqlite:x.db")
+MS = jdbc.Connection("mssql", "jdbc:sqlserver://h")
+
+
+def test_create_statements():
+    assert jdbc.create_table_sql(PG, 'a"b', {"v": L.DATETIME}) == 'CREATE TABLE "a""b" ("Id" UUID PRIMARY KEY, "v" TIMESTAMP)'
+    assert jdbc.create_table_sql(LITE, "t", {"id": L.LONG, "b": L.BOOL}) == 'CREATE TABLE "t" ("id" INTEGER PRIMARY KEY, "b" INTEGER)'
+    assert jdbc.create_table_sql(MS, "t", {"Id": L.UUID, "s": L.STRING}) == "CREATE TABLE [t] ([Id] UNIQUEIDENTIFIER PRIMARY KEY, [s] NVARCHAR(MAX))"
+
+
+@pytest.mark.parametrize(
+    "db, policy, partial, expected",
+    [
+        (PG, "fail", False, None),
+        (PG, "ignore", False, [(1, "t1", "u1"), (2, "t2", "u2"), (3, "x", None)]),
+        (LITE, "ignore", False, [(1, "t1", "u1"), (2, "t2", "u2"), (3, "x", None)]),
+        (PG, "update", False, [(1, "n", None), (2, "t2", "u2"), (3, "x", None)]),
+        (LITE, "update", True, [(1, "n", "u1"), (2, "t2", "u2"), (3, "x", None)]),
+    ],
+)
+def test_load_statements(db, policy, partial, expected):
+    con = duckdb.connect()
+    con.execute('CREATE TABLE t ("Id" BIGINT PRIMARY KEY, a TEXT, b TEXT)')
+    con.execute("INSERT INTO t VALUES (1, 't1', 'u1'), (2, 't2', 'u2')")
+    con.execute("CREATE TABLE s AS SELECT * FROM (VALUES (1, 'n', NULL, 1, 0), (3, 'x', NULL, 1, 0)) v(\"Id\", a, b, a__set, b__set)")
+    con.execute("INSERT INTO s SELECT * FROM s WHERE \"Id\" = 3")  # left twice by a repeated task
+    statements = jdbc.load_sql(db, "t", "s", ["Id", "a", "b"], Policy.of(policy), partial)
+    if expected is None:
+        with pytest.raises(duckdb.ConstraintException):
+            con.execute(statements[0])
+        return
+    for sql in statements:
+        con.execute(sql)
+    assert con.execute('SELECT * FROM t ORDER BY "Id"').fetchall() == expected
+
+
+def test_merge_statement():
+    (sql,) = jdbc.load_sql(MS, "t", "s", ["Id", "a"], Policy.UPDATE, partial=True)
+    assert sql == (
+        "MERGE INTO [t] AS t USING (SELECT DISTINCT * FROM [s]) AS s ON t.[Id] = s.[Id] "
+        "WHEN MATCHED THEN UPDATE SET [a] = CASE WHEN s.[a__set] = 1 THEN s.[a] ELSE t.[a] END "
+        "WHEN NOT MATCHED THEN INSERT ([Id], [a]) VALUES (s.[Id], s.[a]);"
+    )
+
+
+def test_staging_rows(spark, file):
+    from tabflow.operators.transform import transform
+
+    raw = formats.read(spark, file("a.json", '[{"Id":1,"b":true,"t":"2025-01-02"},{"Id":1,"b":null},{"Id":2,"t":""}]'))
+    boxed = transform(raw, {"Id": L.LONG, "b": L.BOOL, "t": L.DATETIME}, boxed=True)
+    rows = jdbc.staging_rows(LITE, boxed, Policy.UPDATE, True)
+    assert rows.columns == ["Id", "b", "t", "b__set", "t__set"]
+    assert sorted(map(tuple, rows.collect())) == [(1, None, "2025-01-02 00:00:00", 1, 1), (2, None, None, 0, 1)]
