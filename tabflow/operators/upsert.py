@@ -65,13 +65,20 @@ def last_present_per_key(boxed: DataFrame, key: str) -> DataFrame:
     )
 
 
-def conflicts(target: DataFrame | None, batch: DataFrame, key: str) -> DataFrame:
+def stored_keys(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Those of the given keys that the target holds.
+
+    The batch's keys are the side that Spark may broadcast, when it knows them to be few; then the target's key column
+    is read but not shuffled.
+    """
+    return target.select(col(key)).join(keys.select(col(key)), key, "left_semi")
+
+
+def conflicts(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Keys that policy fail rejects, with the reason: `table`, `batch` or `both`."""
     counted = batch.groupBy(col(key)).agg(F.count("*").alias("n_rows"))
-    if target is None:
-        return counted.filter("n_rows > 1").select(col(key), "n_rows", F.lit("batch").alias("clash"))
-    stored = target.select(col(key), F.lit(True).alias("__stored"))
-    joined = counted.join(stored, key, "left")
+    matched = stored_keys(target, counted, key).withColumn("__stored", F.lit(True))
+    joined = counted.join(matched, key, "left")
     repeated = F.col("n_rows") > 1
     clash = (
         F.when(F.col("__stored") & repeated, "both").when(F.col("__stored"), "table").when(repeated, "batch")
@@ -80,7 +87,11 @@ def conflicts(target: DataFrame | None, batch: DataFrame, key: str) -> DataFrame
 
 
 def refuse_conflicts(target: DataFrame | None, batch: DataFrame, key: str, shown: int = 20) -> None:
-    found = [row[0] for row in conflicts(target, batch, key).select(col(key)).take(shown)]
+    """Raise if the batch repeats a key or the target holds one of them."""
+    repeated = batch.groupBy(col(key)).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
+    found = [row[0] for row in repeated.take(shown)]
+    if target is not None and not found:
+        found = [row[0] for row in stored_keys(target, batch, key).take(shown)]
     if found:
         raise KeyConflictError(f"keys already present or repeated (up to {shown} shown): {found}")
 
@@ -91,14 +102,15 @@ def new_rows(target: DataFrame, collapsed: DataFrame, key: str) -> DataFrame:
 
 
 def aligned(batch: DataFrame, target: DataFrame) -> DataFrame:
-    """Batch columns in the target's order, NULL for those it lacks."""
-    have = set(batch.columns)
-    return batch.select(
-        *[
-            col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in target.schema.fields
-        ]
-    )
+    """Batch columns in the target's order and types, NULL for those it lacks."""
+    have = {f.name: f.dataType for f in batch.schema.fields}
+
+    def cell(f) -> Column:
+        if have.get(f.name) == f.dataType:
+            return col(f.name)
+        return (col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+
+    return batch.select(*[cell(f) for f in target.schema.fields])
 
 
 def _merged_cell(name: str, present: Column, given: Column) -> Column:

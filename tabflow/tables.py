@@ -120,7 +120,7 @@ def input_bytes(spark: SparkSession, path) -> int:
 
 
 def _show(spark: SparkSession, name: str, now: State, create: bool = False) -> None:
-    columns = [c for c in spark.table(_store(name)).columns if c not in (LAYER, BUCKET)]
+    columns = _columns(spark, name).columns
     properties = ", ".join(f"'{k}' = '{_escaped(v)}'" for k, v in now.to_properties().items())
     verb = "CREATE VIEW" if create else "CREATE OR REPLACE VIEW"
     spark.sql(
@@ -184,11 +184,15 @@ def _publish(spark: SparkSession, name: str, before: State, after: State) -> Non
 
 
 def _compact(spark: SparkSession, name: str, before: State) -> State:
-    """Rewrite all live layers as one, to bound their number."""
+    """Rewrite all live layers as one, to bound their number; the buckets grow with the table."""
+    live = _live(spark, name, before)
+    file = F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n")
+    n_bytes = live.select(*file).groupBy("f").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+    # Nothing of the old layout stays visible, so the number of buckets may follow the size.
+    wider = State(before.key, max(before.buckets, buckets_for(n_bytes)), before.layers)
     layer = _next_layer(before)
-    rows = _live(spark, name, before).drop(LAYER, BUCKET)
-    _write_layer(rows, name, before, layer)
-    after = before.with_layer(layer, range(before.buckets))
+    _write_layer(live.drop(LAYER, BUCKET), name, wider, layer)
+    after = wider.with_layer(layer, range(wider.buckets))
     _publish(spark, name, before, after)
     return after
 
@@ -223,14 +227,33 @@ def _live(spark: SparkSession, name: str, now: State) -> DataFrame:
     return spark.table(_store(name)).where(now.condition())
 
 
+def _live_near(spark: SparkSession, name: str, now: State, batch: DataFrame) -> DataFrame:
+    """Live rows in the buckets that a batch, with its bucket column, falls into; the others are not read."""
+    present = [r[0] for r in batch.select(BUCKET).distinct().collect()]
+    live = _live(spark, name, now)
+    return live if len(present) == now.buckets else live.where(col(BUCKET).isin(present))
+
+
+def _layer(spark: SparkSession, name: str, layer: int) -> DataFrame:
+    return spark.table(_store(name)).where(f"{LAYER} = {layer}L")
+
+
+def _drop_layer(spark: SparkSession, name: str, layer: int) -> None:
+    spark.sql(f"ALTER TABLE {_quoted(_store(name))} DROP IF EXISTS PARTITION ({LAYER} = {layer})")
+
+
+def _columns(spark: SparkSession, name: str) -> DataFrame:
+    """The table's own columns, for their names and types."""
+    return spark.table(_store(name)).drop(LAYER, BUCKET)
+
+
 def _write_layer(rows: DataFrame, name: str, now: State, layer: int, aligned: bool = False) -> None:
     """Append rows as a layer.
 
     Unless a task's rows are known to be of one or few buckets, they are brought together per bucket; the rebalance
     splits large buckets over several tasks and joins small ones.
     """
-    store = rows.sparkSession.table(_store(name))
-    columns = [c for c in store.columns if c not in (LAYER, BUCKET)]
+    columns = _columns(rows.sparkSession, name).columns
     out = rows.select(*[col(c) for c in columns], F.lit(layer).cast("bigint").alias(LAYER), _bucket_of(now).alias(BUCKET))
     if now.buckets > 1 and not aligned:
         out = out.hint("rebalance", BUCKET)
@@ -238,35 +261,50 @@ def _write_layer(rows: DataFrame, name: str, now: State, layer: int, aligned: bo
 
 
 def _write(spark, name: str, now: State, batch: DataFrame, policy: Policy, boxed: bool) -> State:
+    """Write the batch's layer and return the state that would show it."""
     layer = _next_layer(now)
+    key_type = _columns(spark, name).schema[now.key].dataType
+    if batch.schema[now.key].dataType != key_type:
+        # The bucket depends on the type of the key, not on its value alone.
+        batch = batch.withColumn(now.key, col(now.key).cast(key_type))
     batch = upsert.require_key(batch, now.key)
-    schema_holder = spark.table(_store(name)).drop(LAYER, BUCKET)
     if policy is Policy.UPDATE:
         return _write_update(spark, name, now, batch, layer, boxed)
     plain = upsert.boxed_to_plain(batch, now.key) if boxed else batch
-    if policy is Policy.IGNORE:
-        added = upsert.first_per_key(plain, now.key)
-        if now.layers:
-            added = upsert.new_rows(_live(spark, name, now), added, now.key)
-        _write_layer(upsert.aligned(added, schema_holder), name, now, layer)
-    else:
-        _write_layer(upsert.aligned(plain.drop(ORD), schema_holder), name, now, layer)
-        written = spark.table(_store(name)).where(f"{LAYER} = {layer}L").select(col(now.key))
+    added = upsert.first_per_key(plain, now.key) if policy is Policy.IGNORE else plain.drop(ORD)
+    _write_layer(upsert.aligned(added, _columns(spark, name)), name, now, layer)
+    if policy is Policy.FAIL:
+        written = _layer(spark, name, layer)
+        target = _live_near(spark, name, now, written) if now.layers else None
         try:
-            upsert.refuse_conflicts(_live(spark, name, now) if now.layers else None, written, now.key)
+            upsert.refuse_conflicts(target, written, now.key)
         except upsert.KeyConflictError:
-            spark.sql(f"ALTER TABLE {_quoted(_store(name))} DROP IF EXISTS PARTITION ({LAYER} = {layer})")
+            _drop_layer(spark, name, layer)
             raise
+    elif now.layers:
+        layer = _without_stored_keys(spark, name, now, layer)
     return now.with_layer(layer, ())
 
 
+def _without_stored_keys(spark, name: str, now: State, layer: int) -> int:
+    """The layer itself if it has only new keys, else one with its new keys in its place."""
+    written = _layer(spark, name, layer)
+    stored = upsert.stored_keys(_live_near(spark, name, now, written), written, now.key)
+    if not stored.take(1):
+        return layer
+    kept = layer + 1
+    fresh = written.drop(LAYER, BUCKET).join(stored, now.key, "left_anti")
+    _write_layer(fresh, name, now, kept)
+    _drop_layer(spark, name, layer)
+    return kept
+
+
 def _write_update(spark, name: str, now: State, batch: DataFrame, layer: int, boxed: bool) -> State:
     key = now.key
     collapsed = upsert.last_present_per_key(batch, key) if boxed else upsert.last_per_key(batch, key)
-    schema_holder = spark.table(_store(name)).drop(LAYER, BUCKET)
     if not now.layers:
         plain = upsert.boxed_to_plain(collapsed, key) if boxed else collapsed
-        _write_layer(upsert.aligned(plain, schema_holder), name, now, layer)
+        _write_layer(upsert.aligned(plain, _columns(spark, name)), name, now, layer)
         return now.with_layer(layer, ())
 
     # Written out: the merge reads it more than once, and random keys must not be drawn again.
@@ -275,11 +313,11 @@ def _write_update(spark, name: str, now: State, batch: DataFrame, layer: int, bo
     staged = spark.read.parquet(staging)
     small = input_bytes(spark, staging) <= _broadcast_bytes(spark)
 
-    live = _live(spark, name, now)
+    near = _live_near(spark, name, now, staged.withColumn(BUCKET, _bucket_of(now)))
     keys = staged.select(col(key))
-    matched = live.join(F.broadcast(keys) if small else keys, key, "left_semi")
+    matched = near.join(F.broadcast(keys) if small else keys, key, "left_semi")
     touched = sorted(r[0] for r in matched.select(BUCKET).distinct().collect())
-    rewritten = live.where(col(BUCKET).isin(touched)).drop(LAYER, BUCKET)
+    rewritten = _live(spark, name, now).where(col(BUCKET).isin(touched)).drop(LAYER, BUCKET)
     if small:
         # Scan tasks hold rows of few buckets, so the rewritten rows need no shuffle.
         merged = upsert.merge(rewritten, staged, key, boxed, small=True)

@@ -144,6 +144,18 @@ def test_a_second_writer_is_noticed(spark, name, monkeypatch):
     assert content(spark, name) == expected([(800, "other", 1.0)])
 
 
+@pytest.mark.parametrize("policy", ["fail", "ignore", "update"])
+def test_key_of_another_type_meets_the_stored_one(spark, name, policy):
+    narrow = batch(spark, [(i, "x", None) for i in range(150, 250)]).withColumn("Id", F.col("Id").cast("int"))
+    if policy == "fail":
+        with pytest.raises(KeyConflictError):
+            tables.load(spark, name, narrow, policy)
+        return
+    tables.load(spark, name, narrow, policy)
+    first = 150 if policy == "update" else 200
+    assert content(spark, name) == expected([(i, "x", None) for i in range(first, 250)])
+
+
 def test_listing_and_preview(spark, database, name):
     spark.sql(f"CREATE TABLE {database}.plain (x INT) USING parquet")
     spark.sql(f"CREATE VIEW {database}.v AS SELECT * FROM {database}.plain")
