@@ -53,13 +53,27 @@ CSV_FIELD = r',((?:"[^"]*+(?:""[^"]*+)*+(?:"|$)|[^,"]++)*+)'
 CSV_QUOTED = r'"([^"]*+(?:""[^"]*+)*+)(?:"|$)'
 
 
+def _starts_visible(x: Column) -> Column:
+    """First character is visible ASCII: settles most cells by comparing bytes, without a pattern."""
+    return (x >= "!") & (x < "\x7f")
+
+
+def _plain_number(x: Column) -> Column:
+    """Starts with a sign, a point or a digit, ends with a digit and is not hexadecimal.
+
+    Spark's own casts accept nothing of that shape that is not a number here too.
+    """
+    last = F.right(x, F.lit(1))
+    return (x >= "+") & (x < ":") & (last >= "0") & (last <= "9") & ~x.contains("x") & ~x.contains("X")
+
+
 def is_blank(x: Column) -> Column:
     """NULL, empty or Unicode white space only."""
-    return x.isNull() | x.rlike(BLANK)
+    return x.isNull() | (~_starts_visible(x) & x.rlike(BLANK))
 
 
 def blank_to_null(x: Column) -> Column:
-    return F.when(~x.rlike(BLANK), x)
+    return F.when(_starts_visible(x) | ~x.rlike(BLANK), x)
 
 
 # --- predicates and conversions -------------------------------------------------------------------------------
@@ -89,7 +103,7 @@ def to_bool(x: Column) -> Column:
 
 
 def _integer(x: Column, sql_type: str) -> Column:
-    return F.when(x.rlike(LONG), F.trim(x).try_cast(sql_type))
+    return F.when(_plain_number(x) | x.rlike(LONG), F.trim(x).try_cast(sql_type))
 
 
 def is_long(x: Column) -> Column:
@@ -106,21 +120,19 @@ def to_int(x: Column) -> Column:
 
 def is_double(x: Column) -> Column:
     """The wide number grammar used to infer: also a trailing sign, parentheses and a currency sign."""
-    return x.rlike(ANY_NUMBER)
+    return (_plain_number(x) & x.try_cast("double").isNotNull()) | x.rlike(ANY_NUMBER)
 
 
 def to_double(x: Column) -> Column:
     """The narrower grammar used to convert; `(5)` and `5-` are not in it."""
     special = F.lower(x)
-    return (
-        F.when(x.rlike(FLOAT), F.translate(x, ",", "").try_cast("double"))
-        .when(
-            x.rlike(SPECIAL_NUMBER),
-            F.when(special.contains("nan"), F.lit(float("nan")))
-            .when(special.contains("-"), F.lit(float("-inf")))
-            .otherwise(F.lit(float("inf"))),
-        )
+    other = F.when(x.rlike(FLOAT), F.translate(x, ",", "").try_cast("double")).when(
+        x.rlike(SPECIAL_NUMBER),
+        F.when(special.contains("nan"), F.lit(float("nan")))
+        .when(special.contains("-"), F.lit(float("-inf")))
+        .otherwise(F.lit(float("inf"))),
     )
+    return F.coalesce(F.when(_plain_number(x), x.try_cast("double")), other)
 
 
 def to_float(x: Column) -> Column:
@@ -199,7 +211,7 @@ def render_number(x: Column) -> Column:
     """Shortest round-trip text: `20` not `20.0`, `1E+15` and `1E-05` outside [1E-4, 1E+15)."""
     text = x.cast("string")
     size = F.abs(x)
-    plain = F.regexp_replace(text, r"\.0$", "")
+    plain = F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
     widened = F.regexp_replace(x.try_cast("decimal(38,22)").cast("string"), r"\.?0+$", "")
     mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     power = F.substring_index(text, "E", -1).try_cast("int")
@@ -219,7 +231,8 @@ def render_number(x: Column) -> Column:
 def render(x: Column, logical: LogicalType) -> Column:
     """Value to export text; NULL stays NULL."""
     if logical is LogicalType.DATETIME:
-        return F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+        # To the second: the fraction, if any, follows the first 19 characters.
+        return F.substring(x.cast("string"), 1, 19)
     if logical in (LogicalType.DOUBLE, LogicalType.FLOAT):
         return render_number(x)
     if logical is LogicalType.BOOL:

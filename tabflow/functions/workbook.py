@@ -43,6 +43,8 @@ def date_text(serial: float) -> str:
 
 
 def _unescape(text: str) -> str:
+    if "_x" not in text:
+        return text
     return re.sub(r"_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m.group(1), 16)), text)
 
 

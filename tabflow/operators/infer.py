@@ -51,11 +51,11 @@ def _masks(df: DataFrame, columns: dict[str, int]) -> DataFrame:
 
     # Text that is a number can besides only be a UUID of 32 digits.
     digits = bit(LogicalType.UUID, (F.length(x) >= 32) & x.rlike(cells.GUID_HEX))
-    whole = bit(LogicalType.LONG, F.trim(x).try_cast("bigint").isNotNull())
     number = F.lit(BIT[LogicalType.DOUBLE])
+    whole = F.lit(BIT[LogicalType.DOUBLE] | BIT[LogicalType.LONG])
     mask = F.when(cells.is_blank(x), F.lit(None).cast("int"))
     if LogicalType.LONG in wanted:
-        mask = mask.when(is_alive(LogicalType.LONG) & x.rlike(cells.LONG), number.bitwiseOR(whole).bitwiseOR(digits))
+        mask = mask.when(is_alive(LogicalType.LONG) & cells.is_long(x), whole.bitwiseOR(digits))
     if LogicalType.DOUBLE in wanted:
         mask = mask.when(is_alive(LogicalType.DOUBLE) & cells.is_double(x), number.bitwiseOR(digits))
     for logical, test in _OTHER_TESTS.items():

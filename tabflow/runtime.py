@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -22,6 +23,11 @@ def ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="tabflow-")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder path below the cluster's shared checkpoint folder.
 
@@ -29,10 +35,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="tabflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/tabflow/{label}-{uuid.uuid4().hex[:12]}"
 
 

@@ -10,28 +10,20 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.workbook import read_workbook
 from tabflow.operators.transform import Raw
-from tabflow.runtime import ORD, first_and_largest_file
+from tabflow.runtime import ORD, first_and_largest_file, scratch_dir
 
 _BATCH = 10_000
 
 
-def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells of each row; row 0 of a workbook is its header."""
     for batch in batches:
-        yield pd.DataFrame({"header": [read_workbook(content)[0] for content in batch["content"]]})
-
-
-def _rows_with(expected: list[str]):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                header, found = read_workbook(content)
-                if found and header != expected:
-                    raise ValueError(f"{path}: header {header} differs from {expected}")
-                for start in range(0, len(found), _BATCH):
-                    part = found[start : start + _BATCH]
-                    yield pd.DataFrame({"f": path, "m": range(start, start + len(part)), "c": part})
-
-    return rows
+        for path, content in zip(batch["path"], batch["content"]):
+            header, found = read_workbook(content)
+            found.insert(0, header)
+            for start in range(0, len(found), _BATCH):
+                part = found[start : start + _BATCH]
+                yield pd.DataFrame({"f": path, "m": range(start, start + len(part)), "c": part})
 
 
 def read_xlsx(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
@@ -40,13 +32,20 @@ def read_xlsx(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     A workbook holds at most 1,048,576 rows, so one is the unit of work. Blank headers become `Column_n`; of columns
     with the same name the last counts, at the place of the first. Every row has every column.
     """
-    files = spark.read.format("binaryFile").load(path)
     first, _ = first_and_largest_file(spark, path)
-    names = (
-        spark.read.format("binaryFile").load(first).select("content").mapInPandas(_headers, "header array<string>")
-    ).first()["header"]
-    names = list(names)
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
+    # Unpacking a workbook costs far more than reading rows, so it is done once.
+    unpacked = scratch_dir(spark, "workbooks")
+    files.mapInPandas(_rows, "f string, m bigint, c array<string>").write.parquet(unpacked)
+    rows = spark.read.parquet(unpacked)
+    headers = rows.filter("m = 0").select("f", "c")
+    names = list(headers.filter(F.col("f") == first).first()["c"])
+    expected = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    # A workbook without rows may have any header.
+    other = headers.filter(F.col("c") != expected).join(rows.filter("m > 0").select("f"), "f", "left_semi").first()
+    if other is not None:
+        raise ValueError(f"{other['f']}: header {list(other['c'])} differs from {names}")
     place = {name: i for i, name in enumerate(names)}
-    rows = files.select("path", "content").mapInPandas(_rows_with(names), "f string, m bigint, c array<string>")
+    cells = [F.get("c", F.lit(i)).alias(n) for n, i in place.items()]
     order = F.struct("f", F.lit(0).cast("bigint").alias("b"), "m").alias(ORD)
-    return Raw(rows.select(*[F.get("c", F.lit(i)).alias(n) for n, i in place.items()], order), list(place))
+    return Raw(rows.filter("m > 0").select(*cells, order), list(place))
