@@ -199,9 +199,13 @@ def _cell(value) -> str:
     return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
-def write_workbook(header: list[str], rows: Iterable[tuple]) -> bytes:
-    """A workbook with a header row and typed cells; datetimes, floats, ints and bools stay native."""
+def write_workbook(header: list[str], rows: Iterable[tuple]) -> tuple[bytes, int]:
+    """A workbook with a header row and typed cells, and the number of its data rows.
+
+    Datetimes, floats, ints and bools stay native, all else is text.
+    """
     out = io.BytesIO()
+    n_rows = 0
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         for name, text in _PARTS.items():
             book.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
@@ -210,6 +214,7 @@ def write_workbook(header: list[str], rows: Iterable[tuple]) -> bytes:
             for row in ([header] if header else []):
                 sheet.write(f"<row>{''.join(map(_cell, row))}</row>".encode())
             for row in rows:
+                n_rows += 1
                 sheet.write(f"<row>{''.join(map(_cell, row))}</row>".encode())
             sheet.write(b"</sheetData></worksheet>")
-    return out.getvalue()
+    return out.getvalue(), n_rows

@@ -26,17 +26,19 @@ def _writer(folder: str, header: list[str], rows_per_file: int):
         rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns)) for b in batches)
         task = TaskContext.get().partitionId()
         for n in itertools.count():
-            chunk = list(itertools.islice(rows, rows_per_file))
-            if not chunk:
+            first = next(rows, None)
+            if first is None:
                 return
+            # Rows go straight into the compressed sheet; only that is held in memory.
+            content, n_rows = write_workbook(header, itertools.chain([first], itertools.islice(rows, rows_per_file - 1)))
             name = f"part-{task:05d}-{n:04d}.xlsx"
             # A repeated task writes the same names; the move makes each file appear whole.
             hidden = f"{base}/_{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(hidden) as out:
-                out.write(write_workbook(header, chunk))
+                out.write(content)
             fs.move(hidden, f"{base}/{name}")
             yield pa.RecordBatch.from_pydict(
-                {"file": [name], "n_rows": pa.array([len(chunk)], pa.int64())}
+                {"file": [name], "n_rows": pa.array([n_rows], pa.int64())}
             )
 
     return write

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabflow.operators.transform import Raw
 from tabflow.runtime import ORD, file_order, first_and_largest_file
-from tabflow.sources.rows import ROW, map_of_last, raw_of_maps, with_position
+from tabflow.sources.rows import ROW, all_files_whole, map_of_last, raw_of_maps, with_position
 
 _ROWS = f"array<{ROW}>"
 _HEAD_CHARS = 1 << 20
@@ -87,24 +87,7 @@ def _splits_cleanly(pieces: DataFrame) -> bool:
         & (_balance(skeleton, "[", "]") == expected)
         & ~skeleton.contains('"')
     )
-    marked = pieces.select(ORD, opens.alias("opens"), closes.alias("closes"), sound.alias("sound"))
-    per_file = marked.groupBy(F.col(ORD)["f"].alias("f")).agg(
-        F.every("sound").alias("sound"),
-        F.count_if("opens").alias("n_opens"),
-        F.count_if("closes").alias("n_closes"),
-        F.min(ORD).alias("first"),
-        F.max(ORD).alias("last"),
-        F.min(F.when(F.col("opens"), F.col(ORD))).alias("opening"),
-        F.max(F.when(F.col("closes"), F.col(ORD))).alias("closing"),
-    )
-    whole = (
-        F.col("sound")
-        & (F.col("n_opens") == 1)
-        & (F.col("n_closes") == 1)
-        & F.col("first").eqNullSafe(F.col("opening"))
-        & F.col("last").eqNullSafe(F.col("closing"))
-    )
-    return not per_file.filter(~whole).take(1)
+    return all_files_whole(pieces, opens, closes, sound)
 
 
 def _split_rows(pieces: DataFrame, gap: str) -> DataFrame:

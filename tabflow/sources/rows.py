@@ -30,6 +30,39 @@ def with_position() -> Column:
     ).alias(ORD)
 
 
+def all_files_whole(pieces: DataFrame, opens: Column, closes: Column, sound: Column) -> bool:
+    """Whether all pieces are sound and each file has one that opens it, its first, and one that closes it, its last.
+
+    Counted per split on fixed-width values, which a hash aggregate takes in one pass; one row per split is left to be
+    put in file order.
+    """
+    place = F.col(ORD)
+    marked = pieces.select(
+        place["f"].alias("f"), place["b"].alias("b"), place["m"].alias("m"),
+        opens.alias("opens"), closes.alias("closes"), sound.alias("sound"),
+    )
+    m = F.col("m")
+    per_split = marked.groupBy("f", "b").agg(
+        F.every("sound").alias("sound"),
+        F.count_if("opens").alias("n_opens"),
+        F.count_if("closes").alias("n_closes"),
+        (F.min(m) == F.min(F.when(F.col("opens"), m))).alias("opens_first"),
+        (F.max(m) == F.max(F.when(F.col("closes"), m))).alias("closes_last"),
+    )
+    per_file = per_split.groupBy("f").agg(
+        F.every("sound").alias("sound"),
+        F.sum("n_opens").alias("n_opens"),
+        F.sum("n_closes").alias("n_closes"),
+        F.min_by("opens_first", "b").alias("opens_first"),
+        F.max_by("closes_last", "b").alias("closes_last"),
+    )
+    whole = (
+        F.col("sound") & (F.col("n_opens") == 1) & (F.col("n_closes") == 1)
+        & F.coalesce("opens_first", F.lit(False)) & F.coalesce("closes_last", F.lit(False))
+    )
+    return not per_file.filter(~whole).take(1)
+
+
 def raw_of_maps(rows: DataFrame, names: list[str], extra: list[str] | None) -> Raw:
     """Text columns of the first row's names, plus `extra` names that later rows may carry."""
     known = {n.lower() for n in names}

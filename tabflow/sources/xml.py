@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabflow.operators.transform import Raw
 from tabflow.runtime import ORD, file_order, first_and_largest_file
-from tabflow.sources.rows import ROW, map_of_last, raw_of_maps, with_position
+from tabflow.sources.rows import ROW, all_files_whole, map_of_last, raw_of_maps, with_position
 
 _HEAD_PIECES = 2000
 _UNKNOWN = "(element inside a row with nested content)"
@@ -79,22 +79,7 @@ def _splits_cleanly(pieces: DataFrame, tag: str) -> bool:
     sound = (n_brackets == n_open + n_close + n_empty) & (
         closes | (body.rlike(p["row"]) & (n_open == n_close + 1))
     )
-    per_file = (
-        pieces.select(ORD, opens.alias("opens"), closes.alias("closes"), sound.alias("sound"))
-        .groupBy(F.col(ORD)["f"].alias("f"))
-        .agg(
-            F.every("sound").alias("sound"),
-            F.count_if("opens").alias("n_opens"),
-            F.count_if("closes").alias("n_closes"),
-            F.min(ORD).eqNullSafe(F.min(F.when(F.col("opens"), F.col(ORD)))).alias("opens_first"),
-            F.max(ORD).eqNullSafe(F.max(F.when(F.col("closes"), F.col(ORD)))).alias("closes_last"),
-        )
-    )
-    whole = (
-        F.col("sound") & (F.col("n_opens") == 1) & (F.col("n_closes") == 1)
-        & F.col("opens_first") & F.col("closes_last")
-    )
-    return not per_file.filter(~whole).take(1)
+    return all_files_whole(pieces, opens, closes, sound)
 
 
 def _split_rows(pieces: DataFrame, tag: str) -> DataFrame:

@@ -240,7 +240,7 @@ def test_xlsx_rows(spark, file):
     content = write_workbook(
         ["Id", " ", "c1", "c1"],
         [("1", "x", "old", "new"), (None, " ", None, None), ("2", None, "\x08_x0041_\r", 'q"<&')],
-    )
+    )[0]
     raw = read_xlsx(spark, file("a.xlsx", with_second_sheet(content)))
     assert raw.columns == ["Id", "Column_2", "c1"]
     assert rows(raw) == [("1", "x", "new"), ("2", "", 'q"<&')]
@@ -258,7 +258,7 @@ def test_xlsx_shared_strings_and_sparse_cells():
         "<si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si></sst>"
     )
     out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(write_workbook([], []))) as old, zipfile.ZipFile(out, "w") as new:
+    with zipfile.ZipFile(io.BytesIO(write_workbook([], [])[0])) as old, zipfile.ZipFile(out, "w") as new:
         for name in old.namelist():
             new.writestr(name, sheet if "sheet1" in name else old.read(name))
         new.writestr("xl/sharedStrings.xml", shared)
@@ -266,7 +266,7 @@ def test_xlsx_shared_strings_and_sparse_cells():
         ["Id", "Column_2", "rich", "Column_4", "Column_5"],
         [["", "", "15", "TRUE", "10/15/2025 14:30:00"]],
     )
-    assert read_workbook(write_workbook([], [])) == ([], [])
+    assert read_workbook(write_workbook([], [])[0]) == ([], [])
 
 
 def test_xlsx_folder(spark, tmp_path):
