@@ -174,9 +174,9 @@ def to_datetime(x: Column) -> Column:
     Year first (`-` or `/`), month first, month names and the HTTP date, each with an optional time; numeric forms may
     carry an offset. Time-only and day-month-only texts are left out: they depend on today's date.
     """
-    form = x
-    for pattern, replacement in DATE_FORMS.items():
-        form = F.regexp_replace(form, pattern, replacement)
+    form = F.coalesce(
+        *[F.when(x.rlike(pattern), F.regexp_replace(x, pattern, to)) for pattern, to in DATE_FORMS.items()]
+    )
     # The lambda binds the rewritten text once; it runs only for dates that are not in plain ISO form.
     other = F.get(F.transform(F.array(form), _stamp), F.lit(0))
     return F.when(x.rlike(ISO), F.trim(x).try_cast("timestamp_ntz")).when(x.rlike(DATE_START), other)

@@ -25,7 +25,7 @@ from tabflow.sinks.xlsx import write_xlsx
 from tabflow.sinks.xml import write_elements
 from tabflow.sources import formats
 from tabflow.sources.json import read_json
-from tabflow.types import PHYSICAL_TYPES, KEY, LogicalType, field, logical_type
+from tabflow.types import KEY, PHYSICAL_TYPES, LogicalType, logical_type
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -10,7 +10,6 @@ import uuid
 from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tabflow.functions import cells
 from tabflow.operators import upsert

@@ -50,6 +50,8 @@ CASES = [
     (["2025-10-15T14:30:00Z", "2025-10-15T14:30:00+02:00"], L.DATETIME),
     (["2025-02-30"], L.STRING),
     (["13/13/2025"], L.STRING),
+    (["2025-01-02|||"], L.STRING),
+    (["1-2-3"], L.STRING),
     (["14:30"], L.STRING),
     (["2025"], L.LONG),
     (["2025", "2025-01-01"], L.STRING),
