@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import os
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.functions.workbook import MAX_DATA_ROWS, write_workbook
@@ -44,11 +45,21 @@ def _writer(folder: str, header: list[str], rows_per_file: int):
     return write
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    """Path with its file system; one without is on Spark's default file system."""
+    if "://" in path:
+        return path
+    if path.startswith("file:"):
+        return "file://" + path.removeprefix("file:")
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    return "file://" + os.path.abspath(path) if default.startswith("file:") else default.rstrip("/") + path
+
+
 def write_xlsx(df: DataFrame, path: str, rows_per_file: int = MAX_DATA_ROWS) -> DataFrame:
     """Write workbooks of at most `rows_per_file` rows into a new folder and return (file, n_rows) per workbook."""
     if not 0 < rows_per_file <= MAX_DATA_ROWS:
         raise ValueError(f"a sheet holds at most {MAX_DATA_ROWS} data rows")
-    folder = path if "://" in path else f"file://{path}"
+    folder = _uri(df.sparkSession, path)
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     if fs.get_file_info(base).type != pyarrow.fs.FileType.NotFound:
         raise FileExistsError(path)

@@ -13,6 +13,7 @@ from tabflow.runtime import ORD, file_order, first_and_largest_file
 from tabflow.sources.rows import ROW, all_files_whole, map_of_last, raw_of_maps, with_position
 
 _ROWS = f"array<{ROW}>"
+_HEAD_PIECES = 2000
 _HEAD_CHARS = 1 << 20
 
 # A JSON string literal, and the ends of an array of objects.
@@ -25,7 +26,7 @@ _EMPTY = r"^\ufeff?\s*(?:\[\s*\]|null)\s*$"
 def _head(spark: SparkSession, path) -> str:
     """The start of a file in bounded pieces, cut at closing braces."""
     text = ""
-    for piece in spark.read.option("lineSep", "}").text(path).take(200):
+    for piece in spark.read.option("lineSep", "}").text(path).take(_HEAD_PIECES):
         if len(text) > _HEAD_CHARS:
             break
         text += piece["value"] + "}"

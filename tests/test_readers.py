@@ -271,7 +271,7 @@ def test_xlsx_shared_strings_and_sparse_cells():
 
 def test_xlsx_folder(spark, tmp_path):
     df = spark.range(25).selectExpr("id AS Id", "id % 2 = 0 AS even", "CAST(id AS DOUBLE) / 4 AS d", "CAST(id AS INT) AS i").coalesce(2)
-    manifest = write_xlsx(df, str(tmp_path / "o.xlsx"), rows_per_file=10)
+    manifest = write_xlsx(df, f"file:{tmp_path}/o.xlsx", rows_per_file=10)
     sizes = [r["n_rows"] for r in manifest.collect()]
     assert sum(sizes) == 25 and max(sizes) <= 10
     raw = read_xlsx(spark, str(tmp_path / "o.xlsx"))
