@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm import host_rules, language, quality, simhash
+from tabflow.llm import bpe, host_rules, language, quality, simhash, wavelet
 from tabflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +107,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (remainder(3) == 1).alias("held_out"), found.alias("f")).select(
         "doc_id", "held_out", "f.*"
     )
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents")
+    ids = bpe.encode(spark, F.col("text"), ranks, public_tokenizers.PATTERN)
+    coded = docs.select("doc_id", ids.alias("ids"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(spark, F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op9_wavelet_shards")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        file = f.read()
+    docs = wavelet.stored(table(spark, sf_dir, "documents"), file, end=2)
+    return docs.select(
+        "doc_id", "start", (F.length("tokens") / 4).cast("long").alias("n_tokens"), F.crc32("tokens").alias("ids_crc32")
+    )
