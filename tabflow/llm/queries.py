@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm import bpe, host_rules, language, quality, simhash, wavelet
+from tabflow.llm import bpe, chat, host_rules, language, line_dedup, mixing, quality, simhash, syncmers, wavelet
 from tabflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,121 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", "start", (F.length("tokens") / 4).cast("long").alias("n_tokens"), F.crc32("tokens").alias("ids_crc32")
     )
+
+
+@query("op3_closed_syncmers")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.compare(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.digest(F.col("marks")).alias("fingerprint"),
+        syncmers.digest(F.col("edited_marks")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
+        syncmers.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+    )
+
+
+#: White space around a line, as in `line_dedup`.
+_TRIM = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    "op1_cross_site_line_dedup",
+    f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+l AS (
+  SELECT rid, doc_id, source, pos, line, trim(line, {_TRIM}) AS word_line
+  FROM (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line,
+               unnest(range(len(string_split(text, chr(10))))) AS pos FROM d WHERE text IS NOT NULL)),
+common AS (
+  SELECT word_line, min(struct_pack(n := doc_id IS NULL, id := doc_id, pos := pos)) AS first FROM l
+  WHERE word_line <> '' GROUP BY word_line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+marked AS (
+  SELECT l.*, common.word_line IS NOT NULL AND NOT (
+    first.id IS NOT DISTINCT FROM doc_id AND first.pos = l.pos) AS gone
+  FROM l LEFT JOIN common USING (word_line)),
+clean AS (
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+  FROM marked GROUP BY rid)
+SELECT d.doc_id, clean.text, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
+       CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed
+FROM d LEFT JOIN clean USING (rid)""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("row.doc_id", F.col("clean").alias("text"), "n_lines", "n_removed")
+
+
+def _chat_sql() -> str:
+    n = chat.PART
+    return f"""
+WITH t AS (
+  SELECT DISTINCT conv_id AS conv, turn, regexp_replace(replace(coalesce(role, '{chat.UNKNOWN}'), '<|', '< |'), '[\\r\\n]+', ' ', 'g') AS speaker,
+         replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST) - 1 AS place FROM t),
+people AS (SELECT DISTINCT conv, speaker AS assistant FROM t WHERE speaker <> '{chat.SYSTEM}'),
+wide AS (
+  SELECT n.*, p.assistant, place // {n} AS part,
+         CASE WHEN speaker = '{chat.SYSTEM}' THEN '{chat.START}system' || chr(10)
+              WHEN speaker = assistant THEN '{chat.START}assistant' || chr(10)
+              ELSE '{chat.START}user name=' || speaker || chr(10) END AS head
+  FROM numbered n JOIN people p ON n.conv IS NOT DISTINCT FROM p.conv),
+sized AS (
+  SELECT *, head || body || '<|im_end|>' || chr(10) AS segment,
+         coalesce(sum(length(head) + length(body) + {len(chat.END)}) OVER (
+           PARTITION BY conv, assistant ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM wide)
+SELECT conv AS conv_id, assistant, part, CAST(min(start) AS BIGINT) AS start, CAST(count(*) AS INTEGER) AS n_turns,
+       string_agg(segment, '' ORDER BY place) AS rendered,
+       coalesce(string_agg((start + length(head)) || '-' || (start + length(head) + length(body)), ',' ORDER BY place)
+                FILTER (speaker = assistant), '') AS mask
+FROM sized GROUP BY conv, assistant, part"""
+
+
+@query("op4_perspective_rotation", _chat_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["from"].cast("string"), m["to"].cast("string")))
+    return found.withColumnRenamed("conv", "conv_id").withColumn("mask", F.array_join(spans, ","))
+
+
+def _mixing_sql() -> str:
+    m = mixing
+    text, bars = "coalesce(text, '')", lambda chars: f"length(text) - length(translate(text, '{chars}', ''))"
+    case = lambda given, column: "CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in given.items()) + f" ELSE {sum(given.values()) / len(given)} END"
+    out = [f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {text} AS text FROM documents),
+f AS (
+  SELECT *, CASE WHEN ({bars('|')}) * 50 > length(text) THEN 'table' WHEN ({bars('0123456789')}) * 10 > length(text) THEN 'data'
+                 WHEN length(text) < 1000 THEN 'brief' WHEN length(text) < 5000 THEN 'article' ELSE 'report' END AS topic,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM d),
+c AS (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS tokens FROM f GROUP BY ALL HAVING sum(n) > 0),
+goal_source AS (SELECT source AS value, power(sum(tokens), {m.LEVEL}) / sum(power(sum(tokens), {m.LEVEL})) OVER () AS target FROM c GROUP BY source),
+goal_lang AS (SELECT lang AS value, {case(m.LANGUAGES, 'lang')} / sum({case(m.LANGUAGES, 'lang')}) OVER () AS target FROM c GROUP BY lang),
+goal_topic AS (SELECT topic AS value, {case(m.TOPICS, 'topic')} / sum({case(m.TOPICS, 'topic')}) OVER () AS target FROM c GROUP BY topic),
+w0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS weight FROM c)"""]
+    k = 0
+    for _ in range(m.ROUNDS):
+        for d in m.DIMENSIONS:
+            out.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * target / sum(weight) OVER (PARTITION BY {d}) AS weight FROM w{k} JOIN goal_{d} ON {d} = value)")
+            k += 1
+    out.append(f"s0 AS MATERIALIZED (SELECT {m.KEEP} * sum(tokens) AS scale FROM c)")
+    for i in range(m.STEPS):
+        out.append(
+            f"s{i + 1} AS MATERIALIZED (SELECT greatest(any_value(scale), ({m.KEEP} * sum(tokens) - coalesce(sum(tokens) FILTER (weight / tokens * scale >= 1), 0)) "
+            f"/ sum(weight) FILTER (NOT weight / tokens * scale >= 1)) AS scale FROM w{k}, s{i})"
+        )
+    out.append(f"p AS (SELECT source, lang, topic, least(1.0, weight / tokens * scale) AS p FROM w{k}, s{m.STEPS})")
+    drawn = "CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(text)), 1, 8) AS BIGINT) / 4294967296.0"
+    return ",\n".join(out) + f"""
+SELECT doc_id, source, lang, topic, round(coalesce(p, {m.KEEP}), 6) AS p, {drawn} < coalesce(p, {m.KEEP}) AS kept
+FROM f LEFT JOIN p USING (source, lang, topic)"""
+
+
+@query("op7_mixing_to_targets", _mixing_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", *mixing.DIMENSIONS, F.round("p", 6).alias("p"), "kept")
