@@ -7,10 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tabflow.plans.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +47,4 @@ def test_entry(spark):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
