@@ -170,10 +170,14 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
         ),
     )
     dealt = busy.withColumn("part", part).select("block", "anchor", "fp", "home", F.explode(pairs).alias("pair"))
+    # Groups are few bytes and much work: they are dealt to as many tasks as there are, whatever their size in bytes.
+    keys = ["block", "anchor", "low", "high"]
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = StructType([StructField("src", LongType()), StructField("dst", LongType())])
     return (
         dealt.select("block", "anchor", "pair.*", "fp", "home")
-        .groupBy("block", "anchor", "low", "high")
+        .repartition(tasks, *keys)
+        .groupBy(*keys)
         .applyInPandas(_links(distance), schema)
         .distinct()
     )
