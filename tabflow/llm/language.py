@@ -48,8 +48,9 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
 
     Only the chosen heads reach the driver: at most `sample` times `HEAD` characters per language.
     """
+    head = F.substring(col(text), 1, HEAD)
     rows = labelled.filter(col(lang).isNotNull() & col(text).isNotNull()).select(
-        col(lang).alias("l"), F.xxhash64(col(key).cast("string")).alias("h"), F.substring(col(text), 1, HEAD).alias("head")
+        col(lang).alias("l"), F.xxhash64(col(key).cast("string"), head).alias("h"), head.alias("head")
     )
     # Thin out by rate first, so that ranking sees a bounded number of rows per language however many there are.
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -57,7 +58,7 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
         return {}
     part = (F.pmod("h", F.lit(1_000_000)) + 1) / F.lit(1_000_000.0)
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * sample / n))])
-    thin = rows.filter(part <= rate[F.col("l")])
+    thin = rows.filter(part <= rate[F.col("l")]).distinct()
     best = thin.groupBy("l").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "head"))), 1, sample).alias("heads"))
     out = {}
     for r in best.orderBy("l").collect():

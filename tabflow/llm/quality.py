@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tabflow.llm.common import settle
 from tabflow.runtime import col
 
 BITS = 18
-#: Labelled rows that are learned from at most, passes over them, and characters read of each.
-SAMPLE = 8_000
+#: Labelled rows that are learned from at most, and passes over them.
+SAMPLE = 6_000
 PASSES = 2
-HEAD = 20_000
 #: Learning rate and regularisation of the leader.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-4
 #: A word counts as repeated if it is one of so many before it.
@@ -107,36 +107,59 @@ def _logistic(x: float) -> float:
     return 1 / (1 + math.exp(-max(-35.0, min(35.0, float(x)))))
 
 
-def train(rows: list[tuple[str, int]]) -> np.ndarray:
-    """Weights per bucket, the bias last; classes weigh the same in sum."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """Weights per bucket, the bias last, from vectors and their labels."""
     leader = Leader()
-    share = sum(label for _, label in rows) / len(rows)
+    share = sum(label for *_, label in rows) / len(rows)
     # The rarer class weighs more, within bounds, so that it is learned; scores stay near the base rate for no text.
     weight = {1: 1.0, 0: min(4.0, max(1.0, share / max(1 - share, 1e-9) / 2))}
-    vectors = [(*vector(text), label) for text, label in rows]
     for _ in range(PASSES):
-        for buckets, values, label in vectors:
+        for buckets, values, label in rows:
             leader.learn(buckets, values, label, weight[label])
     return leader.weights()
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE) -> np.ndarray | None:
-    """Weights learned in one task from at most `sample` rows, those with the smallest hash of the key.
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [vector(t) for t in batch["t"]]
+        yield pd.DataFrame(
+            {
+                "h": batch["h"],
+                "y": batch["y"],
+                "buckets": [b.astype("<i4").tobytes() for b, _ in found],
+                "counts": [v.astype("<f4").tobytes() for _, v in found],
+            }
+        )
 
-    Only ids are ranked; then the chosen rows are fetched, so that no more than the sample passes through one task.
+
+def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = []
+    for batch in batches:
+        for h, y, b, v in zip(batch["h"], batch["y"], batch["buckets"], batch["counts"], strict=True):
+            rows.append((h, y, np.frombuffer(b, "<i4"), np.frombuffer(v, "<f4")))
+    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    weights = train([(b.astype(np.int64), v.astype(np.float64), int(y)) for _, y, b, v in rows])
+    yield pd.DataFrame({"weights": [weights.astype("<f4").tobytes()]})
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE) -> np.ndarray | None:
+    """Weights learned in one task from at most `sample` labelled rows, those with the smallest hash of the key.
+
+    Labels are ranked without texts; the chosen ones are broadcast, and only their documents leave the scan. Whole
+    texts become vectors where they are read, so that the one task gets no more than `sample` vectors.
     """
-    rows = labelled.filter(col(label).isNotNull() & col(text).isNotNull()).select(
-        F.xxhash64(col(key).cast("string")).alias("h"), col(key).cast("string").alias("k"), F.substring(col(text), 1, HEAD).alias("t"), col(label).cast("int").alias("y")
-    )
-    chosen = rows.select("h").distinct().orderBy("h").limit(sample)
-    some = rows.join(F.broadcast(chosen), "h", "left_semi")  # at most `sample` longs
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_rows = pd.concat(list(batches), ignore_index=True).sort_values(["h", "k", "t", "y"]).head(sample)
-        yield pd.DataFrame({"weights": [train(list(zip(all_rows["t"], all_rows["y"], strict=True))).astype("<f4").tobytes()]})
-
-    found = some.repartition(1).mapInPandas(learn, "weights binary").collect() if some.limit(1).count() else []
-    return np.frombuffer(found[0]["weights"], "<f4").astype(np.float64) if found else None
+    h = F.xxhash64(col(key).cast("string"))
+    known = labels.filter(col(label).isNotNull() & col(key).isNotNull()).select(h.alias("h"), col(key).alias("k"), col(label).cast("int").alias("y"))
+    chosen = known.distinct().orderBy("h", "k", "y").limit(sample)
+    rows = docs.filter(col(text).isNotNull()).select(col(key).alias("d"), col(text).alias("t"))
+    some = rows.join(F.broadcast(chosen), F.col("d") == F.col("k"))  # at most `sample` rows of three numbers
+    # Documents may share an id: the sample is bounded once more.
+    some = some.select("h", "y", "t", F.xxhash64("t").alias("u")).orderBy("h", "y", "u").limit(sample).drop("u")
+    vectors = settle(some.repartition(8).mapInPandas(_vectors, "h long, y int, buckets binary, counts binary"), "vectors")
+    if vectors.limit(1).count() == 0:
+        return None
+    learned = vectors.repartition(1).mapInPandas(_learn, "weights binary").first()
+    return np.frombuffer(learned["weights"], "<f4").astype(np.float64)
 
 
 def scores(text: Column, weights: np.ndarray | None) -> Column:

@@ -93,8 +93,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    seen = labels.filter(remainder(4) != 2).join(docs, "doc_id")
-    score = quality.scores(F.col("text"), quality.fit(seen))
+    score = quality.scores(F.col("text"), quality.fit(docs, labels.filter(remainder(4) != 2)))
     scored = docs.select("doc_id", (remainder(4) == 2).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
