@@ -26,6 +26,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
+from tabflow.llm.common import kept_by_worker
 from tabflow.llm.words import WordCodes, bunches
 
 #: Two spaces in one run of white space.
@@ -155,21 +156,15 @@ class Encoder:
         return out
 
 
-#: One encoder per vocabulary and Python worker.
-_ENCODERS: dict = {}
-
-
 def encode(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
     """array<int> of ids. The ranks are sent to each executor once; their number is that of the vocabulary."""
     held = spark.sparkContext.broadcast(ranks)
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = (held.value[b"a"], len(held.value), pattern)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(held.value, pattern)
+        encoder = kept_by_worker(("bpe", held.id, pattern), lambda: Encoder(held.value, pattern))
         for batch in texts:
-            yield pd.Series([ids for some in bunches(t or "" for t in batch) for ids in _ENCODERS[key](some)], dtype=object)
+            yield pd.Series([ids for some in bunches(t or "" for t in batch) for ids in encoder(some)], dtype=object)
 
     return of(text)
 

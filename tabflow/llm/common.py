@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable, Hashable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +34,14 @@ def packed(df: DataFrame, *extra: Column) -> DataFrame:
 def content_key(*cols: Column) -> list[Column]:
     """A 128-bit key of some values as two longs; nulls have a key, too, and equal values have equal keys."""
     return [F.xxhash64(F.lit(7), *cols).alias("key_a"), F.xxhash64(F.lit(11), *cols).alias("key_b")]
+
+
+def kept_by_worker(key: Hashable, make: Callable[[], object]):
+    """An object that a Python worker makes once and keeps from task to task.
+
+    The package travels to the workers by value, so that its own module variables start anew with every task.
+    """
+    store = sys.modules.setdefault("tabflow_worker", types.ModuleType("tabflow_worker")).__dict__.setdefault("store", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tabflow.llm.common import settle
+from tabflow.llm.common import kept_by_worker, settle
 from tabflow.runtime import col
 
 BITS = 18
@@ -61,13 +61,14 @@ class Forms(dict):
         return both
 
 
-_FORMS = Forms()
+def forms_of_worker() -> Forms:
+    return kept_by_worker("forms", Forms)
 
 
-def grams(text: str | None) -> np.ndarray:
+def grams(text: str | None, held: Forms) -> np.ndarray:
     """Bucket of every n-gram, repeats included."""
     words = (text or "").split()
-    forms = np.fromiter(map(_FORMS.__getitem__, words), np.uint64, len(words))
+    forms = np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
     own, shape = forms & _LOW, forms >> np.uint64(32)
     again = np.zeros(len(words), bool)
     for d in range(1, NEAR + 1):
@@ -78,9 +79,9 @@ def grams(text: str | None) -> np.ndarray:
     return ((np.concatenate(kinds) * _MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: str | None, held: Forms) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers, ascending, and their values."""
-    buckets, counts = np.unique(grams(text), return_counts=True)
+    buckets, counts = np.unique(grams(text, held), return_counts=True)
     return buckets, counts * (SCALE / max(1, counts.sum()))
 
 
@@ -121,7 +122,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [vector(t) for t in batch["t"]]
+        found = [vector(t, forms_of_worker()) for t in batch["t"]]
         yield pd.DataFrame(
             {
                 "h": batch["h"],
@@ -169,14 +170,15 @@ def scores(text: Column, weights: np.ndarray | None) -> Column:
     @F.pandas_udf(DoubleType())
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = None if held is None else np.frombuffer(held, "<f4").astype(np.float64)
+        forms = forms_of_worker()
         for batch in texts:
-            yield pd.Series([_score(t, w) for t in batch], dtype="float64")
+            yield pd.Series([_score(t, w, forms) for t in batch], dtype="float64")
 
     return of(text)
 
 
-def _score(text: str | None, weights: np.ndarray | None) -> float:
+def _score(text: str | None, weights: np.ndarray | None, held: Forms) -> float:
     if weights is None:
         return 0.5
-    found = weights[grams(text)]
+    found = weights[grams(text, held)]
     return _logistic(found.sum() * (SCALE / max(1, len(found))) + weights[-1])

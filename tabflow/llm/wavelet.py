@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tabflow.llm.common import kept_by_worker
 from tabflow.llm.words import WordCodes, bunches
 from tabflow.runtime import col, scratch_dir
 
@@ -88,16 +89,6 @@ class WordTokenizer:
         return self.words.texts([t.encode().split() for t in texts])
 
 
-_TOKENIZERS: dict[int, WordTokenizer] = {}
-
-
-def tokenizer(file: str) -> WordTokenizer:
-    """One per vocabulary and Python worker."""
-    if hash(file) not in _TOKENIZERS:
-        _TOKENIZERS[hash(file)] = WordTokenizer(file)
-    return _TOKENIZERS[hash(file)]
-
-
 # --- the matrix -----------------------------------------------------------------------------------------------
 
 
@@ -253,7 +244,7 @@ def write(docs: DataFrame, file: str, end: int, path: str, id_col: str = "doc_id
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "t")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(held.value)
+        encode = kept_by_worker(("words", held.id), lambda: WordTokenizer(held.value))
         width = max(len(encode.closes) - 1, end).bit_length()
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
