@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabflow.functions import cells
-from tabflow.runtime import LATE, ORD, col
+from tabflow.runtime import LATE, ORD, col, discard
 from tabflow.types import (
     LogicalType,
     check_distinct_names,
@@ -33,6 +33,8 @@ class Raw:
     df: DataFrame
     columns: list[str]
     partial: bool = False
+    #: Folders that hold the rows until they are loaded.
+    staging: tuple[str, ...] = ()
 
     def __post_init__(self):
         check_distinct_names(self.columns)
@@ -43,7 +45,12 @@ class Raw:
     def renamed(self, names: dict[str, str]) -> Raw:
         kept = [c for c in (LATE, ORD) if c in self.df.columns]
         df = self.df.select(*[col(c).alias(names[c]) for c in self.columns], *kept)
-        return Raw(df, [names[c] for c in self.columns], self.partial)
+        return Raw(df, [names[c] for c in self.columns], self.partial, self.staging)
+
+    def discard(self) -> None:
+        """Give up the rows: their staged files are deleted."""
+        for path in self.staging:
+            discard(self.df.sparkSession, path)
 
     @property
     def late(self) -> Column | None:

@@ -28,7 +28,10 @@ def add_table(
         buckets = tables.buckets_for(tables.input_bytes(spark, path))
     boxed = raw.partial and policy is Policy.UPDATE
     batch = transform(raw, types, boxed)
-    tables.create_and_load(spark, name, types, batch, policy, boxed, buckets)
+    try:
+        tables.create_and_load(spark, name, types, batch, policy, boxed, buckets)
+    finally:
+        raw.discard()
 
 
 def import_into(spark: SparkSession, path: str, name: str, policy: Policy | str | None = None) -> None:
@@ -50,7 +53,10 @@ def import_into(spark: SparkSession, path: str, name: str, policy: Policy | str
     if find_key(types) is None:
         types = {key: table_types[key], **types}
     boxed = raw.partial and policy is Policy.UPDATE
-    tables.load(spark, name, transform(raw, types, boxed), policy, boxed)
+    try:
+        tables.load(spark, name, transform(raw, types, boxed), policy, boxed)
+    finally:
+        raw.discard()
 
 
 def export_table(spark: SparkSession, name: str, path: str) -> None:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, SparkSession
@@ -23,24 +22,25 @@ def ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-@functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="tabflow-")
-
-
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder path below the cluster's shared checkpoint folder.
+    """A fresh folder path below a folder that the whole cluster shares.
 
-    Only a local session without `spark.checkpoint.dir` gets one under the system's temporary folder.
+    That is the session's checkpoint folder, or where none is set a hidden folder of its warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = _local_root()
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/tabflow/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `scratch_dir` named."""
+    if "/tabflow/" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def file_order() -> Column:
     """Place of a row in its input, to be taken directly on the scan.
 
@@ -55,12 +55,18 @@ def file_order() -> Column:
 
 
 def first_and_largest_file(spark: SparkSession, path) -> tuple[str, str]:
-    """The first file of a path by name, and the largest one; contents are not read.
+    """The first file of a path by name, and the largest one, as paths to read; contents are not read.
 
-    Empty files do not count: Spark leaves them in its output folders.
+    Empty files do not count: Spark leaves them in its output folders. Characters of a file's name that a reader would
+    take for a pattern are escaped.
     """
     files = spark.read.format("binaryFile").load(path).filter("length > 0")
     first, largest = files.agg(F.min("path"), F.max_by("path", "length")).first()
     if first is None:
         raise ValueError(f"nothing to read in {path}")
-    return first, largest
+    return literal_path(first), literal_path(largest)
+
+
+def literal_path(path: str) -> str:
+    """A path that a reader takes as it stands."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)

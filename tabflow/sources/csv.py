@@ -15,14 +15,37 @@ _NO_SEPARATOR = "\u0001\u001f\u0002\u001f\u0001"
 _NO_QUOTE = "\uffff"
 
 
-def _header_line(spark: SparkSession, path) -> str:
-    first = spark.read.text(first_and_largest_file(spark, path)[0]).take(1)
+def _encoding(spark: SparkSession, file: str) -> str:
+    """UTF-8, or what the file's byte order mark says; only its first line is looked at."""
+    first = spark.read.text(file).select(F.substring(F.col("value").cast("binary"), 1, 2).alias("v")).take(1)
+    return {b"\xfe\xff": "UTF-16BE", b"\xff\xfe": "UTF-16LE"}.get(bytes(first[0]["v"]) if first else b"", "UTF-8")
+
+
+def _header_line(spark: SparkSession, file: str, encoding: str) -> str:
+    lines = spark.read.text(file) if encoding == "UTF-8" else _decoded_lines(spark, file, encoding)
+    first = lines.select("value").take(1)
     line = first[0]["value"].removeprefix("\ufeff") if first else ""
     if not line.strip():
-        raise ValueError(f"CSV without a header line: {path}")
+        raise ValueError(f"CSV without a header line: {file}")
     return line
 
 
+def _decoded_lines(spark: SparkSession, path, encoding: str) -> DataFrame:
+    """Lines of files in UTF-16. Such files do not split at bytes, so each is one task's."""
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    text = F.regexp_replace(F.decode("content", encoding), "^\ufeff", "")
+    lines = files.select(F.posexplode(F.split(text, "\r\n|\n|\r")).alias("m", "value"), F.col("path").alias("f"))
+    order = F.struct("f", F.lit(0).cast("bigint").alias("b"), F.col("m").cast("bigint").alias("m"))
+    return lines.select("value", order.alias(ORD))
+
+
+def _lines_below(spark: SparkSession, path, header: str, encoding: str) -> DataFrame:
+    lines = _decoded_lines(spark, path, encoding)
+    bad = F.raise_error(F.concat(F.lit("another header in "), F.col(ORD)["f"])).cast("boolean")
+    ours = F.when(F.col(ORD)["m"] > 0, True).when(F.col("value") == header, False).otherwise(bad)
+    return lines.filter(ours).select(F.col("value").alias("line"), ORD).filter(~cells.is_blank(F.col("line")))
+
+
 def read_lines(spark: SparkSession, path, header: str) -> DataFrame:
     """Data lines below the header of every file, in file order, blank ones left out.
 
@@ -48,7 +71,9 @@ def read_csv(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     Short rows are padded with `''`, surplus cells dropped; of columns with the same name the last one counts, at the
     place of the first. Every row has every column, so `extra` has no effect here.
     """
-    header = _header_line(spark, path)
+    file = first_and_largest_file(spark, path)[0]
+    encoding = _encoding(spark, file)
+    header = _header_line(spark, file, encoding)
     names = [
         row["name"]
         for row in spark.range(1)
@@ -57,7 +82,8 @@ def read_csv(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
         .collect()
     ]
     place = {name: i for i, name in enumerate(names)}
-    split = read_lines(spark, path, header).select(cells.csv_split(F.col("line")).alias("c"), ORD)
+    lines = read_lines(spark, path, header) if encoding == "UTF-8" else _lines_below(spark, path, header, encoding)
+    split = lines.select(cells.csv_split(F.col("line")).alias("c"), ORD)
     columns = [
         F.coalesce(cells.csv_unquote(F.get(F.col("c"), F.lit(i))), F.lit("")).alias(name)
         for name, i in place.items()

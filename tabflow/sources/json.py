@@ -1,149 +1,198 @@
-"""JSON reader for documents that are an array of flat objects, split at the gaps between the objects."""
+"""JSON reader for documents that are an array of objects, split at the gaps between the objects.
+
+Cells keep the text of the document: strings are unescaped, numbers and nested values stay as they are written, null is
+blank, booleans are `True` and `False`. Spark's own parser re-renders such values, so the objects are parsed by a strict
+parser in the tasks.
+"""
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
+from json.decoder import scanstring
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.operators.transform import Raw
 from tabflow.runtime import ORD, file_order, first_and_largest_file
-from tabflow.sources.rows import ROW, all_files_whole, map_of_last, raw_of_maps, with_position
-
-_ROWS = f"array<{ROW}>"
-_HEAD_PIECES = 2000
-_HEAD_CHARS = 1 << 20
-
-# A JSON string literal, and the ends of an array of objects.
-_STRING = r'"(?:[^"\\]++|\\.)*+"'
-_OPENING = r"^\ufeff?\s*\[\s*\{"
-_CLOSING = r"\}\s*\]\s*$"
-_EMPTY = r"^\ufeff?\s*(?:\[\s*\]|null)\s*$"
-
-
-def _head(spark: SparkSession, path) -> str:
-    """The start of a file in bounded pieces, cut at closing braces."""
-    text = ""
-    for piece in spark.read.option("lineSep", "}").text(path).take(_HEAD_PIECES):
-        if len(text) > _HEAD_CHARS:
-            break
-        text += piece["value"] + "}"
-    return text.removeprefix("\ufeff")
-
-
-def _first_object(head: str) -> tuple[dict | None, int, int]:
-    """First element of the array with its start and end in the head; None where the head does not hold it."""
-    opening = re.match(r"\s*\[\s*", head)
-    if not opening:
-        return None, 0, 0
+from tabflow.sources.rows import Parsed, places, read_staged
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_MARKS = re.compile(r'\\.|["\[\]{}]', re.S)
+_BETWEEN = re.compile(r'\s*,\s*\{\s*"(?:[^"\\]|\\.)+"')
+#: Pieces behind the first object that may hold the first name of the second.
+_NEAR = 16
+
+# --- parsing --------------------------------------------------------------------------------------------------
+
+
+def _refuse(constant: str):
+    raise ValueError(f"{constant} is not JSON")
+
+
+def _scanner():
+    """Passes over a value, which is never converted; made in the task, since it cannot travel there."""
+    return json.JSONDecoder(parse_int=str, parse_float=str, parse_constant=_refuse).scan_once
+
+
+def _skip(text: str, at: int) -> int:
+    return _SPACE.match(text, at).end()
+
+
+def _object(text: str, at: int, scan) -> tuple[dict[str, str], int]:
+    """Members of the object that opens before `at`, and the place behind it. Of a repeated name the last counts."""
+    row: dict[str, str] = {}
+    at = _skip(text, at)
+    if text[at] == "}":
+        return row, at + 1
+    while True:
+        if text[at] != '"':
+            raise ValueError("a name was expected")
+        name, at = scanstring(text, at + 1)
+        at = _skip(text, at)
+        if text[at] != ":":
+            raise ValueError("a colon was expected")
+        at = _skip(text, at + 1)
+        if text[at] == '"':
+            row[name], at = scanstring(text, at + 1)
+        else:
+            value, end = scan(text, at)
+            row[name] = "" if value is None else str(value) if isinstance(value, bool) else text[at:end]
+            at = end
+        at = _skip(text, at)
+        if text[at] == "}":
+            return row, at + 1
+        if text[at] != ",":
+            raise ValueError("a comma was expected")
+        at = _skip(text, at + 1)
+
+
+def _objects(text: str) -> Iterator[dict[str, str]]:
+    """Rows of one whole document."""
+    scan = _scanner()
+    at = _skip(text, 0)
+    if text[at:].rstrip() == "null":
+        return
+    if text[at] != "[":
+        raise ValueError("the root is not an array")
+    at = _skip(text, at + 1)
+    if text[at] == "]":
+        at += 1
+    else:
+        while True:
+            if text[at] != "{":
+                raise ValueError("an element of the array is not an object")
+            row, at = _object(text, at + 1, scan)
+            yield row
+            at = _skip(text, at)
+            if text[at] == "]":
+                at += 1
+                break
+            if text[at] != ",":
+                raise ValueError("a comma was expected")
+            at = _skip(text, at + 1)
+    if _skip(text, at) != len(text):
+        raise ValueError("there is more text behind the array")
+
+
+_ERRORS = (ValueError, IndexError, StopIteration, RecursionError)
+
+
+def rows_of(text: str) -> Iterator[dict[str, str]]:
     try:
-        value, end = json.JSONDecoder().raw_decode(head, opening.end())
-    except ValueError:
-        return None, 0, 0
-    return (value, opening.end(), end) if isinstance(value, dict) else (None, 0, 0)
+        yield from _objects(text)
+    except _ERRORS as e:
+        raise ValueError(f"malformed JSON: {e or 'unexpected end'}") from None
+    except RuntimeError as e:  # what a generator makes of StopIteration
+        raise ValueError("malformed JSON: a value was expected") from e
+
+
+def _parse_piece(piece: str, lead: str) -> tuple[list[dict[str, str]], bool, bool, str | None]:
+    """Rows of a piece after giving back what the cuts took; a piece that opens its document starts with a bracket."""
+    piece = piece.removeprefix("\ufeff")
+    start = piece[_skip(piece, 0) :][:4]
+    opens = start[:1] == "[" or start == "null"
+    text = piece if opens else "[" + lead + piece
+    error = None
+    for closes, end in ((False, "}]"), (True, "")):
+        try:
+            return list(rows_of(text + end)), opens, closes, None
+        except ValueError as e:
+            error = str(e)
+    return [], opens, False, error
+
+
+def _pieces_parser(lead: str):
+    def parse(batch: pa.RecordBatch) -> Iterable[Parsed]:
+        for place, piece in zip(places(batch), batch.column(0).to_pylist(), strict=True):
+            yield place, *_parse_piece(piece, lead)
+
+    return parse
+
+
+def _parse_documents(batch: pa.RecordBatch) -> Iterable[Parsed]:
+    for place, text in zip(places(batch), batch.column(0).to_pylist(), strict=True):
+        yield place, rows_of(text.removeprefix("\ufeff")), True, True, None
+
+
+# --- cutting --------------------------------------------------------------------------------------------------
+
+
+def _first_gap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text from the brace that ends the first object to the first name of the second, from pieces cut at braces."""
+    pieces = (p for b in batches for p in b.column(0).to_pylist())
+    depth, quoted = 0, False
+    for piece in pieces:
+        for mark in _MARKS.finditer(piece + "}"):
+            sign = mark.group()
+            if sign == '"':
+                quoted = not quoted
+            elif not quoted and len(sign) == 1:
+                depth += 1 if sign in "[{" else -1
+        if not quoted and depth == 1:
+            break
+    else:
+        return
+    after = ""
+    for _, piece in zip(range(_NEAR), pieces, strict=False):
+        after += piece + "}"
+        if between := _BETWEEN.match(after):
+            yield pa.RecordBatch.from_pydict({"gap": ["}" + between.group()]})
+            return
 
 
-def _gap(head: str) -> str | None:
-    """Text from the brace that ends the first element to the first name of the second, its quotes included.
+def _gap(spark: SparkSession, path: str) -> str | None:
+    """The gap between the first two objects of a file, found by one task that reads on from its start until it is there.
 
     This text cannot occur inside a string, where a quote is escaped; it may occur in a nested array of like objects.
     """
-    _, _, end = _first_object(head)
-    between = re.match(r'\s*,\s*\{\s*"(?:[^"\\]|\\.)+"', head[end:]) if end else None
-    return "}" + between.group(0) if between else None
+    start = spark.read.option("lineSep", "}").text(path).coalesce(1)
+    found = start.mapInArrow(_first_gap, "gap string").take(1)
+    return found[0]["gap"] if found else None
 
 
 def _pieces(spark: SparkSession, path, gap: str) -> DataFrame:
-    return spark.read.option("lineSep", gap).text(path).select(
-        F.col("value").alias("piece"), file_order().alias(ORD)
-    )
-
+    return spark.read.option("lineSep", gap).text(path).select("value", file_order().alias(ORD))
 
-def _balance(skeleton: Column, opening: str, closing: str) -> Column:
-    count = lambda c: F.length(skeleton) - F.length(F.translate(skeleton, c, ""))
-    return count(opening) - count(closing)
 
-
-def _piece_ends() -> tuple[Column, Column, Column]:
-    """The piece without its strings, and whether it opens and closes the document's array."""
-    skeleton = F.regexp_replace("piece", _STRING, "")
-    empty = skeleton.rlike(_EMPTY)
-    opens = skeleton.rlike(_OPENING)
-    closes = skeleton.rlike(_CLOSING) & (_balance(skeleton, "[", "]") == F.when(opens, 0).otherwise(-1))
-    return skeleton, empty | opens, empty | closes
-
-
-def _splits_cleanly(pieces: DataFrame) -> bool:
-    """Whether every cut fell between two elements and every file is one closed array.
-
-    Only the brackets outside strings count. A piece cut anywhere else, say inside a string or a nested array, leaves
-    its brackets unbalanced; the first piece of a file opens the array and its last one closes it.
-    """
-    skeleton, opens, closes = _piece_ends()
-    expected = F.when(opens, 1).otherwise(0) - F.when(closes, 1).otherwise(0)
-    sound = (
-        (_balance(skeleton, "{", "}") == expected)
-        & (_balance(skeleton, "[", "]") == expected)
-        & ~skeleton.contains('"')
-    )
-    return all_files_whole(pieces, opens, closes, sound)
-
-
-def _split_rows(pieces: DataFrame, gap: str) -> DataFrame:
-    """Parsed objects of each piece, after giving back what the cuts took."""
-    _, opens, closes = _piece_ends()
-    text = F.concat(
-        F.when(opens, "").otherwise("[" + gap[gap.index("{") :]),
-        F.regexp_replace("piece", "^\ufeff", ""),
-        F.when(closes, "").otherwise("}]"),
-    )
-    parsed = F.when(F.col("piece").rlike(_EMPTY), F.array().cast(_ROWS)).otherwise(F.from_json(text, _ROWS))
-    bad = F.raise_error(F.concat(F.lit("malformed JSON near: "), F.substring("piece", 1, 200))).cast(_ROWS)
-    return pieces.select(F.posexplode(F.coalesce(parsed, bad)).alias("pos", "row"), ORD).select(
-        "row", with_position()
-    )
-
-
-def _document_rows(spark: SparkSession, path) -> DataFrame:
-    """Parsed objects of whole documents, one task per file: for layouts that do not split cleanly."""
-    docs = spark.read.text(path, wholetext=True).filter("_metadata.file_size > 0").select(
-        F.regexp_replace("value", "^\ufeff", "").alias("doc"), file_order().alias(ORD)
-    )
-    parsed = F.from_json("doc", _ROWS)
-    none = F.array().cast(_ROWS)
-    skeleton = F.regexp_replace("doc", _STRING, "")
-    balanced = (
-        skeleton.rlike(r"^\s*\[") & skeleton.rlike(r"\]\s*$")
-        & (_balance(skeleton, "[", "]") == 0) & (_balance(skeleton, "{", "}") == 0)
-    )
-    bad = F.raise_error(F.concat(F.lit("not a JSON array of objects: "), F.col(ORD)["f"])).cast(_ROWS)
-    rows = F.when(F.col("doc").rlike(_EMPTY), none).when(balanced, F.coalesce(parsed, bad)).otherwise(bad)
-    return docs.select(F.posexplode(rows).alias("pos", "row"), ORD).select("row", with_position())
+def _documents(spark: SparkSession, path) -> DataFrame:
+    docs = spark.read.text(path, wholetext=True).filter("_metadata.file_size > 0")
+    return docs.select("value", file_order().alias(ORD))
 
 
 def read_json(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
-    """Text columns of JSON array documents; nested values stay JSON text.
+    """Text columns of JSON array documents.
 
     The columns are the names of the first object; `extra` adds names that later objects may carry. When the gap
     between the first two objects also separates all others, as any serializer writes it, the scan splits files there;
-    otherwise each document is parsed whole.
+    otherwise each document is parsed whole. Text that is not one array of objects per file aborts.
     """
-    head, largest = first_and_largest_file(spark, path)
-    gap = _gap(_head(spark, largest))
-    split = gap is not None and _splits_cleanly(_pieces(spark, path, gap))
-
-    def rows_of(p) -> DataFrame:
-        return _objects(_split_rows(_pieces(spark, p, gap), gap) if split else _document_rows(spark, p))
-
-    rows = rows_of(path)
-    first = rows_of(head).select(F.map_keys("row")).take(1) or rows.select(F.map_keys("row")).take(1)
-    return raw_of_maps(rows, list(first[0][0]) if first else [], extra if first else None)
-
-
-def _objects(rows: DataFrame) -> DataFrame:
-    """Rows as maps with distinct names; an element that is not an object aborts the job."""
-    no_object = F.raise_error(F.lit("JSON array with an element that is not an object")).cast(ROW)
-    last = map_of_last(F.map_keys("row"), F.map_values("row"))
-    return rows.select(F.when(F.col("row").isNull(), no_object).otherwise(last).alias("row"), ORD)
+    _, largest = first_and_largest_file(spark, path)
+    gap = _gap(spark, largest)
+    pieces = _pieces(spark, path, gap) if gap else None
+    lead = gap[gap.index("{") :] if gap else ""
+    stage = read_staged(pieces, _pieces_parser(lead), lambda: _documents(spark, path), _parse_documents, "json")
+    return stage.raw(extra)

@@ -1,33 +1,106 @@
-"""Rows held as name-to-text maps, for formats where each row lists its own columns."""
+"""Rows held as name-to-text maps, for formats where each row lists its own columns.
+
+Such files are cut by the scan into pieces, each piece is parsed once, in whole batches by a real parser inside the
+task, and the rows are written to the shared scratch folder. What the pieces say about themselves decides afterwards
+whether the cuts fell between rows; if not, the stage is dropped and the documents are parsed whole, one task each.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.operators.transform import Raw
-from tabflow.runtime import LATE, ORD
+from tabflow.runtime import LATE, ORD, discard, scratch_dir
 
 ROW = "map<string,string>"
+_STAGED = (
+    "f string, b bigint, m bigint, p bigint, names array<string>, texts array<string>, "
+    "opens boolean, closes boolean, error string"
+)
+_ARROW = pa.schema(
+    [("f", pa.string()), ("b", pa.int64()), ("m", pa.int64()), ("p", pa.int64())]
+    + [(c, pa.list_(pa.string())) for c in ("names", "texts")]
+    + [(c, pa.bool_()) for c in ("opens", "closes")]
+    + [("error", pa.string())]
+)
+_BATCH = 5000
 
+#: What a parser gives for one piece or document: (place, rows, opens, closes, error).
+Parsed = tuple[tuple, Iterable[dict[str, str]], bool, bool, str | None]
 
-def map_of_last(names: Column, values: Column) -> Column:
-    """Map from parallel arrays; of a repeated name the last value counts, at the place of the first."""
-    once = F.array_distinct(names)
-    last = F.transform(once, lambda n: F.get(values, F.size(names) - F.array_position(F.reverse(names), n)))
-    return F.when(F.size(once) == F.size(names), F.map_from_arrays(names, values)).otherwise(
-        F.map_from_arrays(once, last.cast("array<string>"))
-    )
+
+def _batches(found: Iterable[Parsed]) -> Iterator[pa.RecordBatch]:
+    """A line per row, and one without names per piece."""
+
+    def lines() -> Iterator[tuple]:
+        for place, rows, opens, closes, error in found:
+            yield (*place, -1, None, None, opens, closes, error)
+            for p, row in enumerate(rows):
+                yield (*place, p, list(row), list(row.values()), None, None, None)
+
+    for some in itertools.batched(lines(), _BATCH):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*some), _ARROW, strict=True)], schema=_ARROW
+        )
+
+
+def in_tasks(parse: Callable[[pa.RecordBatch], Iterable[Parsed]]):
+    """A function over Arrow batches from one that parses a batch of pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _batches(parse(batch))
+
+    return run
+
+
+def places(batch: pa.RecordBatch) -> list[tuple]:
+    order = batch.column(batch.schema.get_field_index(ORD)).to_pylist()
+    return [(o["f"], o["b"], o["m"]) for o in order]
+
+
+class Stage:
+    """Parsed rows in the scratch folder."""
+
+    def __init__(self, pieces: DataFrame, parse: Callable[[pa.RecordBatch], Iterable[Parsed]], label: str):
+        self.spark: SparkSession = pieces.sparkSession
+        self.path = scratch_dir(self.spark, label)
+        pieces.mapInArrow(in_tasks(parse), _STAGED).write.parquet(self.path)
+        self.lines = self.spark.read.schema(_STAGED).parquet(self.path)
+
+    def whole(self) -> bool:
+        """Whether every piece could be parsed and each file is opened by its first piece and closed by its last."""
+        order = F.struct("f", "b", "m").alias(ORD)
+        pieces = self.lines.filter("names IS NULL").select(order, "opens", "closes", F.isnull("error").alias("sound"))
+        return all_files_whole(pieces, F.col("opens"), F.col("closes"), F.col("sound"))
+
+    def discard(self) -> None:
+        discard(self.spark, self.path)
+
+    def raw(self, extra: list[str] | None) -> Raw:
+        """Text columns of the first row's names, plus `extra` names that later rows may carry."""
+        order = F.struct("f", "b", "m", "p").alias(ORD)
+        listed = self.lines.filter("names IS NOT NULL").select(order, "names", "texts")
+        first = listed.agg(F.min_by("names", ORD)).first()[0]
+        rows = listed.select(F.map_from_arrays("names", "texts").alias("row"), ORD)
+        raw = raw_of_maps(rows, list(first or []), extra if first is not None else None)
+        raw.staging = (self.path,)
+        return raw
 
 
-def with_position() -> Column:
-    """File order of a row that is the `pos`-th one out of its record."""
-    return F.struct(
-        F.col(ORD)["f"].alias("f"),
-        F.col(ORD)["b"].alias("b"),
-        F.col(ORD)["m"].alias("m"),
-        F.col("pos").cast("bigint").alias("p"),
-    ).alias(ORD)
+def read_staged(pieces: DataFrame | None, parse_pieces, documents: Callable[[], DataFrame], parse_documents, label: str) -> Stage:
+    """The rows of the pieces if the cuts fell between rows, else those of the whole documents."""
+    if pieces is not None:
+        stage = Stage(pieces, parse_pieces, label)
+        if stage.whole():
+            return stage
+        stage.discard()
+    return Stage(documents(), parse_documents, label)
 
 
 def all_files_whole(pieces: DataFrame, opens: Column, closes: Column, sound: Column) -> bool:

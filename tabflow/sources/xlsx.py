@@ -32,14 +32,14 @@ def read_xlsx(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     A workbook holds at most 1,048,576 rows, so one is the unit of work. Blank headers become `Column_n`; of columns
     with the same name the last counts, at the place of the first. Every row has every column.
     """
-    first, _ = first_and_largest_file(spark, path)
+    first_and_largest_file(spark, path)  # there is one
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
     # Unpacking a workbook costs far more than reading rows, so it is done once.
     unpacked = scratch_dir(spark, "workbooks")
     files.mapInPandas(_rows, "f string, m bigint, c array<string>").write.parquet(unpacked)
     rows = spark.read.parquet(unpacked)
     headers = rows.filter("m = 0").select("f", "c")
-    names = list(headers.filter(F.col("f") == first).first()["c"])
+    names = list(headers.agg(F.min_by("c", "f")).first()[0])
     expected = F.array(*[F.lit(n) for n in names]).cast("array<string>")
     # A workbook without rows may have any header.
     other = headers.filter(F.col("c") != expected).join(rows.filter("m > 0").select("f"), "f", "left_semi").first()
@@ -48,4 +48,4 @@ def read_xlsx(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     place = {name: i for i, name in enumerate(names)}
     cells = [F.get("c", F.lit(i)).alias(n) for n, i in place.items()]
     order = F.struct("f", F.lit(0).cast("bigint").alias("b"), "m").alias(ORD)
-    return Raw(rows.filter("m > 0").select(*cells, order), list(place))
+    return Raw(rows.filter("m > 0").select(*cells, order), list(place), staging=(unpacked,))

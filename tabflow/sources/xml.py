@@ -1,173 +1,201 @@
-"""XML reader: the root's children are rows, their children are columns."""
+"""XML reader: the root's children are rows, their children are columns.
+
+Files are split at the closing tag of rows. Every piece goes through an XML parser inside its task, many pieces at a
+time, with the document type of the file in front, so declared entities hold; a file in another encoding than UTF-8 is
+parsed whole from its bytes, as its declaration says.
+"""
 
 from __future__ import annotations
 
-import io
 import re
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from xml.parsers import expat
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.operators.transform import Raw
 from tabflow.runtime import ORD, file_order, first_and_largest_file
-from tabflow.sources.rows import ROW, all_files_whole, map_of_last, raw_of_maps, with_position
-
-_HEAD_PIECES = 2000
-_UNKNOWN = "(element inside a row with nested content)"
-
-# XML markup.
-_NAME = r"[^\s/<>!?=]+"
-_ATTRIBUTES = r"""(?:\s+[^\s=<>/]+\s*=\s*(?:"[^"]*"|'[^']*'))*+\s*"""
-_NOISE = r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>\[]*+(?:\[[^\]]*+\]\s*)?>"
-_CDATA = r"(?s)<!\[CDATA\[.*?\]\]>"
-_OPEN = rf"<{_NAME}{_ATTRIBUTES}>"
-_EMPTY = rf"<{_NAME}{_ATTRIBUTES}/>"
-_CLOSE = rf"</{_NAME}\s*>"
-_LEAF = rf"<({_NAME}){_ATTRIBUTES}(?:/>|>([^<]*+)</\1\s*>)"
-
-
-def _head(spark: SparkSession, path) -> str | None:
-    """Qualified tag of the first row that is not self-closing, as it stands in a file."""
-    pieces = spark.read.option("lineSep", ">").text(path).take(_HEAD_PIECES)
-    text = ">".join(p["value"] for p in pieces) + ">"
-    text = re.sub(_CDATA, "", re.sub(_NOISE.replace("*+", "*"), "", text))
-    tags = re.findall(rf"<(/?)({_NAME}){_ATTRIBUTES}(/?)>", text)
-    depth = 0
-    for closing, name, empty in tags:
-        if closing:
-            depth -= 1
-        elif not empty:
-            depth += 1
-            if depth == 2:
-                return name
-    return None
-
-
-def _pieces(spark: SparkSession, path, tag: str) -> DataFrame:
-    """Text between the closing tags of rows, without comments, processing instructions and document types."""
-    return spark.read.option("lineSep", f"</{tag}>").text(path).select(
-        F.regexp_replace("value", _NOISE, "").alias("piece"), file_order().alias(ORD)
-    )
-
-
-def _patterns(tag: str) -> dict[str, str]:
-    t = re.escape(tag)
-    return {
-        "root": rf"^\ufeff?\s*<(?!{t}[\s>]){_NAME}{_ATTRIBUTES}>",
-        "row": rf"^(?:\s*+{_EMPTY})*+\s*<{t}{_ATTRIBUTES}>",
-        "tail": rf"^(?:\s*+{_EMPTY})*+\s*{_CLOSE}\s*$",
-    }
-
-
-def _splits_cleanly(pieces: DataFrame, tag: str) -> bool:
-    """Whether every piece is one row of this tag, every file opens its root first and closes it last.
-
-    A cut inside a comment, a CDATA section or a nested element of the same name leaves the tags of the piece
-    unbalanced, and rows with another tag do not match; such documents are read whole.
-    """
-    p = _patterns(tag)
-    piece = F.col("piece")
-    opens = piece.rlike(p["root"])
-    body = F.regexp_replace(piece, p["root"], "")
-    closes = body.rlike(p["tail"])
-    markup = F.regexp_replace(body, _CDATA, "")
-    n_open, n_close, n_empty = (F.regexp_count(markup, F.lit(x)) for x in (_OPEN, _CLOSE, _EMPTY))
-    n_brackets = F.length(markup) - F.length(F.translate(markup, "<", ""))
-    sound = (n_brackets == n_open + n_close + n_empty) & (
-        closes | (body.rlike(p["row"]) & (n_open == n_close + 1))
-    )
-    return all_files_whole(pieces, opens, closes, sound)
-
-
-def _split_rows(pieces: DataFrame, tag: str) -> DataFrame:
-    """Inner text of each row: `''` for a self-closing one."""
-    p = _patterns(tag)
-    body = F.regexp_replace("piece", p["root"], "")
-    lead = F.regexp_extract(body, p["row"], 0)
-    before = F.regexp_count(F.when(body.rlike(p["tail"]), body).otherwise(lead), F.lit(_EMPTY))
-    inner = F.when(~body.rlike(p["tail"]), F.array(F.regexp_replace(body, p["row"], ""))).otherwise(
-        F.array().cast("array<string>")
-    )
-    rows = F.concat(F.array_repeat(F.lit(""), before), inner)
-    return pieces.select(F.posexplode(rows).alias("pos", "inner"), ORD).select("inner", with_position())
-
-
-def _local(qualified: Column) -> Column:
-    return F.regexp_replace(qualified, "^[^:]*:", "")
-
-
-def _decode(text: Column) -> Column:
-    """Character references and line ends as a parser would give them."""
-    named = text
-    # The predefined entities; the ampersand comes last.
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        named = F.replace(named, F.lit(entity), F.lit(char))
-    numbered = F.xpath_string(F.concat(F.lit("<a>"), text, F.lit("</a>")), F.lit("/a"))
-    decoded = F.when(text.contains("&#"), numbered).when(text.contains("&"), named).otherwise(text)
-    return F.when(decoded.contains("\r"), F.regexp_replace(decoded, "\r\n?", "\n")).otherwise(decoded)
-
-
-def _local_names(inner: str) -> list[str]:
-    """Column names of one row, from its text without prefixes and attributes."""
-    bare = re.sub(rf"<(/?)(?:[^\s:/<>!?=]+:)?({_NAME}){_ATTRIBUTES}(/?)>", r"<\1\2\3>", inner)
-    return list(dict.fromkeys(e.tag for e in ET.fromstring(f"<row>{bare}</row>")))
-
-
-def _child(name: str) -> str:
-    return f"/row/*[name()='{name}' or substring-after(name(), ':')='{name}']"
-
-
-def _nested_row(names: list[str]) -> Column:
-    """A row whose columns hold elements or CDATA: the value is all text below the column."""
-    doc = F.concat(F.lit("<row>"), F.col("inner"), F.lit("</row>"))
-    count = lambda path: F.xpath_int(doc, F.lit(f"count({path})"))
-    entries = [
-        F.when(
-            count(_child(n)) > 0,
-            F.struct(F.lit(n).alias("key"), F.xpath_string(doc, F.lit(_child(n) + "[last()]")).alias("value")),
+from tabflow.sources.rows import Parsed, places, read_staged
+
+_CHUNK = 1 << 20
+#: Root of pieces that hold rows only; no document can close it.
+_WITHIN = "_.."
+_DOCTYPE = re.compile(r"<!DOCTYPE[^>\[]*(?:\[.*\]\s*)?>", re.S)
+_ENCODING = re.compile(rb"""^<\?xml[^>]*?\sencoding\s*=\s*["']([A-Za-z0-9._-]+)["']""")
+
+
+class _Rows:
+    """Rows of a document as they close; the place of each row's start tag comes with it."""
+
+    def __init__(self, encoding: str | None = None):
+        self.parser = expat.ParserCreate(encoding)
+        self.parser.buffer_text = True
+        self.parser.StartElementHandler = self._start
+        self.parser.EndElementHandler = self._end
+        self.parser.CharacterDataHandler = self._text
+        self.depth, self.rows, self.row, self.cell, self.at = 0, [], {}, [], 0
+
+    def _start(self, name: str, attributes: dict) -> None:
+        self.depth += 1
+        if self.depth == 2:
+            self.row, self.at = {}, self.parser.CurrentByteIndex
+        elif self.depth == 3:
+            self.cell = []
+
+    def _end(self, name: str) -> None:
+        if self.depth == 3:
+            self.row[name.rpartition(":")[2]] = "".join(self.cell)
+        elif self.depth == 2:
+            self.rows.append((self.at, self.row))
+        self.depth -= 1
+
+    def _text(self, text: str) -> None:
+        if self.depth >= 3:
+            self.cell.append(text)
+
+    def taken(self) -> list[tuple[int, dict[str, str]]]:
+        rows, self.rows = self.rows, []
+        return rows
+
+
+def _rows_of(text: str) -> list[tuple[int, dict[str, str]]]:
+    found = _Rows("utf-8")
+    found.parser.Parse(text.encode(), True)
+    return found.taken()
+
+
+def _pieces_parser(tag: str, root: str, doctype: str):
+    end = f"</{tag}>"
+    head = f"{doctype}<{_WITHIN}>"
+
+    def parse_together(pieces: list[str]) -> list[list[dict[str, str]]]:
+        """Rows of pieces that hold nothing but rows, in one pass."""
+        parts = [p + end for p in pieces]
+        starts, at = [], len(head.encode())
+        for p in parts:
+            starts.append(at)
+            at += len(p.encode())
+        out: list[list[dict[str, str]]] = [[] for _ in pieces]
+        for place, row in _rows_of(head + "".join(parts) + f"</{_WITHIN}>"):
+            out[bisect_right(starts, place) - 1].append(row)
+        return out
+
+    def parse_alone(piece: str) -> tuple[list[dict[str, str]], bool, bool, str | None]:
+        forms = (
+            (head + piece + end + f"</{_WITHIN}>", False, False),
+            (f"{doctype}<{root}>{piece}", False, True),
+            (f"{piece}{end}</{root}>", True, False),
+            (piece, True, True),
         )
-        for n in names
-    ]
-    known = sum((count(_child(n)) for n in names), F.lit(0))
-    entries.append(F.when(count("/row/*") > known, F.struct(F.lit(_UNKNOWN).alias("key"), F.lit("").alias("value"))))
-    return F.map_from_entries(F.array_compact(F.array(*entries)))
-
-
-def _rows_of_text(rows: DataFrame, names: list[str]) -> DataFrame:
-    inner = F.col("inner")
-    cell_names = F.transform(F.regexp_extract_all(inner, F.lit(_LEAF), F.lit(1)), _local)
-    values = F.transform(F.regexp_extract_all(inner, F.lit(_LEAF), F.lit(2)), _decode)
-    flat = ~F.regexp_replace(inner, _LEAF, "").contains("<")
-    return rows.select(F.when(flat, map_of_last(cell_names, values)).otherwise(_nested_row(names)).alias("row"), ORD)
-
-
-def _parse_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            names, values, depth = [], [], 0
-            for event, element in ET.iterparse(io.BytesIO(content), events=("start", "end")):
-                depth += 1 if event == "start" else -1
-                if event == "end" and depth == 1:
-                    names.append([c.tag.rpartition("}")[2] for c in element])
-                    values.append(["".join(c.itertext()) for c in element])
-                    element.clear()
-            if names:
-                yield pd.DataFrame({"f": path, "pos": range(len(names)), "names": names, "texts": values})
-
-
-def _document_rows(spark: SparkSession, path) -> DataFrame:
-    """Rows of whole documents, one task per file: for layouts that do not split cleanly."""
-    parsed = (
-        spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
-        .mapInPandas(_parse_documents, "f string, pos bigint, names array<string>, texts array<string>")
-    )
-    order = F.struct(
-        "f", F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("m"), F.col("pos").alias("p")
-    )
-    return parsed.select(map_of_last(F.col("names"), F.col("texts")).cast(ROW).alias("row"), order.alias(ORD))
+        error = ""
+        for text, opens, closes in forms:
+            try:
+                return [row for _, row in _rows_of(text)], opens, closes, None
+            except expat.ExpatError as e:
+                error = str(e)
+        return [], False, False, error
+
+    def parse(batch: pa.RecordBatch) -> Iterable[Parsed]:
+        where = places(batch)
+        pieces = [p.removeprefix("\ufeff") for p in batch.column(0).to_pylist()]
+        at = 0
+        while at < len(pieces):
+            stop, size = at, 0
+            while stop < len(pieces) and size < _CHUNK:
+                size += len(pieces[stop])
+                stop += 1
+            try:
+                found = [(rows, False, False, None) for rows in parse_together(pieces[at:stop])]
+            except expat.ExpatError:
+                found = [parse_alone(p) for p in pieces[at:stop]]
+            yield from ((place, *x) for place, x in zip(where[at:stop], found, strict=True))
+            at = stop
+
+    return parse
+
+
+def _document(path: str, content: bytes) -> Iterator[dict[str, str]]:
+    found = _Rows()
+    try:
+        for at in range(0, len(content), _CHUNK):
+            found.parser.Parse(content[at : at + _CHUNK])
+            yield from (row for _, row in found.taken())
+        found.parser.Parse(b"", True)
+    except (expat.ExpatError, LookupError, ValueError) as e:
+        raise ValueError(f"{path}: malformed XML: {e}") from None
+
+
+def _parse_documents(batch: pa.RecordBatch) -> Iterable[Parsed]:
+    for place, content in zip(places(batch), batch.column(0).to_pylist(), strict=True):
+        yield place, _document(place[0], content), True, True, None
+
+
+def _first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tag of the first row that is not self-closing, root tag and document type, from pieces cut at `>`."""
+    parser, open_, found = expat.ParserCreate("utf-8"), [], []
+    prolog: list[str] = []
+
+    def start(name: str, attributes: dict) -> None:
+        open_.append((name, parser.CurrentByteIndex))
+
+    def end(name: str) -> None:
+        _, at = open_.pop()
+        # A self-closing tag starts and ends at one place.
+        if len(open_) == 1 and at != parser.CurrentByteIndex:
+            found.append(name)
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    root = ""
+    for piece in (p for b in batches for p in b.column(0).to_pylist()):
+        if not open_:
+            prolog.append(piece + ">")
+        try:
+            parser.Parse((piece.removeprefix("\ufeff") + ">").encode())
+        except expat.ExpatError:
+            return
+        if open_ and not root:
+            root = open_[0][0]
+        if found:
+            doctype = _DOCTYPE.search("".join(prolog))
+            yield pa.RecordBatch.from_pydict({"tag": [found[0]], "root": [root], "doctype": [doctype.group() if doctype else ""]})
+            return
+
+
+def _is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether a file says nothing else; only its first bytes are looked at."""
+    start = spark.read.option("lineSep", ">").text(path).filter("_metadata.file_block_start = 0")
+    first = start.select(F.substring(F.col("value").cast("binary"), 1, 1000).alias("v")).take(1)
+    content = bytes(first[0]["v"]).removeprefix(b"\xef\xbb\xbf") if first else b""
+    declared = _ENCODING.match(content + b">")
+    name = declared.group(1).lower() if declared else b"utf-8"
+    return content[:2] not in (b"\xfe\xff", b"\xff\xfe") and b"\x00" not in content[:4] and name in (b"utf-8", b"us-ascii", b"ascii")
+
+
+def _split(spark: SparkSession, path) -> tuple[DataFrame | None, object]:
+    """Pieces between the closing tags of rows and their parser, where the largest file has such a tag."""
+    _, largest = first_and_largest_file(spark, path)
+    if not _is_utf8(spark, largest):
+        return None, None
+    # One task that reads on from the start of the file until the first row has closed.
+    start = spark.read.option("lineSep", ">").text(largest).coalesce(1)
+    found = start.mapInArrow(_first_row, "tag string, root string, doctype string").take(1)
+    if not found:
+        return None, None
+    tag, root, doctype = found[0]
+    pieces = spark.read.option("lineSep", f"</{tag}>").text(path).select("value", file_order().alias(ORD))
+    # Bytes that are not UTF-8 cannot be handed over as text; the parser of whole documents judges them.
+    if pieces.filter(~F.is_valid_utf8("value")).take(1):
+        return None, None
+    return pieces, _pieces_parser(tag, root, doctype)
+
+
+def _documents(spark: SparkSession, path) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    zero = F.lit(0).cast("bigint")
+    return files.select("content", F.struct(F.col("path").alias("f"), zero.alias("b"), zero.alias("m")).alias(ORD))
 
 
 def read_xml(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
@@ -175,16 +203,9 @@ def read_xml(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
 
     Columns are the first row's element names without namespace, `extra` adds names that later rows may carry.
     Attributes are ignored, blanks kept; a missing element is NULL, an empty one `''`, of repeated ones the last
-    counts. Documents whose rows all have one tag are split at its closing tag; others are parsed whole.
+    counts; a value is all text below its element. Documents whose rows close with one tag are split there; others are
+    parsed whole. Malformed documents abort.
     """
-    head, largest = first_and_largest_file(spark, path)
-    tag = _head(spark, largest)
-    if tag is not None:
-        pieces = _pieces(spark, path, tag)
-        if _splits_cleanly(pieces, tag):
-            first = _split_rows(_pieces(spark, head, tag), tag).select("inner").take(1)
-            names = _local_names(first[0]["inner"])
-            return raw_of_maps(_rows_of_text(_split_rows(pieces, tag), names), names, extra)
-    rows = _document_rows(spark, path)
-    first = _document_rows(spark, head).select(F.map_keys("row")).take(1) or rows.select(F.map_keys("row")).take(1)
-    return raw_of_maps(rows, list(first[0][0]) if first else [], extra if first else None)
+    pieces, parse = _split(spark, path)
+    stage = read_staged(pieces, parse, lambda: _documents(spark, path), _parse_documents, "xml")
+    return stage.raw(extra)

@@ -105,13 +105,16 @@ def test_json_layouts(spark, file, layout):
 @pytest.mark.parametrize("layout", ["compact", "pretty"])
 def test_json_many_splits(spark, file, layout):
     objects = [{"Id": i, "t": 'q"}, {"' + "\\" * (i % 3), "l": [{"x": i}, {"y": [i]}]} for i in range(2000)]
-    path = file("a.json", json.dumps(objects, indent=2 if layout == "pretty" else None))
+    indent = 2 if layout == "pretty" else None
+    path = file("a.json", json.dumps(objects, indent=indent))
+    # Nested values keep the document's own blanks.
+    nested = [json.dumps(o["l"], indent=indent).replace("\n", "\n    ") for o in objects]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "5003")
     try:
         raw = read_json(spark, path)
         assert raw.df.rdd.getNumPartitions() > 8
-        assert rows(raw) == [(str(o["Id"]), o["t"], json.dumps(o["l"], separators=(",", ":"))) for o in objects]
+        assert rows(raw) == [(str(o["Id"]), o["t"], text) for o, text in zip(objects, nested)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
@@ -119,7 +122,42 @@ def test_json_many_splits(spark, file, layout):
 def test_json_values(spark, file):
     raw = read_json(spark, file("a.json", '[{"Id":1,"o":{"x":1},"l":[1,2],"a":1,"a":2,"b":true,"u":"\\u00e9\\n"}]'))
     assert raw.columns == ["Id", "o", "l", "a", "b", "u"]
-    assert rows(raw) == [("1", '{"x":1}', "[1,2]", "2", "true", "é\n")]
+    assert rows(raw) == [("1", '{"x":1}', "[1,2]", "2", "True", "é\n")]
+
+
+def test_json_cells_keep_their_text(spark, file):
+    long = "12345678901234567890.12345678901234567890"
+    raw = read_json(spark, file("a.json", f'[{{"a": 1.50, "b": {{"k": 1}}, "c": {long}, "d": false}},{{"a": -0e+1, "b": [ ], "c": null, "d": "x"}}]'))
+    assert rows(raw) == [("1.50", '{"k": 1}', long, "False"), ("-0e+1", "[ ]", "", "x")]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['[{"Id":1}][{"Id":2}]', '[{"Id":1},{"Id":2}]\n[{"Id":3},{"Id":4}]', '[{"Id":1},{"Id":2}]' * 5, "[{'Id':1}]", '[{"Id":NaN}]',
+     '[{"Id":1},{"Id":Infinity}]', '[{"Id":01}]', '[{"Id":1},]', '[{"Id":1 "a":2}]', '[{"Id":1}{"Id":2}]'],
+)
+def test_json_refuses_what_is_not_one_array(spark, file, text):
+    with pytest.raises(Exception, match="malformed JSON"):
+        read_json(spark, file("a.json", text)).df.collect()
+
+
+def test_json_concatenated_files_are_refused(spark, file):
+    one = json.dumps([{"Id": i} for i in range(1000)])
+    with pytest.raises(Exception, match="malformed JSON"):
+        read_json(spark, file("a.json", one + "\n" + one)).df.collect()
+
+
+def test_json_large_first_object_still_splits(spark, file):
+    objects = [{"Id": 0, "t": "}" * 3000 + "x" * (1 << 21)}] + [{"Id": i, "t": "y" * 500} for i in range(1, 4000)]
+    path = file("a.json", json.dumps(objects))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 19))
+    try:
+        raw = read_json(spark, path)
+        assert raw.df.rdd.getNumPartitions() > 3
+        assert rows(raw) == [(str(o["Id"]), o["t"]) for o in objects]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 @pytest.mark.parametrize("text", ["[]", " null ", "[ ]"])
@@ -197,6 +235,42 @@ def test_xml_errors(spark, file, text):
         read_xml(spark, file("a.xml", text)).df.collect()
 
 
+def test_xml_declared_encoding(spark, file):
+    text = "<?xml version='1.0' encoding='{}'?><r><I><Id>1</Id><v>café</v></I><I><Id>2</Id><v>é</v></I></r>"
+    for name in ("iso-8859-1", "windows-1252", "utf-16", "utf-8"):
+        raw = read_xml(spark, file(f"{name}.xml", text.format(name).encode(name)))
+        assert rows(raw) == [("1", "café"), ("2", "é")]
+
+
+def test_xml_declared_entities(spark, file):
+    text = '<!DOCTYPE r [<!ENTITY foo "b>r"> ]><r><I><v>1</v></I><I><v>&foo;&amp;</v></I><I><v>2</v></I></r>'
+    assert rows(read_xml(spark, file("a.xml", text))) == [("1",), ("b>r&",), ("2",)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["<r><I><v>1</v></I><I><v>a & b</v></I></r>", "<r><I><v>1</v></I><I><v>&foo;</v></I></r>", "<r><I><v>1</v></I><I><v>2</v></I></q>",
+     "<r><I><v>1</v></I></r><r><I><v>2</v></I></r>", "<r><I><v>1</v></I><I><v a=1>2</v></I></r>"],
+)
+def test_xml_refuses_malformed_documents(spark, file, text):
+    with pytest.raises(Exception, match="malformed XML"):
+        read_xml(spark, file("a.xml", text)).df.collect()
+
+
+def test_names_of_files_are_no_patterns(spark, file, tmp_path):
+    for extension, text in ((".csv", "Id,v\n1,a\n"), (".json", '[{"Id":1,"v":"a"}]'), (".xml", "<r><I><Id>1</Id><v>a</v></I></r>")):
+        file(f"f{extension}/p[1]{{x}}{extension}", text)
+        assert rows(formats.read(spark, str(tmp_path / f"f{extension}"))) == [("1", "a")]
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-16-be", "utf-16-le"])
+def test_csv_byte_order_marks(spark, file, encoding):
+    mark = {"utf-16": b"", "utf-16-be": b"\xfe\xff", "utf-16-le": b"\xff\xfe"}[encoding]
+    raw = read_csv(spark, file("a.csv", mark + 'Id,näme\r\n1,"é,中"\r\n2,ž😀\r\n'.encode(encoding)))
+    assert raw.columns == ["Id", "näme"]
+    assert rows(raw) == [("1", "é,中"), ("2", "ž😀")]
+
+
 def test_xml_late_columns(spark, file):
     path = file("a.xml", "<r><I><Id>1</Id></I><I><Id>2</Id><late>v</late></I><I><Id>3</Id><o><p/>w</o></I></r>")
     raw = read_xml(spark, path)
