@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import io
+import itertools
 import math
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterable, Iterator
+from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 MAX_DATA_ROWS = 1_048_575
+# Fixed value: name of the exported sheet.
 SHEET_NAME = "Exported Data"
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -55,9 +59,10 @@ def _rich_text(element) -> str:
     return _unescape("".join(parts))
 
 
-def _column_number(reference: str) -> int:
+@functools.cache
+def _column_of_letters(letters: str) -> int:
     n = 0
-    for letter in re.match("[A-Z]+", reference).group(0):
+    for letter in letters:
         n = n * 26 + ord(letter) - 64
     return n
 
@@ -90,68 +95,101 @@ def _first_sheet(book: zipfile.ZipFile) -> str | None:
     return None
 
 
-def _sheet_rows(book: zipfile.ZipFile) -> Iterator[tuple[int, dict[int, str]]]:
-    """(row number, column number to text) for each stored row of the first sheet."""
-    name = _first_sheet(book)
-    if name is None:
-        return
-    shared = []
-    if "xl/sharedStrings.xml" in book.namelist():
-        shared = [_rich_text(si) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{_MAIN}si")]
-    dates = _date_styles(book)
-
-    def text(c) -> str:
-        kind = c.get("t", "n")
-        if kind == "inlineStr":
-            return _rich_text(c.find(f"{_MAIN}is"))
-        value = c.findtext(f"{_MAIN}v")
-        if value is None:
-            return ""
+class _Sheet:
+    """Rows of a sheet as they close, from an XML parser fed piece by piece: (row number, texts by column)."""
+
+    def __init__(self, shared: list[str], dates: set[int]):
+        self.shared, self.dates = shared, dates
+        self.parser = expat.ParserCreate()
+        self.parser.buffer_text = True
+        self.parser.StartElementHandler = self._start
+        self.parser.EndElementHandler = self._end
+        self.parser.CharacterDataHandler = self._text
+        self.rows: list[tuple[int, list[str]]] = []
+        self.number, self.column, self.cells = 0, 0, []
+        self.kind, self.style, self.value = "n", "0", []
+        self.taking, self.hint = False, False
+
+    def _start(self, name: str, attributes: dict) -> None:
+        name = name.rpartition(":")[2]
+        if name == "c":
+            place = attributes.get("r")
+            self.column = _column_of_letters(place.rstrip("0123456789")) if place else self.column + 1
+            self.kind, self.style, self.value = attributes.get("t", "n"), attributes.get("s", "0"), []
+        elif name == "v" or (name == "t" and not self.hint):
+            self.taking = True
+        elif name == "row":
+            self.number = int(attributes.get("r", self.number + 1))
+            self.column, self.cells = 0, []
+        elif name == "rPh":
+            self.hint = True
+
+    def _end(self, name: str) -> None:
+        name = name.rpartition(":")[2]
+        if name == "c":
+            text = self._cell("".join(self.value)) if self.value else ""
+            if text:
+                self.cells.extend([""] * (self.column - len(self.cells)))
+                self.cells[self.column - 1] = text
+        elif name in ("v", "t"):
+            self.taking = False
+        elif name == "row":
+            if self.cells:
+                self.rows.append((self.number, self.cells))
+        elif name == "rPh":
+            self.hint = False
+
+    def _text(self, text: str) -> None:
+        if self.taking:
+            self.value.append(text)
+
+    def _cell(self, value: str) -> str:
+        kind = self.kind
+        if kind == "n":
+            number = float(value)
+            return date_text(number) if self.dates and int(self.style) in self.dates else number_text(number)
+        if kind in ("inlineStr", "str", "e"):
+            return _unescape(value)
         if kind == "s":
-            return shared[int(value)]
+            return self.shared[int(value)]
         if kind == "b":
             return "TRUE" if value.strip() == "1" else "FALSE"
         if kind == "d":
             return dt.datetime.fromisoformat(value).strftime("%m/%d/%Y %H:%M:%S")
-        if kind in ("str", "e"):
-            return _unescape(value)
-        number = float(value)
-        return date_text(number) if int(c.get("s", 0)) in dates else number_text(number)
-
-    row_number = 0
-    with book.open(name) as stream:
-        for _, element in ET.iterparse(stream):
-            if element.tag != f"{_MAIN}row":
-                continue
-            row_number = int(element.get("r", row_number + 1))
-            cells, column = {}, 0
-            for c in element.findall(f"{_MAIN}c"):
-                column = _column_number(c.get("r")) if c.get("r") else column + 1
-                value = text(c)
-                if value:
-                    cells[column] = value
-            element.clear()
-            if cells:
-                yield row_number, cells
-
-
-def read_workbook(content: bytes) -> tuple[list[str], list[list[str]]]:
-    """Header and data rows of the first sheet, over its used range; rows of blanks only are dropped."""
+        return value
+
+
+def sheet_rows(content: bytes) -> Iterator[tuple[int, list[str]]]:
+    """(row number, texts up to the last filled cell) of each filled row of the first sheet, as it is unpacked."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        stored = list(_sheet_rows(book))
-    if not stored:
-        return [], []
-    width = max(max(cells) for _, cells in stored)
-    top = stored[0][1] if stored[0][0] == 1 else {}
-    header = [
-        name if (name := top.get(i, "")).strip() else f"Column_{i}" for i in range(1, width + 1)
-    ]
-    rows = [
-        [cells.get(i, "") for i in range(1, width + 1)]
-        for number, cells in stored
-        if number > 1 and any(v.strip() for v in cells.values())
-    ]
-    return header, rows
+        name = _first_sheet(book)
+        if name is None:
+            return
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = [_rich_text(si) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{_MAIN}si")]
+        sheet = _Sheet(shared, _date_styles(book))
+        with book.open(name) as stream:
+            while piece := stream.read(1 << 18):
+                sheet.parser.Parse(piece)
+                rows, sheet.rows = sheet.rows, []
+                yield from rows
+        sheet.parser.Parse(b"", True)
+        yield from sheet.rows
+
+
+def header_and_rows(content: bytes) -> Iterator[list[str]]:
+    """The header row, empty where there is none, then the data rows; rows of blanks only are dropped."""
+    rows = sheet_rows(content)
+    first = next(rows, None)
+    if first is not None and first[0] == 1:
+        yield first[1]
+    else:
+        yield []
+        rows = itertools.chain([first] if first else [], rows)
+    for _, cells in rows:
+        if any(v.strip() for v in cells):
+            yield cells
 
 
 # The parts of a workbook with one sheet and one date style.

@@ -117,11 +117,12 @@ def _merged_cell(name: str, present: Column, given: Column) -> Column:
     return F.when(present, given).otherwise(F.col("t")[name]).alias(name)
 
 
-def merge(target: DataFrame, collapsed: DataFrame, key: str, boxed: bool, small: bool = False) -> DataFrame:
+def merge(target: DataFrame, collapsed: DataFrame, key: str, boxed: bool) -> DataFrame:
     """Target rows with the batch's cells written over them, plus the rows of new keys.
 
-    One full outer join on unique keys. With `small`, for a batch whose size the caller has measured to be below the
-    broadcast threshold, the target is not shuffled: a left join and a semi join, both against the broadcast batch.
+    A left join of the target with the batch, and the batch without the target's keys. Keys are unique on both sides.
+    Which side is broadcast or shuffled is left to Spark, which knows the sizes: a small batch is broadcast to both
+    joins, so that the target is not shuffled.
     """
     names = [c for c in target.columns if c != key]
     given = set(collapsed.columns)
@@ -140,10 +141,8 @@ def merge(target: DataFrame, collapsed: DataFrame, key: str, boxed: bool, small:
         by_name = dict(zip(names, out))
         return joined.select(*[col(key) if c == key else by_name[c] for c in target.columns])
 
-    if not small:
-        return cells(left.join(right, key, "full_outer"))
-    updated = cells(left.join(F.broadcast(right), key, "left"))
-    matched = target.select(col(key)).join(F.broadcast(collapsed.select(col(key))), key, "left_semi")
+    updated = cells(left.join(right, key, "left"))
+    matched = target.select(col(key)).join(collapsed.select(col(key)), key, "left_semi")
     added = collapsed.join(matched, key, "left_anti")
     plain = boxed_to_plain(added, key) if boxed else added
     return updated.unionByName(aligned(plain, target))

@@ -14,9 +14,11 @@ from tabflow.types import LogicalType, logical_type
 
 
 def _quoted(text: Column) -> Column:
-    """JSON string literal."""
+    """JSON string literal; only text that needs escapes goes through the JSON writer."""
     listed = F.to_json(F.array(text))
-    return F.substring(listed, 2, F.length(listed) - 2)
+    escaped = F.substring(listed, 2, F.length(listed) - 2)
+    plain = ~text.rlike(r'["\\\x00-\x1f\x7f]')
+    return F.when(plain, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(escaped)
 
 
 def _value(x: Column, logical: LogicalType) -> Column:

@@ -11,8 +11,8 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from tabflow.functions.cells import render
 from tabflow.functions.workbook import MAX_DATA_ROWS, write_workbook
 from tabflow.runtime import col, scratch_dir
 from tabflow.types import LogicalType, logical_type
@@ -21,6 +21,11 @@ from tabflow.types import LogicalType, logical_type
 _NATIVE = (LogicalType.DATETIME, LogicalType.DOUBLE, LogicalType.LONG, LogicalType.BOOL)
 
 
+def _put(fs, base: str, name: str, content: bytes) -> None:
+    with fs.open_output_stream(f"{base}/{name}") as out:
+        out.write(content)
+
+
 def _writer(folder: str, header: list[str], rows_per_file: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -33,22 +38,21 @@ def _writer(folder: str, header: list[str], rows_per_file: int):
             # Rows go straight into the compressed sheet; only that is held in memory.
             content, n_rows = write_workbook(header, itertools.chain([first], itertools.islice(rows, rows_per_file - 1)))
             name = f"part-{task:05d}-{n:04d}.xlsx"
-            # A repeated task writes the same names; the move makes each file appear whole.
-            hidden = f"{base}/_{name}.{uuid.uuid4().hex}"
-            with fs.open_output_stream(hidden) as out:
-                out.write(content)
-            fs.move(hidden, f"{base}/{name}")
+            # A repeated attempt writes other files; the manifest says which one counts.
+            written = f"{name}.{uuid.uuid4().hex}"
+            _put(fs, base, written, content)
             yield pa.RecordBatch.from_pydict(
-                {"file": [name], "n_rows": pa.array([n_rows], pa.int64())}
+                {"file": [name], "written": [written], "n_rows": pa.array([n_rows], pa.int64())}
             )
 
     return write
 
 
 def _uri(spark: SparkSession, path: str) -> str:
-    """Path with its file system; one without is on Spark's default file system."""
+    """Path with a file system that the workbook tasks can open; one without is on Spark's default file system."""
     if "://" in path:
-        return path
+        scheme, rest = path.split("://", 1)
+        return ("s3" if scheme in ("s3a", "s3n") else scheme) + "://" + rest
     if path.startswith("file:"):
         return "file://" + path.removeprefix("file:")
     default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
@@ -56,22 +60,39 @@ def _uri(spark: SparkSession, path: str) -> str:
 
 
 def write_xlsx(df: DataFrame, path: str, rows_per_file: int = MAX_DATA_ROWS) -> DataFrame:
-    """Write workbooks of at most `rows_per_file` rows into a new folder and return (file, n_rows) per workbook."""
+    """Write workbooks of at most `rows_per_file` rows into a new folder and return (file, n_rows) per workbook.
+
+    Tasks write below a hidden folder; when all of them are done, the workbooks of the manifest are moved into place
+    and `_SUCCESS` says that the folder is complete. A table without rows gives one workbook with a header.
+    """
     if not 0 < rows_per_file <= MAX_DATA_ROWS:
         raise ValueError(f"a sheet holds at most {MAX_DATA_ROWS} data rows")
-    folder = _uri(df.sparkSession, path)
-    fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+    spark = df.sparkSession
+    folder = _uri(spark, path)
+    fs, base = pyarrow.fs.FileSystem.from_uri(folder)  # an unknown scheme is refused here, before any work
     if fs.get_file_info(base).type != pyarrow.fs.FileType.NotFound:
         raise FileExistsError(path)
-    fs.create_dir(base)
+    hidden = f"_parts-{uuid.uuid4().hex}"
+    fs.create_dir(f"{base}/{hidden}")
     cells = [
-        col(f.name) if logical_type(f) in _NATIVE else col(f.name).cast("string").alias(f.name)
+        col(f.name) if logical_type(f) in _NATIVE else render(col(f.name), logical_type(f)).alias(f.name)
         for f in df.schema.fields
     ]
-    manifest = scratch_dir(df.sparkSession, "xlsx-manifest")
+    manifest = scratch_dir(spark, "xlsx-manifest")
     (
         df.select(*cells)
-        .mapInArrow(_writer(folder, df.columns, rows_per_file), "file string, n_rows bigint")
+        .mapInArrow(_writer(f"{folder}/{hidden}", df.columns, rows_per_file), "file string, written string, n_rows bigint")
         .write.parquet(manifest)
     )
-    return df.sparkSession.read.parquet(manifest).select(F.col("file"), F.col("n_rows"))
+    listed = spark.read.parquet(manifest)
+    any_rows = False
+    for workbook in listed.select("file", "written").toLocalIterator():
+        fs.move(f"{base}/{hidden}/{workbook['written']}", f"{base}/{workbook['file']}")
+        any_rows = True
+    if not any_rows:
+        _put(fs, base, "part-00000-0000.xlsx", write_workbook(df.columns, [])[0])
+        one = [("part-00000-0000.xlsx", "", 0)]
+        listed = spark.createDataFrame(one, "file string, written string, n_rows bigint")
+    fs.delete_dir(f"{base}/{hidden}")
+    _put(fs, base, "_SUCCESS", b"")
+    return listed.select("file", "n_rows")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabflow.functions import cells
 from tabflow.runtime import col
-from tabflow.sinks.framed import write_framed
+from tabflow.sinks.framed import write_framed, write_if_empty
 from tabflow.types import logical_type
 
+# Names of the root and row elements.
 ROOT = "ExportedData"
 ROW = "Item"
 
+_OPENING = f'<?xml version="1.0" encoding="utf-8" standalone="yes"?>\n<{ROOT}>\n'
+
 
 def xml_columns(df: DataFrame) -> DataFrame:
     """Rendered columns under their element names; of columns that share a name the last one stays."""
@@ -24,14 +27,15 @@ def xml_columns(df: DataFrame) -> DataFrame:
 
 def write_elements(elements: DataFrame, path: str) -> None:
     """Write a column of finished row elements as documents."""
-    opening = f'<?xml version="1.0" encoding="utf-8" standalone="yes"?>\n<{ROOT}>\n'
-    write_framed(elements, path, opening, "", f"</{ROOT}>")
+    write_framed(elements, path, _OPENING, "", f"</{ROOT}>")
 
 
 def write_xml(df: DataFrame, path: str) -> None:
-    """Write rows as `Item` elements; NULL gives an empty element."""
+    """Write rows as `Item` elements; NULL gives an empty element, a table without rows an empty root."""
+    counted = Observation()
     (
         xml_columns(df)
+        .observe(counted, F.count(F.lit(1)).alias("n"))
         .write.format("xml")
         .option("rootTag", ROOT)
         .option("rowTag", ROW)
@@ -42,3 +46,4 @@ def write_xml(df: DataFrame, path: str) -> None:
         .option("maxRecordsPerFile", 0)
         .save(path)
     )
+    write_if_empty(df.sparkSession, counted, path, f"{_OPENING}</{ROOT}>")

@@ -1,30 +1,33 @@
 """Keyed tables: a parquet table of layers, and a view that names the live ones.
 
-Every load writes its rows as one new layer, which nothing reads yet, and then replaces the view: a single catalog
-change, so readers see all of a load or none of it, and a failed load leaves the table as it was. Rows are kept in
-hash buckets of the key, one folder per layer and bucket. Policies fail and ignore only add a layer; policy update
-rewrites the buckets that hold a matched key and leaves the rest alone.
+Every load writes its rows as one new layer, which nothing reads yet, takes the table's next version by creating that
+version's file, which only one load can do, and then replaces the view. Readers see all of a load or none of it, and a
+failed load leaves the table as it was. A load that took a version but could not show it any more is shown by the next
+one. Rows are kept in hash buckets of the key, one folder per layer and bucket. Policies fail and ignore only add a
+layer; policy update rewrites the buckets that hold a matched key and leaves the rest alone. Layers are folded into one
+on request, never inside a load.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.operators import upsert
 from tabflow.operators.transform import struct_of
-from tabflow.runtime import ORD, col, ident, scratch_dir
+from tabflow.runtime import ORD, col, discard, ident, literal_path, scratch_dir
 from tabflow.types import LogicalType, Policy, ensure_key, find_key, logical_type
 
 LAYER = "_layer"
 BUCKET = "_bucket"
 ROWS_SUFFIX = "__rows"
-MAX_LAYERS = 64
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 16
 BUCKET_BYTES = 1 << 30
 _STATE = "tabflow.state"
 _PROPERTY_CHARS = 4000
@@ -40,12 +43,13 @@ class ConcurrentLoadError(RuntimeError):
 
 @dataclass(frozen=True)
 class State:
-    """What the view shows: live layers, and per bucket the oldest layer that still counts."""
+    """What the view shows: live layers, and per bucket the oldest layer that still counts; loads so far."""
 
     key: str
     buckets: int
     layers: tuple[int, ...] = ()
     floors: tuple[int, ...] = ()
+    version: int = 0
 
     def with_layer(self, layer: int, rewritten) -> State:
         floors = list(self.floors or (0,) * self.buckets)
@@ -65,9 +69,18 @@ class State:
             out += f" AND {LAYER} >= element_at(array({listed}), {BUCKET} + 1)"
         return out
 
+    def to_text(self) -> str:
+        place = {x: i for i, x in enumerate(self.layers)}
+        floors = [place.get(x, -1) for x in self.floors]
+        return json.dumps([self.key, self.buckets, self.layers, floors, self.version], separators=(",", ":"))
+
+    @classmethod
+    def from_text(cls, text: str) -> State:
+        key, buckets, layers, floors, version = json.loads(text)
+        return cls(key, buckets, tuple(layers), tuple(layers[i] if i >= 0 else 0 for i in floors), version)
+
     def to_properties(self) -> dict[str, str]:
-        floors = [self.layers.index(x) if x in self.layers else -1 for x in self.floors]
-        text = json.dumps([self.key, self.buckets, self.layers, floors], separators=(",", ":"))
+        text = self.to_text()
         return {
             f"{_STATE}.{i // _PROPERTY_CHARS}": text[i : i + _PROPERTY_CHARS]
             for i in range(0, len(text), _PROPERTY_CHARS)
@@ -80,8 +93,7 @@ class State:
         }
         if not parts:
             raise ValueError("not a table of this engine")
-        key, buckets, layers, floors = json.loads("".join(parts[i] for i in sorted(parts)))
-        return cls(key, buckets, tuple(layers), tuple(layers[i] if i >= 0 else 0 for i in floors))
+        return cls.from_text("".join(parts[i] for i in sorted(parts)))
 
 
 def _quoted(name: str) -> str:
@@ -93,8 +105,14 @@ def _store(name: str) -> str:
 
 
 def state(spark: SparkSession, name: str) -> State:
+    """The table's last version; one that was taken but not shown is shown now."""
     rows = spark.sql(f"SHOW TBLPROPERTIES {_quoted(name)}").collect()
-    return State.from_properties({r["key"]: r["value"] for r in rows})
+    shown = now = State.from_properties({r["key"]: r["value"] for r in rows})
+    while (later := _taken(spark, name, now.version + 1)) is not None:
+        now = later
+    if now != shown:
+        _show(spark, name, now)
+    return now
 
 
 def types_of(spark: SparkSession, name: str) -> dict[str, LogicalType]:
@@ -119,6 +137,49 @@ def input_bytes(spark: SparkSession, path) -> int:
 # --- creating and publishing ----------------------------------------------------------------------------------
 
 
+def _version_file(spark: SparkSession, name: str, version: int):
+    """Path of a version's file, in a hidden folder beside the layers, and its file system."""
+    rows = spark.sql(f"DESCRIBE FORMATTED {_quoted(_store(name))}").filter("col_name = 'Location'").collect()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{rows[0]['data_type']}/_versions/{version:012d}")
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _taken(spark: SparkSession, name: str, version: int) -> State | None:
+    """The state that a load has taken this version for."""
+    path, fs = _version_file(spark, name, version)
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        text = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return State.from_text(text)
+
+
+def _take(spark: SparkSession, name: str, now: State) -> bool:
+    """Create a version's file with its content in one step; false if it is there already.
+
+    The content is written aside and renamed without overwriting, which HDFS and local file systems refuse if the target
+    exists.
+    """
+    path, fs = _version_file(spark, name, now.version)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
+    stream.write(bytearray(now.to_text().encode()))
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(aside, path, no_options)
+    except Py4JJavaError as e:
+        fs.delete(aside, False)
+        if fs.exists(path):
+            return False
+        raise e
+    return True
+
+
 def _show(spark: SparkSession, name: str, now: State, create: bool = False) -> None:
     columns = _columns(spark, name).columns
     properties = ", ".join(f"'{k}' = '{_escaped(v)}'" for k, v in now.to_properties().items())
@@ -171,42 +232,54 @@ def load(
 ) -> None:
     """Load a typed batch, with its order column, under a conflict policy; all of it or nothing."""
     before = state(spark, name)
-    if len(before.layers) >= MAX_LAYERS:
-        before = _compact(spark, name, before)
     after = _write(spark, name, before, batch, Policy.of(policy), boxed)
     _publish(spark, name, before, after)
 
 
 def _publish(spark: SparkSession, name: str, before: State, after: State) -> None:
-    if state(spark, name) != before:
+    after = replace(after, version=before.version + 1)
+    if not _take(spark, name, after):
         raise ConcurrentLoadError(f"{name} changed during the load")
     _show(spark, name, after)
 
 
-def _compact(spark: SparkSession, name: str, before: State) -> State:
-    """Rewrite all live layers as one, to bound their number; the buckets grow with the table."""
+def fold_layers(spark: SparkSession, name: str, buckets: int | None = None) -> None:
+    """Rewrite all live layers as one, with as many buckets as the table's size now asks for or as given.
+
+    For when many small loads have left many files, or the table has outgrown its buckets; loads never do this.
+    """
+    before = state(spark, name)
+    if not before.layers:
+        return
     live = _live(spark, name, before)
-    file = F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n")
-    n_bytes = live.select(*file).groupBy("f").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
     # Nothing of the old layout stays visible, so the number of buckets may follow the size.
-    wider = State(before.key, max(before.buckets, buckets_for(n_bytes)), before.layers)
+    size = input_bytes(spark, [literal_path(f) for f in live.inputFiles()])
+    wider = State(before.key, buckets or max(before.buckets, buckets_for(size)), before.layers)
     layer = _next_layer(before)
     _write_layer(live.drop(LAYER, BUCKET), name, wider, layer)
-    after = wider.with_layer(layer, range(wider.buckets))
-    _publish(spark, name, before, after)
-    return after
+    _publish(spark, name, before, wider.with_layer(layer, range(wider.buckets)))
+
 
+def drop_superseded(spark: SparkSession, name: str, older_than_s: float = 0) -> None:
+    """Delete folders that the view no longer shows, also those of failed loads; for when no old reader is left.
 
-def drop_superseded(spark: SparkSession, name: str) -> None:
-    """Delete folders that the view no longer shows, also those of failed loads; for when no old reader is left."""
+    Layers are numbered by the time their load began. Only those that began before the newest live layer, and so long
+    ago as asked for, are looked at: a load that is still running and can still be published began after it.
+    """
     now = state(spark, name)
+    if not now.layers:
+        return
     store = _quoted(_store(name))
     floors = now.floors or (0,) * now.buckets
-    dead = []
-    for (partition,) in spark.sql(f"SHOW PARTITIONS {store}").collect():
-        layer, bucket = (int(part.split("=")[1]) for part in partition.split("/"))
-        if layer not in now.layers or layer < floors[bucket]:
-            dead.append(f"PARTITION ({LAYER} = {layer}, {BUCKET} = {bucket})")
+    live, limit = set(now.layers), min(max(now.layers), time.time_ns() // 1000 - int(older_than_s * 1e6))
+    partitions = spark.sql(f"SHOW PARTITIONS {store}")
+    part = lambda i: F.split(F.split("partition", "/")[i], "=")[1].cast("long")
+    old = partitions.select(part(0).alias("layer"), part(1).alias("bucket")).filter(F.col("layer") < limit)
+    dead = [
+        f"PARTITION ({LAYER} = {r['layer']}, {BUCKET} = {r['bucket']})"
+        for r in old.toLocalIterator()
+        if r["layer"] not in live or r["layer"] < floors[r["bucket"]]
+    ]
     for i in range(0, len(dead), 1000):
         spark.sql(f"ALTER TABLE {store} DROP IF EXISTS {', '.join(dead[i : i + 1000])}")
 
@@ -247,15 +320,11 @@ def _columns(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(_store(name)).drop(LAYER, BUCKET)
 
 
-def _write_layer(rows: DataFrame, name: str, now: State, layer: int, aligned: bool = False) -> None:
-    """Append rows as a layer.
-
-    Unless a task's rows are known to be of one or few buckets, they are brought together per bucket; the rebalance
-    splits large buckets over several tasks and joins small ones.
-    """
+def _write_layer(rows: DataFrame, name: str, now: State, layer: int) -> None:
+    """Append rows as a layer, brought together per bucket; the rebalance splits large buckets and joins small ones."""
     columns = _columns(rows.sparkSession, name).columns
     out = rows.select(*[col(c) for c in columns], F.lit(layer).cast("bigint").alias(LAYER), _bucket_of(now).alias(BUCKET))
-    if now.buckets > 1 and not aligned:
+    if now.buckets > 1:
         out = out.hint("rebalance", BUCKET)
     out.write.insertInto(_store(name))
 
@@ -310,33 +379,19 @@ def _write_update(spark, name: str, now: State, batch: DataFrame, layer: int, bo
     # Written out: the merge reads it more than once, and random keys must not be drawn again.
     staging = scratch_dir(spark, "staging")
     collapsed.write.parquet(staging)
-    staged = spark.read.parquet(staging)
-    small = input_bytes(spark, staging) <= _broadcast_bytes(spark)
-
-    near = _live_near(spark, name, now, staged.withColumn(BUCKET, _bucket_of(now)))
-    keys = staged.select(col(key))
-    matched = near.join(F.broadcast(keys) if small else keys, key, "left_semi")
-    touched = sorted(r[0] for r in matched.select(BUCKET).distinct().collect())
-    rewritten = _live(spark, name, now).where(col(BUCKET).isin(touched)).drop(LAYER, BUCKET)
-    if small:
-        # Scan tasks hold rows of few buckets, so the rewritten rows need no shuffle.
-        merged = upsert.merge(rewritten, staged, key, boxed, small=True)
-    else:
-        # A multiple of the bucket number: each partition of the join then holds rows of a single bucket.
-        wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n = now.buckets * -(-wanted // now.buckets)
-        merged = upsert.merge(rewritten.repartition(n, col(key)), staged.repartition(n, col(key)), key, boxed)
-    _write_layer(merged, name, now, layer, aligned=True)
+    try:
+        staged = spark.read.parquet(staging)
+        near = _live_near(spark, name, now, staged.withColumn(BUCKET, _bucket_of(now)))
+        matched = near.join(staged.select(col(key)), key, "left_semi")
+        touched = sorted(r[0] for r in matched.select(BUCKET).distinct().collect())
+        rewritten = _live(spark, name, now).where(col(BUCKET).isin(touched)).drop(LAYER, BUCKET)
+        # The batch's size is known from its files: where Spark broadcasts it, the target is not shuffled.
+        _write_layer(upsert.merge(rewritten, staged, key, boxed), name, now, layer)
+    finally:
+        discard(spark, staging)
     return now.with_layer(layer, touched)
 
 
-def _broadcast_bytes(spark: SparkSession) -> int:
-    """The session's own limit for broadcasting, 0 where it is switched off."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower().rstrip("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1:], 1)
-    return max(0, int(text.rstrip("kmg")) * unit)
-
-
 # --- reading --------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tabflow.functions.workbook import read_workbook, write_workbook
+from tabflow.functions.workbook import header_and_rows, write_workbook
 from tabflow.operators.infer import infer_types
 from tabflow.operators.transform import late_keys, transform
 from tabflow.runtime import LATE, ORD
@@ -320,7 +320,7 @@ def test_xlsx_rows(spark, file):
     assert rows(raw) == [("1", "x", "new"), ("2", "", 'q"<&')]
 
 
-def test_xlsx_shared_strings_and_sparse_cells():
+def test_xlsx_shared_strings_and_sparse_cells(spark, file):
     sheet = (
         '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
         '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>'
@@ -336,11 +336,53 @@ def test_xlsx_shared_strings_and_sparse_cells():
         for name in old.namelist():
             new.writestr(name, sheet if "sheet1" in name else old.read(name))
         new.writestr("xl/sharedStrings.xml", shared)
-    assert read_workbook(out.getvalue()) == (
-        ["Id", "Column_2", "rich", "Column_4", "Column_5"],
-        [["", "", "15", "TRUE", "10/15/2025 14:30:00"]],
-    )
-    assert read_workbook(write_workbook([], [])[0]) == ([], [])
+    assert list(header_and_rows(out.getvalue())) == [["Id", "", "rich"], ["", "", "15", "TRUE", "10/15/2025 14:30:00"]]
+    assert list(header_and_rows(write_workbook([], [])[0])) == [[]]
+    raw = read_xlsx(spark, file("a.xlsx", out.getvalue()))
+    assert raw.columns == ["Id", "Column_2", "rich", "Column_4", "Column_5"]
+    assert rows(raw) == [("", "", "15", "TRUE", "10/15/2025 14:30:00")]
+
+
+def test_xlsx_header_of_another_workbook(spark, file, tmp_path):
+    file("f.xlsx/a.xlsx", write_workbook(["Id", "v"], [(1, "a")])[0])
+    file("f.xlsx/b.xlsx", write_workbook(["other"], [])[0])
+    assert rows(read_xlsx(spark, str(tmp_path / "f.xlsx"))) == [("1", "a")]
+    file("f.xlsx/c.xlsx", write_workbook(["Id"], [(2,)])[0])
+    with pytest.raises(ValueError, match="differs"):
+        read_xlsx(spark, str(tmp_path / "f.xlsx"))
+
+
+@pytest.mark.parametrize("extension", ["json", "xml", "xlsx"])
+def test_export_without_rows(spark, tmp_path, extension):
+    df = spark.createDataFrame([], "Id long, v string")
+    path = str(tmp_path / f"o.{extension}")
+    formats.write(df, path)
+    raw = formats.read(spark, path)
+    assert raw.df.count() == 0
+    parts = [p for p in (tmp_path / f"o.{extension}").glob("part-*") if p.stat().st_size]
+    assert len(parts) == 1
+    if extension == "json":
+        assert json.loads(parts[0].read_text()) == []
+    elif extension == "xml":
+        assert "<ExportedData>" in parts[0].read_text() and "<Item>" not in parts[0].read_text()
+    else:
+        assert raw.columns == ["Id", "v"]
+
+
+def test_xlsx_text_of_other_types(spark, tmp_path):
+    df = spark.sql("SELECT 1 AS Id, CAST(1 AS FLOAT) AS f, CAST(1.50 AS DECIMAL(18,4)) AS d, DATE'2025-10-15' AS day")
+    write_xlsx(df, str(tmp_path / "o.xlsx"))
+    assert (tmp_path / "o.xlsx/_SUCCESS").exists() and not list((tmp_path / "o.xlsx").glob("_parts*"))
+    assert rows(read_xlsx(spark, str(tmp_path / "o.xlsx")))[0][:2] == ("1", "1")
+
+
+def test_xlsx_export_that_fails_leaves_no_workbook(spark, tmp_path):
+    df = spark.range(10).selectExpr("id", "if(id = 9, raise_error('boom'), 'x') AS v")
+    with pytest.raises(Exception, match="boom"):
+        write_xlsx(df, str(tmp_path / "o.xlsx"), rows_per_file=2)
+    assert not list((tmp_path / "o.xlsx").glob("*.xlsx")) and not (tmp_path / "o.xlsx/_SUCCESS").exists()
+    with pytest.raises(Exception):
+        write_xlsx(spark.range(1), "nosuch://x/o.xlsx")
 
 
 def test_xlsx_folder(spark, tmp_path):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabflow import tables
+from tabflow.operators import upsert
 from tabflow.operators.upsert import KeyConflictError
 from tabflow.runtime import ORD
 from tabflow.types import LogicalType as L
@@ -105,28 +106,74 @@ def test_scan_prunes_folders_and_columns(spark, name):
     assert "ReadSchema: struct<Id:bigint,v:string>" in plan
 
 
-def test_aligned_join_writes_one_file_per_bucket(spark, name):
-    """The bucket column and Spark's repartitioning agree, so a join partition holds rows of one bucket."""
-    now = tables.state(spark, name)
-    rows = tables.scan(spark, name).repartition(16, "Id").select(
-        F.spark_partition_id().alias("p"), F.pmod(F.hash("Id"), F.lit(now.buckets)).alias("b")
-    )
-    assert rows.groupBy("p").agg(F.count_distinct("b").alias("n")).filter("n > 1").count() == 0
-
-
-def test_many_layers_are_compacted(spark, database, monkeypatch):
-    monkeypatch.setattr(tables, "MAX_LAYERS", 3)
+def test_folding_layers(spark, database):
     full = f"{database}.c"
     tables.create_and_load(spark, full, TYPES, batch(spark, [(0, "v", 0.0)]), "fail", buckets=2)
     for i in range(1, 6):
         tables.load(spark, full, batch(spark, [(i, "v", 0.0), (0, f"u{i}", 0.0)]), "ignore" if i % 2 else "update")
-        assert len(tables.state(spark, full).layers) <= 4
-    assert content(spark, full) == [(0, "u4", 0.0)] + [(i, "v", 0.0) for i in range(1, 6)]
+    rows = [(0, "u4", 0.0)] + [(i, "v", 0.0) for i in range(1, 6)]
+    assert len(tables.state(spark, full).layers) > 2
+    tables.fold_layers(spark, full, buckets=4)
+    now = tables.state(spark, full)
+    assert len(now.layers) == 1 and now.buckets == 4
+    assert content(spark, full) == rows
     tables.drop_superseded(spark, full)
-    assert content(spark, full) == [(0, "u4", 0.0)] + [(i, "v", 0.0) for i in range(1, 6)]
-    live = set(tables.state(spark, full).layers)
+    assert content(spark, full) == rows
     left = {int(r[0].split("/")[0].split("=")[1]) for r in spark.sql(f"SHOW PARTITIONS {full}__rows").collect()}
-    assert left <= live
+    assert left == set(now.layers)
+    tables.load(spark, full, batch(spark, [(1, "w", 1.0), (9, "n", 1.0)]), "update")
+    assert content(spark, full) == [rows[0], (1, "w", 1.0), *rows[2:], (9, "n", 1.0)]
+
+
+def test_a_load_inside_the_publish_of_another_is_not_lost(spark, name, monkeypatch):
+    """Between reading the state and showing the new one, a second load comes through."""
+    show = tables._show
+
+    def slow(spark_, name_, now, create=False):
+        monkeypatch.setattr(tables, "_show", show)
+        tables.load(spark, name, batch(spark, [(800, "other", 1.0)]), "fail")
+        show(spark_, name_, now, create)
+
+    monkeypatch.setattr(tables, "_show", slow)
+    tables.load(spark, name, batch(spark, [(801, "mine", 1.0)]), "fail")
+    tables.load(spark, name, batch(spark, [(802, "later", 1.0)]), "fail")
+    assert content(spark, name) == expected([(800, "other", 1.0), (801, "mine", 1.0), (802, "later", 1.0)])
+
+
+def test_a_version_that_was_taken_is_shown_by_the_next_load(spark, name, monkeypatch):
+    show = tables._show
+
+    def dies(*args):
+        raise OSError("the driver is gone")
+
+    monkeypatch.setattr(tables, "_show", dies)
+    with pytest.raises(OSError):
+        tables.load(spark, name, batch(spark, [(800, "first", 1.0)]), "fail")
+    monkeypatch.setattr(tables, "_show", show)
+    tables.load(spark, name, batch(spark, [(801, "second", 1.0)]), "fail")
+    assert content(spark, name) == expected([(800, "first", 1.0), (801, "second", 1.0)])
+
+
+def test_cleaning_up_spares_a_running_load(spark, name, monkeypatch):
+    written = tables._write
+
+    def slow(*args):
+        out = written(*args)
+        tables.drop_superseded(spark, name)
+        return out
+
+    monkeypatch.setattr(tables, "_write", slow)
+    tables.load(spark, name, batch(spark, [(801, "mine", 1.0), (3, "x", 1.0)]), "update")
+    assert content(spark, name) == expected([(801, "mine", 1.0), (3, "x", 1.0)])
+
+
+def test_small_update_does_not_shuffle_the_target(spark, name, tmp_path):
+    """The batch is read from its files, so its size is known."""
+    batch(spark, [(7, "x", 1.0)]).drop(ORD).write.parquet(f"{tmp_path}/staged")
+    staged = spark.read.parquet(f"{tmp_path}/staged")
+    plan = upsert.merge(tables.scan(spark, name), staged, "Id", boxed=False)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "Exchange hashpartitioning" not in plan
 
 
 def test_a_second_writer_is_noticed(spark, name, monkeypatch):
