@@ -5,13 +5,14 @@ weights in turn so that their sums by source, by language and by topic meet the
 tokens is the rate at which its documents are wanted; rates are calibrated to probabilities of at most 1 that keep a
 given share of the tokens, and each document is kept or left by a hash of its id and text.
 
-The cells are a table, as is every round's result: there may be as many as there are sources. A round is three sums
-and joins; each dimension's sums are one row per value.
-
-Defined results: a null source, language or topic is a value of its own (empty text); values without a target share
-the mean target of their dimension; targets are scaled to the values that occur; a null or empty text has no tokens and
-follows its cell like any other document; rows equal in id and text share one decision; an empty table gives an
-empty one.
+There may be any number of sources, but languages and topics are closed sets. So the cells are a table with one row per
+source and one column per pair of language and topic: scaling by source is a step within the row, and the factors of
+languages and topics follow from one row of sums per round, as many numbers as there are pairs.
+
+Defined results: a null source is a value of its own (empty text); languages without a target, null included, count as
+one, `other`, whose target is the mean of the given ones; targets are scaled to the values that occur; a null or empty
+text has no tokens and follows its cell like any other document; documents of a source without tokens are kept at the
+overall rate; rows equal in id and text share one decision; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ KEEP = 0.8
 STEPS = 8
 #: Sources are levelled: a source's target is its share of the tokens to this power.
 LEVEL = 0.5
-#: Target weights of languages and topics.
+#: Target weights of languages and topics; a language that is not listed is `OTHER`.
 LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+OTHER = "other"
 TOPICS = {"brief": 0.1, "article": 0.45, "report": 0.35, "table": 0.05, "data": 0.05}
 
 
@@ -55,46 +57,67 @@ def topic(text: Column) -> Column:
 
 
 def _dims(docs: DataFrame, source: str, lang: str, text: str) -> list[Column]:
-    named = [(col(source), "source"), (col(lang), "lang"), (topic(col(text)), "topic")]
-    return [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in named]
+    known = F.when(col(lang).isin(*LANGUAGES), col(lang)).otherwise(OTHER)
+    return [F.coalesce(col(source).cast("string"), F.lit("")).alias("source"), known.alias("lang"), topic(col(text)).alias("topic")]
+
+
+def _pairs() -> list[tuple[str, str]]:
+    return [(l, t) for l in (*LANGUAGES, OTHER) for t in TOPICS]
 
 
 def cells(docs: DataFrame, source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
-    """(source, lang, topic, tokens): sums that are combined in each task before they are shuffled."""
+    """One row per source with its tokens in each pair of language and topic; combined in each task before the shuffle."""
     rows = docs.select(*_dims(docs, source, lang, text), n_tokens(col(text)).alias("n"))
-    return settle(rows.groupBy(*DIMENSIONS).agg(F.sum("n").alias("tokens")).filter("tokens > 0"), "cells")
+    inside = [F.when((F.col("lang") == l) & (F.col("topic") == t), F.col("n")).otherwise(0) for l, t in _pairs()]
+    sums = rows.groupBy("source").agg(F.sum("n").alias("tokens"), *[F.sum(x).alias(f"tokens_{k}") for k, x in enumerate(inside)])
+    return settle(sums.filter("tokens > 0"), "cells")
 
 
-def targets(of: DataFrame, dimension: str) -> DataFrame:
-    """(value, target) of one dimension, summing to 1 over the values that occur."""
-    sums = of.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("tokens"))
-    if dimension == "source":
-        raw = sums.select("value", F.pow(F.col("tokens").cast("double"), F.lit(LEVEL)).alias("raw"))
-    else:
-        given = LANGUAGES if dimension == "lang" else TOPICS
-        known = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
-        raw = sums.select("value", F.coalesce(known[F.col("value")], F.lit(sum(given.values()) / len(given))).alias("raw"))
-    total = raw.agg(F.sum("raw")).first()[0]
-    return settle(raw.select("value", (F.col("raw") / F.lit(total)).alias("target")), "targets")
+def goals(of: DataFrame) -> tuple[float, dict[str, float], dict[str, float]]:
+    """What source targets, languages and topics are scaled by: the sum over sources, and targets that sum to 1."""
+    sums = of.agg(
+        F.sum(F.pow(F.col("tokens").cast("double"), F.lit(LEVEL))).alias("levelled"),
+        *[F.sum(f"tokens_{k}").alias(f"tokens_{k}") for k in range(len(_pairs()))],
+    ).first()
+    given = {**LANGUAGES, OTHER: sum(LANGUAGES.values()) / len(LANGUAGES)}
+    there = {name for k, pair in enumerate(_pairs()) if sums[f"tokens_{k}"] for name in pair}
+    scaled = []
+    for targets in (given, TOPICS):
+        total = sum(v for name, v in targets.items() if name in there)
+        scaled.append({name: v / total for name, v in targets.items() if name in there})
+    return sums["levelled"], *scaled
+
+
+def _scale_sql(levelled: float, factors: list[float]) -> str:
+    """A source's scale: its target over the sum of its cells under the factors of the pairs."""
+    inside = " + ".join(f"tokens_{k} * {f!r}D" for k, f in enumerate(factors) if f)
+    return f"pow(tokens, {LEVEL!r}D) / {levelled!r}D / ({inside})"
 
 
 def rake(of: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with `weight`: token weights, summing to 1, whose marginals meet the targets after some rounds.
+    """(source, lang, topic, tokens, weight): token weights whose marginals meet the targets after some rounds.
 
-    The last dimension is met exactly, the others as closely as the cells allow.
+    Each round scales by source, by language and by topic. The last is met exactly, the others as closely as the cells
+    allow. One job per round, which brings one row of sums to the driver.
     """
-    goals = {d: targets(of, d) for d in DIMENSIONS}
-    total = of.agg(F.sum("tokens")).first()[0]
-    state = of.withColumn("weight", F.col("tokens") / F.lit(float(total)))
+    levelled, by_lang, by_topic = goals(of)
+    pairs = _pairs()
+    lang, topics = dict.fromkeys(by_lang, 1.0), dict.fromkeys(by_topic, 1.0)
+    factors = lambda: [lang.get(l, 0.0) * topics.get(t, 0.0) for l, t in pairs]
+    scaled = of
     for _ in range(rounds):
-        for d in DIMENSIONS:
-            sums = state.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(goals[d], "value").select("value", (F.col("target") / F.col("sum")).alias("factor"))
-            state = state.join(factor, F.col(d) == F.col("value")).select(
-                *DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight")
-            )
-        state = settle(state, "raked")
-    return state
+        scaled = of.selectExpr("*", f"{_scale_sql(levelled, factors())} AS scale")
+        row = scaled.selectExpr(*[f"sum(scale * tokens_{k}) AS s{k}" for k in range(len(pairs))]).first()
+        sums = {pair: row[f"s{k}"] for k, pair in enumerate(pairs)}
+        for name, target in by_lang.items():
+            lang[name] = target / sum(sums[name, t] * topics[t] for t in by_topic)
+        for name, target in by_topic.items():
+            topics[name] = target / sum(sums[l, name] * lang[l] for l in by_lang)
+    entries = ", ".join(
+        f"named_struct('lang', '{l}', 'topic', '{t}', 'tokens', tokens_{k}, 'weight', tokens_{k} * scale * {f!r}D)"
+        for k, ((l, t), f) in enumerate(zip(pairs, factors(), strict=True))
+    )
+    return settle(scaled.selectExpr("source", f"inline(array({entries}))").filter("tokens > 0"), "raked")
 
 
 def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -142,7 +165,7 @@ def mix(
 def probabilities_of(docs: DataFrame, source: str, lang: str, text: str, keep: float) -> DataFrame:
     of = cells(docs, source, lang, text)
     if of.limit(1).count() == 0:
-        return of.select(*DIMENSIONS, F.lit(keep).alias("p"))
+        return of.select("source", F.lit("").alias("lang"), F.lit("").alias("topic"), F.lit(keep).alias("p"))
     return probabilities(rake(of), keep)
 
 

@@ -216,7 +216,7 @@ def _mixing_sql() -> str:
     text, bars = "coalesce(text, '')", lambda chars: f"length(text) - length(translate(text, '{chars}', ''))"
     case = lambda given, column: "CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in given.items()) + f" ELSE {sum(given.values()) / len(given)} END"
     out = [f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {text} AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, CASE WHEN lang IN ({", ".join(f"'{l}'" for l in m.LANGUAGES)}) THEN lang ELSE '{m.OTHER}' END AS lang, {text} AS text FROM documents),
 f AS (
   SELECT *, CASE WHEN ({bars('|')}) * 50 > length(text) THEN 'table' WHEN ({bars('0123456789')}) * 10 > length(text) THEN 'data'
                  WHEN length(text) < 1000 THEN 'brief' WHEN length(text) < 5000 THEN 'article' ELSE 'report' END AS topic,

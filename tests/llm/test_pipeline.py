@@ -128,11 +128,13 @@ def test_lines_near_the_threshold_are_counted_exactly(spark):
 def test_raked_weights_meet_the_targets(spark):
     of = mixing.cells(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     raked = mixing.rake(of).collect()
-    for d in mixing.DIMENSIONS:
-        goal = {r["value"]: r["target"] for r in mixing.targets(of, d).collect()}
+    levelled, by_lang, by_topic = mixing.goals(of)
+    by_source = {r["source"]: r["tokens"] ** mixing.LEVEL / levelled for r in of.collect()}
+    for d, goal in (("source", by_source), ("lang", by_lang), ("topic", by_topic)):
+        assert sum(goal.values()) == pytest.approx(1)
         for value, target in goal.items():
             # The last dimension is met exactly; the others as closely as cells without documents allow.
-            near = 1e-9 if d == mixing.DIMENSIONS[-1] else 0.006
+            near = 1e-9 if d == "topic" else 0.006
             assert sum(r["weight"] for r in raked if r[d] == value) == pytest.approx(target, abs=near)
 
 
