@@ -57,11 +57,13 @@ def database(spark: SparkSession) -> str:
 
 
 def as_text(df: DataFrame) -> Raw:
-    """Rendered cells of a typed frame, as a file would hold them."""
+    """Rendered cells of a typed frame, written once, as a file would hold them."""
     cols = [
         F.coalesce(cells.render(col(f.name), logical_type(f)), F.lit("")).alias(f.name) for f in df.schema.fields
     ]
-    return Raw(df.select(*cols, F.struct(F.lit(0).alias("m")).alias(ORD)), df.columns)
+    path = scratch_dir(df.sparkSession, "text")
+    df.select(*cols, F.struct(F.lit(0).alias("m")).alias(ORD)).write.parquet(path)
+    return Raw(df.sparkSession.read.parquet(path), df.columns, staging=(path,))
 
 
 def typed(raw: Raw) -> DataFrame:
@@ -175,7 +177,7 @@ def json_roundtrip_events(spark, sf_dir):
 
 @query(
     "json_nested_events",
-    """SELECT event_id AS "Id", replace(props, ' ', '') AS props, '[' || user_id || ',"' || event_type || '"]' AS tags
+    """SELECT event_id AS "Id", props, '[' || user_id || ',"' || event_type || '"]' AS tags
        FROM events""",
 )
 def json_nested_events(spark, sf_dir):
@@ -189,6 +191,35 @@ def json_nested_events(spark, sf_dir):
     return typed(formats.read(spark, path))
 
 
+@query(
+    "json_mixed_text",
+    """SELECT event_id AS "Id", CASE event_id % 3 WHEN 0 THEN event_id || '.50' WHEN 1 THEN 'True' ELSE event_type END AS v
+       FROM events""",
+)
+def json_mixed_text(spark, sf_dir):
+    """Numbers and booleans in a column of texts keep the document's own digits, and .NET's names."""
+    e = table(spark, sf_dir, "events")
+    n = e.event_id % 3
+    value = F.when(n == 0, F.concat(e.event_id.cast("string"), F.lit(".50"))).when(n == 1, "true")
+    value = F.coalesce(value, F.concat(F.lit('"'), e.event_type, F.lit('"')))
+    path = scratch_dir(spark, "objects") + ".json"
+    write_objects(e.select(F.concat(F.lit('{"Id":'), e.event_id.cast("string"), F.lit(',"v":'), value, F.lit("}"))), path)
+    return typed(formats.read(spark, path))
+
+
+@query(
+    "json_large_first_object",
+    """SELECT doc_id AS "Id", CASE WHEN doc_id = 0 THEN repeat('}x', 600000) ELSE source END AS v FROM documents""",
+)
+def json_large_first_object(spark, sf_dir):
+    """An object of more than a megabyte with braces in its text comes first."""
+    d = table(spark, sf_dir, "documents").coalesce(1)
+    v = F.when(d.doc_id == 0, F.repeat(F.lit("}x"), F.lit(600_000))).otherwise(d.source)
+    path = scratch_dir(spark, "objects") + ".json"
+    write_objects(d.select(F.to_json(F.struct(d.doc_id.alias("Id"), v.alias("v")))), path)
+    return typed(formats.read(spark, path))
+
+
 @query(
     "json_heterogeneous",
     """
@@ -251,13 +282,21 @@ def xml_roundtrip_pages(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages", "page_id"), ".xml")
 
 
-@query("xml_nested_documents", """SELECT doc_id AS "Id", 'a' || lang || source || 'z' AS v FROM documents""")
+@query(
+    "xml_nested_documents",
+    """SELECT doc_id AS "Id", 'a' || lang || source || 'z' AS v,
+              '<' || replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || '>' AS text
+       FROM documents""",
+)
 def xml_nested_documents(spark, sf_dir):
     """The value of a column with elements inside is all its text."""
     d = table(spark, sf_dir, "documents")
+    text = F.replace(F.replace(d.text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    text = F.replace(text, F.lit("]]>"), F.lit("]]&gt;"))
     elements = d.select(
         F.format_string(
-            '<Item n="1"><Id>%d</Id><v>a<b k=">">%s</b><![CDATA[%s]]>z</v></Item>', d.doc_id, d.lang, d.source
+            '<Item n="1"><Id>%d</Id><v>a<b k=">">%s</b><![CDATA[%s]]>z</v><text><![CDATA[<]]><i>%s</i>&gt;</text></Item>',
+            d.doc_id, d.lang, d.source, text,
         )
     )
     folder = scratch_dir(spark, "elements") + ".xml"
@@ -293,13 +332,22 @@ def xlsx_ingest_nation(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "nation", "n_nationkey"), ".xlsx")
 
 
-@query("xlsx_export_manifest", "SELECT count(*) AS n_rows, true AS within_limit FROM orders")
+@query("xlsx_roundtrip_orders", ORDERS_SQL.replace(" FROM orders", ", o_orderstatus = 'F' AS done FROM orders"))
+def xlsx_roundtrip_orders(spark, sf_dir):
+    """Dates and booleans in native cells."""
+    o = table(spark, sf_dir, "orders", "o_orderkey")
+    return round_trip(o.withColumn("done", o.o_orderstatus == "F"), ".xlsx")
+
+
+@query("xlsx_export_manifest", "SELECT count(*) AS n_rows, true AS within_limit, count(*) > 500 AS several FROM orders")
 def xlsx_export_manifest(spark, sf_dir):
     """Rows over all workbooks of an export, none of which is above the size asked for."""
     path = scratch_dir(spark, "export") + ".xlsx"
-    manifest = write_xlsx(table(spark, sf_dir, "orders", "o_orderkey"), path, rows_per_file=20_000)
+    manifest = write_xlsx(table(spark, sf_dir, "orders", "o_orderkey"), path, rows_per_file=500)
     return manifest.agg(
-        F.sum("n_rows").alias("n_rows"), (F.max("n_rows") <= 20_000).alias("within_limit")
+        F.sum("n_rows").alias("n_rows"),
+        (F.max("n_rows") <= 500).alias("within_limit"),
+        (F.count("*") > 1).alias("several"),
     )
 
 
@@ -388,6 +436,24 @@ _infer_query("labels", LABELS_COLUMNS)
 _infer_query("documents", DOCUMENTS_COLUMNS)
 
 
+FLAGS_SQL = "SELECT doc_id, quality = 1 AS good, toxic = 1 AS bad FROM labels"
+
+
+def flags(spark, sf_dir) -> Raw:
+    labels = table(spark, sf_dir, "labels")
+    return as_text(labels.select("doc_id", (labels.quality == 1).alias("good"), (labels.toxic == 1).alias("bad")))
+
+
+@query("infer_types_flags", _types_sql(f"({FLAGS_SQL})", {"doc_id": "long", "good": "bool", "bad": "bool"}))
+def infer_types_flags(spark, sf_dir):
+    return inferred(flags(spark, sf_dir))
+
+
+@query("typed_transform_flags", FLAGS_SQL)
+def typed_transform_flags(spark, sf_dir):
+    return typed(flags(spark, sf_dir))
+
+
 @query(
     "typed_transform_lineitem",
     """
@@ -490,17 +556,24 @@ def surrogate_key(spark, sf_dir):
     )
 
 
-def _physical_sql() -> str:
-    pairs = ", ".join(
-        f"('{t.value}', '{dbms}', '{ddl}')" for dbms, types in PHYSICAL_TYPES.items() for t, ddl in types.items()
-    )
-    return f"""
-    SELECT column_name, dbms, physical_type FROM ({_types_sql("lineitem", LINEITEM_COLUMNS)})
-    JOIN (VALUES {pairs}) AS p(logical, dbms, physical_type) ON logical = column_type
+@query(
+    "physical_type_map",
     """
-
-
-@query("physical_type_map", _physical_sql())
+    SELECT column_name, dbms, physical_type FROM (VALUES
+      ('l_orderkey', 'sqlite', 'INTEGER'), ('l_orderkey', 'postgres', 'BIGINT'), ('l_orderkey', 'mssql', 'BIGINT'),
+      ('l_partkey', 'sqlite', 'INTEGER'), ('l_partkey', 'postgres', 'BIGINT'), ('l_partkey', 'mssql', 'BIGINT'),
+      ('l_suppkey', 'sqlite', 'INTEGER'), ('l_suppkey', 'postgres', 'BIGINT'), ('l_suppkey', 'mssql', 'BIGINT'),
+      ('l_linenumber', 'sqlite', 'INTEGER'), ('l_linenumber', 'postgres', 'BIGINT'), ('l_linenumber', 'mssql', 'BIGINT'),
+      ('l_quantity', 'sqlite', 'INTEGER'), ('l_quantity', 'postgres', 'BIGINT'), ('l_quantity', 'mssql', 'BIGINT'),
+      ('l_extendedprice', 'sqlite', 'REAL'), ('l_extendedprice', 'postgres', 'DOUBLE PRECISION'), ('l_extendedprice', 'mssql', 'FLOAT'),
+      ('l_discount', 'sqlite', 'REAL'), ('l_discount', 'postgres', 'DOUBLE PRECISION'), ('l_discount', 'mssql', 'FLOAT'),
+      ('l_tax', 'sqlite', 'REAL'), ('l_tax', 'postgres', 'DOUBLE PRECISION'), ('l_tax', 'mssql', 'FLOAT'),
+      ('l_returnflag', 'sqlite', 'TEXT'), ('l_returnflag', 'postgres', 'TEXT'), ('l_returnflag', 'mssql', 'NVARCHAR(MAX)'),
+      ('l_linestatus', 'sqlite', 'TEXT'), ('l_linestatus', 'postgres', 'TEXT'), ('l_linestatus', 'mssql', 'NVARCHAR(MAX)'),
+      ('l_shipdate', 'sqlite', 'TEXT'), ('l_shipdate', 'postgres', 'TIMESTAMP'), ('l_shipdate', 'mssql', 'DATETIME2')
+    ) AS p(column_name, dbms, physical_type) WHERE (SELECT count(*) FROM lineitem) > 0
+    """,
+)
 def physical_type_map(spark, sf_dir):
     """Column types that each DBMS would get for an inferred table."""
     entries = F.array(
@@ -815,18 +888,34 @@ def _customer_after_import(spark, sf_dir, path: str, policy: str) -> DataFrame:
     return tables.scan(spark, name)
 
 
-@query(
-    "export_table_orders",
-    f"""
+def _export_sql(moment: str) -> str:
+    return f"""
     SELECT CAST(o_orderkey AS VARCHAR) AS "Id", CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
            {_text_sql('o_totalprice', 'double')} AS o_totalprice,
-           strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority
+           strftime(o_orderdate, '{moment}') AS o_orderdate, o_orderpriority
     FROM orders
-    """,
-)
-def export_table_orders(spark, sf_dir):
-    """Texts in the CSV export of a table."""
+    """
+
+
+def _exported(spark, sf_dir, extension: str) -> DataFrame:
+    """Texts in the export of a table."""
     name = stored(table(spark, sf_dir, "orders", "o_orderkey"), "orders")
-    path = scratch_dir(spark, "export") + ".csv"
+    path = scratch_dir(spark, "export") + extension
     pipelines.export_table(spark, name, path)
-    return formats.read(spark, path).df.drop(ORD)
+    raw = formats.read(spark, path)
+    return raw.df.select(*[col(c) for c in raw.columns])
+
+
+@query("export_table_orders", _export_sql("%Y-%m-%d %H:%M:%S"))
+def export_table_orders(spark, sf_dir):
+    return _exported(spark, sf_dir, ".csv")
+
+
+@query("export_table_json", _export_sql("%Y-%m-%dT%H:%M:%S"))
+def export_table_json(spark, sf_dir):
+    return _exported(spark, sf_dir, ".json")
+
+
+@query("export_table_xml", _export_sql("%Y-%m-%d %H:%M:%S"))
+def export_table_xml(spark, sf_dir):
+    return _exported(spark, sf_dir, ".xml")

@@ -29,6 +29,7 @@ DRIVERS = {
     "postgres": "org.postgresql.Driver",
     "mssql": "com.microsoft.sqlserver.jdbc.SQLServerDriver",
 }
+# Fixed value: the file of a database without a path.
 DEFAULT_SQLITE = "Data Source=etl.db"
 # The user tables of each DBMS.
 TABLE_LIST_SQL = {
@@ -142,7 +143,8 @@ def scan(
         )
         if bounds[0] is not None:
             reader = (
-                reader.option("partitionColumn", c)
+                # The plain name: Spark looks the column up and quotes it for the database itself.
+                reader.option("partitionColumn", partition_column)
                 .option("lowerBound", str(bounds[0]))
                 .option("upperBound", str(bounds[1]))
                 .option("numPartitions", num_partitions or spark.sparkContext.defaultParallelism)
