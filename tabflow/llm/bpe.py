@@ -15,6 +15,7 @@ equal ids; ids outside the vocabulary cannot be decoded and raise.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -159,10 +160,11 @@ class Encoder:
 def encode(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
     """array<int> of ids. The ranks are sent to each executor once; their number is that of the vocabulary."""
     held = spark.sparkContext.broadcast(ranks)
+    name = hashlib.md5(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = kept_by_worker(("bpe", held.id, pattern), lambda: Encoder(held.value, pattern))
+        encoder = kept_by_worker(("bpe", name), lambda: Encoder(held.value, pattern))
         for batch in texts:
             yield pd.Series([ids for some in bunches(t or "" for t in batch) for ids in encoder(some)], dtype=object)
 

@@ -15,6 +15,7 @@ are ordered by text; repeated rows are kept; an empty table writes no shard.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -240,11 +241,12 @@ def write(docs: DataFrame, file: str, end: int, path: str, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(file)
+    vocabulary = hashlib.md5(file.encode()).hexdigest()
     rows = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text), F.lit("")).alias("t"))
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "t")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = kept_by_worker(("words", held.id), lambda: WordTokenizer(held.value))
+        encode = kept_by_worker(("words", vocabulary), lambda: WordTokenizer(held.value))
         width = max(len(encode.closes) - 1, end).bit_length()
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
