@@ -54,7 +54,8 @@ def import_into(spark: SparkSession, path: str, name: str, policy: Policy | str
         types = {key: table_types[key], **types}
     boxed = raw.partial and policy is Policy.UPDATE
     try:
-        tables.load(spark, name, transform(raw, types, boxed), policy, boxed)
+        n_bytes = tables.input_bytes(spark, path)
+        tables.load(spark, name, transform(raw, types, boxed), policy, boxed, n_bytes)
     finally:
         raw.discard()
 

@@ -29,6 +29,10 @@ BUCKET = "_bucket"
 ROWS_SUFFIX = "__rows"
 MAX_BUCKETS = 1 << 16
 BUCKET_BYTES = 1 << 30
+#: A load of fewer bytes per bucket is kept apart from the buckets, in as few files as it needs.
+SMALL_BYTES = 1 << 20
+#: Bucket column of rows that are kept apart.
+APART = -1
 _STATE = "tabflow.state"
 _PROPERTY_CHARS = 4000
 
@@ -60,13 +64,16 @@ class State:
         return replace(self, layers=layers, floors=tuple(floors))
 
     def condition(self) -> str:
-        """SQL over the partition columns alone, so that it prunes folders."""
+        """SQL that prunes folders by the partition columns; rows kept apart are told by their keys."""
         if not self.layers:
             return "false"
         out = f"{LAYER} IN ({', '.join(f'{x}L' for x in self.layers)})"
         if any(self.floors):
             listed = ", ".join(f"{x}L" for x in self.floors)
-            out += f" AND {LAYER} >= element_at(array({listed}), {BUCKET} + 1)"
+            floor = f"element_at(array({listed}), greatest({BUCKET}, 0) + 1)"
+            by_key = f"element_at(array({listed}), pmod(hash({ident(self.key)}), {self.buckets}) + 1)"
+            out += f" AND ({BUCKET} = {APART} OR {LAYER} >= {floor})"
+            out += f" AND ({BUCKET} <> {APART} OR {LAYER} >= {by_key})"
         return out
 
     def to_text(self) -> str:
@@ -228,11 +235,20 @@ def create_and_load(
 
 
 def load(
-    spark: SparkSession, name: str, batch: DataFrame, policy: Policy | str, boxed: bool = False
+    spark: SparkSession,
+    name: str,
+    batch: DataFrame,
+    policy: Policy | str,
+    boxed: bool = False,
+    n_bytes: int | None = None,
 ) -> None:
-    """Load a typed batch, with its order column, under a conflict policy; all of it or nothing."""
+    """Load a typed batch, with its order column, under a conflict policy; all of it or nothing.
+
+    `n_bytes` is the size of the batch's files, where it is known: a small batch is not cut into buckets.
+    """
     before = state(spark, name)
-    after = _write(spark, name, before, batch, Policy.of(policy), boxed)
+    apart = n_bytes is not None and n_bytes < before.buckets * SMALL_BYTES
+    after = _write(spark, name, before, batch, Policy.of(policy), boxed, apart)
     _publish(spark, name, before, after)
 
 
@@ -278,7 +294,7 @@ def drop_superseded(spark: SparkSession, name: str, older_than_s: float = 0) ->
     dead = [
         f"PARTITION ({LAYER} = {r['layer']}, {BUCKET} = {r['bucket']})"
         for r in old.toLocalIterator()
-        if r["layer"] not in live or r["layer"] < floors[r["bucket"]]
+        if r["layer"] not in live or r["layer"] < (min(floors) if r["bucket"] == APART else floors[r["bucket"]])
     ]
     for i in range(0, len(dead), 1000):
         spark.sql(f"ALTER TABLE {store} DROP IF EXISTS {', '.join(dead[i : i + 1000])}")
@@ -301,10 +317,10 @@ def _live(spark: SparkSession, name: str, now: State) -> DataFrame:
 
 
 def _live_near(spark: SparkSession, name: str, now: State, batch: DataFrame) -> DataFrame:
-    """Live rows in the buckets that a batch, with its bucket column, falls into; the others are not read."""
-    present = [r[0] for r in batch.select(BUCKET).distinct().collect()]
+    """Live rows in the buckets that a batch falls into, and those kept apart; the others are not read."""
+    present = [r[0] for r in batch.select(_bucket_of(now).alias(BUCKET)).distinct().collect()]
     live = _live(spark, name, now)
-    return live if len(present) == now.buckets else live.where(col(BUCKET).isin(present))
+    return live if len(present) == now.buckets else live.where(col(BUCKET).isin([*present, APART]))
 
 
 def _layer(spark: SparkSession, name: str, layer: int) -> DataFrame:
@@ -320,16 +336,20 @@ def _columns(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(_store(name)).drop(LAYER, BUCKET)
 
 
-def _write_layer(rows: DataFrame, name: str, now: State, layer: int) -> None:
+def _write_layer(rows: DataFrame, name: str, now: State, layer: int, apart: bool = False) -> None:
     """Append rows as a layer, brought together per bucket; the rebalance splits large buckets and joins small ones."""
     columns = _columns(rows.sparkSession, name).columns
-    out = rows.select(*[col(c) for c in columns], F.lit(layer).cast("bigint").alias(LAYER), _bucket_of(now).alias(BUCKET))
-    if now.buckets > 1:
+    out = rows.select(*[col(c) for c in columns], F.lit(layer).cast("bigint").alias(LAYER), (F.lit(APART) if apart else _bucket_of(now)).alias(BUCKET))
+    if apart:
+        out = out.hint("rebalance")
+    elif now.buckets > 1:
         out = out.hint("rebalance", BUCKET)
     out.write.insertInto(_store(name))
 
 
-def _write(spark, name: str, now: State, batch: DataFrame, policy: Policy, boxed: bool) -> State:
+def _write(
+    spark, name: str, now: State, batch: DataFrame, policy: Policy, boxed: bool, apart: bool = False
+) -> State:
     """Write the batch's layer and return the state that would show it."""
     layer = _next_layer(now)
     key_type = _columns(spark, name).schema[now.key].dataType
@@ -341,7 +361,7 @@ def _write(spark, name: str, now: State, batch: DataFrame, policy: Policy, boxed
         return _write_update(spark, name, now, batch, layer, boxed)
     plain = upsert.boxed_to_plain(batch, now.key) if boxed else batch
     added = upsert.first_per_key(plain, now.key) if policy is Policy.IGNORE else plain.drop(ORD)
-    _write_layer(upsert.aligned(added, _columns(spark, name)), name, now, layer)
+    _write_layer(upsert.aligned(added, _columns(spark, name)), name, now, layer, apart)
     if policy is Policy.FAIL:
         written = _layer(spark, name, layer)
         target = _live_near(spark, name, now, written) if now.layers else None
@@ -351,11 +371,11 @@ def _write(spark, name: str, now: State, batch: DataFrame, policy: Policy, boxed
             _drop_layer(spark, name, layer)
             raise
     elif now.layers:
-        layer = _without_stored_keys(spark, name, now, layer)
+        layer = _without_stored_keys(spark, name, now, layer, apart)
     return now.with_layer(layer, ())
 
 
-def _without_stored_keys(spark, name: str, now: State, layer: int) -> int:
+def _without_stored_keys(spark, name: str, now: State, layer: int, apart: bool) -> int:
     """The layer itself if it has only new keys, else one with its new keys in its place."""
     written = _layer(spark, name, layer)
     stored = upsert.stored_keys(_live_near(spark, name, now, written), written, now.key)
@@ -363,7 +383,7 @@ def _without_stored_keys(spark, name: str, now: State, layer: int) -> int:
         return layer
     kept = layer + 1
     fresh = written.drop(LAYER, BUCKET).join(stored, now.key, "left_anti")
-    _write_layer(fresh, name, now, kept)
+    _write_layer(fresh, name, now, kept, apart)
     _drop_layer(spark, name, layer)
     return kept
 
@@ -381,10 +401,11 @@ def _write_update(spark, name: str, now: State, batch: DataFrame, layer: int, bo
     collapsed.write.parquet(staging)
     try:
         staged = spark.read.parquet(staging)
-        near = _live_near(spark, name, now, staged.withColumn(BUCKET, _bucket_of(now)))
+        near = _live_near(spark, name, now, staged)
         matched = near.join(staged.select(col(key)), key, "left_semi")
-        touched = sorted(r[0] for r in matched.select(BUCKET).distinct().collect())
-        rewritten = _live(spark, name, now).where(col(BUCKET).isin(touched)).drop(LAYER, BUCKET)
+        touched = sorted(r[0] for r in matched.select(_bucket_of(now)).distinct().collect())
+        live = _live(spark, name, now).where(col(BUCKET).isin([*touched, APART]))
+        rewritten = live.where(_bucket_of(now).isin(touched)).drop(LAYER, BUCKET)
         # The batch's size is known from its files: where Spark broadcasts it, the target is not shuffled.
         _write_layer(upsert.merge(rewritten, staged, key, boxed), name, now, layer)
     finally:

@@ -101,11 +101,36 @@ def test_update_rewrites_only_touched_buckets(spark, name, threshold):
 def test_scan_prunes_folders_and_columns(spark, name):
     tables.load(spark, name, batch(spark, [(7, "x", 1.0)]), "update")
     plan = tables.scan(spark, name).filter("Id = 7").select("v")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(_layer" in plan
+    # Both the layers and the floors of buckets select folders.
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "_layer" in filters and "_bucket" in filters and "Id#" not in filters
     assert "PushedFilters: [IsNotNull(Id), EqualTo(Id,7)]" in plan
     assert "ReadSchema: struct<Id:bigint,v:string>" in plan
 
 
+def test_small_loads_are_kept_apart(spark, database):
+    full = f"{database}.s"
+    tables.create_and_load(spark, full, TYPES, batch(spark, [(i, "v", 0.0) for i in range(300)]), "fail", buckets=64)
+    store = f"{full}__rows"
+    before = len(spark.table(store).inputFiles())
+    for i in range(10):
+        rows = [(1000 + 20 * i + k, "n", float(i)) for k in range(20)] + [(5, "no", 0.0)]
+        tables.load(spark, full, batch(spark, rows), "ignore", n_bytes=1000)
+    assert len(spark.table(store).inputFiles()) - before <= 20
+    expected_rows = {i: (i, "v", 0.0) for i in range(300)} | {1000 + i: (1000 + i, "n", float(i // 20)) for i in range(200)}
+    assert content(spark, full) == sorted(expected_rows.values())
+    with pytest.raises(KeyConflictError):
+        tables.load(spark, full, batch(spark, [(1007, "x", 1.0)]), "fail", n_bytes=1000)
+    tables.load(spark, full, batch(spark, [(1007, "x", 1.0), (7, "y", 2.0), (5000, "z", 3.0)]), "update", n_bytes=1000)
+    expected_rows |= {1007: (1007, "x", 1.0), 7: (7, "y", 2.0), 5000: (5000, "z", 3.0)}
+    assert content(spark, full) == sorted(expected_rows.values())
+    tables.drop_superseded(spark, full)
+    assert content(spark, full) == sorted(expected_rows.values())
+    tables.fold_layers(spark, full)
+    tables.drop_superseded(spark, full)
+    assert content(spark, full) == sorted(expected_rows.values())
+
+
 def test_folding_layers(spark, database):
     full = f"{database}.c"
     tables.create_and_load(spark, full, TYPES, batch(spark, [(0, "v", 0.0)]), "fail", buckets=2)
