@@ -45,6 +45,9 @@ DATE_FORMS = {
     rf"^\s*{_MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}})(?:\s+{_TIME}{_AMPM})?\s*$": "$3-$1-$2|$4|$5|",
     rf"^\s*(\d{{1,2}})\s+{_MONTH}\s+(\d{{4}})(?:\s+{_TIME}{_AMPM})?\s*$": "$3-$2-$1|$4|$5|",
     rf"^\s*(?i:mon|tue|wed|thu|fri|sat|sun), (\d{{1,2}}) {_MONTH} (\d{{4}}) {_TIME} GMT\s*$": "$3-$2-$1|$4||Z",
+    # A year and a month are the first day of that month.
+    r"^\s*(\d{4})[-/](\d{1,2})\s*$": "$1-$2-1|||",
+    rf"^\s*{_MONTH},?\s+(\d{{4}})\s*$": "$2-$1-1|||",
 }
 DATE_START = r"^\s*(?:\d{1,4}[-/]\d|\d{1,2}\s+[A-Za-z]{3}|[A-Za-z]{3,9},?\s+\d)"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -172,7 +175,7 @@ def to_datetime(x: Column) -> Column:
     """Date and date-time texts of a closed list of forms.
 
     Year first (`-` or `/`), month first, month names and the HTTP date, each with an optional time; numeric forms may
-    carry an offset. Time-only and day-month-only texts are left out: they depend on today's date.
+    carry an offset. A year and a month alone are the first day of the month. Time-only and day-month-only texts are left out: they depend on today's date.
     """
     form = F.coalesce(
         *[F.when(x.rlike(pattern), F.regexp_replace(x, pattern, to)) for pattern, to in DATE_FORMS.items()]

@@ -96,6 +96,9 @@ CONVERSIONS = [
     (cells.to_datetime, "2025-10-15T14:30:00+02:00", dt.datetime(2025, 10, 15, 12, 30)),
     (cells.to_datetime, "2025-10-15 14:30:00 -0130", dt.datetime(2025, 10, 15, 16, 0)),
     (cells.to_datetime, "Dec 1, 2025", dt.datetime(2025, 12, 1)),
+    (cells.to_datetime, "2025-10", dt.datetime(2025, 10, 1)),
+    (cells.to_datetime, "October 2025", dt.datetime(2025, 10, 1)),
+    (cells.to_datetime, "2025-13", None),
     (cells.to_datetime, "Wed, 15 Oct 2025 14:30:00 GMT", dt.datetime(2025, 10, 15, 14, 30)),
 ]
 
