@@ -43,8 +43,8 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the digest of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = docs.select("doc_id", bpe.encode(spark, F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids"))
-    digest = F.sha2(bpe.decode(spark, F.col("ids"), ranks), 256)
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, carry=["doc_id"])
+    digest = F.sha2(bpe.decode(F.col("ids"), ranks), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", digest.alias("decoded_sha256"))
 
 

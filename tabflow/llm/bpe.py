@@ -21,21 +21,24 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tabflow.llm.common import kept_by_worker
 from tabflow.llm.words import WordCodes, bunches
+from tabflow.runtime import col
 
 #: Two spaces in one run of white space.
 _TWO_SPACES = re.compile(r" [^\S ]* ")
+#: Marks that often end a word.
+_TAIL = ".,;:!?"
 #: Words of so many bytes are merged one at a time, with a heap.
 LONG = 48
 #: Distinct chunks, and distinct words, that a Python worker keeps.
-CHUNKS, WORDS = 500_000, 400_000
+CHUNKS, WORDS = 400_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,8 +143,14 @@ class Encoder:
 
     def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A chunk is what follows a space; a blank at its end says that no space goes before."""
-        cut = self.pattern.findall
-        return self.words.grouped([cut(c[:-1] if c.endswith(" ") else " " + c) for c in chunks])
+        return self.words.grouped([self._cut(c[:-1] if c.endswith(" ") else " " + c) for c in chunks])
+
+    def _cut(self, chunk: str) -> list[str]:
+        body = chunk.rstrip(_TAIL)
+        # A space and common letters with marks behind them need no pattern.
+        if body[1:].isalpha() and body[0] == " " and max(body) < "ɐ":
+            return [body, chunk[len(body) :]] if len(body) < len(chunk) else [body]
+        return self.pattern.findall(chunk)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -157,31 +166,37 @@ class Encoder:
         return out
 
 
-def encode(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
-    """array<int> of ids. The ranks are sent to each executor once; their number is that of the vocabulary."""
-    held = spark.sparkContext.broadcast(ranks)
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The named columns, or all, and `ids`, an array of token ids per row.
+
+    The ranks are sent to each executor once; their number is that of the vocabulary. Texts come in Arrow batches and
+    are encoded and given out a bunch at a time.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
     name = hashlib.md5(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    kept = [c for c in (docs.columns if carry is None else carry) if c != "ids"]
+    rows = docs.select(*[col(c) for c in kept], F.coalesce(col(text), F.lit("")).alias("ids"))
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_by_worker(("bpe", name), lambda: Encoder(held.value, pattern))
-        for batch in texts:
-            yield pd.Series([ids for some in bunches(t or "" for t in batch) for ids in encoder(some)], dtype=object)
-
-    return of(text)
-
-
-def decode(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
-    """Bytes of a text: the pieces of its ids, one after the other."""
-    pieces = [b""] * (max(ranks.values()) + 1)
+        for batch in batches:
+            at = 0
+            for some in bunches(x.as_py() for x in batch.column(batch.num_columns - 1)):
+                found = encoder(some)
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
+                part = batch.slice(at, len(some))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], batch.schema.names)
+                at += len(some)
+
+    schema = StructType([*rows.schema.fields[:-1], StructField("ids", ArrayType(IntegerType()))])
+    return rows.mapInArrow(of, schema)
+
+
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """Bytes of a text: the pieces of its ids, one after the other, joined as hex digits and read back."""
+    pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece
-    held = spark.sparkContext.broadcast(pieces)
-
-    @F.pandas_udf(BinaryType())
-    def of(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece = held.value.__getitem__
-        for batch in rows:
-            yield pd.Series([b"".join(map(piece, x.tolist())) for x in batch], dtype=object)
-
-    return of(ids)
+        pieces[rank] = piece.hex()
+    known = F.split(F.lit(",".join(pieces)), ",")  # a constant of the plan, as large as the vocabulary
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(known, i + 1)), ""))

@@ -111,14 +111,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    docs = table(spark, sf_dir, "documents")
-    ids = bpe.encode(spark, F.col("text"), ranks, public_tokenizers.PATTERN)
-    coded = docs.select("doc_id", ids.alias("ids"))
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(spark, F.col("ids"), ranks), 256).alias("decoded_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
     )
 
 

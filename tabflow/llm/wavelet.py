@@ -16,6 +16,7 @@ are ordered by text; repeated rows are kept; an empty table writes no shard.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -38,7 +39,9 @@ SHARD = 4_000_000
 #: Bytes of a plane per entry of its directory.
 BLOCK = 512
 #: Distinct words, and distinct pre-tokens, that a Python worker keeps.
-WORDS, PIECES = 500_000, 400_000
+WORDS, PIECES = 700_000, 450_000
+#: Marks that often end a word.
+_TAIL = ".,;:!?"
 
 # --- encoding -------------------------------------------------------------------------------------------------
 
@@ -55,7 +58,7 @@ class WordTokenizer:
     #: The pattern of the vocabulary file's pre-tokenizer; a fixed value.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Characters that no normal form joins, and whose lower case is one character.
-    PLAIN = regex.compile("[!-~À-įı-ſ]+")
+    PLAIN = re.compile("[!-~À-įı-ſ]+")
 
     def __init__(self, file: str):
         self.library = Tokenizer.from_str(file)
@@ -76,9 +79,18 @@ class WordTokenizer:
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode() for w in words]
-        plain = [bool(self.PLAIN.fullmatch(t)) for t in texts]
-        ids, lengths = self.pieces.grouped([self.cut(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)])
-        odd = [i for i, p in enumerate(plain) if not p]
+        odd: list[int] = []
+        split = []
+        for i, text in enumerate(texts):
+            if not self.PLAIN.fullmatch(text):
+                odd.append(i)
+                split.append([])
+                continue
+            low = text.lower()
+            body = low.rstrip(_TAIL)
+            # Letters with marks behind them need no pattern.
+            split.append(([body, low[len(body) :]] if len(body) < len(low) else [body]) if body.isalpha() else self.cut(low))
+        ids, lengths = self.pieces.grouped(split)
         if not odd:
             return ids, lengths
         parts = np.split(ids, np.cumsum(lengths)[:-1])

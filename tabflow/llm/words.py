@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -10,6 +11,18 @@ import numpy as np
 Encoded = tuple[np.ndarray, np.ndarray]
 
 
+class _Numbers(dict):
+    """Word -> its number; a word that is new gets the next one and is noted."""
+
+    def __init__(self) -> None:
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordCodes:
     """Word -> its token ids; every distinct word is encoded once and then looked up.
 
@@ -23,8 +36,8 @@ class WordCodes:
         self._empty()
 
     def _empty(self) -> None:
-        self.number: dict = {}
-        self.starts, self.lengths, self.pool = (np.zeros(1 << 12, kind) for kind in (np.int64, np.int64, np.int32))
+        self.number = _Numbers()
+        self.starts, self.lengths, self.pool = (np.zeros(1 << 12, kind) for kind in (np.int64, np.int32, np.int32))
         self.used = 0
 
     def _room(self, name: str, size: int) -> np.ndarray:
@@ -35,24 +48,25 @@ class WordCodes:
             setattr(self, name, grown)
         return getattr(self, name)
 
-    def _add(self, words: list) -> None:
+    def _add(self) -> None:
+        """Encode the words noted as new; they have the highest numbers."""
+        words, self.number.new = self.number.new, []
         ids, lengths = self.encode(words)
-        k, n = len(self.number), len(words)
-        self._room("starts", k + n)[k : k + n] = self.used + np.cumsum(lengths) - lengths
-        self._room("lengths", k + n)[k : k + n] = lengths
+        n = len(self.number)
+        k = n - len(words)
+        self._room("starts", n)[k:n] = self.used + np.cumsum(lengths) - lengths
+        self._room("lengths", n)[k:n] = lengths
         self._room("pool", self.used + len(ids))[self.used : self.used + len(ids)] = ids
-        self.number.update(zip(words, range(k, k + n), strict=True))
         self.used += len(ids)
 
     def __call__(self, words: list) -> Encoded:
         """Ids of all words end to end, and the number of ids per word."""
-        distinct = set(words)
-        if len(self.number) + len(distinct) > self.limit:
+        if len(self.number) >= self.limit:
             self._empty()
-        if new := [w for w in distinct if w not in self.number]:
-            self._add(new)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[at]
+        if self.number.new:
+            self._add()
+        lengths = self.lengths[at].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         take = np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)
@@ -60,9 +74,9 @@ class WordCodes:
 
     def grouped(self, split: list[list]) -> Encoded:
         """Ids of several lists of words end to end, and the number of ids per list."""
-        ids, lengths = self([w for words in split for w in words])
+        ids, lengths = self(list(itertools.chain.from_iterable(split)))
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = ends[np.concatenate([[0], np.cumsum([len(words) for words in split])]).astype(np.int64)]
+        at = ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])]
         return ids, np.diff(at)
 
     def texts(self, split: list[list]) -> list[np.ndarray]:
@@ -71,7 +85,7 @@ class WordCodes:
         return np.split(ids, np.cumsum(lengths)[:-1]) if split else []
 
 
-def bunches(texts: Iterable[str], chars: int = 2_000_000) -> Iterable[list[str]]:
+def bunches(texts: Iterable[str], chars: int = 500_000) -> Iterable[list[str]]:
     """Consecutive texts in lists of about so many characters; a longer text is a list of its own."""
     some, size = [], 0
     for t in texts:
