@@ -78,13 +78,19 @@ def test_random_batches(spark, policy, seed):
     assert run(spark, rows, policy, target) == model(target, rows, policy)
 
 
-def test_small_batch_plan_gives_the_same_rows(spark):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_both_plans_give_the_same_rows(spark, threshold):
+    """A batch that is broadcast, and one that is not."""
     rng = random.Random(5)
     rows = [(rng.randrange(9), rng.choice([ABSENT, None, "x"]), rng.choice([ABSENT, "y"])) for _ in range(40)]
-    collapsed = upsert.last_present_per_key(batch_of(spark, rows), "Id")
-    small = upsert.merge(target_of(spark), collapsed, "Id", boxed=True, small=True)
-    assert sorted(map(tuple, small.collect())) == model(TARGET, rows, "update")
-    assert "FullOuter" not in small._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        collapsed = upsert.last_present_per_key(batch_of(spark, rows), "Id")
+        merged = upsert.merge(target_of(spark), collapsed, "Id", boxed=True)
+        assert sorted(map(tuple, merged.collect())) == model(TARGET, rows, "update")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_plain_batch(spark):
