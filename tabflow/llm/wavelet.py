@@ -255,7 +255,7 @@ def write(docs: DataFrame, file: str, end: int, path: str, id_col: str = "doc_id
     held = spark.sparkContext.broadcast(file)
     vocabulary = hashlib.md5(file.encode()).hexdigest()
     rows = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text), F.lit("")).alias("t"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "t")
+    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "t").select(F.col("id").cast("string").alias("id"), "t")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = kept_by_worker(("words", vocabulary), lambda: WordTokenizer(held.value))
@@ -269,11 +269,11 @@ def write(docs: DataFrame, file: str, end: int, path: str, id_col: str = "doc_id
             return pd.DataFrame([(part, seq, start, size, Shard.build(names, ids, width).to_bytes())], columns=["part", "seq", "start", "n_tokens", "shard"])
 
         for batch in batches:
-            keys = iter(batch["id"].astype("Int64"))
+            keys = iter(batch["id"])  # as text: whole numbers beside nulls would become floating ones
             for some in bunches(batch["t"]):
                 for tokens in encode(some):
                     key = next(keys)
-                    names.append(None if key is pd.NA else int(key))
+                    names.append(None if key is None else int(key))
                     ids.append(np.append(tokens, end))
                     size += len(tokens) + 1
                     if size >= SHARD:
