@@ -80,9 +80,10 @@ class Judge:
             )
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        data = normal(text).encode()
-        if not data or not self.by_language:
+        letters = normal(text)
+        if not any(map(str.isalpha, letters)) or not self.by_language:  # other digits count as words, not as letters
             return NONE, 0.0, True
+        data = letters.encode()
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         sizes = [(sum(len(c.compress(p)) for p in pieces), name) for name, c in self.by_language.items()]
         sizes.sort()

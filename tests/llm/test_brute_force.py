@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from tabflow.llm import bpe, simhash, syncmers, wavelet
+from tabflow.llm import bpe, language, simhash, syncmers, wavelet
 from tabflow.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -270,6 +270,13 @@ def test_language_of_held_out_rows(spark):
     assert len(seen) > 200 and sum(seen) / len(seen) > 0.95
 
 
+def test_text_without_letters_has_no_language():
+    judge = language.Judge({"en": b"the of and to", "de": b"der die und das"})
+    for text in (None, "", " \n", "12 34", "\u00b2\u00bd", "_ - !"):
+        assert judge(text) == ("und", 0.0, True)
+    assert judge("x")[0] in ("de", "en")
+
+
 def test_odd_rows_are_scored(spark, odd):
     n = len(rows_of(odd))
     languages = QUERIES["op10_language_by_compression"](spark, odd).collect()
