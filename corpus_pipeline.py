@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the source, language and topic targets."""
+    """A sample whose expected tokens meet the source, language and topic targets, as far as there are tokens for them."""
     return mixing.sample(docs)
 
 

@@ -1,9 +1,17 @@
 """Mixing to target weights: token weights raked to source, language and topic marginals, then sampled.
 
 Documents are summed to cells of (source, language, topic). Iterative proportional fitting scales the cells' token
-weights in turn so that their sums by source, by language and by topic meet the targets. A cell's weight over its
-tokens is the rate at which its documents are wanted; rates are calibrated to probabilities of at most 1 that keep a
-given share of the tokens, and each document is kept or left by a hash of its id and text.
+weights in turn so that their sums by source, by language and by topic meet the targets, and each document is kept or
+left by a hash of its id and text. There are two ways from weights to probabilities:
+
+- `calibrate`, which `sample` and so the pipeline uses, rakes under the bound: a cell counts with at most the tokens it
+  has, and the others are raked to what is left of each marginal. At a given kept share a value whose target asks for
+  more tokens than there are cannot meet it, whatever the probabilities: it is kept whole, and the other values of its
+  dimension share the rest in proportion to their targets. If no probabilities meet the goals of all three dimensions,
+  those of the sources hold, and languages and topics come as near as factors within `REACH` allow.
+- `probabilities`, which `mix` and so the query op7_mixing_to_targets uses by default, is the formula of that query's
+  SQL: it rakes without the bound and then cuts rates off at 1. Its sample does NOT meet the targets where cells are
+  cut off: whatever is rarer than its target loses.
 
 There may be any number of sources, but languages and topics are closed sets. So the cells are a table with one row per
 source and one column per pair of language and topic: scaling by source is a step within the row, and the factors of
@@ -28,6 +36,9 @@ ROUNDS = 12
 #: Share of the tokens to keep, and steps of the calibration towards it.
 KEEP = 0.8
 STEPS = 8
+#: Rounds of raking under the bound at most; the distance from the goals, or the change of all factors, that ends them;
+#: how far a factor may be from 1.
+CALIBRATIONS, STABLE, REACH = 60, 1e-6, 1000.0
 #: Sources are levelled: a source's target is its share of the tokens to this power.
 LEVEL = 0.5
 #: Target weights of languages and topics; a language that is not listed is `OTHER`.
@@ -141,6 +152,93 @@ def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     return settle(raked.select(*DIMENSIONS, F.least(F.lit(1.0), rate * F.lit(scale)).alias("p")), "probabilities")
 
 
+def reachable(tokens: dict[str, float], targets: dict[str, float], want: float) -> dict[str, float]:
+    """Tokens to keep of each value: in proportion to the targets, but no more than there are."""
+    out: dict[str, float] = {}
+    while len(out) < len(targets):
+        scale = (want - sum(out.values())) / sum(v for name, v in targets.items() if name not in out)
+        short = {name: tokens[name] for name, v in targets.items() if name not in out and scale * v >= tokens[name]}
+        if not short:
+            return {name: out.get(name, scale * v) for name, v in targets.items()}
+        out |= short
+    return out
+
+
+def reachable_goals(of: DataFrame, keep: float = KEEP) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+    """The cells with the tokens to keep of each source as `goal`, and the tokens to keep by language and by topic.
+
+    Sources stay a table: the scale of their targets is found by one row of sums per step, and rises until it holds.
+    """
+    levelled, by_lang, by_topic = goals(of)
+    row = of.agg(F.sum("tokens").alias("tokens"), *[F.sum(f"tokens_{k}").alias(f"tokens_{k}") for k in range(len(_pairs()))]).first()
+    inside = {pair: row[f"tokens_{k}"] for k, pair in enumerate(_pairs())}
+    want = keep * row["tokens"]
+    tokens, level, scale = F.col("tokens").cast("double"), F.pow(F.col("tokens").cast("double"), F.lit(LEVEL)), want / levelled
+    while True:
+        full = level * F.lit(scale) >= tokens
+        sums = of.agg(F.sum(F.when(full, tokens).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(level)).alias("open")).first()
+        found = (want - sums["full"]) / sums["open"] if sums["open"] else scale
+        if found <= scale * (1 + 1e-12):
+            break
+        scale = found
+    by_lang = reachable({l: sum(inside[l, t] for t in TOPICS) for l in by_lang}, by_lang, want)
+    by_topic = reachable({t: sum(inside[l, t] for l in (*LANGUAGES, OTHER)) for t in by_topic}, by_topic, want)
+    return of.withColumn("goal", F.least(tokens, level * F.lit(scale))), by_lang, by_topic
+
+
+def _step(factor: float, goal: float, full: float, open_: float) -> float:
+    """A factor after a step to its goal: full cells stay as they are, the open ones are scaled to what is left."""
+    step = (goal - full) / open_ if open_ > 0 else 1.0 if full <= goal else 0.0
+    return min(REACH, max(1 / REACH, factor * min(8.0, max(0.125, step))))
+
+
+def calibrate(of: DataFrame, keep: float = KEEP) -> DataFrame:
+    """(source, lang, topic, p): probabilities whose expected tokens meet the reachable goals, see the module.
+
+    A source's scale follows from its own row: its kept tokens, min(1, scale * factor) of each cell, rise with the scale
+    along straight lines, one per set of full cells, and are the least of these. Languages and topics take one step per
+    round, from one row of sums that comes to the driver, until the goals are met or no factor changes.
+    """
+    of, by_lang, by_topic = reachable_goals(of, keep)
+    pairs = _pairs()
+    want = sum(by_lang.values())
+    of = of.selectExpr("source", "goal", "double(tokens) AS tokens", f"array({', '.join(f'double(tokens_{k})' for k in range(len(pairs)))}) AS cells")
+    # Factors enter as arrays, which are no part of the generated code: it is compiled once for all rounds.
+    given = lambda values, kind: f"array({', '.join(f'{v!r}{kind}' for v in values)})"
+    lang, topics = dict.fromkeys((*LANGUAGES, OTHER), 1.0), dict.fromkeys(TOPICS, 1.0)
+    for _ in range(CALIBRATIONS):
+        factors = [lang[l] * topics[t] for l, t in pairs]
+        order = sorted(range(len(pairs)), key=factors.__getitem__)
+        cells_up = f"zip_with({given(order, '')}, {given([factors[k] for k in order], 'D')}, (k, f) -> named_struct('n', cells[k], 'f', f))"
+        scale = (
+            f"aggregate({cells_up}, named_struct('full', tokens, 'open', 0D, 'scale', 0D), (s, x) -> named_struct("
+            "'full', s.full - x.n, 'open', s.open + x.n * x.f, "
+            "'scale', greatest(s.scale, (goal - s.full + x.n) / nullif(s.open + x.n * x.f, 0D))), s -> s.scale)"
+        )
+        rates = f"zip_with(array_repeat({scale}, {len(pairs)}), {given(factors, 'D')}, (s, f) -> s * f)"
+        scaled = of.selectExpr("source", "cells", f"{rates} AS rates")
+        row = scaled.selectExpr(
+            *[f"sum(if(rates[{k}] >= 1, cells[{k}], 0D)) AS full_{k}" for k in range(len(pairs))],
+            *[f"sum(if(rates[{k}] >= 1, 0D, cells[{k}] * rates[{k}])) AS open_{k}" for k in range(len(pairs))],
+        ).first()
+        full, open_ = ({pair: row[f"{kind}_{k}"] for k, pair in enumerate(pairs)} for kind in ("full", "open"))
+        marginals = [(goal, sum(full[l, t] + open_[l, t] for t in TOPICS)) for l, goal in by_lang.items()]
+        marginals += [(goal, sum(full[l, t] + open_[l, t] for l in lang)) for t, goal in by_topic.items()]
+        if all(abs(goal - met) <= STABLE * want for goal, met in marginals):
+            break
+        before = lang, topics
+        lang = {l: _step(v, by_lang[l], sum(full[l, t] for t in topics), sum(open_[l, t] for t in topics)) if l in by_lang else v for l, v in lang.items()}
+        moved = {l: v / before[0][l] for l, v in lang.items()}
+        topics = {
+            t: _step(v, by_topic[t], sum(full[l, t] for l in lang), sum(open_[l, t] * moved[l] for l in lang)) if t in by_topic else v
+            for t, v in topics.items()
+        }
+        if all(abs(new[x] / old[x] - 1) < STABLE for new, old in zip((lang, topics), before, strict=True) for x in old):
+            break
+    entries = ", ".join(f"named_struct('lang', '{l}', 'topic', '{t}', 'n', cells[{k}], 'p', least(1D, rates[{k}]))" for k, (l, t) in enumerate(pairs))
+    return settle(scaled.selectExpr("source", f"inline(array({entries}))").filter("n > 0").select(*DIMENSIONS, "p"), "probabilities")
+
+
 def draw(id_: Column, text: Column) -> Column:
     """A number from 0 up to 1 that depends on the document alone."""
     seen = F.concat(F.lit("mix:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -148,13 +246,14 @@ def draw(id_: Column, text: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", keep: float = KEEP
+    docs: DataFrame, id_col: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", keep: float = KEEP,
+    calibrated: bool = False,
 ) -> DataFrame:
     """(row, source, lang, topic, p, kept): every document with its cell's probability and its own decision.
 
     The probabilities are one row per cell; Spark broadcasts them if they are small, else it splits the hot cell.
     """
-    wanted = probabilities_of(docs, source, lang, text, keep)
+    wanted = probabilities_of(docs, source, lang, text, keep, calibrated)
     rows = packed(docs, *_dims(docs, source, lang, text), draw(col(id_col), col(text)).alias("u"))
     joined = rows.join(wanted, list(DIMENSIONS), "left")
     # A cell without tokens has no rate of its own: its documents are kept at the overall rate.
@@ -162,13 +261,13 @@ def mix(
     return joined.select("row", *DIMENSIONS, "p", (F.col("u") < F.col("p")).alias("kept"))
 
 
-def probabilities_of(docs: DataFrame, source: str, lang: str, text: str, keep: float) -> DataFrame:
+def probabilities_of(docs: DataFrame, source: str, lang: str, text: str, keep: float, calibrated: bool = False) -> DataFrame:
     of = cells(docs, source, lang, text)
     if of.limit(1).count() == 0:
         return of.select("source", F.lit("").alias("lang"), F.lit("").alias("topic"), F.lit(keep).alias("p"))
-    return probabilities(rake(of), keep)
+    return calibrate(of, keep) if calibrated else probabilities(rake(of), keep)
 
 
 def sample(docs: DataFrame, keep: float = KEEP, **names: str) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    return mix(docs, keep=keep, **names).filter("kept").select("row.*")
+    """The documents that are kept, with their own columns; the expected tokens meet the reachable goals."""
+    return mix(docs, keep=keep, calibrated=True, **names).filter("kept").select("row.*")
