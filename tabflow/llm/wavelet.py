@@ -52,7 +52,8 @@ class WordTokenizer:
     ASCII white space separates words for this tokenizer whatever stands beside it, so a text's ids are those of its
     words. Words of common letters and marks fall further apart by the tokenizer's own pattern; those pre-tokens go to
     the library in one call, side by side, and their ids part where a token closes a pre-token. All other words go
-    to the library one by one.
+    to the library one by one, also those that hold one of the file's added tokens, such as `<|endoftext|>`: the library
+    takes these out of the text before it applies the pattern.
     """
 
     #: The pattern of the vocabulary file's pre-tokenizer; a fixed value.
@@ -62,7 +63,8 @@ class WordTokenizer:
 
     def __init__(self, file: str):
         self.library = Tokenizer.from_str(file)
-        self.library.encode_special_tokens = True
+        added = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -82,7 +84,7 @@ class WordTokenizer:
         odd: list[int] = []
         split = []
         for i, text in enumerate(texts):
-            if not self.PLAIN.fullmatch(text):
+            if not self.PLAIN.fullmatch(text) or self.added.search(text):
                 odd.append(i)
                 split.append([])
                 continue
