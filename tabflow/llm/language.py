@@ -44,8 +44,10 @@ def normal(text: str | None) -> str:
 
 
 def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> dict[str, bytes]:
-    """Dictionary bytes per language, from at most `sample` texts of each, chosen by a hash of the key.
+    """Dictionary bytes per language, from at most `sample` texts of each, chosen by a hash of the key and the head.
 
+    Of the chosen heads, laid end to end, only the last `DICTIONARY` bytes are used: some 50 of them if they are long.
+    Texts count by key, so exact copies under several keys can each be chosen.
     Only the chosen heads reach the driver: at most `sample` times `HEAD` characters per language.
     """
     head = F.substring(col(text), 1, HEAD)
