@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm import bpe, chat, host_rules, language, line_dedup, mixing, quality, simhash, syncmers, wavelet
+from tabflow.llm import (
+    bpe, chat, host_rules, language, licenses, line_dedup, mixing, quality, simhash, spelling, syncmers, wavelet, whitening,
+)
 from tabflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +248,32 @@ FROM f LEFT JOIN p USING (source, lang, topic)"""
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", *mixing.DIMENSIONS, F.round("p", 6).alias("p"), "kept")
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_license_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, methods = F.transform("places", lambda p: p["label"]), F.transform("matches", lambda m: m["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p["at"])).alias("first_word"),
+        F.array_max(F.transform("places", lambda p: p["at"])).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, methods)).alias("labels"),
+        # A phrase is there as a whole, which is full containment.
+        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))

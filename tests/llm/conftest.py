@@ -47,6 +47,12 @@ def write_conversations(folder, rows: list[tuple]) -> None:
     pq.write_table(pa.table(data), f"{folder}/conversations.parquet")
 
 
+def write_embeddings(folder, rows: list[tuple]) -> None:
+    cols = list(zip(*rows, strict=True)) or [()] * 2
+    data = {"vec_id": pa.array(cols[0], pa.int64()), "embedding": pa.array(cols[1], pa.list_(pa.float32()))}
+    pq.write_table(pa.table(data), f"{folder}/embeddings.parquet")
+
+
 @pytest.fixture(scope="session")
 def odd(tmp_path_factory):
     folder = tmp_path_factory.mktemp("odd")
@@ -65,6 +71,7 @@ def empty(tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
     write_documents(folder, [])
     write_conversations(folder, [])
+    write_embeddings(folder, [])
     return str(folder)
 
 

@@ -128,9 +128,7 @@ def word_file():
 
 @pytest.fixture(scope="module")
 def library(word_file):
-    library = Tokenizer.from_str(word_file)
-    library.encode_special_tokens = True
-    return library
+    return Tokenizer.from_str(word_file)
 
 
 def test_words_match_the_tokenizer(word_file, library):
