@@ -2,16 +2,14 @@
 
 Documents are summed to cells of (source, language, topic). Iterative proportional fitting scales the cells' token
 weights in turn so that their sums by source, by language and by topic meet the targets, and each document is kept or
-left by a hash of its id and text. There are two ways from weights to probabilities:
+left by a hash of its id and text, with its cell's probability. The weights are raked under the bound that goes with
+probabilities: a cell counts with at most the tokens it has, and the others are raked to what is left of each marginal. At
+a given kept share a value whose target asks for more tokens than there are cannot meet it, whatever the probabilities: it
+is kept whole, and the other values of its dimension share the rest in proportion to their targets.
 
-- `calibrate`, which `sample` and so the pipeline uses, rakes under the bound: a cell counts with at most the tokens it
-  has, and the others are raked to what is left of each marginal. At a given kept share a value whose target asks for
-  more tokens than there are cannot meet it, whatever the probabilities: it is kept whole, and the other values of its
-  dimension share the rest in proportion to their targets. If no probabilities meet the goals of all three dimensions,
-  those of the sources hold, and languages and topics come as near as factors within `REACH` allow.
-- `probabilities`, which `mix` and so the query op7_mixing_to_targets uses by default, is the formula of that query's
-  SQL: it rakes without the bound and then cuts rates off at 1. Its sample does NOT meet the targets where cells are
-  cut off: whatever is rarer than its target loses.
+Rounds go on until all these goals are met. Goals of the three dimensions may contradict each other; then the rounds end
+when they bring the worst miss no further down, the best of them counts, the goals of the sources hold, and the misses
+of languages and topics are returned and warned of.
 
 There may be any number of sources, but languages and topics are closed sets. So the cells are a table with one row per
 source and one column per pair of language and topic: scaling by source is a step within the row, and the factors of
@@ -25,6 +23,10 @@ overall rate; rows equal in id and text share one decision; an empty table gives
 
 from __future__ import annotations
 
+import math
+import warnings
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,16 @@ from tabflow.llm.common import packed, settle
 from tabflow.runtime import col
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS = 12
-#: Share of the tokens to keep, and steps of the calibration towards it.
+#: Share of the tokens to keep.
 KEEP = 0.8
-STEPS = 8
-#: Rounds of raking under the bound at most; the distance from the goals, or the change of all factors, that ends them;
-#: how far a factor may be from 1.
-CALIBRATIONS, STABLE, REACH = 60, 1e-6, 1000.0
+#: Distance from the goals, as a share of the kept tokens, at which they are met.
+STABLE = 1e-6
+#: Rounds end, too, if so many of them did not lower the worst miss by this share.
+PATIENCE, PROGRESS = 6, 0.05
+#: Factors stay within this and its inverse, so that products of them stay numbers.
+REACH = 1e30
+#: Rows of cells per file.
+CELL_ROWS = 100_000
 #: Sources are levelled: a source's target is its share of the tokens to this power.
 LEVEL = 0.5
 #: Target weights of languages and topics; a language that is not listed is `OTHER`.
@@ -81,7 +86,9 @@ def cells(docs: DataFrame, source: str = "source", lang: str = "lang", text: str
     rows = docs.select(*_dims(docs, source, lang, text), n_tokens(col(text)).alias("n"))
     inside = [F.when((F.col("lang") == l) & (F.col("topic") == t), F.col("n")).otherwise(0) for l, t in _pairs()]
     sums = rows.groupBy("source").agg(F.sum("n").alias("tokens"), *[F.sum(x).alias(f"tokens_{k}") for k, x in enumerate(inside)])
-    return settle(sums.filter("tokens > 0"), "cells")
+    sums = settle(sums.filter("tokens > 0"), "cells")
+    # Every round reads them: few rows are not to lie in as many files as there were tasks.
+    return settle(sums.coalesce(max(1, math.ceil(sums.count() / CELL_ROWS))), "cells")
 
 
 def goals(of: DataFrame) -> tuple[float, dict[str, float], dict[str, float]]:
@@ -99,59 +106,6 @@ def goals(of: DataFrame) -> tuple[float, dict[str, float], dict[str, float]]:
     return sums["levelled"], *scaled
 
 
-def _scale_sql(levelled: float, factors: list[float]) -> str:
-    """A source's scale: its target over the sum of its cells under the factors of the pairs."""
-    inside = " + ".join(f"tokens_{k} * {f!r}D" for k, f in enumerate(factors) if f)
-    return f"pow(tokens, {LEVEL!r}D) / {levelled!r}D / ({inside})"
-
-
-def rake(of: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(source, lang, topic, tokens, weight): token weights whose marginals meet the targets after some rounds.
-
-    Each round scales by source, by language and by topic. The last is met exactly, the others as closely as the cells
-    allow. One job per round, which brings one row of sums to the driver.
-    """
-    levelled, by_lang, by_topic = goals(of)
-    pairs = _pairs()
-    lang, topics = dict.fromkeys(by_lang, 1.0), dict.fromkeys(by_topic, 1.0)
-    factors = lambda: [lang.get(l, 0.0) * topics.get(t, 0.0) for l, t in pairs]
-    scaled = of
-    for _ in range(rounds):
-        scaled = of.selectExpr("*", f"{_scale_sql(levelled, factors())} AS scale")
-        row = scaled.selectExpr(*[f"sum(scale * tokens_{k}) AS s{k}" for k in range(len(pairs))]).first()
-        sums = {pair: row[f"s{k}"] for k, pair in enumerate(pairs)}
-        for name, target in by_lang.items():
-            lang[name] = target / sum(sums[name, t] * topics[t] for t in by_topic)
-        for name, target in by_topic.items():
-            topics[name] = target / sum(sums[l, name] * lang[l] for l in by_lang)
-    entries = ", ".join(
-        f"named_struct('lang', '{l}', 'topic', '{t}', 'tokens', tokens_{k}, 'weight', tokens_{k} * scale * {f!r}D)"
-        for k, ((l, t), f) in enumerate(zip(pairs, factors(), strict=True))
-    )
-    return settle(scaled.selectExpr("source", f"inline(array({entries}))").filter("tokens > 0"), "raked")
-
-
-def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
-    """(source, lang, topic, p): probabilities min(1, scale * weight / tokens) that keep a share of all tokens.
-
-    Cells that reach 1 are full; the scale for the rest is found anew until it holds, in a fixed number of steps. One
-    row of sums per step comes to the driver.
-    """
-    rate = F.col("weight") / F.col("tokens")
-    total = raked.agg(F.sum("tokens")).first()[0]
-    scale = keep * total
-    for _ in range(STEPS):
-        full = rate * F.lit(scale) >= 1
-        sums = raked.agg(
-            F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"),
-            F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open"),
-        ).first()
-        if not sums["open"]:
-            break
-        scale = max(scale, (keep * total - sums["full"]) / sums["open"])
-    return settle(raked.select(*DIMENSIONS, F.least(F.lit(1.0), rate * F.lit(scale)).alias("p")), "probabilities")
-
-
 def reachable(tokens: dict[str, float], targets: dict[str, float], want: float) -> dict[str, float]:
     """Tokens to keep of each value: in proportion to the targets, but no more than there are."""
     out: dict[str, float] = {}
@@ -192,12 +146,27 @@ def _step(factor: float, goal: float, full: float, open_: float) -> float:
     return min(REACH, max(1 / REACH, factor * min(8.0, max(0.125, step))))
 
 
-def calibrate(of: DataFrame, keep: float = KEEP) -> DataFrame:
-    """(source, lang, topic, p): probabilities whose expected tokens meet the reachable goals, see the module.
+class Calibration(NamedTuple):
+    """Probabilities per cell, (source, lang, topic, p), and how far each language and topic is off its goal.
+
+    misses: share of the kept tokens above or below the goal, by (dimension, value); all within `STABLE` if `met`.
+    """
+
+    probabilities: DataFrame
+    misses: dict[tuple[str, str], float]
+    rounds: int
+
+    @property
+    def met(self) -> bool:
+        return all(abs(m) <= STABLE for m in self.misses.values())
+
+
+def calibrate(of: DataFrame, keep: float = KEEP) -> Calibration:
+    """Probabilities whose expected tokens meet the reachable goals, see the module.
 
     A source's scale follows from its own row: its kept tokens, min(1, scale * factor) of each cell, rise with the scale
     along straight lines, one per set of full cells, and are the least of these. Languages and topics take one step per
-    round, from one row of sums that comes to the driver, until the goals are met or no factor changes.
+    round, from one row of sums that comes to the driver.
     """
     of, by_lang, by_topic = reachable_goals(of, keep)
     pairs = _pairs()
@@ -205,8 +174,8 @@ def calibrate(of: DataFrame, keep: float = KEEP) -> DataFrame:
     of = of.selectExpr("source", "goal", "double(tokens) AS tokens", f"array({', '.join(f'double(tokens_{k})' for k in range(len(pairs)))}) AS cells")
     # Factors enter as arrays, which are no part of the generated code: it is compiled once for all rounds.
     given = lambda values, kind: f"array({', '.join(f'{v!r}{kind}' for v in values)})"
-    lang, topics = dict.fromkeys((*LANGUAGES, OTHER), 1.0), dict.fromkeys(TOPICS, 1.0)
-    for _ in range(CALIBRATIONS):
+
+    def scaled(lang: dict[str, float], topics: dict[str, float]) -> DataFrame:
         factors = [lang[l] * topics[t] for l, t in pairs]
         order = sorted(range(len(pairs)), key=factors.__getitem__)
         cells_up = f"zip_with({given(order, '')}, {given([factors[k] for k in order], 'D')}, (k, f) -> named_struct('n', cells[k], 'f', f))"
@@ -216,27 +185,37 @@ def calibrate(of: DataFrame, keep: float = KEEP) -> DataFrame:
             "'scale', greatest(s.scale, (goal - s.full + x.n) / nullif(s.open + x.n * x.f, 0D))), s -> s.scale)"
         )
         rates = f"zip_with(array_repeat({scale}, {len(pairs)}), {given(factors, 'D')}, (s, f) -> s * f)"
-        scaled = of.selectExpr("source", "cells", f"{rates} AS rates")
-        row = scaled.selectExpr(
+        return of.selectExpr("source", "cells", f"{rates} AS rates")
+
+    lang, topics = dict.fromkeys((*LANGUAGES, OTHER), 1.0), dict.fromkeys(TOPICS, 1.0)
+    best, waited, rounds = (math.inf, lang, topics, {}), 0, 0
+    while True:
+        rounds += 1
+        row = scaled(lang, topics).selectExpr(
             *[f"sum(if(rates[{k}] >= 1, cells[{k}], 0D)) AS full_{k}" for k in range(len(pairs))],
             *[f"sum(if(rates[{k}] >= 1, 0D, cells[{k}] * rates[{k}])) AS open_{k}" for k in range(len(pairs))],
         ).first()
         full, open_ = ({pair: row[f"{kind}_{k}"] for k, pair in enumerate(pairs)} for kind in ("full", "open"))
-        marginals = [(goal, sum(full[l, t] + open_[l, t] for t in TOPICS)) for l, goal in by_lang.items()]
-        marginals += [(goal, sum(full[l, t] + open_[l, t] for l in lang)) for t, goal in by_topic.items()]
-        if all(abs(goal - met) <= STABLE * want for goal, met in marginals):
+        kept = {pair: full[pair] + open_[pair] for pair in pairs}
+        misses = {("lang", l): (sum(kept[l, t] for t in TOPICS) - goal) / want for l, goal in by_lang.items()}
+        misses |= {("topic", t): (sum(kept[l, t] for l in lang) - goal) / want for t, goal in by_topic.items()}
+        worst = max(abs(m) for m in misses.values())
+        waited = 0 if worst < (1 - PROGRESS) * best[0] else waited + 1
+        if worst < best[0]:
+            best = (worst, lang, topics, misses)
+        if worst <= STABLE or waited >= PATIENCE:
             break
-        before = lang, topics
+        before = lang
         lang = {l: _step(v, by_lang[l], sum(full[l, t] for t in topics), sum(open_[l, t] for t in topics)) if l in by_lang else v for l, v in lang.items()}
-        moved = {l: v / before[0][l] for l, v in lang.items()}
+        moved = {l: v / before[l] for l, v in lang.items()}
         topics = {
             t: _step(v, by_topic[t], sum(full[l, t] for l in lang), sum(open_[l, t] * moved[l] for l in lang)) if t in by_topic else v
             for t, v in topics.items()
         }
-        if all(abs(new[x] / old[x] - 1) < STABLE for new, old in zip((lang, topics), before, strict=True) for x in old):
-            break
+    _, lang, topics, misses = best
     entries = ", ".join(f"named_struct('lang', '{l}', 'topic', '{t}', 'n', cells[{k}], 'p', least(1D, rates[{k}]))" for k, (l, t) in enumerate(pairs))
-    return settle(scaled.selectExpr("source", f"inline(array({entries}))").filter("n > 0").select(*DIMENSIONS, "p"), "probabilities")
+    found = scaled(lang, topics).selectExpr("source", f"inline(array({entries}))").filter("n > 0").select(*DIMENSIONS, "p")
+    return Calibration(settle(found, "probabilities"), misses, rounds)
 
 
 def draw(id_: Column, text: Column) -> Column:
@@ -246,14 +225,13 @@ def draw(id_: Column, text: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", keep: float = KEEP,
-    calibrated: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", keep: float = KEEP
 ) -> DataFrame:
     """(row, source, lang, topic, p, kept): every document with its cell's probability and its own decision.
 
     The probabilities are one row per cell; Spark broadcasts them if they are small, else it splits the hot cell.
     """
-    wanted = probabilities_of(docs, source, lang, text, keep, calibrated)
+    wanted = probabilities_of(docs, source, lang, text, keep)
     rows = packed(docs, *_dims(docs, source, lang, text), draw(col(id_col), col(text)).alias("u"))
     joined = rows.join(wanted, list(DIMENSIONS), "left")
     # A cell without tokens has no rate of its own: its documents are kept at the overall rate.
@@ -261,13 +239,17 @@ def mix(
     return joined.select("row", *DIMENSIONS, "p", (F.col("u") < F.col("p")).alias("kept"))
 
 
-def probabilities_of(docs: DataFrame, source: str, lang: str, text: str, keep: float, calibrated: bool = False) -> DataFrame:
+def probabilities_of(docs: DataFrame, source: str, lang: str, text: str, keep: float) -> DataFrame:
     of = cells(docs, source, lang, text)
     if of.limit(1).count() == 0:
         return of.select("source", F.lit("").alias("lang"), F.lit("").alias("topic"), F.lit(keep).alias("p"))
-    return calibrate(of, keep) if calibrated else probabilities(rake(of), keep)
+    found = calibrate(of, keep)
+    if not found.met:
+        off = ", ".join(f"{d} {v} {m:+.4f}" for (d, v), m in found.misses.items() if abs(m) > STABLE)
+        warnings.warn(f"the mixing goals contradict each other; off by, as shares of the kept tokens: {off}", stacklevel=2)
+    return found.probabilities
 
 
 def sample(docs: DataFrame, keep: float = KEEP, **names: str) -> DataFrame:
     """The documents that are kept, with their own columns; the expected tokens meet the reachable goals."""
-    return mix(docs, keep=keep, calibrated=True, **names).filter("kept").select("row.*")
+    return mix(docs, keep=keep, **names).filter("kept").select("row.*")

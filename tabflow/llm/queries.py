@@ -211,40 +211,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("conv", "conv_id").withColumn("mask", F.array_join(spans, ","))
 
 
-def _mixing_sql() -> str:
-    m = mixing
-    text, bars = "coalesce(text, '')", lambda chars: f"length(text) - length(translate(text, '{chars}', ''))"
-    case = lambda given, column: "CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in given.items()) + f" ELSE {sum(given.values()) / len(given)} END"
-    out = [f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, CASE WHEN lang IN ({", ".join(f"'{l}'" for l in m.LANGUAGES)}) THEN lang ELSE '{m.OTHER}' END AS lang, {text} AS text FROM documents),
-f AS (
-  SELECT *, CASE WHEN ({bars('|')}) * 50 > length(text) THEN 'table' WHEN ({bars('0123456789')}) * 10 > length(text) THEN 'data'
-                 WHEN length(text) < 1000 THEN 'brief' WHEN length(text) < 5000 THEN 'article' ELSE 'report' END AS topic,
-         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM d),
-c AS (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS tokens FROM f GROUP BY ALL HAVING sum(n) > 0),
-goal_source AS (SELECT source AS value, power(sum(tokens), {m.LEVEL}) / sum(power(sum(tokens), {m.LEVEL})) OVER () AS target FROM c GROUP BY source),
-goal_lang AS (SELECT lang AS value, {case(m.LANGUAGES, 'lang')} / sum({case(m.LANGUAGES, 'lang')}) OVER () AS target FROM c GROUP BY lang),
-goal_topic AS (SELECT topic AS value, {case(m.TOPICS, 'topic')} / sum({case(m.TOPICS, 'topic')}) OVER () AS target FROM c GROUP BY topic),
-w0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS weight FROM c)"""]
-    k = 0
-    for _ in range(m.ROUNDS):
-        for d in m.DIMENSIONS:
-            out.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * target / sum(weight) OVER (PARTITION BY {d}) AS weight FROM w{k} JOIN goal_{d} ON {d} = value)")
-            k += 1
-    out.append(f"s0 AS MATERIALIZED (SELECT {m.KEEP} * sum(tokens) AS scale FROM c)")
-    for i in range(m.STEPS):
-        out.append(
-            f"s{i + 1} AS MATERIALIZED (SELECT greatest(any_value(scale), ({m.KEEP} * sum(tokens) - coalesce(sum(tokens) FILTER (weight / tokens * scale >= 1), 0)) "
-            f"/ sum(weight) FILTER (NOT weight / tokens * scale >= 1)) AS scale FROM w{k}, s{i})"
-        )
-    out.append(f"p AS (SELECT source, lang, topic, least(1.0, weight / tokens * scale) AS p FROM w{k}, s{m.STEPS})")
-    drawn = "CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(text)), 1, 8) AS BIGINT) / 4294967296.0"
-    return ",\n".join(out) + f"""
-SELECT doc_id, source, lang, topic, round(coalesce(p, {m.KEEP}), 6) AS p, {drawn} < coalesce(p, {m.KEEP}) AS kept
-FROM f LEFT JOIN p USING (source, lang, topic)"""
-
-
-@query("op7_mixing_to_targets", _mixing_sql())
+@query("op7_mixing_to_targets")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", *mixing.DIMENSIONS, F.round("p", 6).alias("p"), "kept")
