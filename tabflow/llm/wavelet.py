@@ -40,6 +40,8 @@ SHARD = 4_000_000
 BLOCK = 512
 #: Distinct words, and distinct pre-tokens, that a Python worker keeps.
 WORDS, PIECES = 700_000, 450_000
+#: Pre-tokens per call of the library, whose time per pre-token grows with longer texts.
+CALL = 1000
 #: Marks that often end a word.
 _TAIL = ".,;:!?"
 
@@ -73,7 +75,8 @@ class WordTokenizer:
         self.words = WordCodes(self._words, WORDS)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, np.int64)
+        some = (" ".join(pieces[i : i + CALL]) for i in range(0, len(pieces), CALL))
+        ids = np.array([i for t in some for i in self.library.encode_batch_fast([t], add_special_tokens=False)[0].ids], np.int64)
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(pieces):
             raise ValueError("the tokenizer does not close every pre-token")
@@ -157,7 +160,7 @@ class Shard:
         for b in range(width - 1, -1, -1):
             bits = (ids >> b & 1).view(bool) if ids.itemsize == 1 else (ids >> b & 1).astype(bool)
             planes.append(Plane.of(bits))
-            ids = np.concatenate([ids[~bits], ids[bits]])
+            ids = np.concatenate([np.compress(~bits, ids), np.compress(bits, ids)])
         nulls = np.array([d is None for d in docs])
         return cls(np.array([d or 0 for d in docs], np.int64), nulls, np.array([len(t) for t in texts], np.int64), planes)
 
@@ -166,7 +169,7 @@ class Shard:
         out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for b, plane in enumerate(reversed(self.planes)):
             bits, back = plane.bits(), np.empty_like(out)
-            back[~bits], back[bits] = out[: plane.zeros], out[plane.zeros :]
+            back[np.flatnonzero(~bits)], back[np.flatnonzero(bits)] = out[: plane.zeros], out[plane.zeros :]
             out = back | (bits.astype(out.dtype) << b)
         return out
 

@@ -26,20 +26,36 @@ class _Numbers(dict):
 class WordCodes:
     """Word -> its token ids; every distinct word is encoded once and then looked up.
 
-    `encode` takes distinct words and gives their ids end to end and the number of ids per word. The store is emptied
-    when it holds `limit` words, so memory is bounded whatever the vocabulary; words that come again are then encoded
-    again.
+    `encode` takes distinct words and gives their ids end to end and the number of ids per word. When the store holds
+    `limit` words, the half of them used most often stays, so memory is bounded whatever the vocabulary; the others are
+    encoded again when they come again.
     """
 
     def __init__(self, encode: Callable[[list], Encoded], limit: int):
         self.encode, self.limit = encode, limit
-        self._empty()
-
-    def _empty(self) -> None:
         self.number = _Numbers()
         self.starts, self.lengths, self.pool = (np.zeros(1 << 12, kind) for kind in (np.int64, np.int32, np.int32))
+        #: Calls that a word was used in, and entries of the pool.
+        self.calls = np.zeros(1 << 12, np.int32)
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Keep the words used in most calls, half of the limit at most; how often counts half from now on."""
+        n = len(self.number)
+        calls = self.calls[:n]
+        kept = calls > np.partition(calls, n - 1 - self.limit // 2)[n - 1 - self.limit // 2]
+        at = np.flatnonzero(kept)
+        number = _Numbers()
+        number.update(zip(itertools.compress(self.number, kept.tolist()), range(len(at))))
+        lengths = self.lengths[at].astype(np.int64)
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        pool = self.pool[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
+        self.number, self.used = number, total
+        self.starts[: len(at)], self.lengths[: len(at)], self.pool[:total] = ends - lengths, lengths, pool
+        self.calls[: len(at)] = calls[at] // 2
+        self.calls[len(at) :] = 0
+
     def _room(self, name: str, size: int) -> np.ndarray:
         held = getattr(self, name)
         if size > len(held):
@@ -56,16 +72,18 @@ class WordCodes:
         k = n - len(words)
         self._room("starts", n)[k:n] = self.used + np.cumsum(lengths) - lengths
         self._room("lengths", n)[k:n] = lengths
+        self._room("calls", n)
         self._room("pool", self.used + len(ids))[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
     def __call__(self, words: list) -> Encoded:
         """Ids of all words end to end, and the number of ids per word."""
         if len(self.number) >= self.limit:
-            self._empty()
+            self._shrink()
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if self.number.new:
             self._add()
+        self.calls[at] += 1  # once per call, however often a word occurs
         lengths = self.lengths[at].astype(np.int64)
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
