@@ -38,7 +38,7 @@ _TAIL = ".,;:!?"
 #: Words of so many bytes are merged one at a time, with a heap.
 LONG = 48
 #: Distinct chunks, and distinct words, that a Python worker keeps.
-CHUNKS, WORDS = 400_000, 300_000
+CHUNKS, WORDS = 200_000, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
