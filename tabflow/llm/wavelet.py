@@ -42,8 +42,6 @@ BLOCK = 512
 WORDS, PIECES = 700_000, 450_000
 #: Pre-tokens per call of the library, whose time per pre-token grows with longer texts.
 CALL = 1000
-#: Marks that often end a word.
-_TAIL = ".,;:!?"
 
 # --- encoding -------------------------------------------------------------------------------------------------
 
@@ -63,6 +61,9 @@ class WordTokenizer:
     #: Characters that no normal form joins, and whose lower case is one character.
     PLAIN = re.compile("[!-~À-įı-ſ]+")
 
+    #: A line that is letters of those, perhaps with marks behind them, or anything else.
+    LETTERS = re.compile(r"^(?:([a-zß-öø-įı-ſ]+)([.,;:!?]*)|(.+))$", re.M)
+
     def __init__(self, file: str):
         self.library = Tokenizer.from_str(file)
         added = [token.content for token in self.library.get_added_tokens_decoder().values()]
@@ -83,18 +84,19 @@ class WordTokenizer:
         return ids, np.diff(ends, prepend=0)
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [w.decode() for w in words]
+        """All words at once, a line each: letters with marks behind them need no other pattern."""
+        joined = b"\n".join(words).decode()
+        split = [[body, marks] if marks else [body] for body, marks, _ in self.LETTERS.findall(joined.lower())]
         odd: list[int] = []
-        split = []
-        for i, text in enumerate(texts):
-            if not self.PLAIN.fullmatch(text) or self.added.search(text):
-                odd.append(i)
-                split.append([])
+        texts = joined.split("\n") if [""] in split else []
+        for i, pieces in enumerate(split):
+            if pieces != [""]:
                 continue
-            low = text.lower()
-            body = low.rstrip(_TAIL)
-            # Letters with marks behind them need no pattern.
-            split.append(([body, low[len(body) :]] if len(body) < len(low) else [body]) if body.isalpha() else self.cut(low))
+            if self.PLAIN.fullmatch(texts[i]) and not self.added.search(texts[i]):
+                split[i] = self.cut(texts[i].lower())
+            else:
+                odd.append(i)
+                split[i] = []
         ids, lengths = self.pieces.grouped(split)
         if not odd:
             return ids, lengths
