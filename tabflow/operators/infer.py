@@ -73,9 +73,12 @@ def column_masks(df: DataFrame, columns: dict[str, int]) -> DataFrame:
 
 
 def probe(df: DataFrame, columns: list[str], rows: int = PROBE_ROWS) -> dict[str, int]:
-    """Types that the first rows to hand do not rule out yet, as bits per column."""
+    """Types that the first rows to hand do not rule out yet, as bits per column.
+
+    The rows are combined where they are: one row per column comes to the driver.
+    """
     alive = dict.fromkeys(columns, ALL)
-    for i, mask in _masks(df, alive).take(rows * len(columns)):
+    for i, mask in column_masks(df.limit(rows), alive).collect():
         if mask is not None:
             alive[columns[i]] &= mask
     return alive

@@ -18,8 +18,10 @@ from tabflow.types import (
     find_key,
 )
 
+#: The whole row of a format whose rows list their own columns.
+ROW = "__row_map"
 # Columns the engine adds to a frame on its way; no input column may take these names.
-RESERVED = (ORD, LATE, "_layer", "_bucket")
+RESERVED = (ORD, LATE, ROW, "_load", "__stored")
 
 
 @dataclass
@@ -43,10 +45,21 @@ class Raw:
             raise ValueError(f"column names reserved by the engine: {taken}")
 
     def renamed(self, names: dict[str, str]) -> Raw:
-        kept = [c for c in (LATE, ORD) if c in self.df.columns]
+        kept = [c for c in (LATE, ROW, ORD) if c in self.df.columns]
         df = self.df.select(*[col(c).alias(names[c]) for c in self.columns], *kept)
         return Raw(df, [names[c] for c in self.columns], self.partial, self.staging)
 
+    def with_columns(self, names: list[str]) -> Raw:
+        """With more columns, which rows have among their late ones; a column that none has is absent everywhere."""
+        known = {c.lower() for c in self.columns}
+        new = [n for n in names if n.lower() not in known]
+        if not new or ROW not in self.df.columns:
+            return self
+        cells_ = [F.when(F.map_contains_key(ROW, F.lit(n)), F.coalesce(F.try_element_at(ROW, F.lit(n)), F.lit(""))).alias(n) for n in new]
+        left = F.array_except(col(LATE), F.array(*[F.lit(n) for n in new])).alias(LATE)
+        kept = [col(c) for c in self.columns]
+        return Raw(self.df.select(*kept, *cells_, left, ROW, ORD), self.columns + new, self.partial, self.staging)
+
     def discard(self) -> None:
         """Give up the rows: their staged files are deleted."""
         for path in self.staging:
@@ -79,6 +92,13 @@ def late_keys(raw: Raw) -> DataFrame:
     return raw.df.select(F.explode(late).alias("late_key")).groupBy("late_key").agg(F.count("*").alias("n_rows"))
 
 
+def late_names(raw: Raw) -> list[str]:
+    """The late names themselves: one pass over what the rows list, one row per name to the driver."""
+    if raw.late is None:
+        return []
+    return sorted(r["late_key"] for r in late_keys(raw).select("late_key").collect())
+
+
 def _key_cell(name: str, logical: LogicalType, stored: bool) -> Column:
     """A row without the key column gets a random UUID; a blank key stays NULL and is refused later.
 

@@ -13,6 +13,10 @@ from tabflow.runtime import ORD, col
 from tabflow.types import Policy
 
 
+#: Marks the changed rows whose key was stored before.
+STORED = "__stored"
+
+
 class KeyConflictError(ValueError):
     """Policy fail met a key that is already stored, or twice in the batch."""
 
@@ -117,6 +121,35 @@ def _merged_cell(name: str, present: Column, given: Column) -> Column:
     return F.when(present, given).otherwise(F.col("t")[name]).alias(name)
 
 
+def _sides(target: DataFrame, collapsed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    left = target.select(col(key), F.struct(*[col(c) for c in target.columns]).alias("t"))
+    right = collapsed.select(col(key), F.struct(*[col(c) for c in collapsed.columns]).alias("b"))
+    return left, right
+
+
+def _merged_cells(target: DataFrame, collapsed: DataFrame, key: str, boxed: bool) -> list[Column]:
+    """The target's columns with the batch's cells over them, from rows of `_sides` joined."""
+    given = set(collapsed.columns)
+    out = []
+    for c in target.columns:
+        if c == key:
+            out.append(col(key))
+        elif c not in given:
+            out.append(F.col("t")[c].alias(c))
+        elif boxed:
+            out.append(_merged_cell(c, F.col("b")[c].isNotNull(), F.col("b")[c]["v"]))
+        else:
+            out.append(_merged_cell(c, F.col("b").isNotNull(), F.col("b")[c]))
+    return out
+
+
+def _added(target: DataFrame, collapsed: DataFrame, key: str, boxed: bool) -> DataFrame:
+    """Batch rows of new keys, in the target's form."""
+    matched = target.select(col(key)).join(collapsed.select(col(key)), key, "left_semi")
+    added = collapsed.join(matched, key, "left_anti")
+    return aligned(boxed_to_plain(added, key) if boxed else added, target)
+
+
 def merge(target: DataFrame, collapsed: DataFrame, key: str, boxed: bool) -> DataFrame:
     """Target rows with the batch's cells written over them, plus the rows of new keys.
 
@@ -124,28 +157,19 @@ def merge(target: DataFrame, collapsed: DataFrame, key: str, boxed: bool) -> Dat
     Which side is broadcast or shuffled is left to Spark, which knows the sizes: a small batch is broadcast to both
     joins, so that the target is not shuffled.
     """
-    names = [c for c in target.columns if c != key]
-    given = set(collapsed.columns)
-    left = target.select(col(key), F.struct(*[col(c) for c in target.columns]).alias("t"))
-    right = collapsed.select(col(key), F.struct(*[col(c) for c in collapsed.columns]).alias("b"))
+    left, right = _sides(target, collapsed, key)
+    updated = left.join(right, key, "left").select(*_merged_cells(target, collapsed, key, boxed))
+    return updated.unionByName(_added(target, collapsed, key, boxed))
 
-    def cells(joined: DataFrame) -> DataFrame:
-        out = []
-        for c in names:
-            if c not in given:
-                out.append(F.col("t")[c].alias(c))
-            elif boxed:
-                out.append(_merged_cell(c, F.col("b")[c].isNotNull(), F.col("b")[c]["v"]))
-            else:
-                out.append(_merged_cell(c, F.col("b").isNotNull(), F.col("b")[c]))
-        by_name = dict(zip(names, out))
-        return joined.select(*[col(key) if c == key else by_name[c] for c in target.columns])
-
-    updated = cells(left.join(right, key, "left"))
-    matched = target.select(col(key)).join(collapsed.select(col(key)), key, "left_semi")
-    added = collapsed.join(matched, key, "left_anti")
-    plain = boxed_to_plain(added, key) if boxed else added
-    return updated.unionByName(aligned(plain, target))
+
+def changes(target: DataFrame, collapsed: DataFrame, key: str, boxed: bool) -> DataFrame:
+    """The rows of `merge` that the target does not hold as they are: those of the batch's keys, with `STORED`.
+
+    A small batch is broadcast; for a large one a target that is bucketed by the key is not shuffled.
+    """
+    left, right = _sides(target, collapsed, key)
+    updated = left.join(right, key).select(*_merged_cells(target, collapsed, key, boxed), F.lit(True).alias(STORED))
+    return updated.unionByName(_added(target, collapsed, key, boxed).withColumn(STORED, F.lit(False)))
 
 
 def apply_policy(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,12 @@ from tabflow.operators.transform import Raw, late_keys, transform
 from tabflow.plans import pipelines
 from tabflow.runtime import ORD, col, scratch_dir
 from tabflow.sinks.csv import csv_line, write_lines
-from tabflow.sinks.json import write_objects
+from tabflow.sinks.json import write_json_lines, write_objects
 from tabflow.sinks.xlsx import write_xlsx
 from tabflow.sinks.xml import write_elements
 from tabflow.sources import formats
 from tabflow.sources.json import read_json
+from tabflow.streaming.ingest import ingest_stream
 from tabflow.types import KEY, PHYSICAL_TYPES, LogicalType, logical_type
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,14 +209,20 @@ def json_mixed_text(spark, sf_dir):
     return typed(formats.read(spark, path))
 
 
+@query("json_lines_roundtrip_events", EVENTS_SQL)
+def json_lines_roundtrip_events(spark, sf_dir):
+    """One object per line, split by line and parsed where it is read."""
+    return round_trip(table(spark, sf_dir, "events", "event_id"), ".jsonl")
+
+
 @query(
     "json_large_first_object",
-    """SELECT doc_id AS "Id", CASE WHEN doc_id = 0 THEN repeat('}x', 600000) ELSE source END AS v FROM documents""",
+    """SELECT doc_id AS "Id", CASE WHEN doc_id = 0 THEN repeat('}x', 600000) WHEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' THEN text END AS v FROM documents""",
 )
 def json_large_first_object(spark, sf_dir):
     """An object of more than a megabyte with braces in its text comes first."""
-    d = table(spark, sf_dir, "documents").coalesce(1)
-    v = F.when(d.doc_id == 0, F.repeat(F.lit("}x"), F.lit(600_000))).otherwise(d.source)
+    d = table(spark, sf_dir, "documents")
+    v = F.when(d.doc_id == 0, F.repeat(F.lit("}x"), F.lit(600_000))).otherwise(d.text)
     path = scratch_dir(spark, "objects") + ".json"
     write_objects(d.select(F.to_json(F.struct(d.doc_id.alias("Id"), v.alias("v")))), path)
     return typed(formats.read(spark, path))
@@ -919,3 +927,129 @@ def export_table_json(spark, sf_dir):
 @query("export_table_xml", _export_sql("%Y-%m-%d %H:%M:%S"))
 def export_table_xml(spark, sf_dir):
     return _exported(spark, sf_dir, ".xml")
+
+
+# --- streams, quarantine, reports, late columns ---------------------------------------------------------------
+
+
+def _empty_like(spark, df: DataFrame, name: str) -> str:
+    full = f"{database(spark)}.{name}"
+    tables.create_table(spark, full, {f.name: logical_type(f) for f in df.schema.fields}, buckets=4)
+    return full
+
+
+@query("ingest_stream_events", EVENTS_SQL)
+def ingest_stream_events(spark, sf_dir):
+    """JSON Lines files arrive in two lots; the stream stops between batches and goes on from its checkpoint."""
+    e = table(spark, sf_dir, "events", "event_id")
+    name = _empty_like(spark, e, "events")
+    folder, checkpoint = scratch_dir(spark, "arrivals") + ".jsonl", scratch_dir(spark, "checkpoint")
+    half = F.pmod(F.xxhash64("Id"), F.lit(2))
+    for lot in (0, 1):
+        write_json_lines(e.filter(half == lot).repartition(6), f"{folder}/{lot}")
+        ingest_stream(spark, f"{folder}/*", name, checkpoint, "fail", files_per_batch=3).awaitTermination()
+    return tables.scan(spark, name)
+
+
+@query(
+    "ingest_stream_update",
+    """
+    SELECT o_custkey AS "Id", arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_totalprice, o_orderkey) AS price
+    FROM orders GROUP BY o_custkey
+    """,
+)
+def ingest_stream_update(spark, sf_dir):
+    """CSV files in the order of their rows; every batch updates what the batches before it have stored."""
+    o = table(spark, sf_dir, "orders").orderBy("o_orderkey")
+    rows = o.select(o.o_custkey.alias("Id"), o.o_orderstatus.alias("status"), o.o_totalprice.alias("price"))
+    name = _empty_like(spark, rows, "latest")
+    folder = scratch_dir(spark, "arrivals") + ".csv"
+    formats.write(rows, folder)
+    # All files of one lot are one batch, and their names follow the order of the rows.
+    ingest_stream(spark, folder, name, scratch_dir(spark, "checkpoint"), "update", header="Id,status,price").awaitTermination()
+    return tables.scan(spark, name)
+
+
+def _orders_with_faults(spark, sf_dir) -> str:
+    """A CSV export of the orders in which every seventh price and every eleventh date is no such thing."""
+    o = table(spark, sf_dir, "orders")
+    price = F.when(o.o_orderkey % 7 == 0, F.concat(F.lit("("), cells.render_number(o.o_totalprice), F.lit(")"))).otherwise(cells.render_number(o.o_totalprice))
+    day = F.when(o.o_orderkey % 11 == 0, F.lit("some day")).otherwise(cells.render(o.o_orderdate, logical_type(o.schema["o_orderdate"])))
+    path = scratch_dir(spark, "faults") + ".csv"
+    write_lines(o.select(F.concat_ws(",", o.o_orderkey, price, day)), "Id,price,day", path)
+    return path
+
+
+def _quarantined(spark, sf_dir) -> str:
+    name = f"{database(spark)}.orders"
+    tables.create_table(spark, name, {"Id": LogicalType.LONG, "price": LogicalType.DOUBLE, "day": LogicalType.DATETIME}, buckets=4)
+    pipelines.import_into(spark, _orders_with_faults(spark, sf_dir), name, "fail", on_error="quarantine")
+    return name
+
+
+@query(
+    "quarantine_orders",
+    'SELECT o_orderkey AS "Id", o_totalprice AS price, o_orderdate AS day FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0',
+)
+def quarantine_orders(spark, sf_dir):
+    """Rows whose cells all fit are loaded."""
+    return tables.scan(spark, _quarantined(spark, sf_dir))
+
+
+@query(
+    "quarantine_rejects",
+    f"""
+    SELECT CAST(o_orderkey AS VARCHAR) AS id, 'price' AS "column", '(' || {_text_sql('o_totalprice', 'double')} || ')' AS text,
+           'not a valid double' AS reason FROM orders WHERE o_orderkey % 7 = 0
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'day', 'some day', 'not a valid datetime' FROM orders WHERE o_orderkey % 11 = 0
+    """,
+)
+def quarantine_rejects(spark, sf_dir):
+    """The others are kept with one line per fault."""
+    rejects = spark.table(_quarantined(spark, sf_dir) + pipelines.REJECTS_SUFFIX)
+    return rejects.select(F.element_at("cells", "Id").alias("id"), "column", "text", "reason")
+
+
+@query(
+    "load_reports",
+    """
+    WITH b AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+    s AS (SELECT sum(n) AS rows, count(*) AS keys, count(*) FILTER (k IN (SELECT c_custkey FROM customer)) AS stored FROM b)
+    SELECT 'fail' AS policy, (SELECT count(*) FROM customer) AS read, (SELECT count(*) FROM customer) AS inserted,
+           CAST(0 AS BIGINT) AS updated, CAST(0 AS BIGINT) AS ignored, CAST(0 AS BIGINT) AS combined, CAST(0 AS BIGINT) AS rejected
+    UNION ALL SELECT 'ignore', CAST(rows AS BIGINT), keys - stored, 0, CAST(rows - keys + stored AS BIGINT), 0, 0 FROM s
+    UNION ALL SELECT 'update', CAST(rows AS BIGINT), keys - stored, stored, 0, CAST(rows - keys AS BIGINT), 0 FROM s
+    """,
+)
+def load_reports(spark, sf_dir):
+    """What became of the rows of a load, under each policy: counted by the write itself."""
+    customers = target_rows(spark, sf_dir).withColumn(ORD, F.struct("Id"))
+    types = {f.name: logical_type(f) for f in target_rows(spark, sf_dir).schema.fields}
+    reports = []
+    for policy in ("ignore", "update"):
+        name = f"{database(spark)}.customers"
+        first = tables.create_and_load(spark, name, types, customers, "fail", buckets=4)
+        reports.append(tables.load(spark, name, batch_rows(spark, sf_dir), policy))
+    columns = [f.name for f in fields(tables.LoadReport)]
+    rows = [tuple(getattr(r, c) for c in columns) for r in (first, *reports)]
+    return spark.createDataFrame(rows, "policy string, " + ", ".join(f"{c} long" for c in columns[1:]))
+
+
+@query(
+    "late_columns_merge",
+    """
+    SELECT coalesce(c_custkey, o_orderkey) AS "Id", c_name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS priority,
+           CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS status
+    FROM customer FULL JOIN orders ON c_custkey = o_orderkey
+    """,
+)
+def late_columns_merge(spark, sf_dir):
+    """Names that come up anywhere in a file become text columns of a live table; rows that lack them have NULL."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    name = stored(c.select(c.c_custkey.alias("Id"), "c_name"), "customer")
+    member = lambda of, key, value: F.when(o.o_orderkey % of == 0, F.concat(F.lit(f',"{key}":"'), value, F.lit('"')))
+    late = [F.coalesce(member(2, "priority", o.o_orderpriority), F.lit("")), F.coalesce(member(3, "status", o.o_orderstatus), F.lit(""))]
+    path = scratch_dir(spark, "objects") + ".jsonl"
+    o.select(F.concat(F.lit('{"Id":'), o.o_orderkey.cast("string"), *late, F.lit("}"))).write.text(path)
+    pipelines.import_into(spark, path, name, "update", late="merge")
+    return tables.scan(spark, name).select("Id", "c_name", "priority", "status")

@@ -55,3 +55,8 @@ def write_objects(objects: DataFrame, path: str) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """Write rows as arrays of objects."""
     write_objects(df.select(json_object(df).alias("value")), path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """Write rows as JSON Lines, an object per line."""
+    df.select(json_object(df).alias("value")).write.text(path)

@@ -46,25 +46,47 @@ def _lines_below(spark: SparkSession, path, header: str, encoding: str) -> DataF
     return lines.filter(ours).select(F.col("value").alias("line"), ORD).filter(~cells.is_blank(F.col("line")))
 
 
-def read_lines(spark: SparkSession, path, header: str) -> DataFrame:
-    """Data lines below the header of every file, in file order, blank ones left out.
+def line_reader(reader, header: str):
+    """A reader, of files or of a stream of them, that gives whole lines below each file's own header.
 
     The scan splits large files, drops each file's own header and fails on a file whose header is another one.
     """
     schema = T.StructType([T.StructField(header, T.StringType())])
-    lines = (
-        spark.read.schema(schema)
+    return (
+        reader.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("sep", _NO_SEPARATOR)
         .option("quote", _NO_QUOTE)
         .option("escape", _NO_QUOTE)
         .option("mode", "FAILFAST")
-        .csv(path)
     )
+
+
+def read_lines(spark: SparkSession, path, header: str) -> DataFrame:
+    """Data lines below the header of every file, in file order, blank ones left out."""
+    lines = line_reader(spark.read, header).csv(path)
     return lines.select(col(header).alias("line"), file_order().alias(ORD)).filter(~cells.is_blank(F.col("line")))
 
 
+def header_names(spark: SparkSession, header: str) -> list[str]:
+    """Column names of a header line."""
+    split = spark.range(1).select(F.explode(cells.csv_split(F.lit(header))).alias("cell"))
+    return [r["name"] for r in split.select(cells.csv_unquote(F.col("cell")).alias("name")).collect()]
+
+
+def cells_of(lines: DataFrame, names: list[str]) -> Raw:
+    """Text columns of data lines (value, order), see `read_csv`."""
+    value, order = (col(c) for c in lines.columns)
+    place = {name: i for i, name in enumerate(names)}
+    split = lines.filter(~cells.is_blank(value)).select(cells.csv_split(value).alias("c"), order.alias(ORD))
+    columns = [
+        F.coalesce(cells.csv_unquote(F.get(F.col("c"), F.lit(i))), F.lit("")).alias(name)
+        for name, i in place.items()
+    ]
+    return Raw(split.select(*columns, ORD), list(place))
+
+
 def read_csv(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     """Text columns of a CSV file or a folder of files with one common header.
 
@@ -74,18 +96,5 @@ def read_csv(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     file = first_and_largest_file(spark, path)[0]
     encoding = _encoding(spark, file)
     header = _header_line(spark, file, encoding)
-    names = [
-        row["name"]
-        for row in spark.range(1)
-        .select(F.explode(cells.csv_split(F.lit(header))).alias("cell"))
-        .select(cells.csv_unquote(F.col("cell")).alias("name"))
-        .collect()
-    ]
-    place = {name: i for i, name in enumerate(names)}
     lines = read_lines(spark, path, header) if encoding == "UTF-8" else _lines_below(spark, path, header, encoding)
-    split = lines.select(cells.csv_split(F.col("line")).alias("c"), ORD)
-    columns = [
-        F.coalesce(cells.csv_unquote(F.get(F.col("c"), F.lit(i))), F.lit("")).alias(name)
-        for name, i in place.items()
-    ]
-    return Raw(split.select(*columns, ORD), list(place))
+    return cells_of(lines, header_names(spark, header))

@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabflow.operators.transform import Raw
 from tabflow.sinks.csv import write_csv
-from tabflow.sinks.json import write_json
+from tabflow.sinks.json import write_json, write_json_lines
 from tabflow.sinks.xlsx import write_xlsx
 from tabflow.sinks.xml import write_xml
 from tabflow.sources.csv import read_csv
 from tabflow.sources.json import read_json
+from tabflow.sources.json_lines import read_json_lines
 from tabflow.sources.xlsx import read_xlsx
 from tabflow.sources.xml import read_xml
 
 HANDLERS = {
     ".csv": (read_csv, write_csv),
     ".json": (read_json, write_json),
+    ".jsonl": (read_json_lines, write_json_lines),
+    ".ndjson": (read_json_lines, write_json_lines),
     ".xml": (read_xml, write_xml),
     ".xlsx": (read_xlsx, write_xlsx),
 }

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabflow.operators.transform import ROW as WHOLE
 from tabflow.operators.transform import Raw
 from tabflow.runtime import LATE, ORD, discard, scratch_dir
 
@@ -147,4 +148,4 @@ def raw_of_maps(rows: DataFrame, names: list[str], extra: list[str] | None) -> R
         for n in names
     ]
     late = F.array_except(F.map_keys("row"), F.array(*[F.lit(n) for n in names]).cast("array<string>"))
-    return Raw(rows.select(*cells, late.alias(LATE), ORD), names, partial=True)
+    return Raw(rows.select(*cells, late.alias(LATE), F.col("row").alias(WHOLE), ORD), names, partial=True)

@@ -1,125 +1,58 @@
-"""Keyed tables: a parquet table of layers, and a view that names the live ones.
-
-Every load writes its rows as one new layer, which nothing reads yet, takes the table's next version by creating that
-version's file, which only one load can do, and then replaces the view. Readers see all of a load or none of it, and a
-failed load leaves the table as it was. A load that took a version but could not show it any more is shown by the next
-one. Rows are kept in hash buckets of the key, one folder per layer and bucket. Policies fail and ignore only add a
-layer; policy update rewrites the buckets that hold a matched key and leaves the rest alone. Layers are folded into one
-on request, never inside a load.
+"""Keyed tables: a Spark table of loads, bucketed by the key, and a view that names the loads that count.
+
+The rows lie in one Parquet table, partitioned by load and bucketed by key, so that joins on the key do not shuffle them.
+A load writes one new partition, which nothing reads yet, and publishes it: it creates the view of the table's next
+version, which only one load can do, and replaces the table's own view by the same text. Readers see all of a load or none
+of it. Policies fail and ignore write the rows they add. Policy update writes the rows it adds and those it changes;
+of a key that an update has written again, the view shows the newest row. `compact` brings all loads together again.
 """
 
 from __future__ import annotations
 
-import json
 import time
-import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.operators import upsert
 from tabflow.operators.transform import struct_of
-from tabflow.runtime import ORD, col, discard, ident, literal_path, scratch_dir
+from tabflow.runtime import ORD, col, discard, ident, scratch_dir
 from tabflow.types import LogicalType, Policy, ensure_key, find_key, logical_type
+from tabflow.versions import LOAD, ROWS_SUFFIX, ConcurrentLoadError, State, create_view, exists, publish, quoted, state, store_of, view_sql
+
+__all__ = ["ConcurrentLoadError", "exists", "state"]
 
-LAYER = "_layer"
-BUCKET = "_bucket"
-ROWS_SUFFIX = "__rows"
-MAX_BUCKETS = 1 << 16
-BUCKET_BYTES = 1 << 30
-#: A load of fewer bytes per bucket is kept apart from the buckets, in as few files as it needs.
-SMALL_BYTES = 1 << 20
-#: Bucket column of rows that are kept apart.
-APART = -1
-_STATE = "tabflow.state"
-_PROPERTY_CHARS = 4000
+#: Bytes of input per bucket of a new table, and the most buckets.
+BUCKET_BYTES, MAX_BUCKETS = 1 << 27, 1 << 16
 
 
 class TableExistsError(ValueError):
     """A table of that name is already there."""
 
 
-class ConcurrentLoadError(RuntimeError):
-    """Another load changed the table meanwhile."""
+@dataclass(frozen=True)
+class LoadReport:
+    """Rows of a batch by what became of them.
 
+    ignored: policy ignore left them out for a stored or an earlier row; combined: under policy update, rows that went
+    into another row of their key; rejected: set aside as they do not fit the types.
+    """
 
-@dataclass(frozen=True)
-class State:
-    """What the view shows: live layers, and per bucket the oldest layer that still counts; loads so far."""
-
-    key: str
-    buckets: int
-    layers: tuple[int, ...] = ()
-    floors: tuple[int, ...] = ()
-    version: int = 0
-
-    def with_layer(self, layer: int, rewritten) -> State:
-        floors = list(self.floors or (0,) * self.buckets)
-        for b in rewritten:
-            floors[b] = layer
-        oldest = min(floors)
-        layers = tuple(x for x in self.layers if x >= oldest) + (layer,)
-        return replace(self, layers=layers, floors=tuple(floors))
-
-    def condition(self) -> str:
-        """SQL that prunes folders by the partition columns; rows kept apart are told by their keys."""
-        if not self.layers:
-            return "false"
-        out = f"{LAYER} IN ({', '.join(f'{x}L' for x in self.layers)})"
-        if any(self.floors):
-            listed = ", ".join(f"{x}L" for x in self.floors)
-            floor = f"element_at(array({listed}), greatest({BUCKET}, 0) + 1)"
-            by_key = f"element_at(array({listed}), pmod(hash({ident(self.key)}), {self.buckets}) + 1)"
-            out += f" AND ({BUCKET} = {APART} OR {LAYER} >= {floor})"
-            out += f" AND ({BUCKET} <> {APART} OR {LAYER} >= {by_key})"
-        return out
-
-    def to_text(self) -> str:
-        place = {x: i for i, x in enumerate(self.layers)}
-        floors = [place.get(x, -1) for x in self.floors]
-        return json.dumps([self.key, self.buckets, self.layers, floors, self.version], separators=(",", ":"))
-
-    @classmethod
-    def from_text(cls, text: str) -> State:
-        key, buckets, layers, floors, version = json.loads(text)
-        return cls(key, buckets, tuple(layers), tuple(layers[i] if i >= 0 else 0 for i in floors), version)
-
-    def to_properties(self) -> dict[str, str]:
-        text = self.to_text()
-        return {
-            f"{_STATE}.{i // _PROPERTY_CHARS}": text[i : i + _PROPERTY_CHARS]
-            for i in range(0, len(text), _PROPERTY_CHARS)
-        }
-
-    @classmethod
-    def from_properties(cls, properties: dict[str, str]) -> State:
-        parts = {
-            int(k.rpartition(".")[2]): v for k, v in properties.items() if k.startswith(_STATE + ".")
-        }
-        if not parts:
-            raise ValueError("not a table of this engine")
-        return cls.from_text("".join(parts[i] for i in sorted(parts)))
-
-
-def _quoted(name: str) -> str:
-    return ".".join(ident(part) for part in name.split("."))
-
-
-def _store(name: str) -> str:
-    return name + ROWS_SUFFIX
-
-
-def state(spark: SparkSession, name: str) -> State:
-    """The table's last version; one that was taken but not shown is shown now."""
-    rows = spark.sql(f"SHOW TBLPROPERTIES {_quoted(name)}").collect()
-    shown = now = State.from_properties({r["key"]: r["value"] for r in rows})
-    while (later := _taken(spark, name, now.version + 1)) is not None:
-        now = later
-    if now != shown:
-        _show(spark, name, now)
-    return now
+    policy: str
+    read: int = 0
+    inserted: int = 0
+    updated: int = 0
+    ignored: int = 0
+    combined: int = 0
+    rejected: int = 0
+
+
+@dataclass
+class _Written:
+    after: State
+    report: LoadReport = field(default_factory=lambda: LoadReport("fail"))
 
 
 def types_of(spark: SparkSession, name: str) -> dict[str, LogicalType]:
@@ -127,12 +60,8 @@ def types_of(spark: SparkSession, name: str) -> dict[str, LogicalType]:
     return {f.name: logical_type(f) for f in spark.table(name).schema.fields}
 
 
-def exists(spark: SparkSession, name: str) -> bool:
-    return spark.catalog.tableExists(name)
-
-
 def buckets_for(n_bytes: int) -> int:
-    """Number of hash buckets for a table expected to start at this size."""
+    """Number of buckets for a table expected to start at this size."""
     return max(1, min(MAX_BUCKETS, n_bytes // BUCKET_BYTES))
 
 
@@ -141,78 +70,22 @@ def input_bytes(spark: SparkSession, path) -> int:
     return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
 
 
-# --- creating and publishing ----------------------------------------------------------------------------------
-
-
-def _version_file(spark: SparkSession, name: str, version: int):
-    """Path of a version's file, in a hidden folder beside the layers, and its file system."""
-    rows = spark.sql(f"DESCRIBE FORMATTED {_quoted(_store(name))}").filter("col_name = 'Location'").collect()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{rows[0]['data_type']}/_versions/{version:012d}")
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _taken(spark: SparkSession, name: str, version: int) -> State | None:
-    """The state that a load has taken this version for."""
-    path, fs = _version_file(spark, name, version)
-    if not fs.exists(path):
-        return None
-    stream = fs.open(path)
-    try:
-        text = bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-    return State.from_text(text)
-
-
-def _take(spark: SparkSession, name: str, now: State) -> bool:
-    """Create a version's file with its content in one step; false if it is there already.
-
-    The content is written aside and renamed without overwriting, which HDFS and local file systems refuse if the target
-    exists.
-    """
-    path, fs = _version_file(spark, name, now.version)
-    aside = spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{uuid.uuid4().hex}")
-    stream = fs.create(aside, False)
-    stream.write(bytearray(now.to_text().encode()))
-    stream.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
-    no_options = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-    try:
-        context.rename(aside, path, no_options)
-    except Py4JJavaError as e:
-        fs.delete(aside, False)
-        if fs.exists(path):
-            return False
-        raise e
-    return True
-
-
-def _show(spark: SparkSession, name: str, now: State, create: bool = False) -> None:
-    columns = _columns(spark, name).columns
-    properties = ", ".join(f"'{k}' = '{_escaped(v)}'" for k, v in now.to_properties().items())
-    verb = "CREATE VIEW" if create else "CREATE OR REPLACE VIEW"
-    spark.sql(
-        f"{verb} {_quoted(name)} TBLPROPERTIES ({properties}) AS "
-        f"SELECT {', '.join(map(ident, columns))} FROM {_quoted(_store(name))} WHERE {now.condition()}"
-    )
-
-
-def _escaped(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("'", "\\'")
+# --- creating ----------------------------------------------------------------------------------
 
 
 def _create_store(spark: SparkSession, name: str, types: dict[str, LogicalType], buckets: int) -> State:
-    if exists(spark, name) or exists(spark, _store(name)):
+    if exists(spark, name) or exists(spark, store_of(name)):
         raise TableExistsError(f"table {name} already exists")
     types = ensure_key(types)
-    schema = struct_of(types).add(LAYER, "long").add(BUCKET, "integer")
-    spark.createDataFrame([], schema).write.partitionBy(LAYER, BUCKET).saveAsTable(_store(name))
-    return State(find_key(types), buckets)
+    key = find_key(types)
+    empty = spark.createDataFrame([], struct_of(types).add(LOAD, "long"))
+    empty.write.partitionBy(LOAD).bucketBy(buckets, key).saveAsTable(store_of(name))
+    return State(key, buckets, tuple(types))
 
 
 def create_table(spark: SparkSession, name: str, types: dict[str, LogicalType], buckets: int = 1) -> None:
     """An empty table with the given columns; a UUID key column is put in front if they have none."""
-    _show(spark, name, _create_store(spark, name, types, buckets), create=True)
+    create_view(spark, "CREATE VIEW", name, name, _create_store(spark, name, types, buckets))
 
 
 def create_and_load(
@@ -223,15 +96,16 @@ def create_and_load(
     policy: Policy | str,
     boxed: bool = False,
     buckets: int = 1,
-) -> None:
+) -> LoadReport:
     """Create a table with its first rows; after an error there is no table."""
     before = _create_store(spark, name, types, buckets)
     try:
-        after = _write(spark, name, before, batch, Policy.of(policy), boxed)
-        _show(spark, name, after, create=True)
+        written = _write(spark, name, before, batch, Policy.of(policy), boxed)
+        create_view(spark, "CREATE VIEW", name, name, written.after)
     except Exception:
-        spark.sql(f"DROP TABLE IF EXISTS {_quoted(_store(name))}")
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(store_of(name))}")
         raise
+    return written.report
 
 
 def load(
@@ -240,177 +114,137 @@ def load(
     batch: DataFrame,
     policy: Policy | str,
     boxed: bool = False,
-    n_bytes: int | None = None,
-) -> None:
+    stream: tuple[str, int] | None = None,
+) -> LoadReport:
     """Load a typed batch, with its order column, under a conflict policy; all of it or nothing.
 
-    `n_bytes` is the size of the batch's files, where it is known: a small batch is not cut into buckets.
+    Text columns that the table lacks are added to it; older rows have NULL there. `stream` names a stream and the
+    number of its batch: the number is published with the rows, and a batch that was published is not loaded again.
     """
     before = state(spark, name)
-    apart = n_bytes is not None and n_bytes < before.buckets * SMALL_BYTES
-    after = _write(spark, name, before, batch, Policy.of(policy), boxed, apart)
-    _publish(spark, name, before, after)
-
-
-def _publish(spark: SparkSession, name: str, before: State, after: State) -> None:
-    after = replace(after, version=before.version + 1)
-    if not _take(spark, name, after):
-        raise ConcurrentLoadError(f"{name} changed during the load")
-    _show(spark, name, after)
-
-
-def fold_layers(spark: SparkSession, name: str, buckets: int | None = None) -> None:
-    """Rewrite all live layers as one, with as many buckets as the table's size now asks for or as given.
-
-    For when many small loads have left many files, or the table has outgrown its buckets; loads never do this.
-    """
+    if stream and dict(before.streams).get(stream[0], -1) >= stream[1]:
+        return LoadReport(Policy.of(policy).value)
+    added = [c for c in batch.columns if c != ORD and c not in before.columns]
+    if added:
+        _add_columns(spark, name, added)
+        before = replace(before, columns=before.columns + tuple(added))
+    written = _write(spark, name, before, batch, Policy.of(policy), boxed)
+    after = written.after
+    if stream:
+        after = replace(after, streams=tuple(sorted((dict(after.streams) | {stream[0]: stream[1]}).items())))
+    publish(spark, name, before, after)
+    return written.report
+
+
+def _add_columns(spark: SparkSession, name: str, added: list[str]) -> None:
+    """Text columns for the store; the view shows them when a load that has them is published."""
+    there = spark.table(store_of(name)).columns
+    missing = [f"{ident(c)} STRING" for c in added if c not in there]
+    if missing:
+        spark.sql(f"ALTER TABLE {quoted(store_of(name))} ADD COLUMNS ({', '.join(missing)})")
+
+
+def compact(spark: SparkSession, name: str) -> None:
+    """Rewrite all live rows as one load: for when many loads, or large updates, make reading slow."""
     before = state(spark, name)
-    if not before.layers:
+    if not before.loads:
         return
-    live = _live(spark, name, before)
-    # Nothing of the old layout stays visible, so the number of buckets may follow the size.
-    size = input_bytes(spark, [literal_path(f) for f in live.inputFiles()])
-    wider = State(before.key, buckets or max(before.buckets, buckets_for(size)), before.layers)
-    layer = _next_layer(before)
-    _write_layer(live.drop(LAYER, BUCKET), name, wider, layer)
-    _publish(spark, name, before, wider.with_layer(layer, range(wider.buckets)))
+    number = _next_load(before)
+    _write_load(spark.table(name), name, before, number)
+    publish(spark, name, before, replace(before, loads=(number,), again=()))
 
 
 def drop_superseded(spark: SparkSession, name: str, older_than_s: float = 0) -> None:
-    """Delete folders that the view no longer shows, also those of failed loads; for when no old reader is left.
+    """Delete loads that the view no longer shows, also failed ones; for when no old reader is left.
 
-    Layers are numbered by the time their load began. Only those that began before the newest live layer, and so long
-    ago as asked for, are looked at: a load that is still running and can still be published began after it.
+    Loads are numbered by the time they began. Only those that began before the newest live one, and so long ago as
+    asked for, are looked at: a load that is still running and can still be published began after it.
     """
     now = state(spark, name)
-    if not now.layers:
-        return
-    store = _quoted(_store(name))
-    floors = now.floors or (0,) * now.buckets
-    live, limit = set(now.layers), min(max(now.layers), time.time_ns() // 1000 - int(older_than_s * 1e6))
-    partitions = spark.sql(f"SHOW PARTITIONS {store}")
-    part = lambda i: F.split(F.split("partition", "/")[i], "=")[1].cast("long")
-    old = partitions.select(part(0).alias("layer"), part(1).alias("bucket")).filter(F.col("layer") < limit)
-    dead = [
-        f"PARTITION ({LAYER} = {r['layer']}, {BUCKET} = {r['bucket']})"
-        for r in old.toLocalIterator()
-        if r["layer"] not in live or r["layer"] < (min(floors) if r["bucket"] == APART else floors[r["bucket"]])
-    ]
-    for i in range(0, len(dead), 1000):
-        spark.sql(f"ALTER TABLE {store} DROP IF EXISTS {', '.join(dead[i : i + 1000])}")
+    limit = min(max(now.loads, default=0), time.time_ns() // 1000 - int(older_than_s * 1e6))
+    partitions = spark.sql(f"SHOW PARTITIONS {quoted(store_of(name))}")
+    numbers = partitions.select(F.split("partition", "=")[1].cast("long").alias("n")).filter(F.col("n") < limit)
+    dead = [f"PARTITION ({LOAD} = {r['n']})" for r in numbers.collect() if r["n"] not in now.loads]
+    if dead:
+        spark.sql(f"ALTER TABLE {quoted(store_of(name))} DROP IF EXISTS {', '.join(dead)}")
 
 
-# --- writing a layer ------------------------------------------------------------------------------------------
+# --- writing a load -------------------------------------------------------------------------------------------
 
 
-def _next_layer(now: State) -> int:
-    """A number above all live layers that no earlier attempt has used."""
-    return max(time.time_ns() // 1000, *(x + 1 for x in now.layers), 1)
+def _next_load(now: State) -> int:
+    """A number above all live loads that no earlier attempt has used."""
+    return max(time.time_ns() // 1000, *(x + 1 for x in now.loads), 1)
 
 
-def _bucket_of(now: State) -> Column:
-    return F.pmod(F.hash(col(now.key)), F.lit(now.buckets)).cast("int")
+def _stored(spark: SparkSession, name: str, now: State) -> DataFrame:
+    """All rows of live loads; a key that was written again comes more than once."""
+    return spark.table(store_of(name)).where(col(LOAD).isin(list(now.loads)))
 
 
-def _live(spark: SparkSession, name: str, now: State) -> DataFrame:
-    return spark.table(_store(name)).where(now.condition())
+def _columns(spark: SparkSession, name: str, now: State) -> DataFrame:
+    """The table's own columns, for their names and types."""
+    return spark.table(store_of(name)).select(*[col(c) for c in now.columns])
 
 
-def _live_near(spark: SparkSession, name: str, now: State, batch: DataFrame) -> DataFrame:
-    """Live rows in the buckets that a batch falls into, and those kept apart; the others are not read."""
-    present = [r[0] for r in batch.select(_bucket_of(now).alias(BUCKET)).distinct().collect()]
-    live = _live(spark, name, now)
-    return live if len(present) == now.buckets else live.where(col(BUCKET).isin([*present, APART]))
+def _write_load(rows: DataFrame, name: str, now: State, number: int) -> None:
+    """Append rows as a load, one file per bucket."""
+    store = rows.sparkSession.table(store_of(name))
+    out = upsert.aligned(rows, store.drop(LOAD)).withColumn(LOAD, F.lit(number).cast("bigint"))
+    out.repartition(now.buckets, col(now.key)).write.insertInto(store_of(name))
 
 
-def _layer(spark: SparkSession, name: str, layer: int) -> DataFrame:
-    return spark.table(_store(name)).where(f"{LAYER} = {layer}L")
+def _counted(**counts: Column):
+    """An observation, and a function that takes counts of a frame's rows as they are written."""
+    seen = Observation()
+    return seen, lambda df: df.observe(seen, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()])
 
 
-def _drop_layer(spark: SparkSession, name: str, layer: int) -> None:
-    spark.sql(f"ALTER TABLE {_quoted(_store(name))} DROP IF EXISTS PARTITION ({LAYER} = {layer})")
+def _count(seen: Observation, name: str) -> int:
+    """A count of an observation, once its frame is written; a frame that turns out empty is planned away with it."""
+    try:
+        return seen.get[name]
+    except Py4JJavaError:
+        return 0
 
 
-def _columns(spark: SparkSession, name: str) -> DataFrame:
-    """The table's own columns, for their names and types."""
-    return spark.table(_store(name)).drop(LAYER, BUCKET)
-
-
-def _write_layer(rows: DataFrame, name: str, now: State, layer: int, apart: bool = False) -> None:
-    """Append rows as a layer, brought together per bucket; the rebalance splits large buckets and joins small ones."""
-    columns = _columns(rows.sparkSession, name).columns
-    out = rows.select(*[col(c) for c in columns], F.lit(layer).cast("bigint").alias(LAYER), (F.lit(APART) if apart else _bucket_of(now)).alias(BUCKET))
-    if apart:
-        out = out.hint("rebalance")
-    elif now.buckets > 1:
-        out = out.hint("rebalance", BUCKET)
-    out.write.insertInto(_store(name))
-
-
-def _write(
-    spark, name: str, now: State, batch: DataFrame, policy: Policy, boxed: bool, apart: bool = False
-) -> State:
-    """Write the batch's layer and return the state that would show it."""
-    layer = _next_layer(now)
-    key_type = _columns(spark, name).schema[now.key].dataType
+def _write(spark: SparkSession, name: str, now: State, batch: DataFrame, policy: Policy, boxed: bool) -> _Written:
+    """Write the batch's load, count its rows on the way, and return the state that would show it."""
+    number = _next_load(now)
+    key_type = _columns(spark, name, now).schema[now.key].dataType
     if batch.schema[now.key].dataType != key_type:
-        # The bucket depends on the type of the key, not on its value alone.
         batch = batch.withColumn(now.key, col(now.key).cast(key_type))
     batch = upsert.require_key(batch, now.key)
-    if policy is Policy.UPDATE:
-        return _write_update(spark, name, now, batch, layer, boxed)
-    plain = upsert.boxed_to_plain(batch, now.key) if boxed else batch
-    added = upsert.first_per_key(plain, now.key) if policy is Policy.IGNORE else plain.drop(ORD)
-    _write_layer(upsert.aligned(added, _columns(spark, name)), name, now, layer, apart)
+    read, reading = _counted(n=F.count(F.lit(1)))
+    done, writing = _counted(n=F.count(F.lit(1)), updated=F.count_if(F.col(upsert.STORED)))
     if policy is Policy.FAIL:
-        written = _layer(spark, name, layer)
-        target = _live_near(spark, name, now, written) if now.layers else None
-        try:
-            upsert.refuse_conflicts(target, written, now.key)
-        except upsert.KeyConflictError:
-            _drop_layer(spark, name, layer)
-            raise
-    elif now.layers:
-        layer = _without_stored_keys(spark, name, now, layer, apart)
-    return now.with_layer(layer, ())
-
-
-def _without_stored_keys(spark, name: str, now: State, layer: int, apart: bool) -> int:
-    """The layer itself if it has only new keys, else one with its new keys in its place."""
-    written = _layer(spark, name, layer)
-    stored = upsert.stored_keys(_live_near(spark, name, now, written), written, now.key)
-    if not stored.take(1):
-        return layer
-    kept = layer + 1
-    fresh = written.drop(LAYER, BUCKET).join(stored, now.key, "left_anti")
-    _write_layer(fresh, name, now, kept, apart)
-    _drop_layer(spark, name, layer)
-    return kept
-
-
-def _write_update(spark, name: str, now: State, batch: DataFrame, layer: int, boxed: bool) -> State:
-    key = now.key
-    collapsed = upsert.last_present_per_key(batch, key) if boxed else upsert.last_per_key(batch, key)
-    if not now.layers:
-        plain = upsert.boxed_to_plain(collapsed, key) if boxed else collapsed
-        _write_layer(upsert.aligned(plain, _columns(spark, name)), name, now, layer)
-        return now.with_layer(layer, ())
-
-    # Written out: the merge reads it more than once, and random keys must not be drawn again.
+        plain = upsert.boxed_to_plain(batch, now.key) if boxed else batch
+        upsert.refuse_conflicts(_stored(spark, name, now) if now.loads else None, plain, now.key)
+        _write_load(reading(plain).drop(ORD), name, now, number)
+        report = LoadReport("fail", _count(read, "n"), _count(read, "n"))
+        return _Written(replace(now, loads=(*now.loads, number)), report)
+    if policy is Policy.IGNORE:
+        plain = upsert.boxed_to_plain(batch, now.key) if boxed else batch
+        fresh = upsert.first_per_key(reading(plain), now.key)
+        if now.loads:
+            fresh = upsert.new_rows(_stored(spark, name, now), fresh, now.key)
+        _write_load(writing(fresh.withColumn(upsert.STORED, F.lit(False))).drop(upsert.STORED), name, now, number)
+        n, added = _count(read, "n"), _count(done, "n")
+        return _Written(replace(now, loads=(*now.loads, number)), LoadReport("ignore", n, added, ignored=n - added))
+    collapsed = upsert.last_present_per_key(reading(batch), now.key) if boxed else upsert.last_per_key(reading(batch), now.key)
+    # Written out: the changes read it more than once, and random keys must not be drawn again. Its size is then known,
+    # too: a small batch is broadcast, and for a large one the stored rows need no shuffle.
     staging = scratch_dir(spark, "staging")
     collapsed.write.parquet(staging)
     try:
-        staged = spark.read.parquet(staging)
-        near = _live_near(spark, name, now, staged)
-        matched = near.join(staged.select(col(key)), key, "left_semi")
-        touched = sorted(r[0] for r in matched.select(_bucket_of(now)).distinct().collect())
-        live = _live(spark, name, now).where(col(BUCKET).isin([*touched, APART]))
-        rewritten = live.where(_bucket_of(now).isin(touched)).drop(LAYER, BUCKET)
-        # The batch's size is known from its files: where Spark broadcasts it, the target is not shuffled.
-        _write_layer(upsert.merge(rewritten, staged, key, boxed), name, now, layer)
+        staged = spark.read.schema(collapsed.schema).parquet(staging)
+        target = spark.sql(view_sql(name, now))
+        _write_load(writing(upsert.changes(target, staged, now.key, boxed)).drop(upsert.STORED), name, now, number)
     finally:
         discard(spark, staging)
-    return now.with_layer(layer, touched)
+    n, kept, updated = _count(read, "n"), _count(done, "n"), _count(done, "updated")
+    after = replace(now, loads=(*now.loads, number), again=(*now.again, number) if updated else now.again)
+    return _Written(after, LoadReport("update", n, kept - updated, updated, combined=n - kept))
 
 
 # --- reading --------------------------------------------------------------------------------------------------
@@ -430,7 +264,7 @@ def preview(spark: SparkSession, name: str, n: int = 1000, ordered: bool = False
 
 
 def list_tables(spark: SparkSession, database: str) -> DataFrame:
-    """Names of the user's tables in a database: no views, temporary tables or layer stores."""
+    """Names of the user's tables in a database: no views, temporary tables or stores."""
     db = ident(database)
     tables = spark.sql(f"SHOW TABLES IN {db}").filter("NOT isTemporary").select(F.col("tableName").alias("table_name"))
     views = spark.sql(f"SHOW VIEWS IN {db}").filter("NOT isTemporary").select(F.col("viewName").alias("table_name"))

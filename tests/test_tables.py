@@ -1,9 +1,9 @@
-"""Keyed tables: layers, atomic loads, partial rewrites, listing."""
+"""Keyed tables: atomic loads, updates that write what they change, reports, listing."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabflow import tables
+from tabflow import tables, versions
 from tabflow.operators import upsert
 from tabflow.operators.upsert import KeyConflictError
 from tabflow.runtime import ORD
@@ -74,107 +74,163 @@ def test_failed_creation_leaves_no_table(spark, database):
     tables.create_and_load(spark, f"{database}.x", TYPES, batch(spark, [(1, "a", 1.0)]), "fail")
 
 
+def written(spark, name):
+    """Rows of each load, in the order of the loads."""
+    counts = spark.table(f"{name}__rows").groupBy("_load").count().collect()
+    return [r["count"] for r in sorted(counts, key=lambda r: r["_load"])]
+
+
 def test_fail_and_ignore_only_add(spark, name):
-    first = tables.state(spark, name).layers
+    first = tables.state(spark, name).loads
     tables.load(spark, name, batch(spark, [(300, "n", 1.0)]), "fail")
     tables.load(spark, name, batch(spark, [(300, "no", 2.0), (3, "no", 2.0), (301, "a", 3.0), (301, "b", 4.0)]), "ignore")
     now = tables.state(spark, name)
-    assert now.layers[: len(first)] == first and len(now.layers) == 3
-    assert not any(now.floors)
+    assert now.loads[: len(first)] == first and len(now.loads) == 3 and not now.again
+    assert written(spark, name) == [200, 1, 1]
     assert content(spark, name) == expected([(300, "n", 1.0), (301, "a", 3.0)])
 
 
 @pytest.mark.parametrize("threshold", ["10MB", "-1"])
-def test_update_rewrites_only_touched_buckets(spark, name, threshold):
+def test_update_writes_what_it_changes(spark, name, threshold):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         tables.load(spark, name, batch(spark, [(7, "x", 1.0), (900, "n", 2.0), (7, "y", None)]), "update")
+        tables.load(spark, name, batch(spark, [(900, "m", 3.0), (8, "z", None)]), "update")
+        rows = [(7, "y", None), (8, "z", None), (900, "m", 3.0)]
+        assert content(spark, name) == expected(rows)
+        tables.load(spark, name, batch(spark, [(901, "k", 3.0)]), "update")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     now = tables.state(spark, name)
-    assert len(now.layers) == 2
-    assert sum(f == now.layers[-1] for f in now.floors) == 1
-    assert content(spark, name) == expected([(7, "y", None), (900, "n", 2.0)])
+    assert written(spark, name) == [200, 2, 2, 1] and len(now.again) == 2
+    assert content(spark, name) == expected(rows + [(901, "k", 3.0)])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_batch_does_not_shuffle_the_target(spark, name):
+    """Above the broadcast limit, joins with the target use its buckets; so does the view after an update."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        staged = batch(spark, [(i, "x", 1.0) for i in range(100, 300)]).drop(ORD)
+        for target in (tables.scan(spark, name), None):
+            if target is None:
+                tables.load(spark, name, batch(spark, [(7, "x", 1.0)]), "update")
+                target = tables.scan(spark, name)
+                view = plan_of(target)
+                assert "SortMergeJoin" in view and "Exchange" not in view
+            for rows in (upsert.merge(target, staged, "Id", False), upsert.changes(target, staged, "Id", False)):
+                plan = plan_of(rows)
+                assert "SortMergeJoin" in plan
+                # Only the batch's own rows go through exchanges: below each stands the local frame, not the table.
+                for below in plan.split("Exchange hashpartitioning")[1:]:
+                    assert below.index("Scan ExistingRDD") < (below + "FileScan").index("FileScan")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_scan_prunes_folders_and_columns(spark, name):
+def test_scan_prunes_loads_and_columns(spark, name):
     tables.load(spark, name, batch(spark, [(7, "x", 1.0)]), "update")
-    plan = tables.scan(spark, name).filter("Id = 7").select("v")._jdf.queryExecution().executedPlan().toString()
-    # Both the layers and the floors of buckets select folders.
-    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
-    assert "_layer" in filters and "_bucket" in filters and "Id#" not in filters
-    assert "PushedFilters: [IsNotNull(Id), EqualTo(Id,7)]" in plan
+    plan = plan_of(tables.scan(spark, name).filter("Id = 7").select("v"))
+    assert "_load" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "EqualTo(Id,7)" in plan
     assert "ReadSchema: struct<Id:bigint,v:string>" in plan
 
 
-def test_small_loads_are_kept_apart(spark, database):
-    full = f"{database}.s"
-    tables.create_and_load(spark, full, TYPES, batch(spark, [(i, "v", 0.0) for i in range(300)]), "fail", buckets=64)
-    store = f"{full}__rows"
-    before = len(spark.table(store).inputFiles())
-    for i in range(10):
-        rows = [(1000 + 20 * i + k, "n", float(i)) for k in range(20)] + [(5, "no", 0.0)]
-        tables.load(spark, full, batch(spark, rows), "ignore", n_bytes=1000)
-    assert len(spark.table(store).inputFiles()) - before <= 20
-    expected_rows = {i: (i, "v", 0.0) for i in range(300)} | {1000 + i: (1000 + i, "n", float(i // 20)) for i in range(200)}
-    assert content(spark, full) == sorted(expected_rows.values())
-    with pytest.raises(KeyConflictError):
-        tables.load(spark, full, batch(spark, [(1007, "x", 1.0)]), "fail", n_bytes=1000)
-    tables.load(spark, full, batch(spark, [(1007, "x", 1.0), (7, "y", 2.0), (5000, "z", 3.0)]), "update", n_bytes=1000)
-    expected_rows |= {1007: (1007, "x", 1.0), 7: (7, "y", 2.0), 5000: (5000, "z", 3.0)}
-    assert content(spark, full) == sorted(expected_rows.values())
-    tables.drop_superseded(spark, full)
-    assert content(spark, full) == sorted(expected_rows.values())
-    tables.fold_layers(spark, full)
-    tables.drop_superseded(spark, full)
-    assert content(spark, full) == sorted(expected_rows.values())
+def test_reports(spark, name):
+    rows = [(300, "n", 1.0), (3, "x", 2.0), (301, "a", 3.0), (301, "b", 4.0), (3, "y", None)]
+    fresh = [(400, "n", 1.0), (401, "m", 1.0)]
+    assert tables.load(spark, name, batch(spark, fresh), "fail") == tables.LoadReport("fail", 2, 2)
+    assert tables.load(spark, name, batch(spark, rows[:1] + rows[1:2]), "ignore") == tables.LoadReport("ignore", 2, 1, ignored=1)
+    assert tables.load(spark, name, batch(spark, rows), "update") == tables.LoadReport("update", 5, 1, 2, combined=2)
+    assert tables.load(spark, name, batch(spark, []), "update") == tables.LoadReport("update")
+    assert content(spark, name) == expected([(300, "n", 1.0), (3, "y", None), (301, "b", 4.0), *fresh])
+
+
+def test_a_report_takes_no_second_scan(spark, name):
+    """The batch's rows are counted by the write that reads them."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    rows = batch(spark, [(1000 + i, "n", 1.0) for i in range(50)])
+    for policy, times in (("update", 1), ("ignore", 1)):
+        reads.value = 0
+        tables.load(spark, name, rows.mapInArrow(count, rows.schema), policy)
+        assert reads.value == 50 * times
+
 
+def test_late_text_columns_join_a_live_table(spark, name):
+    rows = spark.createDataFrame([(3, "late", (1,)), (500, "new", (2,))], f"Id long, w string, {ORD} struct<m:int>")
+    tables.load(spark, name, rows, "update")
+    got = tables.scan(spark, name)
+    assert got.columns == ["Id", "v", "n", "w"]
+    changed = {3: (3, "v3", 1.5, "late"), 500: (500, None, None, "new")}
+    assert sorted(map(tuple, got.collect())) == sorted(({i: (i, f"v{i}", i / 2, None) for i in range(200)} | changed).values())
+    assert written(spark, name) == [200, 2]  # the old rows were not written again
+    bad = rows.withColumnRenamed("w", "u").withColumn("Id", F.raise_error(F.lit("boom")).cast("long"))
+    with pytest.raises(Exception, match="boom"):
+        tables.load(spark, name, bad, "update")
+    assert tables.scan(spark, name).columns == ["Id", "v", "n", "w"]
 
-def test_folding_layers(spark, database):
+
+def test_compaction(spark, database):
     full = f"{database}.c"
     tables.create_and_load(spark, full, TYPES, batch(spark, [(0, "v", 0.0)]), "fail", buckets=2)
     for i in range(1, 6):
         tables.load(spark, full, batch(spark, [(i, "v", 0.0), (0, f"u{i}", 0.0)]), "ignore" if i % 2 else "update")
     rows = [(0, "u4", 0.0)] + [(i, "v", 0.0) for i in range(1, 6)]
-    assert len(tables.state(spark, full).layers) > 2
-    tables.fold_layers(spark, full, buckets=4)
+    assert content(spark, full) == rows
+    tables.compact(spark, full)
     now = tables.state(spark, full)
-    assert len(now.layers) == 1 and now.buckets == 4
+    assert len(now.loads) == 1 and not now.again
     assert content(spark, full) == rows
     tables.drop_superseded(spark, full)
-    assert content(spark, full) == rows
-    left = {int(r[0].split("/")[0].split("=")[1]) for r in spark.sql(f"SHOW PARTITIONS {full}__rows").collect()}
-    assert left == set(now.layers)
+    assert content(spark, full) == rows and written(spark, full) == [6]
     tables.load(spark, full, batch(spark, [(1, "w", 1.0), (9, "n", 1.0)]), "update")
     assert content(spark, full) == [rows[0], (1, "w", 1.0), *rows[2:], (9, "n", 1.0)]
 
 
+def test_batches_of_a_stream_load_once(spark, name):
+    for number in (0, 1, 1, 0, 2):
+        tables.load(spark, name, batch(spark, [(700 + number, f"b{number}", 1.0)]), "fail", stream=("s", number))
+    assert dict(tables.state(spark, name).streams) == {"s": 2}
+    tables.load(spark, name, batch(spark, [(800, "o", 1.0)]), "fail", stream=("other", 0))
+    assert content(spark, name) == expected([(700 + i, f"b{i}", 1.0) for i in range(3)] + [(800, "o", 1.0)])
+
+
 def test_a_load_inside_the_publish_of_another_is_not_lost(spark, name, monkeypatch):
     """Between reading the state and showing the new one, a second load comes through."""
-    show = tables._show
+    show = versions.show
 
-    def slow(spark_, name_, now, create=False):
-        monkeypatch.setattr(tables, "_show", show)
+    def slow(spark_, name_, now):
+        monkeypatch.setattr(versions, "show", show)
         tables.load(spark, name, batch(spark, [(800, "other", 1.0)]), "fail")
-        show(spark_, name_, now, create)
+        show(spark_, name_, now)
 
-    monkeypatch.setattr(tables, "_show", slow)
+    monkeypatch.setattr(versions, "show", slow)
     tables.load(spark, name, batch(spark, [(801, "mine", 1.0)]), "fail")
     tables.load(spark, name, batch(spark, [(802, "later", 1.0)]), "fail")
     assert content(spark, name) == expected([(800, "other", 1.0), (801, "mine", 1.0), (802, "later", 1.0)])
 
 
 def test_a_version_that_was_taken_is_shown_by_the_next_load(spark, name, monkeypatch):
-    show = tables._show
+    show = versions.show
 
     def dies(*args):
         raise OSError("the driver is gone")
 
-    monkeypatch.setattr(tables, "_show", dies)
+    monkeypatch.setattr(versions, "show", dies)
     with pytest.raises(OSError):
         tables.load(spark, name, batch(spark, [(800, "first", 1.0)]), "fail")
-    monkeypatch.setattr(tables, "_show", show)
+    monkeypatch.setattr(versions, "show", show)
     tables.load(spark, name, batch(spark, [(801, "second", 1.0)]), "fail")
     assert content(spark, name) == expected([(800, "first", 1.0), (801, "second", 1.0)])
 
@@ -237,8 +293,11 @@ def test_listing_and_preview(spark, database, name):
     assert tables.preview(spark, name, 5).count() == 5
 
 
-def test_state_survives_long_lists():
-    now = tables.State("it's", 4096, (5, 9), tuple([0] * 4095 + [9]))
-    properties = now.to_properties()
-    assert max(map(len, properties.values())) <= 4000 and len(properties) > 1
-    assert tables.State.from_properties(properties) == now
+def test_state_survives_many_loads(spark, name):
+    now = versions.State("it's", 4096, ("Id", "v", "n"), 7, tuple(range(2000)), (5, 9), (("s", 3),))
+    assert max(map(len, now.properties().values())) <= 40
+    real = versions.State.of(spark, name)
+    many = versions.replace(real, loads=tuple(sorted({*real.loads, *range(2000)})), streams=(("a.b", 3),))
+    versions.show(spark, name, many)
+    assert versions.State.of(spark, name) == many
+    assert content(spark, name) == expected([])
