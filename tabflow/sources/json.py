@@ -128,14 +128,14 @@ def _parse_piece(piece: str, lead: str) -> tuple[list[dict[str, str]], bool, boo
 def _pieces_parser(lead: str):
     def parse(batch: pa.RecordBatch) -> Iterable[Parsed]:
         for place, piece in zip(places(batch), batch.column(0).to_pylist(), strict=True):
-            yield place, *_parse_piece(piece, lead)
+            yield place, *_parse_piece(piece, lead), None
 
     return parse
 
 
 def _parse_documents(batch: pa.RecordBatch) -> Iterable[Parsed]:
     for place, text in zip(places(batch), batch.column(0).to_pylist(), strict=True):
-        yield place, rows_of(text.removeprefix("\ufeff")), True, True, None
+        yield place, rows_of(text.removeprefix("\ufeff")), True, True, None, None
 
 
 # --- cutting --------------------------------------------------------------------------------------------------
@@ -186,13 +186,17 @@ def _documents(spark: SparkSession, path) -> DataFrame:
 def read_json(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     """Text columns of JSON array documents.
 
-    The columns are the names of the first object; `extra` adds names that later objects may carry. When the gap
-    between the first two objects also separates all others, as any serializer writes it, the scan splits files there;
-    otherwise each document is parsed whole. Text that is not one array of objects per file aborts.
+    The columns are the names of the first object; `extra` adds names that later objects may carry. Files where the gap
+    between the first two objects of the largest file also separates all others, as any serializer writes it, are split
+    there by the scan; other files are parsed whole, each by itself. Text that is not one array of objects per file
+    aborts.
     """
-    _, largest = first_and_largest_file(spark, path)
-    gap = _gap(spark, largest)
-    pieces = _pieces(spark, path, gap) if gap else None
-    lead = gap[gap.index("{") :] if gap else ""
-    stage = read_staged(pieces, _pieces_parser(lead), lambda: _documents(spark, path), _parse_documents, "json")
-    return stage.raw(extra)
+
+    def by_gap(files: list[str] | None, _):
+        gap = _gap(spark, first_and_largest_file(spark, path)[1])
+        return (_pieces(spark, path, gap), _pieces_parser(gap[gap.index("{") :])) if gap else None
+
+    def whole(files: list[str] | None, _):
+        return _documents(spark, files or path), _parse_documents
+
+    return read_staged(spark, [by_gap, whole], "json").raw(extra)

@@ -1,48 +1,51 @@
 """Rows held as name-to-text maps, for formats where each row lists its own columns.
 
 Such files are cut by the scan into pieces, each piece is parsed once, in whole batches by a real parser inside the
-task, and the rows are written to the shared scratch folder. What the pieces say about themselves decides afterwards
-whether the cuts fell between rows; if not, the stage is dropped and the documents are parsed whole, one task each.
+task, and the rows are written to the shared scratch folder. What the pieces say about themselves decides afterwards, file
+by file, whether the cuts fell between rows; the rows of files where they did not are left aside, and these files are read
+in another way.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.operators.transform import ROW as WHOLE
 from tabflow.operators.transform import Raw
-from tabflow.runtime import LATE, ORD, discard, scratch_dir
+from tabflow.runtime import LATE, ORD, discard, literal_path, scratch_dir
 
 ROW = "map<string,string>"
 _STAGED = (
     "f string, b bigint, m bigint, p bigint, names array<string>, texts array<string>, "
-    "opens boolean, closes boolean, error string"
+    "opens boolean, closes boolean, error string, root string"
 )
 _ARROW = pa.schema(
     [("f", pa.string()), ("b", pa.int64()), ("m", pa.int64()), ("p", pa.int64())]
     + [(c, pa.list_(pa.string())) for c in ("names", "texts")]
     + [(c, pa.bool_()) for c in ("opens", "closes")]
-    + [("error", pa.string())]
+    + [("error", pa.string()), ("root", pa.string())]
 )
 _BATCH = 5000
 
-#: What a parser gives for one piece or document: (place, rows, opens, closes, error).
-Parsed = tuple[tuple, Iterable[dict[str, str]], bool, bool, str | None]
+#: What a parser gives for one piece or document: (place, rows, opens, closes, error, root). A piece that opens or closes
+#: its file names the root, if there is more than one that it could be; both must name the same.
+Parsed = tuple[tuple, Iterable[dict[str, str]], bool, bool, str | None, str | None]
 
 
 def _batches(found: Iterable[Parsed]) -> Iterator[pa.RecordBatch]:
     """A line per row, and one without names per piece."""
 
     def lines() -> Iterator[tuple]:
-        for place, rows, opens, closes, error in found:
-            yield (*place, -1, None, None, opens, closes, error)
+        for place, rows, opens, closes, error, root in found:
+            yield (*place, -1, None, None, opens, closes, error, root)
             for p, row in enumerate(rows):
-                yield (*place, p, list(row), list(row.values()), None, None, None)
+                yield (*place, p, list(row), list(row.values()), None, None, None, None)
 
     for some in itertools.batched(lines(), _BATCH):
         yield pa.RecordBatch.from_arrays(
@@ -70,18 +73,25 @@ class Stage:
 
     def __init__(self, pieces: DataFrame, parse: Callable[[pa.RecordBatch], Iterable[Parsed]], label: str):
         self.spark: SparkSession = pieces.sparkSession
-        self.path = scratch_dir(self.spark, label)
-        pieces.mapInArrow(in_tasks(parse), _STAGED).write.parquet(self.path)
-        self.lines = self.spark.read.schema(_STAGED).parquet(self.path)
-
-    def whole(self) -> bool:
-        """Whether every piece could be parsed and each file is opened by its first piece and closed by its last."""
-        order = F.struct("f", "b", "m").alias(ORD)
-        pieces = self.lines.filter("names IS NULL").select(order, "opens", "closes", F.isnull("error").alias("sound"))
-        return all_files_whole(pieces, F.col("opens"), F.col("closes"), F.col("sound"))
+        path = scratch_dir(self.spark, label)
+        self.paths = [path]
+        pieces.mapInArrow(in_tasks(parse), _STAGED).write.parquet(path)
+        self.lines = self.spark.read.schema(_STAGED).parquet(path)
+
+    def broken(self) -> DataFrame:
+        """(f, root): files of which a piece could not be parsed, or that are not opened by their first piece and closed
+        by their last under one root; with what a piece says of the root or in front of it."""
+        return broken_files(self.lines.filter("names IS NULL"))
+
+    def without(self, files: DataFrame, rest: Stage) -> Stage:
+        """The rows but those of some files, which another stage has."""
+        self.lines = self.lines.join(files.select("f"), "f", "left_anti").select(*self.lines.columns).unionByName(rest.lines)
+        self.paths = self.paths + rest.paths
+        return self
 
     def discard(self) -> None:
-        discard(self.spark, self.path)
+        for path in self.paths:
+            discard(self.spark, path)
 
     def raw(self, extra: list[str] | None) -> Raw:
         """Text columns of the first row's names, plus `extra` names that later rows may carry."""
@@ -90,34 +100,54 @@ class Stage:
         first = listed.agg(F.min_by("names", ORD)).first()[0]
         rows = listed.select(F.map_from_arrays("names", "texts").alias("row"), ORD)
         raw = raw_of_maps(rows, list(first or []), extra if first is not None else None)
-        raw.staging = (self.path,)
+        raw.staging = tuple(self.paths)
         return raw
 
 
-def read_staged(pieces: DataFrame | None, parse_pieces, documents: Callable[[], DataFrame], parse_documents, label: str) -> Stage:
-    """The rows of the pieces if the cuts fell between rows, else those of the whole documents."""
-    if pieces is not None:
-        stage = Stage(pieces, parse_pieces, label)
-        if stage.whole():
-            return stage
-        stage.discard()
-    return Stage(documents(), parse_documents, label)
+#: A way to read files: (pieces of the given files, parser), or None if it does not apply. Given None, all files.
+Way = Callable[[list[str] | None, dict[str, str]], tuple[DataFrame, Callable[[pa.RecordBatch], Iterable[Parsed]]] | None]
+
 
+def read_staged(spark: SparkSession, ways: list[Way], label: str) -> Stage:
+    """The rows of all files, each read by the first way that finds it whole; the last way takes what it is given.
 
-def all_files_whole(pieces: DataFrame, opens: Column, closes: Column, sound: Column) -> bool:
-    """Whether all pieces are sound and each file has one that opens it, its first, and one that closes it, its last.
+    A later way is given the files that are left, and what the way before it found in front of their rows.
+    """
+    stage: Stage | None = None
+    left: list[str] | None = None
+    known: dict[str, str] = {}
+    broken = None
+    try:
+        for i, way in enumerate(ways):
+            given = way(left, known)
+            if given is None:
+                continue
+            found = Stage(*given, label)
+            stage = found if stage is None else stage.without(broken, found)
+            if i == len(ways) - 1:
+                break
+            # As many rows as there are such files, whose names the driver lists anyway.
+            rows = found.broken().collect()
+            if not rows:
+                break
+            broken = spark.createDataFrame([(r["f"],) for r in rows], "f string")
+            left, known = [file_of(r["f"]) for r in rows], {r["f"]: r["root"] for r in rows if r["root"]}
+    except BaseException:
+        if stage is not None:
+            stage.discard()
+        raise
+    return stage
+
+
+def broken_files(pieces: DataFrame) -> DataFrame:
+    """Files of pieces (f, b, m, opens, closes, error, root) that are not whole, see `Stage.broken`.
 
     Counted per split on fixed-width values, which a hash aggregate takes in one pass; one row per split is left to be
     put in file order.
     """
-    place = F.col(ORD)
-    marked = pieces.select(
-        place["f"].alias("f"), place["b"].alias("b"), place["m"].alias("m"),
-        opens.alias("opens"), closes.alias("closes"), sound.alias("sound"),
-    )
     m = F.col("m")
-    per_split = marked.groupBy("f", "b").agg(
-        F.every("sound").alias("sound"),
+    per_split = pieces.groupBy("f", "b").agg(
+        F.every(F.isnull("error")).alias("sound"),
         F.count_if("opens").alias("n_opens"),
         F.count_if("closes").alias("n_closes"),
         (F.min(m) == F.min(F.when(F.col("opens"), m))).alias("opens_first"),
@@ -130,11 +160,22 @@ def all_files_whole(pieces: DataFrame, opens: Column, closes: Column, sound: Col
         F.min_by("opens_first", "b").alias("opens_first"),
         F.max_by("closes_last", "b").alias("closes_last"),
     )
+    # Few pieces name a root, so that these texts are few.
+    roots = pieces.filter("root IS NOT NULL").groupBy("f").agg(
+        F.max(F.when(F.col("opens"), F.col("root"))).alias("root"),
+        F.count_distinct(F.substring_index("root", " ", 1)).alias("n_roots"),
+    )
     whole = (
         F.col("sound") & (F.col("n_opens") == 1) & (F.col("n_closes") == 1)
         & F.coalesce("opens_first", F.lit(False)) & F.coalesce("closes_last", F.lit(False))
+        & (F.coalesce("n_roots", F.lit(0)) <= 1)
     )
-    return not per_file.filter(~whole).take(1)
+    return per_file.join(roots, "f", "left").filter(~whole).select("f", "root")
+
+
+def file_of(place: str) -> str:
+    """A path to read from a file's place as the scan names it."""
+    return literal_path(unquote(place))
 
 
 def raw_of_maps(rows: DataFrame, names: list[str], extra: list[str] | None) -> Raw:

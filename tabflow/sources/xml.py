@@ -1,8 +1,9 @@
 """XML reader: the root's children are rows, their children are columns.
 
 Files are split at the closing tag of rows. Every piece goes through an XML parser inside its task, many pieces at a
-time, with the document type of the file in front, so declared entities hold; a file in another encoding than UTF-8 is
-parsed whole from its bytes, as its declaration says.
+time. What a file says of itself holds for that file alone: where its rows need the entities it declares, its pieces are
+parsed once more with its own document type in front; a file in another encoding than UTF-8, or with rows of other tags,
+is parsed whole from its bytes, as its declaration says.
 """
 
 from __future__ import annotations
@@ -61,62 +62,105 @@ class _Rows:
         return rows
 
 
-def _rows_of(text: str) -> list[tuple[int, dict[str, str]]]:
+def _rows_of(text: bytes) -> list[tuple[int, dict[str, str]]]:
     found = _Rows("utf-8")
-    found.parser.Parse(text.encode(), True)
+    found.parser.Parse(text, True)
     return found.taken()
 
 
-def _pieces_parser(tag: str, root: str, doctype: str):
-    end = f"</{tag}>"
-    head = f"{doctype}<{_WITHIN}>"
+def _opening(text: bytes) -> list[dict[str, str]]:
+    """Rows of a document's start, which leaves its root open."""
+    found = _Rows("utf-8")
+    found.parser.Parse(text, False)
+    if found.depth != 1:
+        raise expat.ExpatError("the cut is not between rows")
+    return [row for _, row in found.taken()]
+
+
+def _prologue(piece: bytes) -> tuple[str, str]:
+    """Name of the root, and document type, of the piece that a document begins with."""
+    parser, names = expat.ParserCreate("utf-8"), []
+    parser.StartElementHandler = lambda name, attributes: names.append(name)
+    parser.Parse(piece, False)
+    doctype = _DOCTYPE.search(piece.decode()) if b"<!DOCTYPE" in piece else None
+    return names[0] if names else "", doctype.group() if doctype else ""
+
 
-    def parse_together(pieces: list[str]) -> list[list[dict[str, str]]]:
-        """Rows of pieces that hold nothing but rows, in one pass."""
+def _pieces_parser(tag: str, doctypes: dict[str, str]):
+    """Parser of pieces that end before the closing tag of a row. doctypes: those that are known by file."""
+    end = f"</{tag}>".encode()
+    closing = re.compile(rb"</\s*([^\s<>/]+)\s*>(?:\s|<!--.*?-->|<\?.*?\?>)*$", re.S)
+
+    def parse_together(pieces: list[bytes], head: bytes) -> list[list[dict[str, str]]]:
+        """Rows of pieces of one file that hold nothing but rows, in one pass."""
         parts = [p + end for p in pieces]
-        starts, at = [], len(head.encode())
+        starts, at = [], len(head)
         for p in parts:
             starts.append(at)
-            at += len(p.encode())
+            at += len(p)
         out: list[list[dict[str, str]]] = [[] for _ in pieces]
-        for place, row in _rows_of(head + "".join(parts) + f"</{_WITHIN}>"):
+        for place, row in _rows_of(head + b"".join(parts) + f"</{_WITHIN}>".encode()):
             out[bisect_right(starts, place) - 1].append(row)
         return out
 
-    def parse_alone(piece: str) -> tuple[list[dict[str, str]], bool, bool, str | None]:
-        forms = (
-            (head + piece + end + f"</{_WITHIN}>", False, False),
-            (f"{doctype}<{root}>{piece}", False, True),
-            (f"{piece}{end}</{root}>", True, False),
-            (piece, True, True),
-        )
-        error = ""
-        for text, opens, closes in forms:
-            try:
-                return [row for _, row in _rows_of(text)], opens, closes, None
-            except expat.ExpatError as e:
-                error = str(e)
-        return [], False, False, error
+    def parse_alone(piece: bytes, doctype: str) -> tuple[list[dict[str, str]], bool, bool, str | None, str | None]:
+        try:
+            piece.decode()
+            if _other_encoding(piece):
+                return [], False, False, "another encoding", None
+            last = closing.search(piece)
+            forms = [(lambda: _opening(piece + end), True, False)]
+            if last:
+                root = last.group(1).decode()
+                forms += [
+                    (lambda: [row for _, row in _rows_of(f"{doctype}<{root}>".encode() + piece)], False, True),
+                    (lambda: [row for _, row in _rows_of(piece)], True, True),
+                ]
+            else:
+                forms += [(lambda: [row for _, row in _rows_of(piece)], True, True)]
+            error = ""
+            for rows, opens, closes in forms:
+                try:
+                    found = rows()
+                except expat.ExpatError as e:
+                    error = str(e)
+                    continue
+                name, declared = _prologue(piece) if opens else (root, "")
+                # The document type follows the root's name, for the file's other pieces.
+                return found, opens, closes, None, f"{name} {declared}".rstrip()
+            # Where rows need what the file declares, its first piece still says what that is.
+            return [], False, False, error, None
+        except UnicodeDecodeError:
+            return [], False, False, "not UTF-8", None
 
     def parse(batch: pa.RecordBatch) -> Iterable[Parsed]:
-        where = places(batch)
-        pieces = [p.removeprefix("\ufeff") for p in batch.column(0).to_pylist()]
+        where, pieces = places(batch), [p.removeprefix(b"\xef\xbb\xbf") for p in batch.column(0).to_pylist()]
         at = 0
         while at < len(pieces):
-            stop, size = at, 0
-            while stop < len(pieces) and size < _CHUNK:
+            stop, size, file = at, 0, where[at][0]
+            while stop < len(pieces) and size < _CHUNK and where[stop][0] == file:
                 size += len(pieces[stop])
                 stop += 1
+            doctype = doctypes.get(file, "")
             try:
-                found = [(rows, False, False, None) for rows in parse_together(pieces[at:stop])]
+                head = f"{doctype}<{_WITHIN}>".encode()
+                found = [(rows, False, False, None, None) for rows in parse_together(pieces[at:stop], head)]
             except expat.ExpatError:
-                found = [parse_alone(p) for p in pieces[at:stop]]
+                found = [one for p in pieces[at:stop] for one in [_within(p, head, end) or parse_alone(p, doctype)]]
             yield from ((place, *x) for place, x in zip(where[at:stop], found, strict=True))
             at = stop
 
     return parse
 
 
+def _within(piece: bytes, head: bytes, end: bytes) -> tuple | None:
+    """A piece that holds nothing but rows, parsed alone."""
+    try:
+        return [row for _, row in _rows_of(head + piece + end + f"</{_WITHIN}>".encode())], False, False, None, None
+    except expat.ExpatError:
+        return None
+
+
 def _document(path: str, content: bytes) -> Iterator[dict[str, str]]:
     found = _Rows()
     try:
@@ -130,72 +174,58 @@ def _document(path: str, content: bytes) -> Iterator[dict[str, str]]:
 
 def _parse_documents(batch: pa.RecordBatch) -> Iterable[Parsed]:
     for place, content in zip(places(batch), batch.column(0).to_pylist(), strict=True):
-        yield place, _document(place[0], content), True, True, None
+        yield place, _document(place[0], content), True, True, None, None
 
 
 def _first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tag of the first row that is not self-closing, root tag and document type, from pieces cut at `>`."""
+    """Tag of the first row that is not self-closing, from pieces cut at `>`."""
     parser, open_, found = expat.ParserCreate("utf-8"), [], []
-    prolog: list[str] = []
 
     def start(name: str, attributes: dict) -> None:
-        open_.append((name, parser.CurrentByteIndex))
+        open_.append(parser.CurrentByteIndex)
 
     def end(name: str) -> None:
-        _, at = open_.pop()
+        at = open_.pop()
         # A self-closing tag starts and ends at one place.
         if len(open_) == 1 and at != parser.CurrentByteIndex:
             found.append(name)
 
     parser.StartElementHandler, parser.EndElementHandler = start, end
-    root = ""
     for piece in (p for b in batches for p in b.column(0).to_pylist()):
-        if not open_:
-            prolog.append(piece + ">")
         try:
-            parser.Parse((piece.removeprefix("\ufeff") + ">").encode())
+            parser.Parse(piece.removeprefix(b"\xef\xbb\xbf") + b">")
         except expat.ExpatError:
             return
-        if open_ and not root:
-            root = open_[0][0]
         if found:
-            doctype = _DOCTYPE.search("".join(prolog))
-            yield pa.RecordBatch.from_pydict({"tag": [found[0]], "root": [root], "doctype": [doctype.group() if doctype else ""]})
+            yield pa.RecordBatch.from_pydict({"tag": [found[0]]})
             return
 
 
-def _is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether a file says nothing else; only its first bytes are looked at."""
-    start = spark.read.option("lineSep", ">").text(path).filter("_metadata.file_block_start = 0")
-    first = start.select(F.substring(F.col("value").cast("binary"), 1, 1000).alias("v")).take(1)
-    content = bytes(first[0]["v"]).removeprefix(b"\xef\xbb\xbf") if first else b""
-    declared = _ENCODING.match(content + b">")
+def _other_encoding(content: bytes) -> bool:
+    """Whether a document's start declares, or shows, another encoding than UTF-8."""
+    declared = _ENCODING.match(content)
     name = declared.group(1).lower() if declared else b"utf-8"
-    return content[:2] not in (b"\xfe\xff", b"\xff\xfe") and b"\x00" not in content[:4] and name in (b"utf-8", b"us-ascii", b"ascii")
+    return content[:2] in (b"\xfe\xff", b"\xff\xfe") or b"\x00" in content[:4] or name not in (b"utf-8", b"us-ascii", b"ascii")
 
 
-def _split(spark: SparkSession, path) -> tuple[DataFrame | None, object]:
-    """Pieces between the closing tags of rows and their parser, where the largest file has such a tag."""
+def _row_tag(spark: SparkSession, path) -> str | None:
+    """Tag of the first row of the largest file, found by one task that reads on from its start until that row closes."""
     _, largest = first_and_largest_file(spark, path)
-    if not _is_utf8(spark, largest):
-        return None, None
-    # One task that reads on from the start of the file until the first row has closed.
-    start = spark.read.option("lineSep", ">").text(largest).coalesce(1)
-    found = start.mapInArrow(_first_row, "tag string, root string, doctype string").take(1)
-    if not found:
-        return None, None
-    tag, root, doctype = found[0]
-    pieces = spark.read.option("lineSep", f"</{tag}>").text(path).select("value", file_order().alias(ORD))
-    # Bytes that are not UTF-8 cannot be handed over as text; the parser of whole documents judges them.
-    if pieces.filter(~F.is_valid_utf8("value")).take(1):
-        return None, None
-    return pieces, _pieces_parser(tag, root, doctype)
+    start = spark.read.option("lineSep", ">").text(largest).coalesce(1).select(F.col("value").cast("binary"))
+    found = start.mapInArrow(_first_row, "tag string").take(1)
+    return found[0]["tag"] if found else None
+
+
+def _pieces(spark: SparkSession, path, tag: str) -> DataFrame:
+    # As bytes: they need not be UTF-8.
+    pieces = spark.read.option("lineSep", f"</{tag}>").text(path)
+    return pieces.select(F.col("value").cast("binary").alias("value"), file_order().alias(ORD))
 
 
 def _documents(spark: SparkSession, path) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).filter("length > 0")
     zero = F.lit(0).cast("bigint")
-    return files.select("content", F.struct(F.col("path").alias("f"), zero.alias("b"), zero.alias("m")).alias(ORD))
+    return files.select("content", F.struct(F.col("_metadata.file_path").alias("f"), zero.alias("b"), zero.alias("m")).alias(ORD))
 
 
 def read_xml(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
@@ -203,9 +233,20 @@ def read_xml(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
 
     Columns are the first row's element names without namespace, `extra` adds names that later rows may carry.
     Attributes are ignored, blanks kept; a missing element is NULL, an empty one `''`, of repeated ones the last
-    counts; a value is all text below its element. Documents whose rows close with one tag are split there; others are
-    parsed whole. Malformed documents abort.
+    counts; a value is all text below its element. Files whose rows close with one tag, that of the largest file's first
+    row, are split there; others are parsed whole, each by itself. Malformed documents abort.
     """
-    pieces, parse = _split(spark, path)
-    stage = read_staged(pieces, parse, lambda: _documents(spark, path), _parse_documents, "xml")
-    return stage.raw(extra)
+    tag = _row_tag(spark, path)
+
+    def split(files: list[str] | None, _):
+        return (_pieces(spark, path, tag), _pieces_parser(tag, {})) if tag else None
+
+    def declared(files: list[str] | None, roots: dict[str, str]):
+        """Files whose first piece has a document type, with that in front of all their pieces."""
+        doctypes = {f: root.partition(" ")[2] for f, root in roots.items() if " " in root}
+        return (_pieces(spark, files, tag), _pieces_parser(tag, doctypes)) if doctypes else None
+
+    def whole(files: list[str] | None, _):
+        return _documents(spark, files or path), _parse_documents
+
+    return read_staged(spark, [split, declared, whole], "xml").raw(extra)

@@ -401,3 +401,69 @@ def test_xlsx_folder(spark, tmp_path):
 def test_unknown_format(spark):
     with pytest.raises(NotImplementedError):
         formats.read(spark, "/tmp/a.txt")
+
+
+# --- files of one folder that say different things of themselves
+
+
+def _many(tag: str, values, start: int) -> str:
+    return "".join(f"<{tag}><Id>{start + i}</Id><v>{v}</v></{tag}>" for i, v in enumerate(values))
+
+
+def _kinds(raw) -> dict[str, int]:
+    """Pieces per file, by name."""
+    lines = raw.df.sparkSession.read.parquet(*raw.staging).filter("names IS NULL AND error IS NULL")
+    return {r["f"].rpartition("/")[2]: r["n"] for r in lines.groupBy("f").agg(F.count("*").alias("n")).collect()}
+
+
+def test_xml_files_have_their_own_entities(spark, file):
+    doc = '<?xml version="1.0"?><!DOCTYPE r [<!ENTITY foo "{}">]><r>{}</r>'
+    file("d/a.xml", doc.format("AAA", _many("I", ["&foo;"] * 4, 1)) + "<!-- the largest -->" * 9)
+    file("d/b.xml", doc.format("BBB", _many("I", ["&foo;"] * 4, 101)))
+    path = file("d/c.xml", "<r>" + _many("I", ["plain"] * 3, 201) + "</r>").rpartition("/")[0]
+    raw = read_xml(spark, path)
+    expected = [(str(i), "AAA") for i in range(1, 5)] + [(str(i), "BBB") for i in range(101, 105)] + [(str(i), "plain") for i in range(201, 204)]
+    assert rows(raw) == expected
+    assert _kinds(raw)["a.xml"] >= 5 and _kinds(raw)["b.xml"] >= 5  # still cut into pieces
+
+
+def test_xml_files_have_their_own_encoding(spark, file):
+    latin = '<?xml version="1.0" encoding="iso-8859-1"?><r>' + _many("I", ["Ã©", "Ã©"], 1) + "</r>"
+    file("d/a.xml", latin.encode("latin-1"))
+    file("d/b.xml", "<r>" + _many("I", ["é"] * 9, 101) + "</r>")
+    file("d/c.xml", "<r>" + _many("I", ["x", "y"], 201) + "</r>")
+    path = file("d/d.xml", ('<?xml version="1.0" encoding="utf-16"?><r>' + _many("I", ["ü"], 301) + "</r>").encode("utf-16")).rpartition("/")[0]
+    raw = read_xml(spark, path)
+    assert rows(raw) == [("1", "Ã©"), ("2", "Ã©")] + [(str(101 + i), "é") for i in range(9)] + [("201", "x"), ("202", "y"), ("301", "ü")]
+    assert _kinds(raw)["b.xml"] >= 10
+
+
+def test_xml_roots_and_tags_differ_by_file(spark, file):
+    file("d/a.xml", "<one>" + _many("I", ["a"] * 9, 1) + "</one>")
+    file("d/b.xml", "<two>\n" + _many("I", ["b"] * 5, 101) + "\n</two>\n<!-- end -->")
+    file("d/c.xml", "<three>" + _many("Other", ["c"] * 2, 201) + "</three>")
+    path = file("d/d.xml", "<r><I><I>x</I></I><I><Id>302</Id></I></r>").rpartition("/")[0]
+    raw = read_xml(spark, path, extra=["I"])
+    got = [tuple(r) for r in raw.df.orderBy(ORD).select("Id", "v", "I").collect()]
+    assert got[:9] == [(str(1 + i), "a", None) for i in range(9)] and got[9:14] == [(str(101 + i), "b", None) for i in range(5)]
+    assert got[14:] == [("201", "c", None), ("202", "c", None), (None, None, "x"), ("302", None, None)]
+    assert _kinds(raw)["a.xml"] >= 10 and _kinds(raw)["b.xml"] >= 6
+
+
+@pytest.mark.parametrize("bad", ["<r><I><Id>1</Id></I></q>", "<r><I><Id>1</Id></I>", b"<r><I><Id>\xff</Id></I></r>", "<I><Id>1</Id></I></r>", "<r><I><Id>&none;</Id></I></r>"])
+def test_xml_a_malformed_file_among_others_aborts(spark, file, bad):
+    file("d/a.xml", "<r>" + _many("I", ["a"] * 9, 1) + "</r>")
+    path = file("d/b.xml", bad).rpartition("/")[0]
+    with pytest.raises(Exception, match="malformed XML"):
+        read_xml(spark, path).df.collect()
+
+
+def test_json_files_of_another_layout(spark, file):
+    """Only the files that the largest file's layout does not fit are read in another way."""
+    file("d/a.json", json.dumps([{"Id": i, "v": "a"} for i in range(50)]))
+    file("d/b.json", json.dumps([{"Id": 100 + i, "v": "b"} for i in range(5)], indent=1))
+    path = file("d/c c.json", '[{"Id":201,"v":[{"Id":1},{"Id":2}]},{"Id":202,"v":"},{"}]').rpartition("/")[0]
+    raw = read_json(spark, path)
+    expected = [(str(i), "a") for i in range(50)] + [(str(100 + i), "b") for i in range(5)] + [("201", '[{"Id":1},{"Id":2}]'), ("202", "},{")]
+    assert rows(raw) == expected
+    assert _kinds(raw)["a.json"] >= 50
