@@ -38,7 +38,7 @@ _TAIL = ".,;:!?"
 #: Words of so many bytes are merged one at a time, with a heap.
 LONG = 48
 #: Distinct chunks, and distinct words, that a Python worker keeps.
-CHUNKS, WORDS = 200_000, 150_000
+CHUNKS, WORDS = 100_000, 80_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -188,6 +188,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 part = batch.slice(at, len(some))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], batch.schema.names)
                 at += len(some)
+            pa.default_memory_pool().release_unused()  # workers outlive their tasks, and there may be several
 
     schema = StructType([*rows.schema.fields[:-1], StructField("ids", ArrayType(IntegerType()))])
     return rows.mapInArrow(of, schema)

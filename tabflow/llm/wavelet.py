@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -288,6 +289,7 @@ def write(docs: DataFrame, file: str, end: int, path: str, id_col: str = "doc_id
                         seq, start, size, names, ids = seq + 1, start + size, 0, [], []
         if names:
             yield close()
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     dealt.mapInPandas(shards, SHARDS).write.parquet(path)
 
