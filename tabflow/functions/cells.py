@@ -258,10 +258,13 @@ def csv_unquote(cell: Column) -> Column:
     return F.when(cell.contains('"'), bare).otherwise(cell)
 
 
-def csv_escape(text: Column) -> Column:
-    """Quote a cell only for a comma or a quote; a line break alone is left bare."""
+def csv_escape(text: Column, multiline: bool = False) -> Column:
+    """Quote a cell only for a comma or a quote; a line break alone is left bare unless cells may have several lines."""
     wrapped = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(text.contains(",") | text.contains('"'), wrapped).otherwise(F.coalesce(text, F.lit("")))
+    special = text.contains(",") | text.contains('"')
+    if multiline:
+        special = special | text.contains("\n") | text.contains("\r")
+    return F.when(special, wrapped).otherwise(F.coalesce(text, F.lit("")))
 
 
 # --- XML names ------------------------------------------------------------------------------------------------

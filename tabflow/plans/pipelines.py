@@ -24,10 +24,14 @@ def add_table(
     name: str,
     policy: Policy | str | None = None,
     buckets: int | None = None,
+    **options,
 ) -> LoadReport:
-    """Read a file, infer its types, create the table and load the rows; on any error there is no table."""
+    """Read a file, infer its types, create the table and load the rows; on any error there is no table.
+
+    options: what the format's reader takes, such as `multiline` for CSV.
+    """
     policy = Policy.of(policy)
-    raw = formats.read(spark, path)
+    raw = formats.read(spark, path, **options)
     try:
         if not raw.df.take(1):
             raise ValueError(f"{path} has no rows")
@@ -47,6 +51,7 @@ def import_into(
     policy: Policy | str | None = None,
     on_error: str = "abort",
     late: str = "abort",
+    **options,
 ) -> LoadReport:
     """Load a file into an existing table, cast to the table's types; all rows or none.
 
@@ -56,7 +61,7 @@ def import_into(
     are added to it as text, wherever in the file they come up first.
     """
     key = tables.state(spark, name).key
-    raw = formats.read(spark, path, extra=[c for c in tables.types_of(spark, name) if c != key])
+    raw = formats.read(spark, path, extra=[c for c in tables.types_of(spark, name) if c != key], **options)
     try:
         if late == "merge":
             raw = raw.with_columns(late_names(raw))
@@ -104,6 +109,6 @@ def load_raw(
         split.discard()
 
 
-def export_table(spark: SparkSession, name: str, path: str) -> None:
-    """Write a table to a new folder in the format of the path's extension."""
-    formats.write(tables.scan(spark, name), path)
+def export_table(spark: SparkSession, name: str, path: str, **options) -> None:
+    """Write a table to a new folder in the format of the path's extension; options go to the format's writer."""
+    formats.write(tables.scan(spark, name), path, **options)

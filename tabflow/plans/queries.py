@@ -73,10 +73,10 @@ def typed(raw: Raw) -> DataFrame:
     return transform(raw, infer_types(raw.df, raw.columns)).select(*[col(c) for c in raw.columns])
 
 
-def round_trip(df: DataFrame, extension: str) -> DataFrame:
+def round_trip(df: DataFrame, extension: str, **options) -> DataFrame:
     path = scratch_dir(df.sparkSession, "export") + extension
-    formats.write(df, path)
-    return typed(formats.read(df.sparkSession, path))
+    formats.write(df, path, **options)
+    return typed(formats.read(df.sparkSession, path, **options))
 
 
 def stored(df: DataFrame, name: str, key: str = KEY) -> str:
@@ -135,6 +135,18 @@ def csv_quote_grammar(spark, sf_dir):
     return typed(formats.read(spark, path))
 
 
+BLANK_SQL = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = ''"
+
+
+@query(
+    "csv_multiline_documents",
+    f"""SELECT doc_id AS "Id", CASE WHEN {BLANK_SQL} THEN NULL ELSE text END AS text, lang, source, n_chars FROM documents""",
+)
+def csv_multiline_documents(spark, sf_dir):
+    """Whole texts, line ends included; files are cut wherever a split ends, within a text or not."""
+    return round_trip(table(spark, sf_dir, "documents", "doc_id"), ".csv", multiline=True)
+
+
 @query(
     "csv_ragged_rows",
     """
@@ -228,6 +240,29 @@ def json_large_first_object(spark, sf_dir):
     return typed(formats.read(spark, path))
 
 
+@query(
+    "json_any_layout",
+    f"""
+    SELECT doc_id AS "Id", CASE WHEN {BLANK_SQL} THEN NULL ELSE text END AS text,
+           '[{{"Id":' || doc_id || '}},{{"Id": 0}}]' AS parts FROM documents
+    UNION ALL SELECT -1 - event_id, event_type || '}},{{', NULL FROM events
+    """,
+)
+def json_any_layout(spark, sf_dir):
+    """Files of two layouts in one folder; objects like the rows, and braces in texts, stand inside the rows."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    nested = d.select(F.concat(
+        F.lit('{"Id":'), d.doc_id.cast("string"), F.lit(',"text":'), F.substring(F.to_json(F.struct("text")), F.lit(9), F.length(F.to_json(F.struct("text"))) - 9),
+        F.lit(',"parts":[{"Id":'), d.doc_id.cast("string"), F.lit('},{"Id": 0}]}'),
+    ))
+    spread = e.select(F.format_string('  {\n "Id" : %d ,\n "text" : "%s},{" }', -1 - e.event_id, e.event_type))
+    folder = scratch_dir(spark, "objects") + ".json"
+    write_objects(nested, f"{folder}/0")
+    write_objects(spread, f"{folder}/1")
+    raw = read_json(spark, [f"{folder}/0", f"{folder}/1"], extra=["Id", "text", "parts"])
+    return typed(raw)
+
+
 @query(
     "json_heterogeneous",
     """

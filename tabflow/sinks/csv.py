@@ -10,9 +10,9 @@ from tabflow.runtime import col
 from tabflow.types import logical_type
 
 
-def csv_line(df: DataFrame) -> Column:
-    """One output line per row."""
-    out = [cells.csv_escape(cells.render(col(f.name), logical_type(f))) for f in df.schema.fields]
+def csv_line(df: DataFrame, multiline: bool = False) -> Column:
+    """One output line per row; with `multiline`, cells with line ends are quoted, and the row has more lines."""
+    out = [cells.csv_escape(cells.render(col(f.name), logical_type(f)), multiline) for f in df.schema.fields]
     return F.concat_ws(",", *out)
 
 
@@ -31,8 +31,8 @@ def write_lines(lines: DataFrame, header: str, path: str) -> None:
     watched.select(value.alias("value")).write.option("maxRecordsPerFile", 0).text(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Write rows as text, a line each. A table without rows gives no header."""
+def write_csv(df: DataFrame, path: str, multiline: bool = False) -> None:
+    """Write rows as text, a line each, see `csv_line`. A table without rows gives no header."""
     names = F.concat_ws(",", *[cells.csv_escape(F.lit(c)) for c in df.columns])
     header = df.sparkSession.range(1).select(names).first()[0]
-    write_lines(df.select(csv_line(df).alias("line")), header, path)
+    write_lines(df.select(csv_line(df, multiline).alias("line")), header, path)

@@ -36,9 +36,9 @@ def handlers(path: str):
         raise NotImplementedError(f"format {extension!r} is not supported") from None
 
 
-def read(spark: SparkSession, path: str, extra: list[str] | None = None) -> Raw:
-    return handlers(path)[0](spark, path, extra)
+def read(spark: SparkSession, path: str, extra: list[str] | None = None, **options) -> Raw:
+    return handlers(path)[0](spark, path, extra, **options)
 
 
-def write(df: DataFrame, path: str) -> None:
-    handlers(path)[1](df, path)
+def write(df: DataFrame, path: str, **options) -> None:
+    handlers(path)[1](df, path, **options)

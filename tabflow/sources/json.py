@@ -1,4 +1,7 @@
-"""JSON reader for documents that are an array of objects, split at the gaps between the objects.
+"""JSON reader for documents that are an array of objects, split between the objects.
+
+Where all objects of a file are a like gap apart, as serializers write them, the scan cuts there. Other files are cut at
+their braces, and the depth and quoting at which each split begins tell which of the braces end an object of the array.
 
 Cells keep the text of the document: strings are unescaped, numbers and nested values stay as they are written, null is
 blank, booleans are `True` and `False`. Spark's own parser re-renders such values, so the objects are parsed by a strict
@@ -7,6 +10,7 @@ parser in the tasks.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -18,14 +22,15 @@ from pyspark.sql import functions as F
 
 from tabflow.operators.transform import Raw
 from tabflow.runtime import ORD, file_order, first_and_largest_file
-from tabflow.sources.rows import Parsed, places, read_staged
+from tabflow.sources.cuts import before, with_states
+from tabflow.sources.rows import Parsed, Stage, part_of, places, read_staged, staged
 
 _SPACE = re.compile(r"[ \t\n\r]*")
 _MARKS = re.compile(r'\\.|["\[\]{}]', re.S)
 _BETWEEN = re.compile(r'\s*,\s*\{\s*"(?:[^"\\]|\\.)+"')
-#: Pieces behind the first object that may hold the first name of the second.
-_NEAR = 16
-
+#: What may still become such a gap: its first name goes on behind a brace.
+_BEGUN = re.compile(r'\s*,\s*\{\s*"(?:[^"\\]|\\.)*', re.S)
+_ESCAPED = re.compile(r"\\.", re.S)
 # --- parsing --------------------------------------------------------------------------------------------------
 
 
@@ -157,11 +162,13 @@ def _first_gap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     else:
         return
     after = ""
-    for _, piece in zip(range(_NEAR), pieces, strict=False):
+    for piece in pieces:
         after += piece + "}"
         if between := _BETWEEN.match(after):
             yield pa.RecordBatch.from_pydict({"gap": ["}" + between.group()]})
             return
+        if not _BEGUN.fullmatch(after):
+            return
 
 
 def _gap(spark: SparkSession, path: str) -> str | None:
@@ -183,20 +190,144 @@ def _documents(spark: SparkSession, path) -> DataFrame:
     return docs.select("value", file_order().alias(ORD))
 
 
+# --- cutting by depth -----------------------------------------------------------------------------------------
+
+
+def _outside(piece: str, quoted: int) -> tuple[str, int]:
+    """What stands outside of quotes in a piece, and whether it ends within them."""
+    if "\\" in piece:
+        piece = _ESCAPED.sub("", piece)
+    parts = piece.split('"')
+    return "".join(parts[quoted::2]), (quoted + len(parts) - 1) % 2
+
+
+def _depth(outside: str) -> int:
+    return outside.count("{") + outside.count("[") - outside.count("]")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """(file, split) with its pieces (place, piece, states...), which come one after the other."""
+
+    def pieces() -> Iterator[tuple]:
+        for batch in batches:
+            states = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
+            yield from zip(places(batch), batch.column(0).to_pylist(), *states, strict=True)
+
+    return itertools.groupby(pieces(), key=lambda x: x[0][:2])
+
+
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each split does to the state: to the quoting, and to the depth if it begins outside of quotes or within."""
+    for (f, b), pieces in _runs(batches):
+        quoted, depth = [0, 1], [0, 0]
+        for _, piece in pieces:
+            for begun in (0, 1):
+                outside, quoted[begun] = _outside(piece, quoted[begun])
+                depth[begun] += _depth(outside) - (not quoted[begun])  # the brace that the cut took
+        yield pa.RecordBatch.from_pydict({"f": [f], "b": [b], "quotes": [quoted[0]], "out": [depth[0]], "within": [depth[1]]})
+
+
+def _states(pieces: DataFrame) -> DataFrame:
+    """(f, b, quoted, depth): the state that each split begins with."""
+    changes = pieces.mapInArrow(_changes, "f string, b bigint, quotes bigint, out bigint, within bigint")
+    quoted = changes.withColumn("quoted", (before(F.col("quotes")) % 2).cast("int"))
+    change = F.when(F.col("quoted") == 0, F.col("out")).otherwise(F.col("within"))
+    return quoted.withColumn("change", change).select("f", "b", "quoted", before(F.col("change")).alias("depth"))
+
+
+def _parse_element(place: tuple, text: str) -> Parsed:
+    """A row with what stands between it and the row before, or what stands behind the last row."""
+    text = text.removeprefix("\ufeff")
+    at = _skip(text, 0)
+    try:
+        if text[at : at + 1] == "[":
+            return place, list(rows_of(text + "]")), True, False, None, None
+        if text[at : at + 1] == ",":
+            rows = list(rows_of("[" + text[at + 1 :] + "]"))
+            if len(rows) == 1:
+                return place, rows, False, False, None, None
+        return place, [], False, False, "a comma was expected", None
+    except ValueError as e:
+        return place, [], False, False, str(e), None
+
+
+def _parse_elements(batch: pa.RecordBatch) -> Iterable[Parsed]:
+    for place, text in zip(places(batch), batch.column(0).to_pylist(), strict=True):
+        yield _parse_element(place, text)
+
+
+def _parse_end(place: tuple, text: str) -> Parsed:
+    """What stands behind the last row of a document, or a document without rows."""
+    text = text.removeprefix("\ufeff").strip(" \t\n\r")
+    if text in ("]", "null") or (text[:1] == "[" and text[1:].strip(" \t\n\r") == "]"):
+        return place, [], text != "]", True, None, None
+    return place, [], False, False, "the array does not end", None
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Staged lines of pieces with the state of their split: rows, and parts of those that leave or enter the split."""
+
+    def lines() -> Iterator[tuple]:
+        for _, pieces in _runs(batches):
+            text: list[str] = []
+            inside = head = first = None
+            for place, piece, begun, start in pieces:
+                if inside is None:
+                    quoted, depth = begun, start
+                    inside = head = depth > 1 or quoted == 1
+                outside, quoted = _outside(piece, quoted)
+                depth += _depth(outside)
+                first = place if not text else first
+                if not quoted and depth < 1:
+                    yield from _lines_of(_parse_end(place, "".join(text) + piece))
+                    text, inside, head = [], False, False
+                    continue
+                depth -= not quoted
+                text.append(piece + "}")
+                if quoted or depth > 1:
+                    continue
+                whole, text = "".join(text), []
+                if head:
+                    yield part_of(first, False, whole)
+                else:
+                    yield from _lines_of(_parse_element(first, whole))
+                head = False
+            if text:
+                yield part_of(first, not head, "".join(text))
+
+    return staged(lines())
+
+
+def _lines_of(found: Parsed) -> Iterator[tuple]:
+    place, rows, opens, closes, error, root = found
+    yield (*place, -1, None, None, opens, closes, error, root, None)
+    for p, row in enumerate(rows):
+        yield (*place, p, list(row), list(row.values()), None, None, None, None, None)
+
+
+def _by_depth(spark: SparkSession, path) -> Stage:
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", file_order().alias(ORD))
+    stage = Stage(with_states(pieces, _states(pieces)), None, "json", run=_cut)
+    return stage.completed(_parse_elements, "json")
+
+
 def read_json(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     """Text columns of JSON array documents.
 
     The columns are the names of the first object; `extra` adds names that later objects may carry. Files where the gap
-    between the first two objects of the largest file also separates all others, as any serializer writes it, are split
-    there by the scan; other files are parsed whole, each by itself. Text that is not one array of objects per file
-    aborts.
+    between the first two objects of the largest file also separates all others are split there by the scan; other
+    files are split by depth, in two passes. Text that is not one array of objects per file aborts.
     """
 
     def by_gap(files: list[str] | None, _):
         gap = _gap(spark, first_and_largest_file(spark, path)[1])
-        return (_pieces(spark, path, gap), _pieces_parser(gap[gap.index("{") :])) if gap else None
+        return Stage(_pieces(spark, path, gap), _pieces_parser(gap[gap.index("{") :]), "json") if gap else None
+
+    def by_depth(files: list[str] | None, _):
+        return _by_depth(spark, files or path)
 
     def whole(files: list[str] | None, _):
-        return _documents(spark, files or path), _parse_documents
+        # What is left is malformed; the parser of documents says where.
+        return Stage(_documents(spark, files or path), _parse_documents, "json")
 
-    return read_staged(spark, [by_gap, whole], "json").raw(extra)
+    return read_staged(spark, [by_gap, by_depth, whole]).raw(extra)

@@ -19,17 +19,18 @@ from pyspark.sql import functions as F
 from tabflow.operators.transform import ROW as WHOLE
 from tabflow.operators.transform import Raw
 from tabflow.runtime import LATE, ORD, discard, literal_path, scratch_dir
+from tabflow.sources.cuts import joined_parts
 
 ROW = "map<string,string>"
 _STAGED = (
     "f string, b bigint, m bigint, p bigint, names array<string>, texts array<string>, "
-    "opens boolean, closes boolean, error string, root string"
+    "opens boolean, closes boolean, error string, root string, part string"
 )
 _ARROW = pa.schema(
     [("f", pa.string()), ("b", pa.int64()), ("m", pa.int64()), ("p", pa.int64())]
     + [(c, pa.list_(pa.string())) for c in ("names", "texts")]
     + [(c, pa.bool_()) for c in ("opens", "closes")]
-    + [("error", pa.string()), ("root", pa.string())]
+    + [("error", pa.string()), ("root", pa.string()), ("part", pa.string())]
 )
 _BATCH = 5000
 
@@ -43,16 +44,25 @@ def _batches(found: Iterable[Parsed]) -> Iterator[pa.RecordBatch]:
 
     def lines() -> Iterator[tuple]:
         for place, rows, opens, closes, error, root in found:
-            yield (*place, -1, None, None, opens, closes, error, root)
+            yield (*place, -1, None, None, opens, closes, error, root, None)
             for p, row in enumerate(rows):
-                yield (*place, p, list(row), list(row.values()), None, None, None, None)
+                yield (*place, p, list(row), list(row.values()), None, None, None, None, None)
 
-    for some in itertools.batched(lines(), _BATCH):
+    yield from staged(lines())
+
+
+def staged(lines: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    for some in itertools.batched(lines, _BATCH):
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(zip(*some), _ARROW, strict=True)], schema=_ARROW
         )
 
 
+def part_of(place: tuple, opens: bool, text: str) -> tuple:
+    """A staged line that is a part of a row; the first one opens it."""
+    return (*place, -1, None, None, opens, None, None, None, text)
+
+
 def in_tasks(parse: Callable[[pa.RecordBatch], Iterable[Parsed]]):
     """A function over Arrow batches from one that parses a batch of pieces."""
 
@@ -71,17 +81,25 @@ def places(batch: pa.RecordBatch) -> list[tuple]:
 class Stage:
     """Parsed rows in the scratch folder."""
 
-    def __init__(self, pieces: DataFrame, parse: Callable[[pa.RecordBatch], Iterable[Parsed]], label: str):
+    def __init__(self, pieces: DataFrame, parse: Callable[[pa.RecordBatch], Iterable[Parsed]] | None, label: str, run=None):
+        """parse: a function over a batch of pieces; or `run`, one over all batches of a task that gives staged lines."""
         self.spark: SparkSession = pieces.sparkSession
         path = scratch_dir(self.spark, label)
         self.paths = [path]
-        pieces.mapInArrow(in_tasks(parse), _STAGED).write.parquet(path)
+        pieces.mapInArrow(run or in_tasks(parse), _STAGED).write.parquet(path)
         self.lines = self.spark.read.schema(_STAGED).parquet(path)
 
     def broken(self) -> DataFrame:
         """(f, root): files of which a piece could not be parsed, or that are not opened by their first piece and closed
         by their last under one root; with what a piece says of the root or in front of it."""
-        return broken_files(self.lines.filter("names IS NULL"))
+        return broken_files(self.lines.filter("names IS NULL AND part IS NULL"))
+
+    def completed(self, parse: Callable[[pa.RecordBatch], Iterable[Parsed]], label: str) -> Stage:
+        """With the rows that were left in parts."""
+        whole = joined_parts(self.lines.filter("part IS NOT NULL").selectExpr("f", "b", "m", "part AS value", "opens"), "")
+        rest = Stage(whole.select("value", F.struct("f", "b", "m").alias(ORD)), parse, label)
+        self.lines, self.paths = self.lines.unionByName(rest.lines), self.paths + rest.paths
+        return self
 
     def without(self, files: DataFrame, rest: Stage) -> Stage:
         """The rows but those of some files, which another stage has."""
@@ -104,11 +122,11 @@ class Stage:
         return raw
 
 
-#: A way to read files: (pieces of the given files, parser), or None if it does not apply. Given None, all files.
-Way = Callable[[list[str] | None, dict[str, str]], tuple[DataFrame, Callable[[pa.RecordBatch], Iterable[Parsed]]] | None]
+#: A way to read files, all or those given, to a stage; None if it does not apply.
+Way = Callable[[list[str] | None, dict[str, str]], Stage | None]
 
 
-def read_staged(spark: SparkSession, ways: list[Way], label: str) -> Stage:
+def read_staged(spark: SparkSession, ways: list[Way]) -> Stage:
     """The rows of all files, each read by the first way that finds it whole; the last way takes what it is given.
 
     A later way is given the files that are left, and what the way before it found in front of their rows.
@@ -119,10 +137,9 @@ def read_staged(spark: SparkSession, ways: list[Way], label: str) -> Stage:
     broken = None
     try:
         for i, way in enumerate(ways):
-            given = way(left, known)
-            if given is None:
+            found = way(left, known)
+            if found is None:
                 continue
-            found = Stage(*given, label)
             stage = found if stage is None else stage.without(broken, found)
             if i == len(ways) - 1:
                 break

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tabflow.operators.transform import Raw
 from tabflow.runtime import ORD, file_order, first_and_largest_file
-from tabflow.sources.rows import Parsed, places, read_staged
+from tabflow.sources.rows import Parsed, Stage, places, read_staged
 
 _CHUNK = 1 << 20
 #: Root of pieces that hold rows only; no document can close it.
@@ -239,14 +239,14 @@ def read_xml(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
     tag = _row_tag(spark, path)
 
     def split(files: list[str] | None, _):
-        return (_pieces(spark, path, tag), _pieces_parser(tag, {})) if tag else None
+        return Stage(_pieces(spark, path, tag), _pieces_parser(tag, {}), "xml") if tag else None
 
     def declared(files: list[str] | None, roots: dict[str, str]):
         """Files whose first piece has a document type, with that in front of all their pieces."""
         doctypes = {f: root.partition(" ")[2] for f, root in roots.items() if " " in root}
-        return (_pieces(spark, files, tag), _pieces_parser(tag, doctypes)) if doctypes else None
+        return Stage(_pieces(spark, files, tag), _pieces_parser(tag, doctypes), "xml") if doctypes else None
 
     def whole(files: list[str] | None, _):
-        return _documents(spark, files or path), _parse_documents
+        return Stage(_documents(spark, files or path), _parse_documents, "xml")
 
-    return read_staged(spark, [split, declared, whole], "xml").raw(extra)
+    return read_staged(spark, [split, declared, whole]).raw(extra)

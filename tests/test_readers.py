@@ -467,3 +467,90 @@ def test_json_files_of_another_layout(spark, file):
     expected = [(str(i), "a") for i in range(50)] + [(str(100 + i), "b") for i in range(5)] + [("201", '[{"Id":1},{"Id":2}]'), ("202", "},{")]
     assert rows(raw) == expected
     assert _kinds(raw)["a.json"] >= 50
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def _splits(raw) -> int:
+    return raw.df.sparkSession.read.parquet(*raw.staging).select("f", "b").distinct().count()
+
+
+NESTED = [
+    {"Id": i, "a": 'q"\\{}[]},{"Id":1' * (i % 5), "b": [{"Id": 1}, {"Id": 2, "c": {"d": "}"}}], "e": "x" * (3000 if i % 20 == 7 else i)}
+    for i in range(60)
+]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_json_is_cut_by_depth(small_splits, file, indent, threshold):
+    """Nested objects like the rows defeat the gap; rows go on over several splits."""
+    small_splits.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    path = file("a.json", json.dumps(NESTED, indent=indent))
+    raw = read_json(small_splits, path)
+    text = lambda v: v if isinstance(v, str) else str(v) if isinstance(v, int) else json.dumps(v, indent=indent)
+    found = rows(raw)
+    assert [(r[0], r[1], json.loads(r[2]), r[3]) for r in found] == [(str(r["Id"]), r["a"], r["b"], r["e"]) for r in NESTED]
+    assert indent or [r[2] for r in found] == [text(r["b"]) for r in NESTED]
+    assert _splits(raw) >= 10
+
+
+def test_json_first_name_of_many_braces(small_splits, file):
+    rows_ = [{"{}" * 40: i, "b": "y" * 50} for i in range(100)]
+    raw = read_json(small_splits, file("a.json", json.dumps(rows_)))
+    assert rows(raw) == [(str(i), "y" * 50) for i in range(100)] and _splits(raw) >= 6
+
+
+@pytest.mark.parametrize("bad", ['[{"a":1} {"a":{"b":2}}]', '[{"a":{}},{"a":{}}', '[{"a":{}},]', '[{"a":{}},{"a":{}}]]', '[{"a":{}}],{"a":{}}', '{"a":{}}', '[[{"a":{}}]]'])
+def test_json_cut_by_depth_refuses_malformed_documents(small_splits, file, bad):
+    with pytest.raises(Exception, match="malformed JSON"):
+        read_json(small_splits, file("a.json", bad)).df.collect()
+
+
+@pytest.mark.parametrize("text", ["[]", "null", " [ ] \n", "\ufeff[]", '[{"a":1}]', '\ufeff [ {"a" : 1 } ] '])
+def test_json_small_documents_by_depth(small_splits, file, text):
+    from tabflow.sources.json import _by_depth
+
+    stage = _by_depth(small_splits, file("a.json", text))
+    assert stage.broken().count() == 0
+    assert [tuple(r["texts"]) for r in stage.lines.filter("names IS NOT NULL").collect()] == ([("1",)] if "1" in text else [])
+
+
+MULTILINE = [(i, ["", 'a\nb"c,d', "\n\n", "x\r\ny", '"', "line\n" * 700, "plain"][i % 7], i / 4) for i in range(120)]
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_cells_of_several_lines(small_splits, file, threshold, end):
+    small_splits.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    quoted = lambda v: '"' + v.replace('"', '""') + '"'
+    body = end.join(["Id,v,n"] + [f"{i},{quoted(v)},{n}" for i, v, n in MULTILINE] + ["", "  "]) + end
+    raw = read_csv(small_splits, file("a.csv", "\ufeff" + body), multiline=True)
+    assert rows(raw) == [(str(i), v, str(n)) for i, v, n in MULTILINE]
+    assert _splits(raw) >= 4
+
+
+def test_csv_multiline_round_trip_and_import(spark, database, tmp_path):
+    from tabflow.plans import pipelines
+
+    df = spark.createDataFrame([r for r in MULTILINE if r[1].strip()], "Id long, v string, n double").repartition(3)
+    formats.write(df, str(tmp_path / "a.csv"), multiline=True)
+    pipelines.add_table(spark, str(tmp_path / "a.csv"), f"{database}.m", multiline=True)
+    assert sorted(map(tuple, spark.table(f"{database}.m").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_csv_multiline_headers_and_open_ends(spark, file):
+    file("d/a.csv", 'Id,v\n1,"x\ny"\n')
+    path = file("d/b.csv", 'Id,v\n2,"never\nclosed').rpartition("/")[0]
+    assert rows(read_csv(spark, path, multiline=True)) == [("1", "x\ny"), ("2", "never\nclosed")]
+    file("d/c.csv", "Id,w\n3,z\n")
+    with pytest.raises(Exception, match="another header"):
+        read_csv(spark, path, multiline=True)
