@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import content_key, packed, settle
+from tabflow.llm.common import content_key, drop_settled, packed, settle
 from tabflow.runtime import col
 
 #: Distinct sites from which on a line is boilerplate.
@@ -56,7 +56,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     near = likely.filter(F.col("sites") <= min_sites * (1 + ERROR))
     pairs = lines.select("a", "b", "site").join(near.select("a", "b"), ["a", "b"], "left_semi").distinct()
     exact = pairs.groupBy("a", "b").agg(F.count("site").alias("exact")).filter(F.col("exact") >= min_sites)
-    return settle(sure.unionByName(near.join(exact, ["a", "b"]).select("a", "b", "first")), "boilerplate")
+    found = settle(sure.unionByName(near.join(exact, ["a", "b"]).select("a", "b", "first")), "boilerplate")
+    drop_settled(likely)
+    return found
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:

@@ -30,7 +30,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import packed, settle
+from tabflow.llm.common import drop_settled, packed, settle
 from tabflow.runtime import col
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -88,7 +88,9 @@ def cells(docs: DataFrame, source: str = "source", lang: str = "lang", text: str
     sums = rows.groupBy("source").agg(F.sum("n").alias("tokens"), *[F.sum(x).alias(f"tokens_{k}") for k, x in enumerate(inside)])
     sums = settle(sums.filter("tokens > 0"), "cells")
     # Every round reads them: few rows are not to lie in as many files as there were tasks.
-    return settle(sums.coalesce(max(1, math.ceil(sums.count() / CELL_ROWS))), "cells")
+    few = settle(sums.coalesce(max(1, math.ceil(sums.count() / CELL_ROWS))), "cells")
+    drop_settled(sums)
+    return few
 
 
 def goals(of: DataFrame) -> tuple[float, dict[str, float], dict[str, float]]:
@@ -244,6 +246,7 @@ def probabilities_of(docs: DataFrame, source: str, lang: str, text: str, keep: f
     if of.limit(1).count() == 0:
         return of.select("source", F.lit("").alias("lang"), F.lit("").alias("topic"), F.lit(keep).alias("p"))
     found = calibrate(of, keep)
+    drop_settled(of)
     if not found.met:
         off = ", ".join(f"{d} {v} {m:+.4f}" for (d, v), m in found.misses.items() if abs(m) > STABLE)
         warnings.warn(f"the mixing goals contradict each other; off by, as shares of the kept tokens: {off}", stacklevel=2)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tabflow.llm.common import kept_by_worker, settle
+from tabflow.llm.common import drop_settled, kept_by_worker, settle
 from tabflow.runtime import col
 
 BITS = 18
@@ -153,14 +153,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     known = labels.filter(col(label).isNotNull() & col(key).isNotNull()).select(h.alias("h"), col(key).alias("k"), col(label).cast("int").alias("y"))
     chosen = known.distinct().orderBy("h", "k", "y").limit(sample)
     rows = docs.filter(col(text).isNotNull()).select(col(key).alias("d"), col(text).alias("t"))
-    some = rows.join(F.broadcast(chosen), F.col("d") == F.col("k"))  # at most `sample` rows of three numbers
-    # Documents may share an id: the sample is bounded once more.
-    some = some.select("h", "y", "t", F.xxhash64("t").alias("u")).orderBy("h", "y", "u").limit(sample).drop("u")
-    vectors = settle(some.repartition(8).mapInPandas(_vectors, "h long, y int, buckets binary, counts binary"), "vectors")
-    if vectors.limit(1).count() == 0:
-        return None
-    learned = vectors.repartition(1).mapInPandas(_learn, "weights binary").first()
-    return np.frombuffer(learned["weights"], "<f4").astype(np.float64)
+    some = rows.join(F.broadcast(chosen), F.col("d") == F.col("k")).select("h", "y", "t")  # at most `sample` rows of three numbers
+    made = some.mapInPandas(_vectors, "h long, y int, buckets binary, counts binary")
+    # Documents may share an id: the sample is bounded once more, of vectors; no text leaves its task.
+    order = F.xxhash64("buckets", "counts").alias("u")
+    vectors = settle(made.select("*", order).orderBy("h", "y", "u", "buckets", "counts").limit(sample).drop("u"), "vectors")
+    learned = vectors.repartition(1).mapInPandas(_learn, "weights binary").first() if vectors.limit(1).count() else None
+    drop_settled(vectors)
+    return None if learned is None else np.frombuffer(learned["weights"], "<f4").astype(np.float64)
 
 
 def scores(text: Column, weights: np.ndarray | None) -> Column:

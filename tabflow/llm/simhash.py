@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tabflow.llm.common import content_key, packed, settle
+from tabflow.llm.common import content_key, drop_settled, packed, passing, settle
 from tabflow.runtime import col
 
 SEED = 42
@@ -198,10 +198,11 @@ def components(edges: DataFrame) -> DataFrame:
         jump = state.select(F.col("node").alias("via"), F.col("root").alias("far"))
         step = step.join(jump, step["near"] == jump["via"]).select("node", F.col("root").alias("was"), F.least("near", "far").alias("root"))
         step = settle(step, "labels")
-        moved = step.filter("was <> root").limit(1).count()
-        state = step.select("node", "root")
-        if not moved:
-            return state
+        drop_settled(state)
+        if not step.filter("was <> root").limit(1).count():
+            drop_settled(both)
+            return step.select("node", "root")
+        state = step
 
 
 def linked(marked: DataFrame, distance: int = 3) -> DataFrame:
@@ -209,9 +210,11 @@ def linked(marked: DataFrame, distance: int = 3) -> DataFrame:
 
     marked: column `fp`, any number of rows per fingerprint.
     """
-    return components(settle(links(settle(marked.select("fp").distinct(), "distinct"), distance), "links")).select(
-        F.col("node").alias("linked_fp"), "root"
-    )
+    spark = marked.sparkSession
+    with passing(spark) as kept:
+        found = settle(components(settle(links(settle(marked.select("fp").distinct(), "distinct"), distance), "links")), "linked")
+        kept.append(found)
+    return found.select(F.col("node").alias("linked_fp"), "root")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:

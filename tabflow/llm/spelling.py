@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import settle
+from tabflow.llm.common import drop_settled, passing, settle
 from tabflow.runtime import col
 
 #: Letters of a run.
@@ -184,15 +184,19 @@ def roots(forms: DataFrame) -> DataFrame:
         onward = state.select(F.col("word").alias("via"), F.col("root").alias("next"))
         step = state.join(onward, state["root"] == onward["via"], "left")
         step = settle(step.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        drop_settled(state)
         if step.filter("moved").limit(1).count() == 0:
             return step.select("word", "root")
-        state = step.select("word", "root")
+        state = step
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text: str = "text", deleted: int | None = 31) -> DataFrame:
     """(word, form, root, n, n_near, form_n): every word with its number of near words and the form it is a variant of."""
     counted = settle(words(docs, id_col, text, deleted), "words")
-    best = neighbours(counted).groupBy("word").agg(
+    with passing(docs.sparkSession) as kept:
+        pairs = neighbours(counted)
+        kept.append(pairs)
+    best = pairs.groupBy("word").agg(
         F.first("n").alias("n"), F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
     )
     frequent = -F.col("best.less") >= RATIO * F.col("n")
@@ -200,6 +204,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text: str = "text", delete
         best.select("word", "n_near", F.when(frequent, F.col("best.near")).alias("form"), F.when(frequent, -F.col("best.less")).alias("form_n")),
         "forms",
     )
+    drop_settled(pairs)
     last = roots(stated.filter("form IS NOT NULL").select("word", "form"))
     found = counted.join(stated, "word", "left").join(last, "word", "left")
     return found.select(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import settle
+from tabflow.llm.common import drop_settled, settle
 from tabflow.runtime import col
 
 SCALE, OFFSET = 64.0, 1_000_000
@@ -221,6 +221,7 @@ def fit(vectors: DataFrame, vector: str = "embedding") -> Fit | None:
     summed = parts.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
     sums = [int(r["s"]) for r in sorted(summed, key=lambda r: r["pos"])]
     covariance = _total(parts.mapInArrow(_together(total, sums), "m array<double>"), dimension**2)
+    drop_settled(parts)
     covariance = covariance.reshape(dimension, dimension) / total
     values, found = refined(covariance)
     # Below this an eigenvalue is rounding.

@@ -1,14 +1,16 @@
 """Stages of the pipeline: each against a plain model over what the stage before it kept."""
 
 import hashlib
+import os
 
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabflow.llm import bpe, chat, host_rules, line_dedup, mixing, simhash
-from tabflow.llm.common import settle
+from tabflow.llm.common import drop_settled, passing, settle
 from test_brute_force import classes, fingerprint
 
 
@@ -125,19 +127,6 @@ def test_lines_near_the_threshold_are_counted_exactly(spark):
     assert out[0] == "on all\nown 0" and out[1] == "on most\nown 1" and out[n - 1] == f"on most\nown {n - 1}"
 
 
-def test_raked_weights_meet_the_targets(spark):
-    of = mixing.cells(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    raked = mixing.rake(of).collect()
-    levelled, by_lang, by_topic = mixing.goals(of)
-    by_source = {r["source"]: r["tokens"] ** mixing.LEVEL / levelled for r in of.collect()}
-    for d, goal in (("source", by_source), ("lang", by_lang), ("topic", by_topic)):
-        assert sum(goal.values()) == pytest.approx(1)
-        for value, target in goal.items():
-            # The last dimension is met exactly; the others as closely as cells without documents allow.
-            near = 1e-9 if d == "topic" else 0.006
-            assert sum(r["weight"] for r in raked if r[d] == value) == pytest.approx(target, abs=near)
-
-
 def test_ties_and_long_dialogues(spark):
     rows = [(1, i // 50, f"p{i % 2}", f"t{i}") for i in range(1500)]
     parts = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -156,3 +145,20 @@ def test_repeated_rows_leave_one_document(spark):
     rows = [(1, "same text of some words here", "a")] * 3 + [(None, "same text of some words here", "b"), (2, None, "c"), (None, None, "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 2]
+
+
+def test_superseded_folders_are_deleted(spark, small):
+    """What rounds leave behind goes; of the linked fingerprints one folder stays."""
+    root = f"{spark.conf.get('spark.checkpoint.dir')}/tabflow"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    marked = spark.read.parquet(f"{small}/documents.parquet").select(simhash.fingerprints(F.col("text"), 3).alias("fp"))
+    found = simhash.linked(marked)
+    assert {x.split("-")[0] for x in set(os.listdir(root)) - before} == {"linked"}
+    assert found.count() >= 0
+    with passing(spark) as kept:
+        stays, goes = settle(spark.range(3), "a"), settle(spark.range(4), "b")
+        kept.append(stays)
+    assert stays.count() == 3 and {x.split("-")[0] for x in set(os.listdir(root)) - before} == {"linked", "a"}
+    with pytest.raises(Exception):
+        goes.count()
+    drop_settled(stays)
