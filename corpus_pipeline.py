@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.llm import bpe, host_rules, line_dedup, mixing, simhash
-from tabflow.llm.common import settle, table
+from tabflow.llm.common import drop_settled, passing, settle, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        with passing(spark) as kept:
+            after = settle(stage(spark, docs, sf_dir), f"pipeline_{name}")
+            kept.append(after)
+        drop_settled(docs)  # the stage after it is written down
+        docs = after
     return docs
 
 
