@@ -964,6 +964,16 @@ def export_table_xml(spark, sf_dir):
     return _exported(spark, sf_dir, ".xml")
 
 
+@query("export_table_single_file", _export_sql("%Y-%m-%dT%H:%M:%S"))
+def export_table_single_file(spark, sf_dir):
+    """One JSON file, which its reader splits again."""
+    name = stored(table(spark, sf_dir, "orders", "o_orderkey"), "orders")
+    path = scratch_dir(spark, "single") + ".json"
+    pipelines.export_table(spark, name, path, single_file=True)
+    raw = formats.read(spark, path)
+    return raw.df.select(*[col(c) for c in raw.columns])
+
+
 # --- streams, quarantine, reports, late columns ---------------------------------------------------------------
 
 

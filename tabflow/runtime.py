@@ -41,6 +41,21 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def move_file(spark: SparkSession, source: str | None, target: str) -> None:
+    """Move a file to a path where nothing is yet; without a source an empty file is made there."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    to = hadoop.Path(target)
+    there = to.getFileSystem(conf)
+    if there.exists(to):
+        raise ValueError(f"there is something at {target}")
+    if source is None:
+        there.create(to, False).close()
+        return
+    at = hadoop.Path(source)
+    if not hadoop.FileUtil.copy(at.getFileSystem(conf), at, there, to, True, conf):
+        raise OSError(f"{target} could not be written")
+
+
 def file_order() -> Column:
     """Place of a row in its input, to be taken directly on the scan.
 

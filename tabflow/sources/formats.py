@@ -7,6 +7,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 
 from tabflow.operators.transform import Raw
+from tabflow.runtime import discard, move_file, scratch_dir
 from tabflow.sinks.csv import write_csv
 from tabflow.sinks.json import write_json, write_json_lines
 from tabflow.sinks.xlsx import write_xlsx
@@ -40,5 +41,20 @@ def read(spark: SparkSession, path: str, extra: list[str] | None = None, **optio
     return handlers(path)[0](spark, path, extra, **options)
 
 
-def write(df: DataFrame, path: str, **options) -> None:
-    handlers(path)[1](df, path, **options)
+def write(df: DataFrame, path: str, single_file: bool = False, **options) -> None:
+    """Write rows as a new folder of part files, or with `single_file` as one file.
+
+    One file is written by one task, so it is for tables that a task can write; the folder is not bound by that.
+    """
+    writer = handlers(path)[1]
+    if not single_file:
+        return writer(df, path, **options)
+    spark = df.sparkSession
+    folder = scratch_dir(spark, "export")
+    try:
+        writer(df.coalesce(1), folder, **options)
+        parts = spark.read.format("binaryFile").load(folder).filter("length > 0").select("path").collect()
+        # A table without rows gives an empty CSV file.
+        move_file(spark, parts[0]["path"] if parts else None, path)
+    finally:
+        discard(spark, folder)

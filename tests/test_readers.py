@@ -554,3 +554,22 @@ def test_csv_multiline_headers_and_open_ends(spark, file):
     file("d/c.csv", "Id,w\n3,z\n")
     with pytest.raises(Exception, match="another header"):
         read_csv(spark, path, multiline=True)
+
+
+@pytest.mark.parametrize("extension", ["csv", "json", "jsonl", "xml", "xlsx"])
+def test_one_output_file(spark, tmp_path, extension):
+    df = spark.range(50).selectExpr("id AS Id", "concat('v', id) AS v").repartition(4)
+    path = tmp_path / f"out.{extension}"
+    formats.write(df, str(path), single_file=True)
+    assert path.is_file()
+    raw = formats.read(spark, str(path))
+    assert sorted(rows(raw)) == sorted((str(i), f"v{i}") for i in range(50))
+    with pytest.raises(ValueError, match="there is something"):
+        formats.write(df, str(path), single_file=True)
+
+
+def test_one_output_file_without_rows(spark, tmp_path):
+    for extension, content in (("csv", ""), ("json", "[]"), ("jsonl", "")):
+        path = tmp_path / f"none.{extension}"
+        formats.write(spark.range(0).selectExpr("id AS Id"), str(path), single_file=True)
+        assert path.read_text().strip() == content
