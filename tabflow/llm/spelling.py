@@ -76,11 +76,16 @@ def _bit(of: str) -> str:
 
 
 def paths(counted: DataFrame) -> DataFrame:
-    """(path, n, first): each word forward and backward, and the least depth at which it may be edited."""
+    """(id, path, n, first): each word forward and backward, and the least depth at which it may be edited.
+
+    The numbers hold once the frame is written down.
+    """
     n = "length(word)"
     forward = f"struct(concat('{FORWARD}', word, '{END}') AS path, n, 1 + {n} div 2 AS first)"
     backward = f"struct(concat('{BACKWARD}', reverse(word), '{END}') AS path, n, 1 + {n} - {n} div 2 AS first)"
-    return counted.selectExpr(f"inline(array({forward}, {backward}))").selectExpr("path", "n", "int(first) AS first")
+    return counted.selectExpr(f"inline(array({forward}, {backward}))").selectExpr(
+        "monotonically_increasing_id() AS id", "path", "n", "int(first) AS first"
+    )
 
 
 def edges(active: DataFrame, low: int) -> DataFrame:
@@ -90,13 +95,13 @@ def edges(active: DataFrame, low: int) -> DataFrame:
     follow it and the lengths that are left below it, both as masks.
     """
     deep = f"least(length(path) - 1, {low + LEVELS - 1})"
-    steps = active.filter(f"length(path) > {low}").selectExpr("path", "n", f"explode(sequence({low}, {deep})) AS depth")
+    steps = active.filter(f"length(path) > {low}").selectExpr("id", "path", f"explode(sequence({low}, {deep})) AS depth")
     children = steps.selectExpr(
-        "depth", "substring(path, 1, depth + 1) AS child", "struct(path, n) AS only",
+        "depth", "substring(path, 1, depth + 1) AS child", "id AS only",
         f"{_bit(_letter('path', 'depth + 1'))} AS follow", "shiftleft(1L, least(length(path) - depth - 1, 63)) AS rest",
     )
     found = children.groupBy("depth", "child").agg(
-        F.count("*").alias("n_paths"), F.min("only").alias("only"), F.bit_or("follow").alias("follow"), F.bit_or("rest").alias("rest")
+        F.count("*").alias("n_paths"), F.max("only").alias("only"), F.bit_or("follow").alias("follow"), F.bit_or("rest").alias("rest")
     )
     return found.selectExpr(
         "depth", "substring(child, 1, depth) AS node", f"{_letter('child', 'depth')} AS letter", "child", "n_paths", "only", "follow", "rest"
@@ -119,13 +124,10 @@ def _step(states: DataFrame, level: DataFrame) -> DataFrame:
     taken = (
         states.selectExpr("path", "n", "at", "edited", "node", f"{here} AS here", f"{after} AS after")
         .join(level, "node")
-        .selectExpr("path", "n", "child AS node", "depth + 1 AS depth", "n_paths", "only", "follow", "rest", f"explode(filter(array({to}), x -> x IS NOT NULL)) AS at")
+        .selectExpr("path", "n", "child AS node", "n_paths", "only", "follow", "rest", f"explode(filter(array({to}), x -> x IS NOT NULL)) AS at")
     )
-    same = "substring(path, at + 1) = substring(only.path, depth + 1)"
     hopeful = f"follow & {_bit(_letter('path', 'at'))} <> 0 AND rest & shiftleft(1L, least(length(path) - at, 63)) <> 0"
-    return taken.filter(f"CASE WHEN n_paths = 1 THEN {same} ELSE {hopeful} END").selectExpr(
-        "path", "n", "at", "true AS edited", "node", "n_paths", "only"
-    )
+    return taken.filter(hopeful).selectExpr("path", "n", "at", "true AS edited", "node", "n_paths", "only")
 
 
 def _long_neighbours(counted: DataFrame) -> DataFrame:
@@ -145,7 +147,7 @@ def _long_neighbours(counted: DataFrame) -> DataFrame:
 
 def neighbours(counted: DataFrame) -> DataFrame:
     """(word, n, near, near_n): all pairs of words one edit apart, in both orders, each once."""
-    active = settle(paths(counted.filter(F.length("word") <= TRIE + 1)), "paths")
+    entered = active = settle(paths(counted.filter(F.length("word") <= TRIE + 1)), "paths")
     low, found, states = 1 + LENGTH // 2, [], None
     while True:
         trie = settle(edges(active, low).repartitionByRange("depth", "node").sortWithinPartitions("depth", "node"), "trie")
@@ -158,17 +160,18 @@ def neighbours(counted: DataFrame) -> DataFrame:
             )
             frontier = fresh if states is None else fresh.unionByName(states)
             step = settle(_step(frontier, trie.filter(f"depth = {depth}")), "frontier")
-            found.append(step.filter("n_paths = 1").select("path", "n", "only"))
+            found.append(step.filter("n_paths = 1").select("path", "n", "at", "node", "only"))
             states = step.filter("n_paths > 1").select("path", "n", "at", "edited", "node")
         if deepest != top:
             break
         shared = trie.filter(f"n_paths > 1 AND depth = {top}").select(F.col("child").alias("stem"))
         active = settle(active.join(shared, F.substring("path", 1, top + 1) == F.col("stem"), "left_semi"), "paths")
         low = top + 1
+    # Where one path is left, what is left of both is compared.
+    met = reduce(DataFrame.union, found).join(entered.selectExpr("id AS only", "path AS other", "n AS near_n"), "only")
+    met = met.filter("substring(path, at + 1) = substring(other, length(node) + 1)")
     spelled = lambda p: F.expr(f"if(startswith({p}, '{BACKWARD}'), reverse(substring({p}, 2, length({p}) - 2)), substring({p}, 2, length({p}) - 2))")
-    pairs = reduce(DataFrame.union, found).select(
-        spelled("path").alias("word"), "n", spelled("only.path").alias("near"), F.col("only.n").alias("near_n")
-    )
+    pairs = met.select(spelled("path").alias("word"), "n", spelled("other").alias("near"), "near_n")
     pairs = pairs.union(_long_neighbours(counted.filter(F.length("word") >= TRIE)))
     both = pairs.union(pairs.select("near", "near_n", "word", "n"))
     return settle(both.distinct(), "neighbours")
