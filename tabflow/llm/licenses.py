@@ -16,6 +16,9 @@ Blocks are runs of words, sized by the template: a template of n words is sought
 never made. Texts are cut once for the count and once for the join; the templates, whose number the caller sets, travel
 with the tasks, and nothing is shuffled but one row per word of the templates and task.
 
+Templates are like each other, so a notice often holds enough of several. Every match is given; of those whose blocks
+overlap, the ones with the greatest containment, and of these with the most shared words, are marked as the best.
+
 Beside the templates, phrases are found wherever their words stand one after the other.
 
 Defined results: a null text is empty and has no words; an empty text matches nothing; long texts are cut whole; rows that
@@ -141,18 +144,18 @@ class Scanner:
             out += [(label, i) for i in at.tolist()]
         return sorted(out, key=lambda x: (x[1], x[0]))
 
-    def matches(self, codes: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """Label, first word, number of words and containment of every block that holds enough of a template."""
+    def matches(self, codes: np.ndarray) -> list[tuple[str, int, int, float, bool]]:
+        """Label, first word, number of words, containment and `best` of every block that holds enough of a template."""
         out = []
         for half, index in self.scales.items():
             hits = np.flatnonzero(self.prefix[half][codes]) // half
             for block in np.unique(np.concatenate([hits, np.maximum(hits - 1, 0)])).tolist():
                 part = codes[block * half : (block + 2) * half]
-                out += [(t.label, block * half, len(part), share) for t, share in self._join(np.unique(part), index)]
-        return out
+                out += [(block * half, len(part), n / len(t.tokens), n, t.label) for t, n in self._join(np.unique(part), index)]
+        return _with_best(sorted(out))
 
-    def _join(self, block: np.ndarray, index: dict[int, list[tuple[Template, int]]]) -> Iterator[tuple[Template, float]]:
-        """Templates of one scale contained in a block, whose words are distinct and in the common order."""
+    def _join(self, block: np.ndarray, index: dict[int, list[tuple[Template, int]]]) -> Iterator[tuple[Template, int]]:
+        """Templates of one scale contained in a block, and the words shared; the block's words are distinct and in order."""
         if len(block) and block[-1] == len(self.rank):
             block = block[:-1]
         seen: set[int] = set()
@@ -166,7 +169,19 @@ class Scanner:
                     continue
                 shared = len(np.intersect1d(block, t.tokens, assume_unique=True))
                 if shared >= t.least:
-                    yield t, shared / len(t.tokens)
+                    yield t, shared
+
+
+def _with_best(found: list[tuple[int, int, float, int, str]]) -> list[tuple[str, int, int, float, bool]]:
+    """Matches (first word, words, containment, shared words, label), sorted, with whether no overlapping one is better."""
+    best = [True] * len(found)
+    for i, (at, n, *_) in enumerate(found):
+        for j in range(i + 1, len(found)):
+            if found[j][0] >= at + n:
+                break
+            if found[i][2:4] != found[j][2:4]:
+                best[i if found[i][2:4] < found[j][2:4] else j] = False
+    return [(label, at, n, share, b) for (at, n, share, _, label), b in zip(found, best, strict=True)]
 
 
 def word_counts(docs: DataFrame, vocabulary: set[bytes], text: str = "text") -> dict[bytes, int]:
@@ -189,7 +204,8 @@ def word_counts(docs: DataFrame, vocabulary: set[bytes], text: str = "text") ->
 
 FOUND = (
     "struct<n_words:bigint,place_label:array<string>,place_at:array<bigint>,"
-    "match_label:array<string>,match_at:array<bigint>,match_words:array<bigint>,match_share:array<double>>"
+    "match_label:array<string>,match_at:array<bigint>,match_words:array<bigint>,match_share:array<double>,"
+    "match_best:array<boolean>>"
 )
 
 
@@ -199,8 +215,8 @@ def scan(
 ) -> DataFrame:
     """(row, n_words, places, matches): each document with the places of phrases and the blocks that match templates.
 
-    places: array of (label, at), in order; matches: array of (label, at, n_words, share), the blocks by their first word
-    and size. Words count from 0.
+    places: array of (label, at), in order; matches: array of (label, at, n_words, share, best), the blocks by their first
+    word and size. Words count from 0.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
@@ -215,14 +231,15 @@ def scan(
             for t in batch:
                 codes = scanner.codes(words(t))
                 places, matches = scanner.places(codes), scanner.matches(codes)
-                rows.append((len(codes), *_columns(places, 2), *_columns(matches, 4)))
-            yield pd.DataFrame(rows, columns=["n_words", "place_label", "place_at", "match_label", "match_at", "match_words", "match_share"])
+                rows.append((len(codes), *_columns(places, 2), *_columns(matches, 5)))
+            yield pd.DataFrame(rows, columns=["n_words", "place_label", "place_at", "match_label", "match_at", "match_words", "match_share", "match_best"])
 
     marked = packed(docs, F.pandas_udf(found, FOUND)(col(text)).alias("f"))
     places = F.arrays_zip(F.col("f.place_label").alias("label"), F.col("f.place_at").alias("at"))
     matches = F.arrays_zip(
         F.col("f.match_label").alias("label"), F.col("f.match_at").alias("at"),
         F.col("f.match_words").alias("n_words"), F.col("f.match_share").alias("share"),
+        F.col("f.match_best").alias("best"),
     )
     return marked.select("row", F.col("f.n_words").alias("n_words"), places.alias("places"), matches.alias("matches"))
 

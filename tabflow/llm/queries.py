@@ -225,7 +225,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_license_scan")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base, methods = F.transform("places", lambda p: p["label"]), F.transform("matches", lambda m: m["label"])
+    base, best_ones = F.transform("places", lambda p: p["label"]), F.filter("matches", lambda m: m["best"])
+    methods = F.transform(best_ones, lambda m: m["label"])
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
     return found.select(

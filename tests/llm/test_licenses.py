@@ -34,10 +34,11 @@ def matches(split, templates, threshold):
             half *= 2
         for at in range(0, len(split), half):
             block = split[at : at + 2 * half]
-            share = len(set(block) & set(t)) / len(set(t))
-            if share >= threshold - 1e-12:
-                out.append((label, at, len(block), share))
-    return sorted(out)
+            shared = len(set(block) & set(t))
+            if shared / len(set(t)) >= threshold - 1e-12:
+                out.append((label, at, len(block), shared / len(set(t)), shared))
+    overlap = lambda a, b: a[1] < b[1] + b[2] and b[1] < a[1] + a[2]
+    return sorted((*m[:4], all(m[3:] >= o[3:] for o in out if overlap(m, o))) for m in out)
 
 
 def expected(text):
@@ -48,7 +49,7 @@ def expected(text):
     firsts = [i for i, _ in at]
     return (
         len(split), len(at), min(firsts, default=None), max(firsts, default=None), ",".join(sorted(base)),
-        ",".join(sorted(base | {m[0] for m in found})), score,
+        ",".join(sorted(base | {m[0] for m in found if m[4]})), score,
     )
 
 
@@ -88,10 +89,24 @@ def test_every_block_is_found(spark, threshold):
 def test_own_templates(spark):
     docs = spark.createDataFrame([("all rights reserved by acme",), ("acme rights",)], "body string")
     got = licenses.scan(docs, "body", [("acme", "all rights reserved acme")], {"by acme": "named"}, 0.75).collect()
-    assert [[tuple(m) for m in r["matches"]] for r in got] == [[("acme", 0, 5, 1.0)], []]
+    assert [[tuple(m) for m in r["matches"]] for r in got] == [[("acme", 0, 5, 1.0, True)], []]
     assert [[tuple(p) for p in r["places"]] for r in got] == [[("named", 3)], []]
 
 
+def test_labels_of_like_notices(spark):
+    """A notice that holds enough of several templates has the label of the one it holds most of."""
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+        "Licensed under the Apache License, Version 2.0.": "apache,apache-2.0",
+        "Released under the MIT License.": "mit",
+        "licensed under the GNU Lesser General Public License": "lgpl",
+    }
+    docs = [" ".join(["word"] * 40) + "\n" + line + "\n" + " ".join(["other"] * 40) for line in lines]
+    for text, wanted in zip(docs, lines.values(), strict=True):
+        assert expected(text)[5] == wanted
+
+
 def test_words():
     for text in [None, "", "A-Z a_z 09:@[`{ é×÷ÿ\x7f\x80 中文", "\x00a\x01b"]:
         assert [w.decode() for w in licenses.words(text)] == words(text)
