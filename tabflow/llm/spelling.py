@@ -121,9 +121,11 @@ def _step(states: DataFrame, level: DataFrame) -> DataFrame:
         ("NOT edited AND letter = after AND here <> after", "at + 2"),
     ]
     to = ", ".join(f"if({when}, {place}, NULL)" for when, place in moves)
+    any_move = " OR ".join(f"({when})" for when, _ in moves)
     taken = (
         states.selectExpr("path", "n", "at", "edited", "node", f"{here} AS here", f"{after} AS after")
         .join(level, "node")
+        .filter(any_move)
         .selectExpr("path", "n", "child AS node", "n_paths", "only", "follow", "rest", f"explode(filter(array({to}), x -> x IS NOT NULL)) AS at")
     )
     hopeful = f"follow & {_bit(_letter('path', 'at'))} <> 0 AND rest & shiftleft(1L, least(length(path) - at, 63)) <> 0"
