@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tabflow.operators.transform import Raw
 from tabflow.runtime import ORD, file_order, first_and_largest_file
 from tabflow.sources.cuts import before, with_states
-from tabflow.sources.rows import Parsed, Stage, part_of, places, read_staged, staged
+from tabflow.sources.rows import Parsed, Stage, file_of, part_of, places, read_staged, staged
 
 _SPACE = re.compile(r"[ \t\n\r]*")
 _MARKS = re.compile(r'\\.|["\[\]{}]', re.S)
@@ -31,6 +31,9 @@ _BETWEEN = re.compile(r'\s*,\s*\{\s*"(?:[^"\\]|\\.)+"')
 #: What may still become such a gap: its first name goes on behind a brace.
 _BEGUN = re.compile(r'\s*,\s*\{\s*"(?:[^"\\]|\\.)*', re.S)
 _ESCAPED = re.compile(r"\\.", re.S)
+#: Characters of a piece that is parsed as one; a longer one shows that its file is not cut between its objects.
+_LONG = 1 << 23
+
 # --- parsing --------------------------------------------------------------------------------------------------
 
 
@@ -120,6 +123,8 @@ def _parse_piece(piece: str, lead: str) -> tuple[list[dict[str, str]], bool, boo
     piece = piece.removeprefix("\ufeff")
     start = piece[_skip(piece, 0) :][:4]
     opens = start[:1] == "[" or start == "null"
+    if len(piece) > _LONG:
+        return [], opens, False, "a long piece"
     text = piece if opens else "[" + lead + piece
     error = None
     for closes, end in ((False, "}]"), (True, "")):
@@ -181,6 +186,23 @@ def _gap(spark: SparkSession, path: str) -> str | None:
     return found[0]["gap"] if found else None
 
 
+def _files_by_gap(spark: SparkSession, path, gap: str) -> tuple[list[str], list[str]]:
+    """Files, as the scan names them, that a gap cuts into short pieces, and those with stretches where it does not occur.
+
+    A stretch goes on through splits without the gap; it takes part in no piece, which a task would hold as one text.
+    """
+    begins = gap[1:].partition("}")[0]
+    f, b = F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")
+    per_split = spark.read.option("lineSep", "}").text(path).groupBy(f, b).agg(
+        F.count_if(F.col("value").startswith(begins)).alias("n"), F.sum(F.length("value") + 1).alias("size")
+    )
+    runs = per_split.withColumn("since", before(F.col("n"))).groupBy("f", "since", F.col("n") > 0).agg(
+        (F.sum("size") > _LONG * (F.sum("n") + 1)).alias("long")
+    )
+    found = runs.groupBy("f").agg(F.bool_or("long").alias("long")).collect()
+    return [r["f"] for r in found if not r["long"]], [r["f"] for r in found if r["long"]]
+
+
 def _pieces(spark: SparkSession, path, gap: str) -> DataFrame:
     return spark.read.option("lineSep", gap).text(path).select("value", file_order().alias(ORD))
 
@@ -316,12 +338,16 @@ def read_json(spark: SparkSession, path, extra: list[str] | None = None) -> Raw:
 
     The columns are the names of the first object; `extra` adds names that later objects may carry. Files where the gap
     between the first two objects of the largest file also separates all others are split there by the scan; other
-    files are split by depth, in two passes. Text that is not one array of objects per file aborts.
+    files are split by depth, in two passes. Files without that gap are not read by it: they would be one piece. Text that is not one array of objects per file aborts.
     """
 
     def by_gap(files: list[str] | None, _):
         gap = _gap(spark, first_and_largest_file(spark, path)[1])
-        return Stage(_pieces(spark, path, gap), _pieces_parser(gap[gap.index("{") :]), "json") if gap else None
+        cut, left = _files_by_gap(spark, path, gap) if gap else ([], [])
+        if not cut:
+            return None
+        pieces = _pieces(spark, [file_of(f) for f in cut] if left else path, gap)
+        return Stage(pieces, _pieces_parser(gap[gap.index("{") :]), "json").leaving(left)
 
     def by_depth(files: list[str] | None, _):
         return _by_depth(spark, files or path)

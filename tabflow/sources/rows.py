@@ -101,6 +101,13 @@ class Stage:
         self.lines, self.paths = self.lines.unionByName(rest.lines), self.paths + rest.paths
         return self
 
+    def leaving(self, files: list[str]) -> Stage:
+        """With the word that these files, none of which were read, are to be read in another way."""
+        if files:
+            left = [(f, 0, 0, -1, None, None, False, False, "not read", None, None) for f in files]
+            self.lines = self.lines.unionByName(self.spark.createDataFrame(left, _STAGED))
+        return self
+
     def without(self, files: DataFrame, rest: Stage) -> Stage:
         """The rows but those of some files, which another stage has."""
         self.lines = self.lines.join(files.select("f"), "f", "left_anti").select(*self.lines.columns).unionByName(rest.lines)

@@ -13,6 +13,7 @@ from tabflow.operators.transform import late_keys, transform
 from tabflow.runtime import LATE, ORD
 from tabflow.sinks.xlsx import write_xlsx
 from tabflow.sources import formats
+from tabflow.sources import json as json_source
 from tabflow.sources.csv import read_csv
 from tabflow.sources.json import read_json
 from tabflow.sources.xlsx import read_xlsx
@@ -573,3 +574,36 @@ def test_one_output_file_without_rows(spark, tmp_path):
         path = tmp_path / f"none.{extension}"
         formats.write(spark.range(0).selectExpr("id AS Id"), str(path), single_file=True)
         assert path.read_text().strip() == content
+
+
+# --- pieces and beginnings of large files
+
+
+def test_json_file_without_the_gap_is_not_one_piece(spark, file, tmp_path, monkeypatch):
+    """A file of another layout is not read by the gap; one that changes its layout midway is found by its long piece."""
+    monkeypatch.setattr(json_source, "_LONG", 2000)
+    lines = lambda ids: "\n,".join(f'{{"Id":{i},"v":"a}}b"}}' for i in ids)
+    spread = lambda ids: ",".join(f'\n {{\n "Id" : {i} ,\n "v" : "c" }}' for i in ids)
+    folder = str(tmp_path / "f.json")
+    file("f.json/0.json", f"[{lines(range(400))}]")
+    file("f.json/1.json", f"[{spread(range(400, 700))}]")
+    file("f.json/2.json", f"[{lines(range(700, 800))},{spread(range(800, 1000))}]")
+    file("f.json/3.json", "")
+    gap = json_source._gap(spark, f"{folder}/0.json")
+    cut, left = json_source._files_by_gap(spark, folder, gap)
+    assert [[f[-6:] for f in sorted(x)] for x in (cut, left)] == [["0.json", "2.json"], ["1.json"]]
+    assert json_source._parse_piece("x" * 2001, "{")[3] == "a long piece"
+    for size in ("134217728", "1000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = rows(read_json(spark, folder))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == [(str(i), "a}b" if i < 400 or 700 <= i < 800 else "c") for i in range(1000)]
+
+
+def test_json_object_longer_than_a_piece(spark, file, monkeypatch):
+    monkeypatch.setattr(json_source, "_LONG", 2000)
+    texts = ["x" * 50, "}" * 9000, "y"]
+    path = file("a.json", "[" + "\n,".join(json.dumps({"Id": i, "v": t}) for i, t in enumerate(texts * 20)) + "]")
+    assert rows(read_json(spark, path)) == [(str(i), t) for i, t in enumerate(texts * 20)]
