@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tabflow.operators.transform import Raw
 from tabflow.runtime import ORD, file_order, first_and_largest_file
 from tabflow.sources.cuts import before, with_states
-from tabflow.sources.rows import Parsed, Stage, file_of, part_of, places, read_staged, staged
+from tabflow.sources.rows import Parsed, Stage, file_of, part_of, places, read_staged, reading_on, staged
 
 _SPACE = re.compile(r"[ \t\n\r]*")
 _MARKS = re.compile(r'\\.|["\[\]{}]', re.S)
@@ -151,9 +151,8 @@ def _parse_documents(batch: pa.RecordBatch) -> Iterable[Parsed]:
 # --- cutting --------------------------------------------------------------------------------------------------
 
 
-def _first_gap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_gap(pieces: Iterator[str]) -> tuple[bool, str | None]:
     """Text from the brace that ends the first object to the first name of the second, from pieces cut at braces."""
-    pieces = (p for b in batches for p in b.column(0).to_pylist())
     depth, quoted = 0, False
     for piece in pieces:
         for mark in _MARKS.finditer(piece + "}"):
@@ -165,15 +164,15 @@ def _first_gap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not quoted and depth == 1:
             break
     else:
-        return
+        return False, None
     after = ""
     for piece in pieces:
         after += piece + "}"
         if between := _BETWEEN.match(after):
-            yield pa.RecordBatch.from_pydict({"gap": ["}" + between.group()]})
-            return
+            return True, "}" + between.group()
         if not _BEGUN.fullmatch(after):
-            return
+            return True, None
+    return False, None
 
 
 def _gap(spark: SparkSession, path: str) -> str | None:
@@ -181,9 +180,7 @@ def _gap(spark: SparkSession, path: str) -> str | None:
 
     This text cannot occur inside a string, where a quote is escaped; it may occur in a nested array of like objects.
     """
-    start = spark.read.option("lineSep", "}").text(path).coalesce(1)
-    found = start.mapInArrow(_first_gap, "gap string").take(1)
-    return found[0]["gap"] if found else None
+    return reading_on(spark.read.option("lineSep", "}").text(path), _first_gap)
 
 
 def _files_by_gap(spark: SparkSession, path, gap: str) -> tuple[list[str], list[str]]:

@@ -73,6 +73,37 @@ def in_tasks(parse: Callable[[pa.RecordBatch], Iterable[Parsed]]):
     return run
 
 
+#: Pieces that are looked at in a file's first reading; each further one takes `_FURTHER` times as many.
+_FIRST, _FURTHER = 1000, 8
+
+
+def reading_on(pieces: DataFrame, find: Callable[[Iterator], tuple[bool, str | None]]) -> str | None:
+    """What `find` makes of the first pieces of a file, given in order; one task reads on as far as that takes.
+
+    find: gives whether it needs no more pieces, and what it has found. A function that stops does not stop the scan, which
+    is therefore told how many pieces to read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+
+        def values() -> Iterator:
+            nonlocal seen
+            for value in (v for b in batches for v in b.column(0).to_pylist()):
+                seen += 1
+                yield value
+
+        done, text = find(values())
+        yield pa.RecordBatch.from_arrays([pa.array([done]), pa.array([seen]), pa.array([text], pa.string())], ["done", "seen", "text"])
+
+    n = _FIRST
+    while True:
+        found = pieces.coalesce(1).limit(n).mapInArrow(run, "done boolean, seen bigint, text string").collect()[0]
+        if found["done"] or found["seen"] < n:
+            return found["text"]
+        n *= _FURTHER
+
+
 def places(batch: pa.RecordBatch) -> list[tuple]:
     order = batch.column(batch.schema.get_field_index(ORD)).to_pylist()
     return [(o["f"], o["b"], o["m"]) for o in order]

@@ -5,6 +5,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tabflow.functions.workbook import header_and_rows, write_workbook
@@ -14,8 +15,11 @@ from tabflow.runtime import LATE, ORD
 from tabflow.sinks.xlsx import write_xlsx
 from tabflow.sources import formats
 from tabflow.sources import json as json_source
+from tabflow.sources import rows as rows_source
+from tabflow.sources import xml as xml_source
 from tabflow.sources.csv import read_csv
 from tabflow.sources.json import read_json
+from tabflow.sources.rows import reading_on
 from tabflow.sources.xlsx import read_xlsx
 from tabflow.sources.xml import read_xml
 from tabflow.types import LogicalType as L
@@ -607,3 +611,32 @@ def test_json_object_longer_than_a_piece(spark, file, monkeypatch):
     texts = ["x" * 50, "}" * 9000, "y"]
     path = file("a.json", "[" + "\n,".join(json.dumps({"Id": i, "v": t}) for i, t in enumerate(texts * 20)) + "]")
     assert rows(read_json(spark, path)) == [(str(i), t) for i, t in enumerate(texts * 20)]
+
+
+@pytest.mark.parametrize("where", [0, 5, 70])
+def test_first_reading_goes_no_further_than_it_has_to(spark, file, monkeypatch, where):
+    monkeypatch.setattr(rows_source, "_FIRST", 10)
+    path = file("a.txt", "".join(f"{i}}}" for i in range(5000)))
+    read = Observation()
+    pieces = spark.read.option("lineSep", "}").text(path).observe(read, F.count(F.lit(1)).alias("n"))
+    found = reading_on(pieces, lambda values: next(((True, f"at {v}") for v in values if int(v) >= where), (False, None)))
+    assert found == f"at {where}"
+    assert read.get["n"] <= 100  # of the first of its tasks
+
+
+def test_first_reading_ends_with_the_file(spark, file, monkeypatch):
+    monkeypatch.setattr(rows_source, "_FIRST", 2)
+    path = file("a.txt", "".join(f"{i}}}" for i in range(20)))
+    assert reading_on(spark.read.option("lineSep", "}").text(path), lambda values: (False, str(len(list(values))))) == "20"
+
+
+@pytest.mark.parametrize("first", [1, 2, 1000])
+def test_beginnings_of_json_and_xml_at_any_step(spark, file, monkeypatch, first):
+    monkeypatch.setattr(rows_source, "_FIRST", first)
+    wide = json.dumps({"Id": 1, "v": {f"k{i}": [{"Id": "}"}] for i in range(40)}})
+    assert json_source._gap(spark, file("a.json", f'[{wide} , {{ "a}}b" : 2}}]')) == '} , { "a}b"'
+    assert json_source._gap(spark, file("b.json", f"[{wide}]")) is None
+    cells = "".join(f"<c{i}>x</c{i}>" for i in range(40))
+    assert xml_source._row_tag(spark, file("a.xml", f"<r><e/><row>{cells}</row></r>")) == "row"
+    assert xml_source._row_tag(spark, file("b.xml", "<r><e/></r>")) is None
+    assert xml_source._row_tag(spark, file("c.xml", "<r></x>")) is None
