@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tabflow.operators.transform import Raw
 from tabflow.runtime import ORD, file_order, first_and_largest_file
-from tabflow.sources.rows import Parsed, Stage, places, read_staged
+from tabflow.sources.rows import Parsed, Stage, places, read_staged, reading_on
 
 _CHUNK = 1 << 20
 #: Root of pieces that hold rows only; no document can close it.
@@ -177,7 +177,7 @@ def _parse_documents(batch: pa.RecordBatch) -> Iterable[Parsed]:
         yield place, _document(place[0], content), True, True, None, None
 
 
-def _first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_row(pieces: Iterator[bytes]) -> tuple[bool, str | None]:
     """Tag of the first row that is not self-closing, from pieces cut at `>`."""
     parser, open_, found = expat.ParserCreate("utf-8"), [], []
 
@@ -191,14 +191,14 @@ def _first_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append(name)
 
     parser.StartElementHandler, parser.EndElementHandler = start, end
-    for piece in (p for b in batches for p in b.column(0).to_pylist()):
+    for piece in pieces:
         try:
             parser.Parse(piece.removeprefix(b"\xef\xbb\xbf") + b">")
         except expat.ExpatError:
-            return
+            return True, None
         if found:
-            yield pa.RecordBatch.from_pydict({"tag": [found[0]]})
-            return
+            return True, found[0]
+    return False, None
 
 
 def _other_encoding(content: bytes) -> bool:
@@ -211,9 +211,7 @@ def _other_encoding(content: bytes) -> bool:
 def _row_tag(spark: SparkSession, path) -> str | None:
     """Tag of the first row of the largest file, found by one task that reads on from its start until that row closes."""
     _, largest = first_and_largest_file(spark, path)
-    start = spark.read.option("lineSep", ">").text(largest).coalesce(1).select(F.col("value").cast("binary"))
-    found = start.mapInArrow(_first_row, "tag string").take(1)
-    return found[0]["tag"] if found else None
+    return reading_on(spark.read.option("lineSep", ">").text(largest).select(F.col("value").cast("binary")), _first_row)
 
 
 def _pieces(spark: SparkSession, path, tag: str) -> DataFrame:
