@@ -24,8 +24,8 @@ from tabflow.versions import LOAD, ROWS_SUFFIX, ConcurrentLoadError, State, crea
 
 __all__ = ["ConcurrentLoadError", "exists", "state"]
 
-#: Bytes of input per bucket of a new table, and the most buckets.
-BUCKET_BYTES, MAX_BUCKETS = 1 << 27, 1 << 16
+#: Bytes of input per bucket of a new table, rows of its first load per bucket, and the most buckets.
+BUCKET_BYTES, BUCKET_ROWS, MAX_BUCKETS = 1 << 27, 1 << 20, 1 << 16
 
 
 class TableExistsError(ValueError):
@@ -73,9 +73,13 @@ def input_bytes(spark: SparkSession, path) -> int:
 # --- creating ----------------------------------------------------------------------------------
 
 
-def _create_store(spark: SparkSession, name: str, types: dict[str, LogicalType], buckets: int) -> State:
+def _refuse_existing(spark: SparkSession, name: str) -> None:
     if exists(spark, name) or exists(spark, store_of(name)):
         raise TableExistsError(f"table {name} already exists")
+
+
+def _create_store(spark: SparkSession, name: str, types: dict[str, LogicalType], buckets: int) -> State:
+    _refuse_existing(spark, name)
     types = ensure_key(types)
     key = find_key(types)
     empty = spark.createDataFrame([], struct_of(types).add(LOAD, "long"))
@@ -97,7 +101,12 @@ def create_and_load(
     boxed: bool = False,
     buckets: int = 1,
 ) -> LoadReport:
-    """Create a table with its first rows; after an error there is no table."""
+    """Create a table with its first rows; after an error there is no table.
+
+    buckets: at least; there is one for every `BUCKET_ROWS` rows, as a task writes, or reads, a bucket of the table.
+    """
+    _refuse_existing(spark, name)
+    buckets = max(buckets, min(MAX_BUCKETS, -(-batch.count() // BUCKET_ROWS)))
     before = _create_store(spark, name, types, buckets)
     try:
         written = _write(spark, name, before, batch, Policy.of(policy), boxed)

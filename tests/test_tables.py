@@ -301,3 +301,17 @@ def test_state_survives_many_loads(spark, name):
     versions.show(spark, name, many)
     assert versions.State.of(spark, name) == many
     assert content(spark, name) == expected([])
+
+
+def test_buckets_grow_with_the_first_load(spark, database, monkeypatch):
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 50)
+    rows = [(i, f"v{i}", i / 2) for i in range(201)]
+    for name, least, expected in (("a", 2, 5), ("b", 8, 8)):
+        full = f"{database}.{name}"
+        assert tables.create_and_load(spark, full, TYPES, batch(spark, rows), "fail", buckets=least).inserted == 201
+        assert tables.state(spark, full).buckets == expected
+        assert sorted(map(tuple, tables.scan(spark, full).collect())) == rows
+        assert tables.load(spark, full, batch(spark, [(7, "w", 0.0), (500, "x", 1.0)]), "update").updated == 1
+        assert tables.scan(spark, full).count() == 202
+    with pytest.raises(tables.TableExistsError):
+        tables.create_and_load(spark, f"{database}.a", TYPES, batch(spark, rows), "fail")
