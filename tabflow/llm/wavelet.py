@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabflow.llm.common import kept_by_worker
-from tabflow.llm.words import WordCodes, bunches
+from tabflow.llm.words import WordCodes, bunches, distinct_words, listed, spread
 from tabflow.runtime import col, scratch_dir
 
 MAGIC = b"WVM1"
@@ -39,8 +40,10 @@ MAGIC = b"WVM1"
 SHARD = 4_000_000
 #: Bytes of a plane per entry of its directory.
 BLOCK = 512
-#: Distinct words, and distinct pre-tokens, that a Python worker keeps.
-WORDS, PIECES = 700_000, 450_000
+#: Distinct pre-tokens, and distinct words of more than letters and marks, that a Python worker keeps.
+PIECES, OTHERS = 700_000, 200_000
+#: Characters of texts whose distinct words are looked up together.
+BUNCH = 4_000_000
 #: Pre-tokens per call of the library, whose time per pre-token grows with longer texts.
 CALL = 1000
 
@@ -51,19 +54,19 @@ class WordTokenizer:
     """Encodes by distinct words what the tokenizer would encode text by text.
 
     ASCII white space separates words for this tokenizer whatever stands beside it, so a text's ids are those of its
-    words. Words of common letters and marks fall further apart by the tokenizer's own pattern; those pre-tokens go to
-    the library in one call, side by side, and their ids part where a token closes a pre-token. All other words go
-    to the library one by one, also those that hold one of the file's added tokens, such as `<|endoftext|>`: the library
-    takes these out of the text before it applies the pattern.
+    words. Of the distinct words of some texts, those of letters, perhaps with marks behind them, are parted and lower-cased
+    as Arrow columns; other words of common letters and marks fall apart by the tokenizer's own pattern. Those pre-tokens
+    go to the library in one call, side by side, and their ids part where a token closes a pre-token. All other words
+    go to the library one by one, also those that hold one of the file's added tokens, such as `<|endoftext|>`: the
+    library takes these out of the text before it applies the pattern.
     """
 
     #: The pattern of the vocabulary file's pre-tokenizer; a fixed value.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Characters that no normal form joins, and whose lower case is one character.
     PLAIN = re.compile("[!-~À-įı-ſ]+")
-
-    #: A line that is letters of those, perhaps with marks behind them, or anything else.
-    LETTERS = re.compile(r"^(?:([a-zß-öø-įı-ſ]+)([.,;:!?]*)|(.+))$", re.M)
+    #: Letters of those, perhaps with marks behind them.
+    LETTERS = r"^(?P<body>[A-Za-zÀ-ÖØ-öø-įı-ſ]+)(?P<marks>[.,;:!?]*)$"
 
     def __init__(self, file: str):
         self.library = Tokenizer.from_str(file)
@@ -74,7 +77,7 @@ class WordTokenizer:
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cut = regex.compile(self.PATTERN).findall
         self.pieces = WordCodes(self._pieces, PIECES)
-        self.words = WordCodes(self._words, WORDS)
+        self.others = WordCodes(self._others, OTHERS)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         some = (" ".join(pieces[i : i + CALL]) for i in range(0, len(pieces), CALL))
@@ -84,30 +87,53 @@ class WordTokenizer:
             raise ValueError("the tokenizer does not close every pre-token")
         return ids, np.diff(ends, prepend=0)
 
-    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All words at once, a line each: letters with marks behind them need no other pattern."""
-        joined = b"\n".join(words).decode()
-        split = [[body, marks] if marks else [body] for body, marks, _ in self.LETTERS.findall(joined.lower())]
-        odd: list[int] = []
-        texts = joined.split("\n") if [""] in split else []
-        for i, pieces in enumerate(split):
-            if pieces != [""]:
-                continue
-            if self.PLAIN.fullmatch(texts[i]) and not self.added.search(texts[i]):
-                split[i] = self.cut(texts[i].lower())
-            else:
-                odd.append(i)
-                split[i] = []
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [self.cut(w.lower()) if self.PLAIN.fullmatch(w) and not self.added.search(w) else [] for w in words]
         ids, lengths = self.pieces.grouped(split)
+        odd = [i for i, pieces in enumerate(split) if not pieces]
         if not odd:
             return ids, lengths
         parts = np.split(ids, np.cumsum(lengths)[:-1])
-        for i, e in zip(odd, self.library.encode_batch([texts[i] for i in odd], add_special_tokens=False), strict=True):
+        for i, e in zip(odd, self.library.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
             parts[i] = np.array(e.ids, np.int64)
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and the number of ids per word."""
+        parted = pc.extract_regex(words, self.LETTERS)
+        whole = parted.is_valid()
+        lettered = whole.to_numpy(zero_copy_only=False)
+        bodies = pc.utf8_lower(parted.filter(whole).field("body")).dictionary_encode()
+        marks = parted.filter(whole).field("marks").dictionary_encode()
+        # What a word begins with, all of it unless there are marks, and what it ends with.
+        starts, lengths = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        pools, used = [], 0
+
+        def put(found: tuple[np.ndarray, np.ndarray], rows: np.ndarray, column: int, at: np.ndarray) -> None:
+            nonlocal used
+            ids, sizes = found
+            starts[rows, column], lengths[rows, column] = (used + np.cumsum(sizes) - sizes)[at], sizes[at]
+            pools.append(ids)
+            used += len(ids)
+
+        rows = np.flatnonzero(lettered)
+        if len(rows):
+            put(self.pieces(listed(bodies.dictionary)), rows, 0, bodies.indices.to_numpy())
+            kinds = marks.dictionary.to_pylist()
+            put(self.pieces.grouped([[m] if m else [] for m in kinds]), rows, 1, marks.indices.to_numpy())
+        rest = np.flatnonzero(~lettered)
+        if len(rest):
+            put(self.others(listed(words.filter(pc.invert(whole)))), rest, 0, np.arange(len(rest)))
+        return spread(np.concatenate(pools), starts.ravel(), lengths.ravel()), lengths.sum(1)
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        return self.words.texts([t.encode().split() for t in texts])
+        distinct, at, counts = distinct_words(texts)
+        if not len(at):
+            return [np.zeros(0, np.int64) for _ in texts]
+        ids, lengths = self._words(distinct)
+        sizes = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return np.split(spread(ids, (np.cumsum(lengths) - lengths)[at], sizes), ends[np.cumsum(counts)[:-1]])
 
 
 # --- the matrix -----------------------------------------------------------------------------------------------
@@ -303,7 +329,7 @@ def write(docs: DataFrame, file: str, end: int, path: str, id_col: str = "doc_id
 
         for batch in batches:
             keys = iter(batch["id"])  # as text: whole numbers beside nulls would become floating ones
-            for some in bunches(batch["t"]):
+            for some in bunches(batch["t"], BUNCH):
                 for tokens in encode(some):
                     key = next(keys)
                     names.append(None if key is None else int(key))

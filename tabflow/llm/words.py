@@ -6,7 +6,8 @@ import itertools
 from collections.abc import Callable, Iterable
 
 import numpy as np
-
+import pyarrow as pa
+import pyarrow.compute as pc
 
 Encoded = tuple[np.ndarray, np.ndarray]
 
@@ -103,6 +104,38 @@ class WordCodes:
         return np.split(ids, np.cumsum(lengths)[:-1]) if split else []
 
 
+def distinct_words(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, for each of their words its place there, and the number of words per text.
+
+    Words stand between ASCII white space.
+    """
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = split.flatten().dictionary_encode()
+    distinct, at, offsets = coded.dictionary, coded.indices.to_numpy(), split.offsets.to_numpy()
+    # White space at a text's start or end leaves an empty word there.
+    some = pc.not_equal(distinct, "").to_numpy(zero_copy_only=False)
+    if some.all():
+        return distinct, at, np.diff(offsets)
+    kept = some[at]
+    counts = np.diff(np.concatenate([[0], np.cumsum(kept)])[offsets])
+    return distinct.filter(pa.array(some)), (np.cumsum(some) - 1)[at[kept]], counts
+
+
+def listed(words: pa.Array) -> list[str]:
+    """The words, none of them empty or with a line end, as a list; in one pass, which is faster than one by one."""
+    if not len(words):
+        return []
+    one = pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words)
+    return pc.binary_join(one, pa.scalar("\n", words.type))[0].as_py().split("\n")
+
+
+def spread(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs of a pool end to end, given where they start and how long they are."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
 def bunches(texts: Iterable[str], chars: int = 500_000) -> Iterable[list[str]]:
     """Consecutive texts in lists of about so many characters; a longer text is a list of its own."""
     some, size = [], 0
