@@ -41,9 +41,9 @@ SHARD = 4_000_000
 #: Bytes of a plane per entry of its directory.
 BLOCK = 512
 #: Distinct pre-tokens, and distinct words of more than letters and marks, that a Python worker keeps.
-PIECES, OTHERS = 700_000, 200_000
+PIECES, OTHERS = 500_000, 150_000
 #: Characters of texts whose distinct words are looked up together.
-BUNCH = 4_000_000
+BUNCH = 2_000_000
 #: Pre-tokens per call of the library, whose time per pre-token grows with longer texts.
 CALL = 1000
 
