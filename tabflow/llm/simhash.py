@@ -12,7 +12,8 @@ of one is among the anchors of the other.
 
 Copies are one fingerprint before anything is compared. An anchor gives out no pairs but the links of a spanning
 forest of what it holds, and an anchor with many fingerprints is split into pairs of bounded blocks, all of which are
-compared. Components come from rounds of minimum labels with pointer jumping over tables, each round written down.
+compared. Components come from rounds of minimum labels with pointer jumping over tables, each round written down, in
+as few files as its rows fill.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a null id counts as larger
 than all others when the smallest is sought; repeated rows are copies of each other; an empty table has no fingerprints.
@@ -35,6 +36,8 @@ from tabflow.runtime import col
 SEED = 42
 #: Fingerprints of one anchor that are compared in one task; larger anchors are compared block by block.
 BLOCK = 2048
+#: Edges for which a round of labels has one task and one file.
+ROWS = 250_000
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -184,24 +187,28 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of an edge with the smallest node of its component.
+    """(node, was, root): every node of an edge with the smallest node of its component; `was` is the same.
 
     Each round a node takes the smallest label around it, then the label of its label; that halves long chains, and
-    ends when a round changes nothing. One row per node and round goes to the scratch folder.
+    ends when a round changes nothing. One row per node and round goes to the scratch folder. There are no more labels
+    than edges, so that the number of edges bounds the files of a round.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    turned = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = edges.select(F.explode(F.array(F.struct("src", "dst"), turned)).alias("edge")).select("edge.*").distinct()
     both = settle(both, "edges")
-    state = settle(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("root")).withColumnRenamed("src", "node"), "labels")
+    files = both.count() // ROWS + 1
+    state = both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("root")).withColumnRenamed("src", "node")
+    state = settle(state.coalesce(files), "linked")
     while True:
         around = both.join(state, both["dst"] == state["node"]).groupBy("src").agg(F.min("root").alias("near"))
         step = state.join(around, state["node"] == around["src"]).select("node", "root", F.least("root", "near").alias("near"))
         jump = state.select(F.col("node").alias("via"), F.col("root").alias("far"))
         step = step.join(jump, step["near"] == jump["via"]).select("node", F.col("root").alias("was"), F.least("near", "far").alias("root"))
-        step = settle(step, "labels")
+        step = settle(step.coalesce(files), "linked")
         drop_settled(state)
         if not step.filter("was <> root").limit(1).count():
             drop_settled(both)
-            return step.select("node", "root")
+            return step
         state = step
 
 
@@ -212,7 +219,7 @@ def linked(marked: DataFrame, distance: int = 3) -> DataFrame:
     """
     spark = marked.sparkSession
     with passing(spark) as kept:
-        found = settle(components(settle(links(settle(marked.select("fp").distinct(), "distinct"), distance), "links")), "linked")
+        found = components(links(marked.select("fp").distinct(), distance))
         kept.append(found)
     return found.select(F.col("node").alias("linked_fp"), "root")
 

@@ -229,6 +229,38 @@ def test_links_lose_nothing(spark, monkeypatch, distance, block):
     assert groups(got) == groups(expected)
 
 
+def test_rounds_of_labels_write_few_files(spark, monkeypatch):
+    """A file per `ROWS` edges, not one per shuffle partition, and nothing is written twice over."""
+    chain = [sum(1 << i for i in range(n)) for n in range(1, 60)]  # neighbours differ in one bit
+    marked = spark.createDataFrame([(f,) for f in chain], "fp long")
+    files, kept_settle = [], simhash.settle
+
+    def noted(df, label):
+        out = kept_settle(df, label)
+        files.append((label, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(simhash, "settle", noted)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = [simhash.linked(marked, 1).collect()]
+        assert [n for label, n in files if label not in ("anchors", "loads", "edges")] == [1] * (len(files) - 3)
+        assert len(files) > 5
+        files.clear()
+        monkeypatch.setattr(simhash, "ROWS", 40)
+        found.append(simhash.linked(marked, 1).collect())
+        # A part without rows has no file.
+        assert 1 < max(n for label, n in files if label == "linked") <= 2 * 58 // 40 + 1
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    for rows in found:
+        assert sorted((r["linked_fp"], r["root"]) for r in rows) == [(f, 1) for f in chain]
+
+
 def test_anchors_cover_the_ball(spark):
     rnd = random.Random(9)
     values = [rnd.getrandbits(64) for _ in range(30)] + [0]
